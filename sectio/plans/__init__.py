@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_models"]
+MODULES = ["q_models", "q_dataset"]
 
 
 def load_all() -> None:

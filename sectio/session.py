@@ -34,6 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SECTIO_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
