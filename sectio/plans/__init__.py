@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_models", "q_dataset"]
+MODULES = ["q_models", "q_dataset", "q_splits"]
 
 
 def load_all() -> None:
