@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics"]
+MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics", "q_text"]
 
 
 def load_all() -> None:
