@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sectio.functions.frames import with_scalars as _with_scalars
 from sectio.functions.ordering import hash_rank, seeded_key
 
 SEED = 4220
@@ -101,13 +102,6 @@ def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: in
     return r.withColumn("fold", ((F.col("rn") - 1) % k + 1).cast("int")).drop("rn")
 
 
-def _with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row: an equi-join on a constant
-    key with a single build row (broadcast by AQE), not a cross join."""
-    one = "__one"
-    return df.withColumn(one, F.lit(1)).join(scalars.withColumn(one, F.lit(1)), one).drop(one)
-
-
 def train_size_grid(split: DataFrame, study: str = "study_id", step: int = 5, max_n: int | None = None,
                     eval_share: float = 0.2) -> DataFrame:
     """For n = step, 2*step, ... up to the number of non-test studies

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics", "q_text"]
+MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics", "q_text", "q_similarity"]
 
 
 def load_all() -> None:
