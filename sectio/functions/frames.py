@@ -11,3 +11,13 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     key with a single build row (broadcast by AQE), not a cross join."""
     one = "__one"
     return df.withColumn(one, F.lit(1)).join(scalars.withColumn(one, F.lit(1)), one).drop(one)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a stage output that several consumers read (sections, phrases,
+    mined negatives) to the shared checkpoint folder and continue from it:
+    computed once, lineage cut, and a lost executor re-reads files instead
+    of recomputing the text pipeline."""
+    from sectio.session import cut_lineage
+
+    return cut_lineage(df)

@@ -22,14 +22,10 @@ N_RUNS = 4
 TRAIN_SHARE = 0.75
 
 
-def split_train_test(df: DataFrame, key: str, seed: int = SEED, train_share: float = TRAIN_SHARE) -> DataFrame:
-    """Add ``rn`` (seeded rank), ``n`` and ``n_train`` = bround(share * n)."""
-    r = hash_rank(df, seed, key)
-    return r.withColumn("n_train", F.bround(F.lit(train_share) * F.col("n"), 0).cast("bigint"))
-
-
 def centroids(train: DataFrame, group_cols: list[str], class_col: str = "cls", vec_col: str = "v") -> DataFrame:
-    """Mean vector per (group, class)."""
+    """Mean vector per (group, class): exploded to (group, class, dim) and
+    averaged with map-side partial aggregation, then re-assembled in dim
+    order. Output rows: group x classes -- bounded by the label set."""
     ex = train.select(*group_cols, class_col, F.posexplode(vec_col).alias("pos", "x"))
     means = ex.groupBy(*group_cols, class_col, "pos").agg(F.avg("x").alias("m"))
     return means.groupBy(*group_cols, class_col).agg(
@@ -37,6 +33,33 @@ def centroids(train: DataFrame, group_cols: list[str], class_col: str = "cls", v
     )
 
 
+def fit_centroids(train: DataFrame, group_cols: list[str], class_col: str = "cls", vec_col: str = "v") -> DataFrame:
+    """The model: one row per group with the sorted (label, centroid) list
+    in ``__centroids``."""
+    cents = centroids(train, group_cols, class_col, vec_col)
+    return cents.groupBy(*group_cols).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(class_col).alias("label"), "c"))).alias("__centroids"))
+
+
+def score_centroids(test: DataFrame, model: DataFrame, group_cols: list[str], key: str,
+                    class_col: str = "cls", vec_col: str = "v") -> DataFrame:
+    """Score test vectors in-row against their group's centroids. Long
+    output: key, group, y_true, y_pred, label, score (cosine, 6 digits);
+    y_pred is the best class, the first in label order on ties.
+
+    No broadcast hint: the model is an aggregate of groups x classes rows
+    whose size AQE measures at run time, so the join becomes a broadcast
+    hash join, and stays a shuffle join if a caller passes an unbounded
+    class column."""
+    scored = test.join(model, group_cols).select(
+        key, *group_cols, F.col(class_col).alias("y_true"),
+        F.transform("__centroids", lambda m: F.struct(
+            m["label"].alias("label"), F.round(cosine(F.col(vec_col), m["c"]), 6).alias("score"))).alias("scores"))
+    best = F.array_min(F.transform("scores", lambda x: F.struct((-x["score"]).alias("ns"), x["label"].alias("label"))))["label"]
+    return scored.select(key, *group_cols, "y_true", best.alias("y_pred"), F.explode("scores").alias("s")).select(
+        key, *group_cols, "y_true", "y_pred", F.col("s.label").alias("label"), F.col("s.score").alias("score"))
+
+
 def nearest_centroid(
     df: DataFrame,
     key: str = "vec_id",
@@ -44,36 +67,28 @@ def nearest_centroid(
     vec_col: str = "v",
     n_runs: int = N_RUNS,
     seed: int = SEED,
+    group: list[str] | None = None,
 ) -> DataFrame:
     """Held-out predictions of a nearest-centroid classifier trained on growing
     prefixes (run r uses the first floor(n_train * r / n_runs) training rows in
-    seeded order). Long output: one row per (held-out key, run, class).
+    seeded order). Long output: one row per (held-out key, group, run, class).
+    ``group`` columns (e.g. an encoder name) are scored side by side, with the
+    same split in every group.
 
-    Columns: key, run, y_true, y_pred, label, score (cosine, 6 digits).
+    Columns: key, group..., run, y_true, y_pred, label, score.
     """
-    s = split_train_test(df.select(key, class_col, vec_col), key, seed)
+    g = list(group or [])
+    s = hash_rank(df.select(*g, key, class_col, vec_col), seed, key, partition_by=g or None)
+    s = s.withColumn("n_train", F.bround(F.lit(TRAIN_SHARE) * F.col("n"), 0).cast("bigint"))
     runs = F.sequence(F.lit(1), F.lit(n_runs))
     train = (
         s.where(F.col("rn") <= F.col("n_train"))
         .withColumn("run", F.explode(F.filter(runs, lambda r: F.col("rn") <= F.floor(F.col("n_train") * r / n_runs))))
     )
-    cents = centroids(train, ["run"], class_col, vec_col)
-    model = cents.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col(class_col).alias("label"), "c"))).alias("model"))
-    # No broadcast hint: the model is an aggregate whose size AQE measures at
-    # run time; it is runs x classes rows, so AQE turns the join into a
-    # broadcast hash join, and would fall back to a shuffle join if a caller
-    # passed an unbounded class column.
+    model = fit_centroids(train, g + ["run"], class_col, vec_col)
     test = s.where(F.col("rn") > F.col("n_train")).withColumn("run", F.explode(runs))
-    scored = test.join(model, "run").select(
-        key,
-        "run",
-        F.col(class_col).alias("y_true"),
-        F.transform("model", lambda m: F.struct(m["label"].alias("label"), F.round(cosine(F.col(vec_col), m["c"]), 6).alias("score"))).alias("scores"),
-    )
-    best = F.array_min(F.transform("scores", lambda x: F.struct((-x["score"]).alias("ns"), x["label"].alias("label"))))["label"]
-    return scored.select(key, "run", "y_true", best.alias("y_pred"), F.explode("scores").alias("s")).select(
-        key, "run", "y_true", "y_pred", F.col("s.label").alias("label"), F.col("s.score").alias("score")
-    )
+    out = score_centroids(test, model, g + ["run"], key, class_col, vec_col)
+    return out.select(key, *g, "run", "y_true", "y_pred", "label", "score")
 
 
 def argmax_label(long_df: DataFrame, keys: list[str], label_col: str = "label", prob_col: str = "score") -> DataFrame:

@@ -16,7 +16,7 @@ before vectorising, so a phrase that recurs across articles is scored once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectio.functions.frames import with_scalars
@@ -25,31 +25,37 @@ from sectio.functions.text import trigrams
 NEG_THRESHOLD = 0.85  # keep a candidate whose best similarity is at most this
 
 
-def gram_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, gram, n): trigram counts of the whole text."""
-    return df.select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(
-        F.count(F.lit(1)).alias("n"))
+def gram_vectors(df: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """Rows (key, keep..., gram, n, norm): trigram counts of the whole text
+    and the vector's L2 norm. One shuffle: rows are clustered by key, so the
+    (key, gram) count and the per-key norm window need no further exchange.
+    A text without any trigram keeps one row with a null gram (norm null)."""
+    k = list(keep or [])
+    ex = df.select(key, *k, F.explode_outer(trigrams(F.col(text))).alias("gram")).repartition(key)
+    counts = ex.groupBy(key, *k, "gram").agg(F.count("gram").alias("n"))
+    w = Window.partitionBy(key)
+    return counts.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(w))).withColumn(
+        "n", F.when(F.col("gram").isNotNull(), F.col("n")))
 
 
 def vector_norms(vec: DataFrame, key: str) -> DataFrame:
-    return vec.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return vec.select(key, "norm").distinct()
 
 
 def cosine_pairs(a: DataFrame, akey: str, b: DataFrame, bkey: str, ordered: bool = False) -> DataFrame:
     """(akey, bkey, cos) for every pair sharing at least one gram. With
-    ``ordered`` (self-similarity) only pairs with akey < bkey."""
-    ra = a.select(F.col(akey).alias("__a"), "gram", F.col("n").alias("na"))
-    rb = b.select(F.col(bkey).alias("__b"), "gram", F.col("n").alias("nb"))
+    ``ordered`` (self-similarity) only pairs with akey < bkey. Inputs come
+    from ``gram_vectors`` (norms carried on the rows)."""
+    ra = a.where(F.col("gram").isNotNull()).select(F.col(akey).alias("__a"), "gram", F.col("n").alias("na"), F.col("norm").alias("norm_a"))
+    rb = b.where(F.col("gram").isNotNull()).select(F.col(bkey).alias("__b"), "gram", F.col("n").alias("nb"), F.col("norm").alias("norm_b"))
     j = ra.join(rb, "gram")
     if ordered:
         j = j.where(F.col("__a") < F.col("__b"))
-    dots = j.groupBy("__a", "__b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    na = vector_norms(a, akey).select(F.col(akey).alias("__a"), F.col("norm").alias("norm_a"))
-    nb = vector_norms(b, bkey).select(F.col(bkey).alias("__b"), F.col("norm").alias("norm_b"))
-    out = dots.join(na, "__a").join(nb, "__b")
-    return out.select(F.col("__a").alias(akey if akey != bkey else f"{akey}_a"),
-                      F.col("__b").alias(bkey if akey != bkey else f"{bkey}_b"),
-                      F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 6).alias("cos"))
+    dots = j.groupBy("__a", "__b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"),
+                                       F.max("norm_a").alias("norm_a"), F.max("norm_b").alias("norm_b"))
+    return dots.select(F.col("__a").alias(akey if akey != bkey else f"{akey}_a"),
+                       F.col("__b").alias(bkey if akey != bkey else f"{bkey}_b"),
+                       F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 6).alias("cos"))
 
 
 def pair_stats(vec: DataFrame, key: str) -> DataFrame:
@@ -58,7 +64,7 @@ def pair_stats(vec: DataFrame, key: str) -> DataFrame:
     is n(n-1)/2 minus the pairs found, and they enter the exact median as
     one value with that frequency."""
     pairs = cosine_pairs(vec, key, vec, key, ordered=True)
-    n = vec.select(key).distinct().groupBy().agg(F.count(F.lit(1)).alias("n_items"))
+    n = vec.where(F.col("gram").isNotNull()).select(key).distinct().groupBy().agg(F.count(F.lit(1)).alias("n_items"))
     found = pairs.groupBy().agg(F.count(F.lit(1)).alias("n_found"), F.min("cos").alias("min_found"))
     head = with_scalars(n, found)
     head = head.withColumn("n_pairs", (F.col("n_items") * (F.col("n_items") - 1) / 2).cast("bigint"))
@@ -73,14 +79,20 @@ def pair_stats(vec: DataFrame, key: str) -> DataFrame:
         F.round("median_sim", 6).alias("median_sim"))
 
 
-def best_similarity(cand: DataFrame, ckey: str, ctext: str, pos: DataFrame, pkey: str, ptext: str) -> DataFrame:
+def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptext: str) -> DataFrame:
     """For every distinct candidate text, its highest cosine to any
-    positive (0 when it shares no gram with any)."""
-    texts = cand.select(F.col(ctext).alias("__t")).distinct()
-    cv = gram_vectors(texts, "__t", "__t")
-    pv = gram_vectors(pos, pkey, ptext)
-    best = cosine_pairs(cv, "__t", pv, pkey).groupBy("__t").agg(F.max("cos").alias("max_sim"))
-    return texts.join(best, "__t", "left").select(F.col("__t").alias(ctext), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
+    positive (0 when it shares no gram with any). One pass over the
+    candidates: their gram rows are left-joined to the positives' grams, so
+    texts without a match survive with similarity 0."""
+    cv = gram_vectors(cand.select(F.col(ctext).alias("__t")).distinct(), "__t", "__t")
+    pv = gram_vectors(pos, pkey, ptext).where(F.col("gram").isNotNull()).select(
+        F.col(pkey).alias("__p"), "gram", F.col("n").alias("nb"), F.col("norm").alias("norm_b"))
+    j = cv.join(pv, "gram", "left")
+    dots = j.groupBy("__t", "__p").agg(F.sum(F.col("n") * F.col("nb")).alias("dot"),
+                                       F.max("norm").alias("norm_a"), F.max("norm_b").alias("norm_b"))
+    cos = F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 6)
+    best = dots.groupBy("__t").agg(F.max(cos).alias("max_sim"))
+    return best.select(F.col("__t").alias(ctext), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
 
 
 def negatives_by_similarity(cands: DataFrame, keys: list[str], text: str, pos: DataFrame, pkey: str, ptext: str,
@@ -88,5 +100,5 @@ def negatives_by_similarity(cands: DataFrame, keys: list[str], text: str, pos: D
     """Candidate phrases (distinct per article) whose best
     similarity to the known positives is at most ``threshold``."""
     c = cands.select(*keys, text).distinct()
-    best = best_similarity(c, "__k", text, pos, pkey, ptext)
+    best = best_similarity(c, text, pos, pkey, ptext)
     return c.join(best, text).where(F.col("max_sim") <= threshold)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics", "q_text", "q_similarity"]
+MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics", "q_text", "q_similarity", "q_cascade"]
 
 
 def load_all() -> None:

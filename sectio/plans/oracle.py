@@ -45,27 +45,31 @@ _HA = f"CASE WHEN doc_id % 10 = 1 THEN {lit(fx.H_DISCUSSION)} ELSE {_H3} END"
 _HB = f"CASE WHEN doc_id % 10 = 1 THEN {_H3} ELSE {lit(fx.H_DISCUSSION)} END"
 
 
-def _nc(prefix: str, src: str, runs: int = 4) -> dict[str, tuple[list[str], str]]:
-    """Nearest-centroid predictions over view ``src`` (vec_id, v, cls)."""
+def _nc(prefix: str, src: str, runs: int = 4, group: list[str] | None = None) -> dict[str, tuple[list[str], str]]:
+    """Nearest-centroid predictions over view ``src`` (group..., vec_id, v, cls)."""
     p = prefix
+    g = list(group or [])
+    gs = "".join(f"{c}, " for c in g)
+    pb = f"PARTITION BY {', '.join(g)} " if g else ""
+    on = "".join(f" AND t.{c} = c.{c}" for c in g)
     return {
         f"{p}_s": ([src], f"""SELECT *, CAST(round_even(0.75 * n, 0) AS BIGINT) AS n_train FROM (
-            SELECT vec_id, v, cls,
-                   row_number() OVER (ORDER BY md5('4220|' || CAST(vec_id AS VARCHAR)), vec_id) AS rn,
-                   count(*) OVER () AS n
+            SELECT {gs}vec_id, v, cls,
+                   row_number() OVER ({pb}ORDER BY md5('4220|' || CAST(vec_id AS VARCHAR)), vec_id) AS rn,
+                   count(*) OVER ({pb.strip()}) AS n
             FROM {src}) q"""),
         f"{p}_runs": ([], f"SELECT unnest(range(1, {runs + 1})) AS run"),
-        f"{p}_train": ([f"{p}_s", f"{p}_runs"], f"""SELECT s.vec_id, s.v, s.cls, r.run FROM {p}_s s JOIN {p}_runs r
+        f"{p}_train": ([f"{p}_s", f"{p}_runs"], f"""SELECT {''.join(f's.{c}, ' for c in g)}s.vec_id, s.v, s.cls, r.run FROM {p}_s s JOIN {p}_runs r
             ON s.rn <= floor(s.n_train * r.run / {runs}) WHERE s.rn <= s.n_train"""),
-        f"{p}_cent": ([f"{p}_train"], f"""SELECT run, cls, list(m ORDER BY pos) AS c FROM (
-            SELECT run, cls, pos, avg(x) AS m FROM (
-              SELECT run, cls, unnest(range(0, len(v))) AS pos, unnest(v) AS x FROM {p}_train) d
-            GROUP BY run, cls, pos) g GROUP BY run, cls"""),
-        f"{p}_score": ([f"{p}_s", f"{p}_runs", f"{p}_cent"], f"""SELECT t.vec_id, r.run, t.cls AS y_true, c.cls AS label,
+        f"{p}_cent": ([f"{p}_train"], f"""SELECT {gs}run, cls, list(m ORDER BY pos) AS c FROM (
+            SELECT {gs}run, cls, pos, avg(x) AS m FROM (
+              SELECT {gs}run, cls, unnest(range(0, len(v))) AS pos, unnest(v) AS x FROM {p}_train) d
+            GROUP BY {gs}run, cls, pos) g GROUP BY {gs}run, cls"""),
+        f"{p}_score": ([f"{p}_s", f"{p}_runs", f"{p}_cent"], f"""SELECT t.vec_id, {''.join(f't.{c}, ' for c in g)}r.run, t.cls AS y_true, c.cls AS label,
             round(list_dot_product(t.v, c.c) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(c.c, c.c))), 6) AS score
-            FROM {p}_s t JOIN {p}_runs r ON TRUE JOIN {p}_cent c ON c.run = r.run WHERE t.rn > t.n_train"""),
-        p: ([f"{p}_score"], f"""SELECT vec_id, run, y_true,
-            first_value(label) OVER (PARTITION BY vec_id, run ORDER BY score DESC, label) AS y_pred, label, score
+            FROM {p}_s t JOIN {p}_runs r ON TRUE JOIN {p}_cent c ON c.run = r.run{on} WHERE t.rn > t.n_train"""),
+        p: ([f"{p}_score"], f"""SELECT vec_id, {gs}run, y_true,
+            first_value(label) OVER (PARTITION BY vec_id, {gs}run ORDER BY score DESC, label) AS y_pred, label, score
             FROM {p}_score"""),
     }
 

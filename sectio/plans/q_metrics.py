@@ -30,24 +30,25 @@ def model_labels(long_df):
     return long_df.select("run", "label").distinct()
 
 
-def report_sql(src: str) -> str:
+def report_sql(src: str, g: str = "run") -> str:
+    """DuckDB twin of ``M.classification_report`` grouped by ``g``."""
     return f"""
-SELECT run, label AS target, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+SELECT {g}, label AS target, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
        CAST(support AS BIGINT) AS support FROM pc3
-UNION ALL SELECT run, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), CAST(sum(support) AS BIGINT) FROM pc3 GROUP BY run
-UNION ALL SELECT run, 'weighted avg',
+UNION ALL SELECT {g}, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), CAST(sum(support) AS BIGINT) FROM pc3 GROUP BY {g}
+UNION ALL SELECT {g}, 'weighted avg',
   round(CASE WHEN sum(support) = 0 THEN 0 ELSE sum(precision * support) / sum(support) END, 6),
   round(CASE WHEN sum(support) = 0 THEN 0 ELSE sum(recall * support) / sum(support) END, 6),
-  round(CASE WHEN sum(support) = 0 THEN 0 ELSE sum(f1_score * support) / sum(support) END, 6), CAST(sum(support) AS BIGINT) FROM pc3 GROUP BY run
-UNION ALL SELECT run, 'accuracy', NULL, NULL, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6), CAST(count(*) AS BIGINT) FROM {src} GROUP BY run"""
+  round(CASE WHEN sum(support) = 0 THEN 0 ELSE sum(f1_score * support) / sum(support) END, 6), CAST(sum(support) AS BIGINT) FROM pc3 GROUP BY {g}
+UNION ALL SELECT {g}, 'accuracy', NULL, NULL, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6), CAST(count(*) AS BIGINT) FROM {src} GROUP BY {g}"""
 
 
-def report_ctes(src: str) -> list[tuple[str, str]]:
+def report_ctes(src: str, g: str = "run") -> list[tuple[str, str]]:
     return [
-        ("tt", f"SELECT run, y_true AS label, count(*) AS support, count(*) FILTER (WHERE y_true = y_pred) AS tp FROM {src} GROUP BY run, y_true"),
-        ("pp", f"SELECT run, y_pred AS label, count(*) AS npred FROM {src} GROUP BY run, y_pred"),
-        ("pc", """SELECT coalesce(tt.run, pp.run) AS run, coalesce(tt.label, pp.label) AS label, coalesce(support, 0) AS support,
-            coalesce(tp, 0) AS tp, coalesce(npred, 0) AS npred FROM tt FULL JOIN pp ON tt.run = pp.run AND tt.label = pp.label"""),
+        ("tt", f"SELECT {g}, y_true AS label, count(*) AS support, count(*) FILTER (WHERE y_true = y_pred) AS tp FROM {src} GROUP BY {g}, y_true"),
+        ("pp", f"SELECT {g}, y_pred AS label, count(*) AS npred FROM {src} GROUP BY {g}, y_pred"),
+        ("pc", f"""SELECT coalesce(tt.{g}, pp.{g}) AS {g}, coalesce(tt.label, pp.label) AS label, coalesce(support, 0) AS support,
+            coalesce(tp, 0) AS tp, coalesce(npred, 0) AS npred FROM tt FULL JOIN pp ON tt.{g} = pp.{g} AND tt.label = pp.label"""),
         ("pc2", """SELECT *, CASE WHEN npred = 0 THEN 0.0 ELSE tp / npred END AS precision,
             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall FROM pc"""),
         ("pc3", "SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1_score FROM pc2"),

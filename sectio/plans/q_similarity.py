@@ -8,7 +8,8 @@ from sectio.operators import phrases as P
 from sectio.operators import sections as S
 from sectio.operators import similarity as SIM
 from sectio.plans.oracle import compose, register
-from sectio.plans.q_text import PRE_START, located, sql_marked, sql_runs, sql_sentences
+from sectio.functions.frames import materialize
+from sectio.plans.q_text import PRE_START, sections, sql_marked, sql_runs, sql_sentences
 from sectio.plans.registry import query
 from sectio.sources import tables
 
@@ -42,23 +43,24 @@ def bench(spark, sf_dir):
 
 
 def pre_candidates(spark, sf_dir):
-    """Candidate negatives: covered phrases of the pre-results text."""
-    pre = S.preresults_text(located(spark, sf_dir), start=PRE_START).where(F.col("status") == S.STATUS_OK)
+    """Candidate negatives: covered phrases of the pre-results text, one
+    row per distinct (article, phrase); materialized (read twice)."""
+    pre = sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK)
     sents = P.explode_sentences(pre, "preresults", ["doc_id"])
-    return P.explode_phrases(sents, ["doc_id"]).select("doc_id", "phrase")
+    return materialize(P.explode_phrases(sents, ["doc_id"]).select("doc_id", "phrase").distinct())
 
 
 def negatives(spark, sf_dir):
-    return SIM.negatives_by_similarity(pre_candidates(spark, sf_dir), ["doc_id"], "phrase", bench(spark, sf_dir), "item_id", "text")
+    """Mined negatives (stage output, materialized)."""
+    return materialize(SIM.negatives_by_similarity(pre_candidates(spark, sf_dir), ["doc_id"], "phrase",
+                                                   bench(spark, sf_dir), "item_id", "text"))
 
 
 @query("ngram_vectors", compose(["bg", "bn"], """SELECT g.item_id, g.gram, CAST(g.n AS BIGINT) AS n, round(g.n / b.norm, 6) AS w
     FROM bg g JOIN bn b ON g.item_id = b.item_id"""))
 def q_ngram_vectors(spark, sf_dir):
-    v = SIM.gram_vectors(bench(spark, sf_dir), "item_id", "text")
-    n = SIM.vector_norms(v, "item_id")
-    return v.join(n, "item_id").select("item_id", "gram", F.col("n").cast("bigint").alias("n"),
-                                       F.round(F.col("n") / F.col("norm"), 6).alias("w"))
+    v = SIM.gram_vectors(bench(spark, sf_dir), "item_id", "text").where(F.col("gram").isNotNull())
+    return v.select("item_id", "gram", F.col("n").cast("bigint").alias("n"), F.round(F.col("n") / F.col("norm"), 6).alias("w"))
 
 
 @query("pairwise_cosine_stats", compose(["bg", "bn"], """SELECT (SELECT CAST(count(*) AS BIGINT) FROM bn) AS n_items, CAST(count(*) AS BIGINT) AS n_pairs,
@@ -84,7 +86,7 @@ def q_negatives_by_article(spark, sf_dir):
     article without negatives keeps one row with empty text. Articles without
     results produce no row (as in the reference, whose frame for them is
     never returned), so has_results is true on every row."""
-    ok = located(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select("doc_id")
+    ok = sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select("doc_id")
     n = negatives(spark, sf_dir).select("doc_id", "phrase")
     j = ok.join(n, "doc_id", "left")
     return j.select("doc_id", F.coalesce("phrase", F.lit("")).alias("text"), F.lit(True).alias("has_results"),

@@ -8,6 +8,7 @@ from sectio.functions import stopwords as SW
 from sectio.functions import text as T
 from sectio.operators import phrases as P
 from sectio.operators import sections as S
+from sectio.functions.frames import materialize
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import compose, lit, register
 from sectio.plans.registry import query
@@ -93,8 +94,16 @@ def located(spark, sf_dir):
     return S.locate_sections(fx.articles(spark, sf_dir))
 
 
+def sections(spark, sf_dir):
+    """Stage output: per article the anchor choice, status, span and the
+    results / pre-results texts (not the full article), materialized once."""
+    loc = S.preresults_text(S.results_text(located(spark, sf_dir)), start=PRE_START)
+    return materialize(loc.select("doc_id", "source", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
+                                  "status", "res_start", "res_end", "results", "preresults"))
+
+
 def results(spark, sf_dir):
-    return S.results_text(located(spark, sf_dir)).where(F.col("status") == S.STATUS_OK).select("doc_id", "source", "results")
+    return sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select("doc_id", "source", "results")
 
 
 def sentences(spark, sf_dir):
@@ -107,8 +116,8 @@ def phrases_all(spark, sf_dir, covered=True):
 
 def phrases(spark, sf_dir):
     """The `phrases` fixture: covered phrases of the results sections,
-    deduplicated across sentences."""
-    return P.dedup_phrases(phrases_all(spark, sf_dir), ["doc_id"])
+    deduplicated across sentences; a stage output, materialized."""
+    return materialize(P.dedup_phrases(phrases_all(spark, sf_dir), ["doc_id"]))
 
 
 @query("section_headings", compose(["sec_sim"], "SELECT doc_id, idx, start, heading FROM sec_sim"))
@@ -122,7 +131,7 @@ def q_section_headings(spark, sf_dir):
 @query("section_anchor", compose(["sec_loc"], """SELECT doc_id, n_headings, CAST(start_idx AS BIGINT) AS start_idx, start_sim,
     CAST(end_idx AS BIGINT) AS end_idx, end_sim, status FROM sec_loc"""))
 def q_section_anchor(spark, sf_dir):
-    loc = located(spark, sf_dir)
+    loc = sections(spark, sf_dir)
     return loc.select("doc_id", F.col("n_headings").cast("bigint").alias("n_headings"),
                       F.col("start_idx").cast("bigint").alias("start_idx"), "start_sim",
                       F.col("end_idx").cast("bigint").alias("end_idx"), "end_sim", "status")
@@ -136,7 +145,7 @@ def q_results_section(spark, sf_dir):
 @query("preresults_section", compose(["sec_loc"], f"""SELECT doc_id,
     substring(text, {PRE_START + 1}, greatest(res_start - {PRE_START}, 0)) AS preresults FROM sec_loc WHERE status = 'ok'"""))
 def q_preresults_section(spark, sf_dir):
-    pre = S.preresults_text(located(spark, sf_dir), start=PRE_START)
+    pre = sections(spark, sf_dir)
     return pre.where(F.col("status") == S.STATUS_OK).select("doc_id", "preresults")
 
 
