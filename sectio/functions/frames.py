@@ -21,3 +21,18 @@ def materialize(df: DataFrame) -> DataFrame:
     from sectio.session import cut_lineage
 
     return cut_lineage(df)
+
+
+def exact_mean(c, digits: int = 6):
+    """Mean of values that are already rounded to ``digits`` decimals,
+    computed on integers (units of 10^-digits) and rounded half-even, so the
+    result does not depend on summation order (a mean of rounded values often
+    lands exactly on a half)."""
+    scale = 10 ** digits
+    units = F.round(c * scale, 0)
+    return F.bround(F.sum(units) / F.count(c), 0) / scale
+
+
+def exact_mean_sql(x: str, digits: int = 6) -> str:
+    scale = 10 ** digits
+    return f"(round_even(sum(round({x} * {scale})) / count({x}), 0) / {scale})"
