@@ -18,6 +18,7 @@ from sectio.plans.q_similarity import grams_sql, negatives, norms_sql
 from sectio.plans.q_splits import split_sql
 from sectio.plans.q_text import phrases, sections
 from sectio.plans.registry import query
+from sectio.plans.stages import stage
 from sectio.sources import tables
 
 EXCL_SQL = "('Hospital', 'Need for further intervention', 'Economics')"
@@ -51,8 +52,9 @@ def stage2_train(spark, sf_dir):
 
 
 def stage_models(spark, sf_dir):
-    m1 = TM.fit_text_centroids(stage1_train(spark, sf_dir), "k", "text", "cls")
-    m2 = TM.fit_text_centroids(stage2_train(spark, sf_dir), "k", "text", "cls")
+    """The two fitted text models (small: classes x trigram vocabulary)."""
+    m1 = stage(spark, sf_dir, "model_stage1", lambda: TM.fit_text_centroids(stage1_train(spark, sf_dir), "k", "text", "cls"))
+    m2 = stage(spark, sf_dir, "model_stage2", lambda: TM.fit_text_centroids(stage2_train(spark, sf_dir), "k", "text", "cls"))
     return m1, m2
 
 
@@ -264,7 +266,8 @@ def cv_predictions(spark, sf_dir, k: int = K_FOLDS):
     train = folds.withColumn("f", F.explode(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda x: x != F.col("fold"))))
     model = C.fit_centroids(train, ["f"])
     test = folds.withColumn("f", F.col("fold"))
-    return C.score_centroids(test, model, ["f"], "vec_id").withColumnRenamed("f", "fold")
+    return stage(spark, sf_dir, "cv_predictions",
+                 lambda: C.score_centroids(test, model, ["f"], "vec_id").withColumnRenamed("f", "fold"))
 
 
 @query("cv_folds_eval", compose(["cv_p"], f"""SELECT a.fold, a.accuracy, a.precision, a.recall, a.f1, b.auroc, b.auprc FROM (

@@ -10,10 +10,13 @@ from sectio.operators import classify, reports
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import compose
 from sectio.plans.registry import query
+from sectio.plans.stages import stage
 
 
 def preds(spark, sf_dir, binary: bool = False) -> DataFrame:
-    return classify.nearest_centroid(fx.class_embeddings(spark, sf_dir, binary=binary))
+    """Held-out predictions (stage output, materialized once)."""
+    return stage(spark, sf_dir, f"preds_{'bin' if binary else 'multi'}",
+                 lambda: classify.nearest_centroid(fx.class_embeddings(spark, sf_dir, binary=binary)))
 
 
 def od_preds(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ from sectio.operators import phrases as P
 from sectio.operators import sections as S
 from sectio.operators import similarity as SIM
 from sectio.plans.oracle import compose, register
-from sectio.functions.frames import materialize
+from sectio.plans.stages import stage
 from sectio.plans.q_text import PRE_START, sections, sql_marked, sql_runs, sql_sentences
 from sectio.plans.registry import query
 from sectio.sources import tables
@@ -47,13 +47,14 @@ def pre_candidates(spark, sf_dir):
     row per distinct (article, phrase); materialized (read twice)."""
     pre = sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK)
     sents = P.explode_sentences(pre, "preresults", ["doc_id"])
-    return materialize(P.explode_phrases(sents, ["doc_id"]).select("doc_id", "phrase").distinct())
+    return stage(spark, sf_dir, "pre_candidates",
+                 lambda: P.explode_phrases(sents, ["doc_id"]).select("doc_id", "phrase").distinct())
 
 
 def negatives(spark, sf_dir):
     """Mined negatives (stage output, materialized)."""
-    return materialize(SIM.negatives_by_similarity(pre_candidates(spark, sf_dir), ["doc_id"], "phrase",
-                                                   bench(spark, sf_dir), "item_id", "text"))
+    return stage(spark, sf_dir, "negatives", lambda: SIM.negatives_by_similarity(
+        pre_candidates(spark, sf_dir), ["doc_id"], "phrase", bench(spark, sf_dir), "item_id", "text"))
 
 
 @query("ngram_vectors", compose(["bg", "bn"], """SELECT g.item_id, g.gram, CAST(g.n AS BIGINT) AS n, round(g.n / b.norm, 6) AS w

@@ -8,7 +8,7 @@ from sectio.functions import stopwords as SW
 from sectio.functions import text as T
 from sectio.operators import phrases as P
 from sectio.operators import sections as S
-from sectio.functions.frames import materialize
+from sectio.plans.stages import stage
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import compose, lit, register
 from sectio.plans.registry import query
@@ -97,9 +97,11 @@ def located(spark, sf_dir):
 def sections(spark, sf_dir):
     """Stage output: per article the anchor choice, status, span and the
     results / pre-results texts (not the full article), materialized once."""
-    loc = S.preresults_text(S.results_text(located(spark, sf_dir)), start=PRE_START)
-    return materialize(loc.select("doc_id", "source", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
-                                  "status", "res_start", "res_end", "results", "preresults"))
+    def build():
+        loc = S.preresults_text(S.results_text(located(spark, sf_dir)), start=PRE_START)
+        return loc.select("doc_id", "source", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
+                          "status", "res_start", "res_end", "results", "preresults")
+    return stage(spark, sf_dir, "sections", build)
 
 
 def results(spark, sf_dir):
@@ -117,7 +119,7 @@ def phrases_all(spark, sf_dir, covered=True):
 def phrases(spark, sf_dir):
     """The `phrases` fixture: covered phrases of the results sections,
     deduplicated across sentences; a stage output, materialized."""
-    return materialize(P.dedup_phrases(phrases_all(spark, sf_dir), ["doc_id"]))
+    return stage(spark, sf_dir, "phrases", lambda: P.dedup_phrases(phrases_all(spark, sf_dir), ["doc_id"]))
 
 
 @query("section_headings", compose(["sec_sim"], "SELECT doc_id, idx, start, heading FROM sec_sim"))
