@@ -43,18 +43,21 @@ def strip_ws(c: Column) -> Column:
 def headings(text: Column) -> Column:
     """all heading matches with their 0-based start offsets, as
     ARRAY<STRUCT<start INT, match STRING>>. Offsets come from the pieces
-    between matches: start_i = sum(len(piece_0..i)) + sum(len(match_0..i-1))."""
-    pat = F.lit(HEADING_RE)
+    between matches: start_i = sum(len(piece_0..i)) + sum(len(match_0..i-1)),
+    accumulated in one left-to-right fold (the text is split and matched
+    once per row, not once per heading)."""
     pieces = F.split(text, HEADING_RE, -1)
-    matches = F.regexp_extract_all(text, pat, F.lit(0))
-    plen = F.transform(pieces, lambda p: F.length(p))
-    mlen = F.transform(matches, lambda m: F.length(m))
+    matches = F.regexp_extract_all(text, F.lit(HEADING_RE), F.lit(0))
+    pairs = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
 
-    def upto(arr, n):
-        return F.aggregate(F.slice(arr, 1, n), F.lit(0), lambda a, x: a + x)
+    def step(acc, x):
+        start = acc["pos"] + F.length(x["p"])
+        nxt = F.array_append(acc["out"], F.struct(start.alias("start"), x["m"].alias("match")))
+        return F.struct((start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"),
+                        F.when(x["m"].isNotNull(), nxt).otherwise(acc["out"]).alias("out"))
 
-    return F.transform(matches, lambda m, i: F.struct(
-        (upto(plen, i + 1) + upto(mlen, i)).alias("start"), m.alias("match")))
+    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
 
 
 def clean_heading(m: Column) -> Column:
@@ -83,10 +86,25 @@ def trigram_cosine(s: Column, anchor: str) -> Column:
     a2 = float(sum(v * v for v in ac.values()))
     g = trigrams(s)
     dot = F.aggregate(g, F.lit(0), lambda acc, x: acc + F.coalesce(F.element_at(amap, x), F.lit(0)))
-    h2 = F.aggregate(g, F.lit(0), lambda acc, x: acc + F.size(F.filter(g, lambda y: y == x)))
+    h2 = squared_count_norm(g)
     return F.when(h2 > 0, F.round(dot / F.sqrt(h2 * F.lit(a2)), 6)).otherwise(F.lit(0.0))
 
 
+def squared_count_norm(items: Column) -> Column:
+    """Sum of squared occurrence counts of an array's values, in one fold
+    over the sorted array: a repeat of the previous value adds 2*run + 1
+    ((run + 1)^2 - run^2), a new value adds 1."""
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("s"))
+
+    def step(acc, x):
+        same = acc["prev"].eqNullSafe(x)
+        return F.struct(x.alias("prev"),
+                        F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"),
+                        (acc["s"] + F.when(same, 2 * acc["run"] + 1).otherwise(F.lit(1))).alias("s"))
+
+    return F.aggregate(F.array_sort(items), init, step, lambda acc: acc["s"])
+
+
 def spaces_for_breaks(c: Column) -> Column:
     """newline, carriage return and tab become one space each."""
     return F.translate(c, "\n\r\t", "   ")
