@@ -79,14 +79,36 @@ def pair_stats(vec: DataFrame, key: str) -> DataFrame:
         F.round("median_sim", 6).alias("median_sim"))
 
 
-def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptext: str) -> DataFrame:
+# Positives x vocabulary cells up to which the positive matrix is broadcast
+# (8 bytes each: 160 MB); above it the exact gram join is used.
+BROADCAST_CELLS_MAX = 20_000_000
+# Cells of one (candidate gram x positive) block inside a task.
+BLOCK_CELLS = 4_000_000
+
+
+def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptext: str,
+                    max_cells: int = BROADCAST_CELLS_MAX) -> DataFrame:
     """For every distinct candidate text, its highest cosine to any
-    positive (0 when it shares no gram with any). One pass over the
-    candidates: their gram rows are left-joined to the positives' grams, so
-    texts without a match survive with similarity 0."""
+    positive (0 when it shares no gram with any).
+
+    The positives are a curated set, so their trigram matrix (positives x
+    vocabulary) is small; its size is checked from two counts before it is
+    broadcast. Candidates are then scored batch-wise in ``mapInPandas``: one
+    numpy product per block instead of a join that multiplies every candidate
+    gram by every positive sharing it. Dots are integer sums and divided by
+    the same product of norms as the SQL form, so the values are identical.
+    Above the cap the exact gram join is used."""
+    pv = gram_vectors(pos, pkey, ptext).where(F.col("gram").isNotNull())
+    size = pv.agg(F.countDistinct(pkey).alias("p"), F.countDistinct("gram").alias("v")).first()
+    if size["p"] * size["v"] > max_cells:
+        return best_similarity_join(cand, ctext, pv, pkey)
+    return best_similarity_matrix(cand, ctext, pv, pkey)
+
+
+def best_similarity_join(cand: DataFrame, ctext: str, pv: DataFrame, pkey: str) -> DataFrame:
+    """Exact gram join: candidate grams left-joined to the positives'."""
     cv = gram_vectors(cand.select(F.col(ctext).alias("__t")).distinct(), "__t", "__t")
-    pv = gram_vectors(pos, pkey, ptext).where(F.col("gram").isNotNull()).select(
-        F.col(pkey).alias("__p"), "gram", F.col("n").alias("nb"), F.col("norm").alias("norm_b"))
+    pv = pv.select(F.col(pkey).alias("__p"), "gram", F.col("n").alias("nb"), F.col("norm").alias("norm_b"))
     j = cv.join(pv, "gram", "left")
     dots = j.groupBy("__t", "__p").agg(F.sum(F.col("n") * F.col("nb")).alias("dot"),
                                        F.max("norm").alias("norm_a"), F.max("norm_b").alias("norm_b"))
@@ -95,6 +117,66 @@ def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptex
     return best.select(F.col("__t").alias(ctext), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
 
 
+def best_similarity_matrix(cand: DataFrame, ctext: str, pv: DataFrame, pkey: str) -> DataFrame:
+    """Broadcast positive matrix, candidates scored in Arrow batches."""
+    import numpy as np
+
+    spark = cand.sparkSession
+    rows = pv.select(pkey, "gram", "n", "norm").collect()  # bounded: checked by the caller
+    keys = sorted({r[pkey] for r in rows})
+    kidx = {k: i for i, k in enumerate(keys)}
+    vocab: dict[str, int] = {}
+    for r in rows:
+        vocab.setdefault(r["gram"], len(vocab))
+    counts = np.zeros((len(vocab), len(keys)), dtype=np.float64)
+    norms = np.zeros(len(keys), dtype=np.float64)
+    for r in rows:
+        counts[vocab[r["gram"]], kidx[r[pkey]]] = r["n"]
+        norms[kidx[r[pkey]]] = r["norm"]
+    bc = spark.sparkContext.broadcast((vocab, counts, norms))
+
+    def score(batches):
+        import math
+        from collections import Counter
+
+        import pandas as pd
+
+        vocab_, counts_, norms_ = bc.value
+        n_pos = counts_.shape[1]
+        for pdf in batches:
+            texts = pdf["__t"].tolist()
+            out = np.zeros(len(texts))
+            r_idx, c_idx, vals, tnorm = [], [], [], np.zeros(len(texts))
+            for i, t in enumerate(texts):
+                low = t.lower() if t is not None else ""
+                cnt = Counter(low[k:k + 3] for k in range(len(low) - 2))
+                tnorm[i] = math.sqrt(sum(v * v for v in cnt.values()))
+                for g, v in cnt.items():
+                    j = vocab_.get(g)
+                    if j is not None:
+                        r_idx.append(i)
+                        c_idx.append(j)
+                        vals.append(v)
+            if r_idx and n_pos:
+                r_arr, c_arr, v_arr = np.array(r_idx), np.array(c_idx), np.array(vals, dtype=np.float64)
+                dots = np.zeros((len(texts), n_pos))
+                step = max(1, BLOCK_CELLS // n_pos)
+                for a in range(0, len(r_arr), step):
+                    rb = r_arr[a:a + step]
+                    blk = counts_[c_arr[a:a + step]] * v_arr[a:a + step, None]
+                    # rows arrive grouped by text: one segmented sum per block
+                    starts = np.flatnonzero(np.r_[True, rb[1:] != rb[:-1]])
+                    dots[rb[starts]] += np.add.reduceat(blk, starts, axis=0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cos = dots / (tnorm[:, None] * norms_[None, :])
+                cos = np.where(dots > 0, cos, 0.0)
+                out = np.round(cos.max(axis=1), 6)
+            yield pd.DataFrame({ctext: texts, "max_sim": out})
+
+    texts = cand.select(F.col(ctext).alias("__t")).distinct()
+    return texts.mapInPandas(score, f"`{ctext}` string, max_sim double")
+
+
 def negatives_by_similarity(cands: DataFrame, keys: list[str], text: str, pos: DataFrame, pkey: str, ptext: str,
                             threshold: float = NEG_THRESHOLD) -> DataFrame:
     """Candidate phrases (distinct per article) whose best
