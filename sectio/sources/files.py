@@ -19,7 +19,7 @@ def scan_text_corpus(spark: SparkSession, folder: str, suffix: str = ".txt") ->
     """One row per file with the given suffix (whole file as one
     string); the id is the file name without the suffix, cast to a number
     where it is one."""
-    df = spark.read.option("pathGlobFilter", f"*{suffix}").option("wholetext", "true").text(folder)
+    df = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), suffix.replace(".", "[.]") + "$", "")
     return df.select(stem.alias("file_id"), stem.try_cast("bigint").alias("study_id"), F.col("value").alias("text"))
 

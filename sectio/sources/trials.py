@@ -39,9 +39,10 @@ def parse_trial_lines(lines: DataFrame, params_schema: str = PARAMS_SCHEMA) -> D
 
 
 def read_trial_logs(spark: SparkSession, folder: str, token: str = "hpo_trials") -> DataFrame:
-    """Every text file in ``folder`` whose name contains ``token``, one
-    row per non-empty line."""
-    df = spark.read.option("pathGlobFilter", f"*{token}*").text(folder)
+    """Every log in ``folder`` whose name contains ``token`` (a text
+    file, or a folder of part files written by ``write_trial_log``), one row
+    per non-empty line."""
+    df = spark.read.text(f"{folder.rstrip('/')}/*{token}*")
     return df.select(F.col("value").alias("line")).where(F.length(F.trim("line")) > 0)
 
 
