@@ -65,11 +65,15 @@ def clean_heading(m: Column) -> Column:
     return strip_ws(F.regexp_replace(m, HEADING_DROP_RE, ""))
 
 
+# Every overlapping 3-character window, in one native regex pass: a zero-width
+# lookahead at each position capturing the next three characters.
+TRIGRAM_RE = "(?s)(?=(.{3}))"
+
+
 def trigrams(s: Column) -> Column:
-    """Character 3-grams of ``s`` (lower-cased), with repeats; empty below 3 chars."""
-    low = F.lower(s)
-    return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Character 3-grams of ``s`` (lower-cased), with repeats, in text
+    order; empty below 3 chars."""
+    return F.regexp_extract_all(F.lower(s), F.lit(TRIGRAM_RE), F.lit(1))
 
 
 def trigram_counts(word: str) -> Counter:

@@ -17,18 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectio.functions.frames import with_scalars
-from sectio.operators.similarity import gram_vectors
+from sectio.functions.text import squared_count_norm, trigrams
+
+
+def text_grams(c):
+    """(grams, norm) of a text, in-row: its trigram occurrences and the L2
+    norm of their count vector (squared counts folded over the sorted grams)."""
+    g = trigrams(c)
+    return g, F.sqrt(squared_count_norm(g).cast("double"))
 
 
 def fit_text_centroids(train: DataFrame, key: str, text: str, cls: str) -> DataFrame:
-    """Model rows: label, gram, m (mean normalised count), norm_c. The
-    training input is read once: the class rides along the gram rows, and the
-    per-class text count comes from the same rows (texts without trigrams
-    keep a null-gram row, so they still count)."""
-    v = gram_vectors(train.select(key, text, cls), key, text, keep=[cls])
-    nc = v.groupBy(cls).agg(F.countDistinct(key).alias("nc"))
-    w = v.where(F.col("gram").isNotNull()).select(cls, "gram", (F.col("n") / F.col("norm")).alias("w"))
-    m = w.groupBy(cls, "gram").agg(F.sum("w").alias("sw")).join(nc, cls).select(
+    """Model rows: label, gram, m (mean normalised count), norm_c.
+
+    A text's normalised count of gram g is n_g / norm = the sum over its
+    occurrences of 1 / norm, so each occurrence is exploded with weight
+    1 / norm (norm computed in-row) and summed per (class, gram): one
+    aggregate with map-side combining, no per-text shuffle."""
+    g, norm = text_grams(F.col(text))
+    t = train.select(cls, g.alias("__g"), norm.alias("__norm"))
+    nc = train.groupBy(cls).agg(F.count(F.lit(1)).alias("nc"))
+    occ = t.where(F.col("__norm") > 0).select(cls, F.explode("__g").alias("gram"), (1.0 / F.col("__norm")).alias("w"))
+    m = occ.groupBy(cls, "gram").agg(F.sum("w").alias("sw")).join(nc, cls).select(
         cls, "gram", (F.col("sw") / F.col("nc")).alias("m"))
     norm_c = m.groupBy(cls).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm_c"))
     return m.join(norm_c, cls).withColumnRenamed(cls, "label")
@@ -37,11 +47,16 @@ def fit_text_centroids(train: DataFrame, key: str, text: str, cls: str) -> DataF
 def score_texts(items: DataFrame, text: str, model: DataFrame) -> DataFrame:
     """Per distinct text: ``scores`` ARRAY<STRUCT<label, score>> over every
     class in label order, ``label`` (best, first on ties) and ``prob`` (its
-    score)."""
-    v = gram_vectors(items.select(F.col(text).alias("__t")).distinct(), "__t", "__t")
+    score). dot(text, class) = sum over the text's gram occurrences of the
+    class weight m_g: occurrences join the (small, AQE-broadcast) model and
+    sum per (text, class); the text norm is computed in-row."""
+    g, norm = text_grams(F.col("__t"))
+    texts = items.select(F.col(text).alias("__t")).distinct().select("__t", g.alias("__g"), norm.alias("__norm"))
+    # explode_outer + left join keep texts that share no gram with the model
+    occ = texts.select("__t", "__norm", F.explode_outer("__g").alias("gram"))
     mm = model.select(F.col("label").alias("__l"), "gram", "m", "norm_c")
-    dots = v.join(mm, "gram", "left").groupBy("__t", "__l").agg(
-        F.sum(F.col("n") * F.col("m")).alias("dot"), F.max("norm_c").alias("norm_c"), F.max("norm").alias("norm"))
+    dots = occ.join(mm, "gram", "left").groupBy("__t", "__l").agg(
+        F.sum("m").alias("dot"), F.max("norm_c").alias("norm_c"), F.max("__norm").alias("norm"))
     sc = F.round(F.col("dot") / (F.col("norm") * F.col("norm_c")), 6)
     per_text = dots.groupBy("__t").agg(F.map_from_entries(F.collect_list(
         F.when(F.col("__l").isNotNull(), F.struct(F.col("__l"), sc)))).alias("sm"))
