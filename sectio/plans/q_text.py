@@ -99,7 +99,7 @@ def sections(spark, sf_dir):
     results / pre-results texts (not the full article), materialized once."""
     def build():
         loc = S.preresults_text(S.results_text(located(spark, sf_dir)), start=PRE_START)
-        return loc.select("doc_id", "source", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
+        return loc.select("doc_id", "source", "heads", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
                           "status", "res_start", "res_end", "results", "preresults")
     return stage(spark, sf_dir, "sections", build)
 
@@ -124,7 +124,7 @@ def phrases(spark, sf_dir):
 
 @query("section_headings", compose(["sec_sim"], "SELECT doc_id, idx, start, heading FROM sec_sim"))
 def q_section_headings(spark, sf_dir):
-    loc = located(spark, sf_dir)
+    loc = sections(spark, sf_dir)
     h = loc.select("doc_id", F.explode("heads").alias("h"))
     return h.select("doc_id", F.col("h.idx").cast("bigint").alias("idx"), F.col("h.start").cast("bigint").alias("start"),
                     F.col("h.heading").alias("heading"))
