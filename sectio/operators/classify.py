@@ -80,7 +80,7 @@ def nearest_centroid(
     g = list(group or [])
     s = hash_rank(df.select(*g, key, class_col, vec_col), seed, key, partition_by=g or None)
     s = s.withColumn("n_train", F.bround(F.lit(TRAIN_SHARE) * F.col("n"), 0).cast("bigint"))
-    runs = F.sequence(F.lit(1), F.lit(n_runs))
+    runs = F.sequence(F.lit(1).cast("bigint"), F.lit(n_runs).cast("bigint"))
     train = (
         s.where(F.col("rn") <= F.col("n_train"))
         .withColumn("run", F.explode(F.filter(runs, lambda r: F.col("rn") <= F.floor(F.col("n_train") * r / n_runs))))

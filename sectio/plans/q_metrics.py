@@ -168,7 +168,7 @@ register("ntrain", ["cemb"], """SELECT r.run, CAST(floor(CAST(round_even(0.75 *
 def train_sizes(spark, sf_dir, n_runs=4):
     n = fx.class_embeddings(spark, sf_dir).groupBy().agg(F.count(F.lit(1)).alias("n"))
     nt = F.bround(F.lit(0.75) * F.col("n"), 0).cast("bigint")
-    return n.select(F.explode(F.sequence(F.lit(1), F.lit(n_runs))).alias("run"), nt.alias("nt")).select(
+    return n.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_runs).cast("bigint"))).alias("run"), nt.alias("nt")).select(
         "run", F.floor(F.col("nt") * F.col("run") / n_runs).cast("bigint").alias("n_train"))
 
 
