@@ -70,7 +70,9 @@ def pair_stats(vec: DataFrame, key: str) -> DataFrame:
     head = head.withColumn("n_pairs", (F.col("n_items") * (F.col("n_items") - 1) / 2).cast("bigint"))
     head = head.withColumn("n_zero", F.col("n_pairs") - F.col("n_found"))
     zeros = head.where(F.col("n_zero") > 0).select(F.lit(0.0).alias("cos"), F.col("n_zero").alias("freq"))
-    vals = pairs.select("cos", F.lit(1).cast("bigint").alias("freq")).unionByName(zeros)
+    # The exact median runs in one task, so it gets at most one row per distinct
+    # 6-digit similarity (about 10^6), with the number of pairs at that value.
+    vals = pairs.groupBy("cos").agg(F.count(F.lit(1)).alias("freq")).unionByName(zeros)
     med = vals.groupBy().agg(F.percentile("cos", 0.5, F.col("freq")).alias("median_sim"))
     out = with_scalars(head, med)
     return out.select(
