@@ -247,3 +247,18 @@ def q_domain_accuracy(spark, sf_dir):
     o = o.where((~F.col("label").isin(excl) | F.col("label").isNull()) & (F.col("predicted") == OUTCOME))
     a = o.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted_od") == F.col("label")).alias("n_true"))
     return a.withColumn("prop_true", F.round(F.col("n_true") / F.col("n"), 6))
+
+
+@query("study_pct_correct", compose(["p1", "mapping"], """SELECT m.study_id, CAST(count(*) AS BIGINT) AS n,
+    CAST(count(*) FILTER (WHERE p.y_true = p.y_pred) AS BIGINT) AS n_correct,
+    round(100.0 * count(*) FILTER (WHERE p.y_true = p.y_pred) / count(*), 2) AS pct_correct
+    FROM p1 p JOIN mapping m ON p.vec_id = m.vec_id WHERE p.run = 4 GROUP BY m.study_id"""))
+def q_study_pct_correct(spark, sf_dir):
+    """P16 + P12 + A5 for every study at once: the share of a study's held-out
+    verbatim outcomes whose domain the final model predicts correctly (the
+    interactive check of one chosen study, over the whole table)."""
+    p = one(preds(spark, sf_dir)).where(F.col("run") == 4)
+    m = fx.mapping(spark, sf_dir).select("vec_id", "study_id")
+    a = p.join(m, "vec_id").groupBy("study_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("n_correct"))
+    return a.withColumn("pct_correct", F.round(100.0 * F.col("n_correct") / F.col("n"), 2))
