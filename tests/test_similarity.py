@@ -50,3 +50,13 @@ def test_negatives_threshold(spark):
     cands = spark.createDataFrame([(1, "wound infection rate"), (1, "hospital stay"), (2, "hospital stay")], ["doc_id", "phrase"])
     kept = sorted((r["doc_id"], r["phrase"]) for r in SIM.negatives_by_similarity(cands, ["doc_id"], "phrase", pos, "item_id", "text").collect())
     assert kept == [(1, "hospital stay"), (2, "hospital stay")]
+
+
+def test_matrix_scoring_across_block_boundaries(spark, monkeypatch):
+    # blocks of one positive column each: every text's grams span many blocks
+    monkeypatch.setattr(SIM, "BLOCK_CELLS", 1)
+    pos = spark.createDataFrame(list(enumerate(POS)), ["item_id", "text"])
+    cand = spark.createDataFrame([(c,) for c in CAND], ["phrase"])
+    want = {c: round(max(cos(c, p) for p in POS), 6) for c in CAND}
+    got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text").collect()}
+    assert got == pytest.approx(want)
