@@ -18,8 +18,18 @@ from sectio.functions.frames import materialize
 _STAGES: dict[tuple, DataFrame] = {}
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    """Identity of the running session (a stopped and recreated session
+    never sees the previous one's stage outputs)."""
+    try:
+        uuid = spark._jsparkSession.sessionUUID()
+    except Exception:  # noqa: BLE001 - older JVM sides lack sessionUUID
+        uuid = str(spark._jsparkSession.hashCode())
+    return (spark.sparkContext.applicationId, uuid)
+
+
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (id(spark._jsparkSession), sf_dir, name)
+    key = (_session_key(spark), sf_dir, name)
     df = _STAGES.get(key)
     if df is None:
         df = materialize(build())
