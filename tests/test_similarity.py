@@ -60,3 +60,16 @@ def test_matrix_scoring_across_block_boundaries(spark, monkeypatch):
     want = {c: round(max(cos(c, p) for p in POS), 6) for c in CAND}
     got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text").collect()}
     assert got == pytest.approx(want)
+
+
+def test_article_without_negatives_keeps_one_empty_row(spark):
+    from pyspark.sql import functions as F
+
+    pos = spark.createDataFrame(list(enumerate(POS)), ["item_id", "text"])
+    cands = spark.createDataFrame([(1, "wound infection rate"), (2, "hospital stay")], ["doc_id", "phrase"])
+    ok = spark.createDataFrame([(1,), (2,)], ["doc_id"])
+    neg = SIM.negatives_by_similarity(cands, ["doc_id"], "phrase", pos, "item_id", "text").select("doc_id", "phrase")
+    j = ok.join(neg, "doc_id", "left").select("doc_id", F.coalesce("phrase", F.lit("")).alias("text"),
+                                             F.col("phrase").isNotNull().alias("has_negatives"))
+    got = sorted(tuple(r) for r in j.collect())
+    assert got == [(1, "", False), (2, "hospital stay", True)]

@@ -88,3 +88,14 @@ def test_train_size_grid(spark):
     assert sizes == {5: 5, 10: 10, 15: 15}
     tr = g.where((F.col("n_articles") == 5) & (F.col("split") == "train")).count()
     assert tr == 4
+
+
+def test_hash_rank_exact_with_a_hot_group(spark):
+    # one group holds a third of all rows; ranks stay exact and the work is
+    # spread over the group's md5 buckets, not one window partition
+    data = [(i, "hot" if i % 3 == 0 else "g%d" % (i % 50)) for i in range(3000)]
+    df = spark.createDataFrame(data, ["k", "grp"])
+    r = hash_rank(df, 7, "k", partition_by=["grp"])
+    hot = sorted((row["rn"], row["k"]) for row in r.where("grp = 'hot'").collect())
+    keys = md5_order([k for k, g in data if g == "hot"], seed=7)
+    assert [k for _, k in hot] == keys and [n for n, _ in hot] == list(range(1, len(keys) + 1))
