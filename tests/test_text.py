@@ -69,3 +69,13 @@ def test_phrase_runs_and_cover(spark):
     assert [r[0] for r in runs] == ["incidence", "wound infection", "30-day mortality", "patients"]
     cover = P.explode_phrases(df, [], covered=True).select("phrase").collect()
     assert [r[0] for r in cover] == ["incidence of the wound infection", "30-day mortality of patients"]
+
+
+def test_phrases_use_the_row_language(spark):
+    df = spark.createDataFrame([(0, "fr", "La mortalité des patients et la douleur."),
+                                (0, "de", "Die Sterblichkeit von Patienten und die Schmerzen.")],
+                               ["sent_idx", "lang", "sentence"])
+    got = {r["lang"]: r["phrase"] for r in
+           P.explode_phrases(df, ["lang"], covered=True, lang="lang").select("lang", "phrase", "phrase_idx")
+           .where("phrase_idx = 0").collect()}
+    assert got == {"fr": "mortalité des patients", "de": "Sterblichkeit von Patienten"}
