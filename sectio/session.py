@@ -22,7 +22,8 @@ LOCAL_DEFAULTS = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "sectio") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "sectio",
+              extra: dict[str, str] | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and benches."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -36,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for k, v in LOCAL_DEFAULTS.items():
+    for k, v in {**LOCAL_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
