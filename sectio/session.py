@@ -47,16 +47,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster to a
-    shared file system). Only when it is unset -- local tests -- a scratch
-    folder is created and registered.
+    A checkpoint folder that the context already has stays. Otherwise it is
+    read from ``spark.checkpoint.dir``. Only in local mode, where driver and
+    executors are one process, a scratch folder is made if neither is set; on a
+    cluster that is an error, as executors cannot see the driver's disk.
     """
+    sc = spark.sparkContext
+    held = sc.getCheckpointDir()
+    if held:
+        return held
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sectio-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
