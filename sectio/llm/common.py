@@ -50,3 +50,10 @@ def sized_batches(batches: Iterator[pa.RecordBatch], col: str, limit: int = 8 <<
         step = max(1, int(rows * limit / size))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+
+
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer file; every machine has the package installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sectio.llm.common import sized_batches, texts
 
 GAP = re.compile(r"[\W_]+")
-ERROR_RATE = 0.1
+ERROR_RATE = 0.08
 BLOCK_CHARS = 4 << 20
 
 
