@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -151,18 +152,20 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
              .where("lang is not null and text is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def dense(word):
-            out = np.zeros(dims)
-            places, values = word_vector(word, dims)
-            out[places] = values
-            return out
-
-        words = Words(dense, dims, limit=20_000)
+        known = lru_cache(50_000)(lambda word: word_vector(word, dims))
         for batch in sized_batches(batches, "text", 1 << 20):
-            rows = [document_mean(t, words) for t in texts(batch.column("text"))]
-            keep = [i for i, r in enumerate(rows) if r is not None]
-            yield pa.record_batch([batch.column("lang").take(pa.array(keep, pa.int64())), batch.column("r").take(pa.array(keep, pa.int64())),
-                                   pa.array([rows[i].astype("<f4").tobytes() for i in keep], pa.binary())], ["lang", "r", "x"])
+            keep, rows = [], []
+            for i, t in enumerate(texts(batch.column("text"))):
+                counts = Counter(WORD.findall(t.lower()))
+                if counts:
+                    x = np.zeros(dims)
+                    for w, n in counts.items():
+                        places, values = known(w)
+                        x[places] += n * values
+                    keep.append(i)
+                    rows.append((x / sum(counts.values())).astype("<f4").tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.record_batch([batch.column("lang").take(at), batch.column("r").take(at), pa.array(rows, pa.binary())], ["lang", "r", "x"])
 
     got = drawn.select("lang", "r", "text").mapInArrow(vectors, "lang string, r int, x binary").toPandas().sort_values(["lang", "r"])
     model = Model(dims)
@@ -218,7 +221,7 @@ def identify(docs: DataFrame, per_lang: int = 800) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out())
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Rows whose language is told with ``min_score`` at least; the columns of ``docs``."""
     columns = docs.columns
     found = predict(docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in columns))).select("__row", F.col("text").alias("__text")),
