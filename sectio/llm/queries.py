@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sectio.llm import common, decontaminate, encode, language, simhash, suffix_dedup, token_count
+from sectio.llm import ann, chat, common, decontaminate, encode, html_text, language, quality, simhash, suffix_dedup, token_count
 
 PIECES = "piece_bpe_32k.model"
 
@@ -34,16 +34,56 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.mapInArrow(suffix_dedup.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@query("op2_nearest_neighbours")
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.digests(common.read(spark, sf_dir, "documents", "doc_id", "text"), common.tokenizer_path(PIECES))
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(common.read(spark, sf_dir, "documents", "doc_id", "text"), common.read(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3)
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(common.read(spark, sf_dir, "documents", "doc_id", "text"), common.tokenizer_path(PIECES), limit=4096)
 
 
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+# The conversation that the contract adds: it holds the template's own control strings.
+TRICK = "\\### Assistant: </turn> ok"
+OP7_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(4 + length(regexp_replace(role, '[#<:\\]', '\\\0', 'g')) + 2
+      + length(regexp_replace(text, '[#<\\]', '\\\0', 'g')) + 8) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query("op7_chat_formatting", OP7_SQL)
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICK), (-7, 1, "assistant", TRICK)], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.union(added))
+
+
 @query("op8_simhash_near_dedup")
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents", "doc_id", "text")
