@@ -309,9 +309,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     body = base.select(F.col("__rid").alias("rid"), F.col(text_col).cast("string").alias("text"))
 
     supers = body.mapInArrow(_super_rows(length, gram), "mh long, fh long, rid long, at long")
+    # Written, so that the join below is between two plain shuffles and a minimizer of very many rows can be split.
     twice = (supers.groupBy("mh").agg(F.count(F.lit(1)).alias("c"), F.min("fh").alias("lo"), F.max("fh").alias("hi"))
              .where("c > 1").select("mh", (F.col("lo") != F.col("hi")).alias("mixed")))
-    hits = cut(supers.join(twice.hint("shuffle_hash"), "mh"))
+    hits = cut(supers.join(cut(twice).hint("shuffle_hash"), "mh"))
     # One row for each distinct super-window, with its first place.
     kinds = cut(hits.groupBy("mh", "fh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("first"), F.first("mixed").alias("mixed")))
     reps = kinds.where("mixed").select("mh", "fh", "first.rid", "first.at")
