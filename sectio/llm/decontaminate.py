@@ -191,14 +191,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
     return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "distance", "budget", "match_end")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of ``docs`` into which no item leaks; all columns stay."""
     columns = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return _filter(row, items, error_rate).select(*(F.col("row").getField(c).alias(c) for c in columns))
-
-
-def _filter(row: DataFrame, items: DataFrame, error_rate: float, block_chars: int = BLOCK_CHARS) -> DataFrame:
     wanted = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").distinct()
     total = wanted.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     number = -(-total // block_chars) or 1
@@ -214,4 +210,4 @@ def _filter(row: DataFrame, items: DataFrame, error_rate: float, block_chars: in
                 yield batch.filter(pa.array([not matcher.leaks(t) for t in texts(batch.column("text"))], pa.bool_()))
 
         row = row.mapInArrow(run, kind)
-    return row
+    return row.select(*(F.col("row").getField(c).alias(c) for c in columns))
