@@ -3,9 +3,13 @@ span cut (F3), whitespace translation (F4), character trigrams, sentence
 split (T4) and stop-word phrase runs (T5, W7).
 
 Everything is a JVM-side column expression over one article / one sentence
-row, so no stage here shuffles. The same regexes run unchanged in DuckDB's
-RE2, which is what the oracle relies on (English text; Java and RE2 agree on
-ASCII ``\\b``, ``\\s``, ``\\p{L}``).
+row, so no stage here shuffles. The same regexes run in DuckDB's RE2, which is
+what the oracle relies on; they spell out white space and word characters, on
+whose short forms Java and RE2 differ. Groups that repeat per token are
+possessive (``*+``): Java then loops where it would otherwise recurse per token
+and overflow its stack on long runs. RE2 needs and knows no such mark; ``for_re2``
+takes it off, and the matches are the same, since no such group ever has to give
+a token back.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ from pyspark.sql import functions as F
 # --- fixed values ------------------------------------------------------------
 # Section heading: a line of up to a short numbering token and 1-5 words,
 # surrounded by line breaks (case-insensitive).
-HEADING_RE = r"(?i)\n+(?:\b\S{1,3})?(?:[ \t]*\b[a-z]{3,}\b){1,5}[ \t]*\n+"
+_SOLID = r"[^ \t\n\r\f\x0B]"
+_WORD_START = "[A-Za-z0-9_]"
+HEADING_RE = (rf"\n+(?:{_WORD_START}{_SOLID}{{0,2}}[ \t]+|{_WORD_START}{_SOLID}?[^ \t\n\r\f\x0BA-Za-z0-9_])?"
+              r"[ \t]*[A-Za-z]{3,}(?:[ \t]+[A-Za-z]{3,}){0,4}[ \t]*\n+")
 # Characters removed from a heading before comparison.
 HEADING_DROP_RE = r"[\n\t0-9.]"
 # Anchors that open and close the results section, and the score needed.
@@ -31,6 +38,11 @@ HEAD_SKIP_FRACTION = 6
 PRERESULTS_START = 2500
 # -----------------------------------------------------------------------------
 
+def for_re2(pattern: str) -> str:
+    """A pattern of this module as RE2 reads it."""
+    return pattern.replace("*+", "*")
+
+
 WS_CLASS = "[ \\t\\n\\r\\f\\x0B]"
 STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
@@ -129,12 +141,12 @@ def sentences(c: Column) -> Column:
 
 
 # Tokens: words (letters/digits with inner ' ’ - . joins) or single symbols.
-TOKEN_RE = r"[\p{L}\p{N}]+(?:['’\-.][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+TOKEN_RE = r"[\p{L}\p{N}]+(?:['’\-.][\p{L}\p{N}]+)*+|[^ \t\n\r\f\x0B\p{L}\p{N}]"
 # Token class codes used in the marked sentence.
 C_CONTENT, C_STOP, C_PREP, C_DET = "\u0002", "\u0003", "\u0004", "\u0005"
-RUN_RE = "(?:^| )\\x02([^ ]+(?: \\x02[^ ]+)*)"
-COVER_RE = ("(?:^| )\\x02([^ ]+(?: \\x02[^ ]+)*"
-            "(?: \\x04[^ ]+(?: \\x05[^ ]+)? \\x02[^ ]+(?: \\x02[^ ]+)*)?)")
+RUN_RE = "(?:^| )\\x02([^ ]+(?: \\x02[^ ]+)*+)"
+COVER_RE = ("(?:^| )\\x02([^ ]+(?: \\x02[^ ]+)*+"
+            "(?: \\x04[^ ]+(?: \\x05[^ ]+)? \\x02[^ ]+(?: \\x02[^ ]+)*+)?)")
 CODES_RE = "[\\x02-\\x05]"
 HAS_LETTER_RE = r"\p{L}"
 

@@ -7,15 +7,17 @@ sum of products per pair, divide by the norms. Only pairs that share a gram
 are ever produced; pairs that share none have similarity 0 and are
 accounted for arithmetically where a statistic needs them.
 
-Scale: the known-positive side (annotated outcomes / benchmark phrases) is
-a curated set; its gram table is an aggregate whose size AQE measures, so the
-join is a broadcast hash join while it is small and a shuffle join (with AQE
-skew splitting of common grams) beyond. Candidate texts are deduplicated
+Scale: candidates are scored against the known positives (annotated outcomes /
+benchmark phrases) in blocks of bounded size. Candidate texts are deduplicated
 before vectorising, so a phrase that recurs across articles is scored once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,6 @@ def gram_vectors(df: DataFrame, key: str, text: str, keep: list[str] | None = No
         "n", F.when(F.col("gram").isNotNull(), F.col("n")))
 
 
-def vector_norms(vec: DataFrame, key: str) -> DataFrame:
-    return vec.select(key, "norm").distinct()
-
-
 def cosine_pairs(a: DataFrame, akey: str, b: DataFrame, bkey: str, ordered: bool = False) -> DataFrame:
     """(akey, bkey, cos) for every pair sharing at least one gram. With
     ``ordered`` (self-similarity) only pairs with akey < bkey. Inputs come
@@ -81,102 +79,74 @@ def pair_stats(vec: DataFrame, key: str) -> DataFrame:
         F.round("median_sim", 6).alias("median_sim"))
 
 
-# Positives x vocabulary cells up to which the positive matrix is broadcast
-# (8 bytes each: 160 MB); above it the exact gram join is used.
-BROADCAST_CELLS_MAX = 20_000_000
-# Cells of one (candidate gram x positive) block inside a task.
+# Positives x vocabulary cells of one broadcast block (8 bytes each: 32 MB), and
+# cells of one (candidate gram x positive) or (candidate x positive) block in a task.
 BLOCK_CELLS = 4_000_000
 
 
 def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptext: str,
-                    max_cells: int = BROADCAST_CELLS_MAX) -> DataFrame:
+                    block_cells: int = BLOCK_CELLS) -> DataFrame:
     """For every distinct candidate text, its highest cosine to any
     positive (0 when it shares no gram with any).
 
-    The positives are a curated set, so their trigram matrix (positives x
-    vocabulary) is small; its size is checked from two counts before it is
-    broadcast. Candidates are then scored batch-wise in ``mapInPandas``: one
-    numpy product per block instead of a join that multiplies every candidate
-    gram by every positive sharing it. Dots are integer sums and divided by
-    the same product of norms as the SQL form, so the values are identical.
-    Above the cap the exact gram join is used."""
+    The positives are a stated query set: they go to all candidates in blocks
+    whose trigram matrix has at most about ``block_cells`` cells, dealt by a hash
+    of their key, and the best of all blocks counts. Grams are made in the JVM;
+    a block's dots are one segmented numpy product per Arrow slice. Dots are
+    integer sums and are divided by the same product of norms as in SQL; the
+    quotient is rounded once, by Spark, so neither the number of blocks nor that
+    of rows changes a value."""
     pv = gram_vectors(pos, pkey, ptext).where(F.col("gram").isNotNull())
     size = pv.agg(F.countDistinct(pkey).alias("p"), F.countDistinct("gram").alias("v")).first()
-    if size["p"] * size["v"] > max_cells:
-        return best_similarity_join(cand, ctext, pv, pkey)
-    return best_similarity_matrix(cand, ctext, pv, pkey)
-
-
-def best_similarity_join(cand: DataFrame, ctext: str, pv: DataFrame, pkey: str) -> DataFrame:
-    """Exact gram join: candidate grams left-joined to the positives'."""
-    cv = gram_vectors(cand.select(F.col(ctext).alias("__t")).distinct(), "__t", "__t")
-    pv = pv.select(F.col(pkey).alias("__p"), "gram", F.col("n").alias("nb"), F.col("norm").alias("norm_b"))
-    j = cv.join(pv, "gram", "left")
-    dots = j.groupBy("__t", "__p").agg(F.sum(F.col("n") * F.col("nb")).alias("dot"),
-                                       F.max("norm").alias("norm_a"), F.max("norm_b").alias("norm_b"))
-    cos = F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 6)
-    best = dots.groupBy("__t").agg(F.max(cos).alias("max_sim"))
-    return best.select(F.col("__t").alias(ctext), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
-
-
-def best_similarity_matrix(cand: DataFrame, ctext: str, pv: DataFrame, pkey: str) -> DataFrame:
-    """Broadcast positive matrix, candidates scored in Arrow batches."""
-    import numpy as np
-
-    spark = cand.sparkSession
-    rows = pv.select(pkey, "gram", "n", "norm").collect()  # bounded: checked by the caller
-    keys = sorted({r[pkey] for r in rows})
-    kidx = {k: i for i, k in enumerate(keys)}
-    vocab: dict[str, int] = {}
-    for r in rows:
-        vocab.setdefault(r["gram"], len(vocab))
-    counts = np.zeros((len(vocab), len(keys)), dtype=np.float64)
-    norms = np.zeros(len(keys), dtype=np.float64)
-    for r in rows:
-        counts[vocab[r["gram"]], kidx[r[pkey]]] = r["n"]
-        norms[kidx[r[pkey]]] = r["norm"]
-    bc = spark.sparkContext.broadcast((vocab, counts, norms))
+    blocks = max(1, -(-size["p"] * size["v"] // block_cells))
+    texts = cand.select(F.col(ctext).alias("__t")).distinct().select("__t", F.coalesce(trigrams(F.col("__t")), F.array().cast("array<string>")).alias("__g"))
+    out = None
+    for b in range(blocks):
+        own = pv if blocks == 1 else pv.where(F.pmod(F.xxhash64(pkey), F.lit(blocks)) == b)
+        part = _best_of_block(texts, own, pkey)
+        out = part if out is None else out.unionByName(part)
+    if blocks > 1:
+        out = out.groupBy("__t").agg(F.max("max_sim").alias("max_sim"))
+    return out.select(F.col("__t").alias(ctext), F.round("max_sim", 6).alias("max_sim"))
+
+
+def _best_of_block(texts: DataFrame, pv: DataFrame, pkey: str) -> DataFrame:
+    """Unrounded best cosine of each text's grams to the positives of a block."""
+    rows = pv.select(pkey, "gram", "n", "norm").toPandas()  # at most a block's cells
+    kcode, keys = pd.factorize(rows[pkey])
+    gcode, vocab = pd.factorize(rows["gram"])
+    counts, norms = np.zeros((len(vocab), len(keys))), np.ones(len(keys))
+    counts[gcode, kcode] = rows["n"].to_numpy(float)
+    norms[kcode] = rows["norm"].to_numpy(float)
+    shared = texts.sparkSession.sparkContext.broadcast((pa.array(vocab, pa.string()), counts, norms))
 
     def score(batches):
-        import math
-        from collections import Counter
-
-        import pandas as pd
-
-        vocab_, counts_, norms_ = bc.value
-        n_pos = counts_.shape[1]
-        for pdf in batches:
-            texts = pdf["__t"].tolist()
-            out = np.zeros(len(texts))
-            r_idx, c_idx, vals, tnorm = [], [], [], np.zeros(len(texts))
-            for i, t in enumerate(texts):
-                low = t.lower() if t is not None else ""
-                cnt = Counter(low[k:k + 3] for k in range(len(low) - 2))
-                tnorm[i] = math.sqrt(sum(v * v for v in cnt.values()))
-                for g, v in cnt.items():
-                    j = vocab_.get(g)
-                    if j is not None:
-                        r_idx.append(i)
-                        c_idx.append(j)
-                        vals.append(v)
-            if r_idx and n_pos:
-                r_arr, c_arr, v_arr = np.array(r_idx), np.array(c_idx), np.array(vals, dtype=np.float64)
-                dots = np.zeros((len(texts), n_pos))
-                step = max(1, BLOCK_CELLS // n_pos)
-                for a in range(0, len(r_arr), step):
-                    rb = r_arr[a:a + step]
-                    blk = counts_[c_arr[a:a + step]] * v_arr[a:a + step, None]
-                    # rows arrive grouped by text: one segmented sum per block
-                    starts = np.flatnonzero(np.r_[True, rb[1:] != rb[:-1]])
-                    dots[rb[starts]] += np.add.reduceat(blk, starts, axis=0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cos = dots / (tnorm[:, None] * norms_[None, :])
-                cos = np.where(dots > 0, cos, 0.0)
-                out = np.round(cos.max(axis=1), 6)
-            yield pd.DataFrame({ctext: texts, "max_sim": out})
-
-    texts = cand.select(F.col(ctext).alias("__t")).distinct()
-    return texts.mapInPandas(score, f"`{ctext}` string, max_sim double")
+        vocab_, counts_, norms_ = shared.value
+        n_pos = max(1, counts_.shape[1])
+        for whole in batches:
+            step = max(1, BLOCK_CELLS // n_pos)
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                grams = batch.column("__g")
+                row = np.repeat(np.arange(len(grams)), np.diff(grams.offsets.to_numpy()))
+                coded = grams.flatten().dictionary_encode()
+                width = max(1, len(coded.dictionary))
+                pair, n = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+                row, gram = pair // width, pair % width
+                norm = np.sqrt(np.bincount(row, n * n, len(grams)))
+                known = pc.index_in(coded.dictionary, vocab_).fill_null(-1).to_numpy(zero_copy_only=False)
+                col = known[gram] if len(gram) else gram
+                row, col, n = row[col >= 0], col[col >= 0], n[col >= 0]
+                dots = np.zeros((len(grams), counts_.shape[1]))
+                for a in range(0, len(row), step):
+                    r = row[a:a + step]
+                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    dots[r[first]] += np.add.reduceat(counts_[col[a:a + step]] * n[a:a + step, None], first, axis=0)
+                cos = np.divide(dots, norm[:, None] * norms_[None, :], out=np.zeros_like(dots), where=dots > 0)
+                best = cos.max(axis=1) if cos.shape[1] else np.zeros(len(grams))
+                yield pa.record_batch([batch.column("__t"), pa.array(best)], ["__t", "max_sim"])
+
+    return texts.mapInArrow(score, "__t string, max_sim double")
 
 
 def negatives_by_similarity(cands: DataFrame, keys: list[str], text: str, pos: DataFrame, pkey: str, ptext: str,

@@ -38,16 +38,16 @@ N_STUDIES = 20
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents of >= 200 chars with four headings inserted at
-    10/30/50/80 % of their length. ``doc_id % 10 = 0``: the results heading
+    """All documents (a null text counts as empty) with four headings inserted
+    at 10/30/50/80 % of their length. ``doc_id % 10 = 0``: the results heading
     reads "Appendix"; ``doc_id % 10 = 1``: discussion precedes results."""
-    d = tables.documents(spark, sf_dir).where((F.col("lang") == "en") & (F.length("text") >= 200))
+    d = tables.documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
     L = F.length("text")
     c1 = F.floor(L * 1 / 10).cast("int")
     c2 = F.floor(L * 3 / 10).cast("int")
     c3 = F.floor(L * 5 / 10).cast("int")
     c4 = F.floor(L * 8 / 10).cast("int")
-    d = d.select("doc_id", "source", "text", c1.alias("c1"), c2.alias("c2"), c3.alias("c3"), c4.alias("c4"))
+    d = d.select("doc_id", "source", "lang", "text", c1.alias("c1"), c2.alias("c2"), c3.alias("c3"), c4.alias("c4"))
     t = F.col("text")
     part = lambda a, b: F.substring(t, F.col(a) + 1, F.col(b) - F.col(a))
     h3 = F.when(F.col("doc_id") % 10 == 0, F.lit(H_APPENDIX)).otherwise(F.lit(H_RESULTS))
@@ -66,7 +66,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         wrap(hb),
         F.expr("substring(text, c4 + 1)"),
     )
-    return d.select("doc_id", "source", text.alias("text"))
+    return d.select("doc_id", "source", "lang", text.alias("text"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,17 +75,17 @@ def _nc(prefix: str, src: str, runs: int = 4, group: list[str] | None = None) ->
 
 
 VIEWS: dict[str, tuple[list[str], str]] = {
-    "articles": ([], f"""SELECT doc_id, source,
+    "articles": ([], f"""SELECT doc_id, source, lang,
         substring(text, 1, c1) || {wrap(lit(fx.H_INTRO))} || substring(text, c1 + 1, c2 - c1)
         || {wrap(lit(fx.H_METHODS))} || substring(text, c2 + 1, c3 - c2)
         || {wrap(_HA)} || substring(text, c3 + 1, c4 - c3)
         || {wrap(_HB)} || substring(text, c4 + 1) AS text
-        FROM (SELECT doc_id, source, text,
+        FROM (SELECT doc_id, source, lang, text,
                 CAST(floor(length(text) * 1 / 10) AS INTEGER) AS c1,
                 CAST(floor(length(text) * 3 / 10) AS INTEGER) AS c2,
                 CAST(floor(length(text) * 5 / 10) AS INTEGER) AS c3,
                 CAST(floor(length(text) * 8 / 10) AS INTEGER) AS c4
-              FROM documents WHERE lang = 'en' AND length(text) >= 200) d"""),
+              FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents) a) d"""),
     "labelled": ([], f"""SELECT d.source AS study_id, d.doc_id, d.text,
         CASE WHEN l.quality = 0 THEN '{OUTCOME}' ELSE '{NOT_OUTCOME}' END AS label
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),

@@ -30,16 +30,20 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join(lit(w) for w in words) + ")"
 
 
-def sql_marked(x: str, lang: str = "en") -> str:
+def sql_marked(x: str, lang: str | None = None) -> str:
+    """DuckDB twin of ``P.marked``: word lists by the column ``lang`` of the row."""
+    if lang is None:
+        cases = " ".join(f"WHEN '{c}' THEN {sql_marked(x, c)}" for c in SW.LANGS if c != "en")
+        return f"CASE lang {cases} ELSE {sql_marked(x, 'en')} END"
     code = (f"CASE WHEN lower(t) IN {_in(SW.PREPOSITIONS[lang])} THEN chr(4) "
             f"WHEN lower(t) IN {_in(SW.DETERMINERS[lang])} THEN chr(5) "
             f"WHEN lower(t) IN {_in(SW.OTHER_STOPWORDS[lang])} THEN chr(3) "
             f"WHEN NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN chr(3) ELSE chr(2) END")
-    return f"array_to_string(list_transform(regexp_extract_all({x}, {lit(T.TOKEN_RE)}, 0), lambda t: {code} || t), ' ')"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {lit(T.for_re2(T.TOKEN_RE))}, 0), lambda t: {code} || t), ' ')"
 
 
 def sql_runs(marked: str, cover: bool) -> str:
-    pat = T.COVER_RE if cover else T.RUN_RE
+    pat = T.for_re2(T.COVER_RE if cover else T.RUN_RE)
     found = f"list_transform(regexp_extract_all({marked}, {lit(pat)}, 1), lambda p: regexp_replace(p, {lit(T.CODES_RE)}, '', 'g'))"
     return f"list_filter({found}, lambda p: regexp_matches(p, {lit(T.HAS_LETTER_RE)}))"
 
@@ -72,7 +76,7 @@ register("sec_sim", ["sec_k"], f"""SELECT k.doc_id, k.idx, k.start, k.heading,
 register("sec_best", ["sec_sim"], """SELECT doc_id, count(*) AS n_headings,
     arg_min(idx, (-sim_start, idx)) AS start_idx, max(sim_start) AS start_sim,
     arg_min(idx, (-sim_end, idx)) AS end_idx, max(sim_end) AS end_sim FROM sec_sim GROUP BY doc_id""")
-register("sec_loc", ["articles", "sec_best", "sec_sim"], f"""SELECT a.doc_id, a.source, a.text, CAST(coalesce(b.n_headings, 0) AS BIGINT) AS n_headings,
+register("sec_loc", ["articles", "sec_best", "sec_sim"], f"""SELECT a.doc_id, a.source, a.lang, a.text, CAST(coalesce(b.n_headings, 0) AS BIGINT) AS n_headings,
     b.start_idx, b.start_sim, b.end_idx, b.end_sim,
     CASE WHEN coalesce(b.n_headings, 0) > 0 AND b.start_sim >= {T.ANCHOR_MIN_SCORE} AND b.end_sim >= {T.ANCHOR_MIN_SCORE}
          AND b.start_idx <= b.end_idx THEN 'ok' ELSE 'no_results' END AS status,
@@ -80,10 +84,10 @@ register("sec_loc", ["articles", "sec_best", "sec_sim"], f"""SELECT a.doc_id, a.
     FROM articles a LEFT JOIN sec_best b ON a.doc_id = b.doc_id
     LEFT JOIN sec_sim s1 ON s1.doc_id = a.doc_id AND s1.idx = b.start_idx
     LEFT JOIN sec_sim s2 ON s2.doc_id = a.doc_id AND s2.idx = b.end_idx""")
-register("sec_res", ["sec_loc"], f"""SELECT doc_id, source, regexp_replace(substring(text, res_start + 1, res_end - res_start), {STRIP}, '', 'g') AS results
+register("sec_res", ["sec_loc"], f"""SELECT doc_id, source, lang, regexp_replace(substring(text, res_start + 1, res_end - res_start), {STRIP}, '', 'g') AS results
     FROM sec_loc WHERE status = 'ok'""")
-register("sents", ["sec_res"], f"""SELECT doc_id, CAST(unnest(range(0, len(ss))) AS BIGINT) AS sent_idx, unnest(ss) AS sentence FROM (
-    SELECT doc_id, {sql_sentences('results')} AS ss FROM sec_res) q""")
+register("sents", ["sec_res"], f"""SELECT doc_id, lang, CAST(unnest(range(0, len(ss))) AS BIGINT) AS sent_idx, unnest(ss) AS sentence FROM (
+    SELECT doc_id, lang, {sql_sentences('results')} AS ss FROM sec_res) q""")
 register("phr_all", ["sents"], f"""SELECT doc_id, sent_idx, sentence, CAST(unnest(range(0, len(pp))) AS BIGINT) AS phrase_idx, unnest(pp) AS phrase FROM (
     SELECT doc_id, sent_idx, sentence, {sql_runs(sql_marked('sentence'), True)} AS pp FROM sents) q""")
 register("phrases", ["phr_all"], """SELECT doc_id, sent_idx, phrase_idx, phrase, sentence FROM (
@@ -99,21 +103,21 @@ def sections(spark, sf_dir):
     results / pre-results texts (not the full article), materialized once."""
     def build():
         loc = S.preresults_text(S.results_text(located(spark, sf_dir)), start=PRE_START)
-        return loc.select("doc_id", "source", "heads", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
+        return loc.select("doc_id", "source", "lang", "heads", "n_headings", "start_idx", "start_sim", "end_idx", "end_sim",
                           "status", "res_start", "res_end", "results", "preresults")
     return stage(spark, sf_dir, "sections", build)
 
 
 def results(spark, sf_dir):
-    return sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select("doc_id", "source", "results")
+    return sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select("doc_id", "source", "lang", "results")
 
 
 def sentences(spark, sf_dir):
-    return P.explode_sentences(results(spark, sf_dir), "results", ["doc_id"])
+    return P.explode_sentences(results(spark, sf_dir), "results", ["doc_id"], ["lang"])
 
 
 def phrases_all(spark, sf_dir, covered=True):
-    return P.explode_phrases(sentences(spark, sf_dir), ["doc_id"], covered=covered)
+    return P.explode_phrases(sentences(spark, sf_dir), ["doc_id"], covered=covered, lang="lang")
 
 
 def phrases(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Trigram cosine: broadcast-matrix path, join path and brute force agree."""
+"""Trigram cosine against brute force, whatever the number of blocks."""
 
 import itertools
 import math
@@ -27,15 +27,26 @@ POS = ["wound infection rate", "all-cause mortality at 30 days", "pain scores",
 CAND = ["wound infection", "mortality", "hospital stay", "xy", "pain score at rest", "infection rate"]
 
 
-def test_best_similarity_paths_match_brute_force(spark):
+def test_best_similarity_matches_brute_force_in_any_number_of_blocks(spark):
     pos = spark.createDataFrame(list(enumerate(POS)), ["item_id", "text"])
     cand = spark.createDataFrame([(c,) for c in CAND], ["phrase"])
     want = {c: round(max(cos(c, p) for p in POS), 6) for c in CAND}
     a = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text").collect()}
-    b = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", max_cells=0).collect()}
+    b = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_cells=3).collect()}
     assert a == pytest.approx(want) and b == pytest.approx(want)
 
 
+def test_cosine_of_one_in_128_rounds_alike_in_blocks(spark):
+    """1/128 = 0.0078125 lies on a half at six digits: rounded up, as SQL does."""
+    text = lambda n, first: first + "".join(chr(0x4E00 + i) for i in range(n + 2 - len(first)))
+    pos = spark.createDataFrame([(1, text(256, "xyz")), (2, "unrelated")], ["item_id", "text"])
+    other = "xyz" + "".join(chr(0x6E00 + i) for i in range(63))
+    cand = spark.createDataFrame([(other,), (None,), ("",)], "phrase string")
+    for cells in (10**9, 50):
+        got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_cells=cells).collect()}
+        assert got == {other: 0.007813, None: 0.0, "": 0.0}
+
+
 def test_pair_stats_against_brute_force(spark):
     pos = spark.createDataFrame(list(enumerate(POS[:3] + ["blood loss"])), ["item_id", "text"])
     texts = POS[:3] + ["blood loss"]

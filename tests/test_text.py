@@ -55,6 +55,25 @@ def test_sentence_split(spark):
     assert got == ["Mortality fell.", "Pain, p<0.05, improved!", "2 cases remained. e.g. this stays"]
 
 
+def test_very_long_runs_do_not_recurse(spark):
+    body = " ".join(f"word{i}" for i in range(20000))
+    dots = ".".join(["a1"] * 20000)
+    df = spark.createDataFrame([(0, body), (1, dots)], ["sent_idx", "sentence"])
+    for covered in (False, True):
+        got = {r["sent_idx"]: r["phrase"] for r in P.explode_phrases(df, [], covered=covered).collect()}
+        assert got == {0: body, 1: dots}
+
+
+def test_heading_patterns_without_short_forms(spark):
+    lines = ["3. Results", "3.Results", "Results", "12a) Adverse events", "Résultats", "one two three four five", "one two three four five six seven",
+             "ab", "Two  words\t", "- Results", "x_y Results", "3.1.2 Results"]
+    df = spark.createDataFrame([(i, f"t\n\n{x}\n\nz") for i, x in enumerate(lines)], ["i", "t"])
+    got = {r["i"] for r in df.select("i", T.headings(df.t).alias("h")).collect() if r["h"]}
+    import re
+    old = re.compile(r"(?ia)\n+(?:\b\S{1,3})?(?:[ \t]*\b[a-z]{3,}\b){1,5}[ \t]*\n+")
+    assert got == {i for i, x in enumerate(lines) if old.search(f"t\n\n{x}\n\nz")}
+
+
 def test_phrase_dedup_within_and_across_sentences(spark):
     rows = [(1, 0, 0, "pain"), (1, 0, 1, "pain"), (1, 1, 0, "pain"), (1, 1, 1, "fever"), (2, 3, 0, "pain")]
     df = spark.createDataFrame(rows, ["doc_id", "sent_idx", "phrase_idx", "phrase"])
