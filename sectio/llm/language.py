@@ -1,9 +1,9 @@
 """Language identification by hierarchical discrimination.
 
-A word is a run of letters, lower-cased; its features are hashed character
-n-grams (1 to 4, with word ends) and the word itself, scaled to length one. A
-document's vector is the mean over its words, so a linear model's score of a
-document is the mean of its words' scores, and word scores are kept per task.
+Features are hashed character n-grams (1 to 4) of the lower-cased letter runs,
+with marks for word ends; a document's vector is its relative frequencies, so a
+linear machine's score of a document is the mean weight of its n-grams, summed
+in numpy over blocks of characters.
 
 Two levels: one-versus-rest linear support vector machines choose the family;
 inside a family of several languages, one-versus-one machines vote (ties go to
@@ -13,8 +13,6 @@ fitted on the driver on a bounded, hash-drawn sample of labelled documents.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +26,6 @@ from pyspark.sql import functions as F
 
 from sectio.llm.common import sized_batches, texts
 
-WORD = re.compile(r"[^\W\d_]+")
 # Families of common languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -36,57 +33,101 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr"),
 }
 UND = "und"
+GRAMS = 4
+DIMS = 4096
+BLOCK = 1 << 15
+EDGE = np.uint32(1)  # stands for the end of a word inside an n-gram
 
 
 def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang.lower().split("-")[0] in members), lang)
 
 
-def word_vector(word: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-gram features of a word, scaled to length one."""
-    framed = f"<{word}>"
-    grams = [framed[i:i + n] for n in (1, 2, 3, 4) for i in range(len(framed) - n + 1)] + [framed]
-    places, counts = np.unique(np.fromiter((zlib.crc32(g.encode()) % dims for g in grams), np.int64, len(grams)), return_counts=True)
-    return places, counts / np.sqrt((counts**2).sum())
-
-
-class Words:
-    """Rows of a value per word, made on first sight; forgotten when full."""
-
-    def __init__(self, make, width: int, limit: int = 200_000):
-        self.make, self.width, self.limit = make, width, limit
-        self.clear()
-
-    def clear(self):
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.width))
-
-    def at(self, words) -> np.ndarray:
-        if len(self.index) > self.limit:
-            self.clear()
-        out = []
-        for w in words:
-            i = self.index.get(w)
-            if i is None:
-                i = self.index[w] = len(self.index)
-                if i >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[i] = self.make(w)
-            out.append(i)
-        return self.rows[out]
-
-
-def document_mean(text: str, words: Words) -> np.ndarray | None:
-    """Mean of the words' rows; None without letters. Words go in blocks, so a
-    very long text needs no more memory than its word counts."""
-    counts = Counter(WORD.findall(text.lower()))
-    if not counts:
-        return None
-    keys, total = list(counts), np.zeros(words.width)
-    for lo in range(0, len(keys), 4096):
-        part = keys[lo:lo + 4096]
-        total += np.array([counts[k] for k in part], float) @ words.at(part)
-    return total / sum(counts.values())
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """Lower-case code of every code point of the first plane; 0: no letter."""
+    return np.array([ord(low) if (c := chr(i)).isalpha() and len(low := c.lower()) == 1 else (i if c.isalpha() else 0) for i in range(1 << 16)], np.uint32)
+
+
+def letters(text: str) -> np.ndarray:
+    """Lower-case codes of the letters, 0 for anything else, one per character."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = letter_table()[np.minimum(codes, 0xFFFF)]
+    high = np.flatnonzero(codes > 0xFFFF)
+    out[high] = [c if chr(c).isalpha() else 0 for c in codes[high].tolist()]
+    return out
+
+
+def grams(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the n-grams of one length after the other. An n-gram
+    lies within a word and the marks at its two ends."""
+    solid = codes != 0
+    marked = np.where(solid, codes, EDGE)
+    h = np.zeros(len(codes), np.uint32)
+    inner = np.ones(len(codes), bool)
+    for n in range(1, GRAMS + 1):
+        size = len(codes) - n + 1
+        if size <= 0:
+            return
+        h = (h[:size] ^ marked[n - 1:]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n >= 3:
+            inner = inner[:size] & solid[n - 2:n - 2 + size]
+        ok = solid if n == 1 else inner[:size] & (solid[:size] | solid[n - 1:])
+        at = np.flatnonzero(ok)
+        yield at, ((h[at] * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(16)).astype(np.int64) % DIMS
+
+
+def blocks(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in blocks that end at word ends where there are any."""
+    at = 0
+    while len(codes) - at > BLOCK:
+        gaps = np.flatnonzero(codes[at:at + BLOCK] == 0)
+        end = at + (int(gaps[-1]) + 1 if len(gaps) else BLOCK)
+        yield codes[at:end]
+        at = end
+    yield codes[at:]
+
+
+def frequencies(text: str) -> np.ndarray | None:
+    """Relative frequencies of the hashed n-grams; None without letters."""
+    total = np.zeros(DIMS)
+    for part in blocks(letters(text)):
+        for _, h in grams(np.concatenate([[0], part, [0]]).astype(np.uint32)):
+            total += np.bincount(h, minlength=DIMS)
+    n = total.sum()
+    return total / n if n else None
+
+
+def mean_weights(bodies: list[str], weights: np.ndarray) -> list[np.ndarray | None]:
+    """Mean row of ``weights`` over the n-grams of each text; None without
+    letters. Short texts share a block, a long one takes several."""
+    sums, counts = np.zeros((len(bodies), weights.shape[1])), np.zeros(len(bodies))
+    held, owner, size = [], [], 0
+
+    def add():
+        codes = np.concatenate(held)
+        of = np.repeat(owner, [len(x) for x in held])
+        score, number = np.zeros((len(codes), weights.shape[1]), np.float32), np.zeros(len(codes), np.int32)
+        for at, h in grams(codes):
+            score[at] += weights[h]
+            number[at] += 1
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        sums[of[first]] += np.add.reduceat(score.astype(float), first, axis=0)
+        counts[of[first]] += np.add.reduceat(number, first)
+
+    gap = np.zeros(1, np.uint32)
+    for i, t in enumerate(bodies):
+        for part in blocks(letters(t)):
+            held.append(np.concatenate([gap, part, gap]))
+            owner.append(i)
+            size += len(part)
+            if size >= BLOCK:
+                add()
+                held, owner, size = [], [], 0
+    if held:
+        add()
+    return [s / n if n else None for s, n in zip(sums, counts)]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -108,17 +149,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 1
 class Model:
     """Machines as columns of ``weights``: one a family, then one a pair."""
 
-    dims: int
     families: list[str] = field(default_factory=list)
     members: dict[str, list[str]] = field(default_factory=dict)
     pairs: list[tuple[str, str]] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def word_scores(self, word: str) -> np.ndarray:
-        places, values = word_vector(word, self.dims)
-        return values @ self.weights[places]
-
     def decide(self, margins: np.ndarray) -> tuple[str, float]:
         """Language and score from the margins of all machines."""
         m = margins + self.bias
@@ -142,48 +178,42 @@ class Model:
         return best, float(score * squash(min(against)))
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-        per_lang: int = 800, dims: int = 2048) -> Model:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_lang: int = 800) -> Model:
     """Fit on up to ``per_lang`` documents of each non-null language, drawn by a
     hash of their id. Documents without letters are left out; no labelled
     documents give a model that knows no language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    drawn = (labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-             .where("lang is not null and text is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang))
+    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where("id is not null and lang is not null and text is not null")
+    # Ids are drawn first, so that only the texts of the sample move.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    drawn = (rows.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("id", "lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(50_000)(lambda word: word_vector(word, dims))
         for batch in sized_batches(batches, "text", 1 << 20):
-            keep, rows = [], []
-            for i, t in enumerate(texts(batch.column("text"))):
-                counts = Counter(WORD.findall(t.lower()))
-                if counts:
-                    x = np.zeros(dims)
-                    for w, n in counts.items():
-                        places, values = known(w)
-                        x[places] += n * values
-                    keep.append(i)
-                    rows.append((x / sum(counts.values())).astype("<f4").tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.record_batch([batch.column("lang").take(at), batch.column("r").take(at), pa.array(rows, pa.binary())], ["lang", "r", "x"])
-
-    got = drawn.select("lang", "r", "text").mapInArrow(vectors, "lang string, r int, x binary").toPandas().sort_values(["lang", "r"])
-    model = Model(dims)
+            found = [frequencies(t) for t in texts(batch.column("text"))]
+            keep = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
+            yield pa.record_batch([batch.column("lang").take(keep), batch.column("id").take(keep),
+                                   pa.array([x.astype("<f4").tobytes() for x in found if x is not None], pa.binary())], ["lang", "id", "x"])
+
+    got = rows.join(drawn, ["id", "lang"], "left_semi").select("lang", "id", "text").mapInArrow(vectors, "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
+    model = Model()
     langs = sorted(got.lang.unique())
     if not langs:
         return model
     x, y = np.stack([np.frombuffer(b, "<f4") for b in got.x]).astype(float), got.lang.to_numpy()
+    scale = 1 / np.sqrt((x**2).sum(1)).mean()
+    x *= scale
     for lang in langs:
         model.members.setdefault(family_of(lang), []).append(lang)
     model.families = sorted(model.members)
     family = np.array([family_of(v) for v in y])
-    machines = [fit_svm(x, np.where(family == f, 1.0, -1.0)) for f in model.families] if len(model.families) > 1 else [(np.zeros(dims), 0.0)]
+    machines = [fit_svm(x, np.where(family == f, 1.0, -1.0)) for f in model.families] if len(model.families) > 1 else [(np.zeros(DIMS), 0.0)]
     for f in model.families:
         for a, b in combinations(model.members[f], 2):
             own = (y == a) | (y == b)
             model.pairs.append((a, b))
             machines.append(fit_svm(x[own], np.where(y[own] == a, 1.0, -1.0)))
-    model.weights, model.bias = np.stack([w for w, _ in machines], 1), np.array([b for _, b in machines])
+    model.weights, model.bias = np.stack([w * scale for w, _ in machines], 1).astype(np.float32), np.array([b for _, b in machines])
     return model
 
 
@@ -197,12 +227,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        words = Words(own.word_scores, len(own.bias)) if own.families else None
         for batch in sized_batches(batches, "text"):
-            out = []
-            for t in texts(batch.column("text")):
-                mean = document_mean(t, words) if words else None
-                out.append((UND, 0.0) if mean is None else own.decide(mean))
+            body = texts(batch.column("text"))
+            means = mean_weights(body, own.weights) if own.families else [None] * len(body)
+            out = [(UND, 0.0) if m is None else own.decide(m) for m in means]
             yield pa.record_batch([batch.column("rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
                                   ["rest", "lang_pred", "score"])
 

@@ -4,16 +4,20 @@ model file, and the units into which a text falls.
 The installed library only reads the model file (pieces, scores, kinds); text is
 never encoded with it. White space is written as U+2581. As no piece holds that
 mark after another character, merges never cross a place where a mark follows
-something else, and none ever touches a character that is in no piece; so a text
-can be cut there into units that encode on their own, and units repeat.
+something else; nor do they cross two characters that are neighbours in no piece,
+such as a letter and a full stop; and none ever touches a character that is in no
+piece. So a text can be cut at such places into units that encode on their own,
+and units repeat.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from functools import lru_cache
 
 MARK = "▁"
+LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
 
 
 class Vocabulary:
@@ -48,8 +52,11 @@ class Vocabulary:
         if any(inner.search(p) for p in self.id):
             raise ValueError("a piece holds a space mark after another character")
         self.letters = set("".join(self.id))
-        alone = "\n" not in self.letters  # then a line break is a unit of its own
-        self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # Signs that follow a letter in no piece: between a letter and one of them no merge can reach.
+        follow = {b for p in self.id for a, b in zip(p, p[1:]) if LETTER.match(a)}
+        signs = re.escape("".join(c for c in string.punctuation if c not in follow))
+        rest = f"{MARK}\n" if "\n" not in self.letters else MARK  # a line break in no piece is a unit of its own
+        self.unit = re.compile((f"{MARK}*{LETTER.pattern}+(?=[{signs}])|" if signs else "") + f"{MARK}*[^{rest}]+|{MARK}+|\n")
 
     def units(self, text: str) -> list[str]:
         """Units of a text as the library sees it: a mark before it (unless it is
@@ -67,7 +74,7 @@ class Kept(dict):
     """Results per unit, made on first sight. Forgotten when they take more than
     ``limit`` characters, so that memory is bounded."""
 
-    def __init__(self, make, limit: int = 24 << 20):
+    def __init__(self, make, limit: int = 16 << 20):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 

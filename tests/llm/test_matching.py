@@ -116,9 +116,22 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in L.identify(df.where("lang is null and doc_id = 6")).collect()} == {"und"}
 
 
+def test_blocks_change_nothing(words, monkeypatch):
+    import numpy as np
+
+    texts = [words(30, 1), "", "É a𐐀b ß", words(4000, 2), "x" * 500, "12"]
+    weights = np.random.default_rng(0).normal(size=(L.DIMS, 3)).astype(np.float32)
+    want = [None if (f := L.frequencies(t)) is None else f @ weights for t in texts]
+    for size in (1 << 15, 1000):
+        monkeypatch.setattr(L, "BLOCK", size)
+        got = L.mean_weights(texts, weights)
+        assert [g is None for g in got] == [w is None for w in want]
+        assert all(np.allclose(g, w, atol=1e-4) for g, w in zip(got, want) if w is not None)
+
+
 def test_three_languages_of_one_family_vote():
     import numpy as np
 
-    m = L.Model(1, ["a"], {"a": ["x", "y", "z"]}, [("x", "y"), ("x", "z"), ("y", "z")], np.zeros((1, 4)), np.zeros(4))
+    m = L.Model(["a"], {"a": ["x", "y", "z"]}, [("x", "y"), ("x", "z"), ("y", "z")], np.zeros((1, 4)), np.zeros(4))
     assert m.decide(np.array([0, -1, 1, 2.0]))[0] == "y"
     assert m.decide(np.array([0, 1, -3, 1.5]))[0] == "z" and m.decide(np.array([0, 0, 0, 0.0]))[0] == "x"
