@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row: an equi-join on a constant
-    key with a single build row (broadcast by AQE), not a cross join."""
-    one = "__one"
-    return df.withColumn(one, F.lit(1)).join(scalars.withColumn(one, F.lit(1)), one).drop(one)
+    """Attach the columns of a one-row aggregate to every row, as a scalar
+    subquery: it runs once and its value is a constant of the plan, so there is
+    no join. More than one row is an error; an aggregate always has one."""
+    held = df.withColumn("__scalars", scalars.select(F.struct(*scalars.columns)).scalar())
+    return held.select(*df.columns, "__scalars.*")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a stage output that several consumers read (sections, phrases,
-    mined negatives) to the shared checkpoint folder and continue from it:
-    computed once, lineage cut, and a lost executor re-reads files instead
-    of recomputing the text pipeline."""
-    from sectio.session import cut_lineage
+    mined negatives) as Parquet to the shared checkpoint folder and continue
+    from it: computed once, lineage cut, readers take only their columns, and a
+    lost executor re-reads files instead of recomputing the text pipeline."""
+    from sectio.session import write_shared
 
-    return cut_lineage(df)
+    return write_shared(df)
 
 
 def exact_mean(c, digits: int = 6):

@@ -28,14 +28,18 @@ def _div0(a, b):
 
 
 def confusion_matrix(preds: DataFrame, group: list[str], labels: DataFrame | None = None) -> DataFrame:
-    """A14, long form (non-zero cells): group, y_true, y_pred, n. With a
-    label list (group + ``label`` rows), pairs with either side outside it are
-    dropped; absent cells are zero."""
+    """A14, long form: group, y_true, y_pred, n. With a label list (group +
+    ``label`` rows), every pair of its labels has a row, zero cells included, and
+    pairs with either side outside it are dropped; without one, only pairs that
+    occur."""
     p = preds
     if labels is not None:
         lt = labels.select(*group, F.col("label").alias("y_true"))
         lp = labels.select(*group, F.col("label").alias("y_pred"))
         p = p.join(lt, group + ["y_true"], "left_semi").join(lp, group + ["y_pred"], "left_semi")
+        n = p.groupBy(*group, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+        grid = lt.join(lp, group) if group else lt.join(lp, F.lit(True))  # the square of the label list
+        return grid.join(n, group + ["y_true", "y_pred"], "left").fillna(0, ["n"])
     return p.groupBy(*group, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 

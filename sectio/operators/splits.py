@@ -44,6 +44,14 @@ def split_studies(rows: DataFrame, study: str = "study_id", seed: int = SEED, te
     return r.select(study, "rn", split.alias("split"))
 
 
+def first_studies(rows: DataFrame, n: int, order: str, study: str = "study_id") -> DataFrame:
+    """O3: the first ``n`` distinct studies in encounter order, the order of
+    their smallest ``order`` value (ties by study). Null studies are no studies.
+    Output: study, ``first``. A limit of ``n`` is the feature."""
+    firsts = rows.where(F.col(study).isNotNull()).groupBy(study).agg(F.min(order).alias("first"))
+    return firsts.orderBy("first", study).limit(n)
+
+
 def balance_negatives(pos: DataFrame, neg: DataFrame, by: str, key: str, seed: int = SEED,
                       strict: bool = False) -> DataFrame:
     """M3: per group ``by``, as many negatives as positives, drawn without

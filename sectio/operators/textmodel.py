@@ -74,3 +74,12 @@ def classify_texts(items: DataFrame, text: str, model: DataFrame) -> DataFrame:
     """Attach ``label`` and ``prob`` of the text model to every item row."""
     s = score_texts(items, text, model).select(text, "label", "prob")
     return items.join(s, text)
+
+
+def save(model: DataFrame, path: str) -> None:
+    """K6: the model's rows as Parquet."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -5,8 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sectio.functions.frames import with_scalars
 from sectio.functions.labels import LABELS_EXCLUDE, NOT_OUTCOME, OUTCOME, clean_label
+from sectio.functions.ordering import hash_rank
 from sectio.operators import classify as C
+from sectio.operators import labels as L
+from sectio.operators import logistic as LG
 from sectio.operators import metrics as M
 from sectio.operators import sections as S
 from sectio.operators import splits as SP
@@ -38,11 +42,30 @@ register("ot", [], f"""SELECT b.item_id, b.item_id % {fx.N_STUDIES} AS study_id,
     {clean_label_sql(domain_sql('e.label'))} AS domain FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id""")
 
 
+def training_studies(spark, sf_dir):
+    """Studies that the stage-1 fit may see: train and eval of the split."""
+    split = SP.split_studies(outcome_texts(spark, sf_dir), n_use=10)
+    return split.where(F.col("split").isin("train", "eval")).select("study_id")
+
+
+def negative_pool(spark, sf_dir):
+    """Mined negatives with the study of their article."""
+    art = tables.documents(spark, sf_dir).select("doc_id", F.expr("try_cast(substring(source, 4) AS bigint)").alias("study_id"))
+    return negatives(spark, sf_dir).join(art, "doc_id").select(
+        "study_id", F.col("phrase").alias("text"), F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("phrase")).alias("k"))
+
+
 def stage1_train(spark, sf_dir):
-    pos = outcome_texts(spark, sf_dir).select(F.concat(F.lit("p:"), F.col("item_id").cast("string")).alias("k"), "text",
-                                              F.lit(OUTCOME).alias("cls"))
-    neg = negatives(spark, sf_dir).select("phrase").distinct().select(
-        F.concat(F.lit("n:"), "phrase").alias("k"), F.col("phrase").alias("text"), F.lit(NOT_OUTCOME).alias("cls"))
+    """M3 for the stage-1 fit: the outcome texts of the training studies and as
+    many negatives, drawn in seeded order from the phrases that occur in
+    training studies only. No text of another study enters."""
+    used = training_studies(spark, sf_dir)
+    pos = outcome_texts(spark, sf_dir).join(used, "study_id", "left_semi").select(
+        F.concat(F.lit("p:"), F.col("item_id").cast("string")).alias("k"), "text", F.lit(OUTCOME).alias("cls"))
+    pool = L.membership_flag(negative_pool(spark, sf_dir), used, "study_id", "own").groupBy("text").agg(F.min("own").alias("own")).where("own").select("text")
+    n_pos = pos.groupBy().agg(F.count(F.lit(1)).alias("n_pos"))
+    neg = with_scalars(hash_rank(pool, fx.SEED, "text", count_col=None), n_pos).where(F.col("rn") <= F.col("n_pos")).select(
+        F.concat(F.lit("n:"), "text").alias("k"), "text", F.lit(NOT_OUTCOME).alias("cls"))
     return pos.unionByName(neg)
 
 
@@ -82,8 +105,17 @@ def text_score_sql(p: str, items: str, col: str, model: str) -> None:
         SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, label) AS r FROM {p}_s) q WHERE r = 1""")
 
 
-register("s1_train", ["ot", "negs"], f"""SELECT 'p:' || CAST(item_id AS VARCHAR) AS k, text, '{OUTCOME}' AS cls FROM ot
-    UNION ALL SELECT DISTINCT 'n:' || phrase AS k, phrase AS text, '{NOT_OUTCOME}' AS cls FROM negs""")
+register("ot_sp", ["ot"], split_sql("(SELECT DISTINCT study_id FROM ot) s", "study_id", 10))
+register("neg_pool", ["negs", "articles"], """SELECT try_cast(substr(a.source, 4) AS BIGINT) AS study_id, n.phrase AS text,
+    CAST(n.doc_id AS VARCHAR) || '|' || n.phrase AS k FROM negs n JOIN articles a ON n.doc_id = a.doc_id""")
+register("s1_pos", ["ot", "ot_sp"], f"""SELECT 'p:' || CAST(item_id AS VARCHAR) AS k, text, '{OUTCOME}' AS cls FROM ot
+    WHERE study_id IN (SELECT study_id FROM ot_sp WHERE split IN ('train', 'eval'))""")
+register("s1_train", ["s1_pos", "ot_sp", "neg_pool"], f"""SELECT * FROM s1_pos
+    UNION ALL SELECT 'n:' || text AS k, text, '{NOT_OUTCOME}' AS cls FROM (
+      SELECT text, row_number() OVER (ORDER BY md5('4220|' || text), text) AS rn FROM (
+        SELECT text FROM neg_pool GROUP BY text
+        HAVING bool_and(coalesce(study_id IN (SELECT study_id FROM ot_sp WHERE split IN ('train', 'eval')), false))) p) q
+    WHERE rn <= (SELECT count(*) FROM s1_pos)""")
 register("s2_train", ["ot"], f"""SELECT 'p:' || CAST(item_id AS VARCHAR) AS k, text, domain AS cls FROM ot
     WHERE domain IS NOT NULL AND domain NOT IN {EXCL_SQL}""")
 text_model_sql("tm1", "s1_train")
@@ -98,11 +130,17 @@ register("corpus", ["pos_ph", "sc2"], """SELECT p.doc_id, p.sent_idx, p.phrase_i
 def corpus_outcomes(spark, sf_dir):
     """Results phrases -> stage 1 (outcome or not) -> keep
     outcomes -> stage 2 (domain) on those only."""
+    return stage(spark, sf_dir, "corpus", lambda: _corpus(spark, sf_dir))
+
+
+def _corpus(spark, sf_dir):
+    """Distinct phrases are scored by both stages, then joined to the phrase
+    rows once."""
     m1, m2 = stage_models(spark, sf_dir)
     ph = phrases(spark, sf_dir)
-    s1 = TM.classify_texts(ph, "phrase", m1).where(F.col("label") == OUTCOME)
+    s1 = stage(spark, sf_dir, "stage1_outcomes", lambda: TM.score_texts(ph, "phrase", m1).where(F.col("label") == OUTCOME).select("phrase", "prob"))
     s2 = TM.score_texts(s1, "phrase", m2).select("phrase", F.col("label").alias("outcome_domain"))
-    out = s1.join(s2, "phrase")
+    out = ph.join(s1.join(s2, "phrase"), "phrase")
     return out.select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"),
                       F.col("phrase_idx").cast("bigint").alias("phrase_idx"), F.col("phrase").alias("verbatim_outcome"),
                       F.col("sentence").alias("sentence_context"), F.col("prob").alias("is_outcome_probability"),
@@ -128,10 +166,28 @@ def q_corpus_status(spark, sf_dir):
     return loc.join(found, "doc_id", "left").groupBy(st.alias("status")).agg(F.count(F.lit(1)).alias("n_articles"))
 
 
+def _articles_with(spark, sf_dir, status):
+    loc = sections(spark, sf_dir).select("doc_id", "source", "status")
+    if status == S.STATUS_NO_RESULTS:
+        return loc.where(F.col("status") != S.STATUS_OK).select("doc_id", "source")
+    found = corpus_outcomes(spark, sf_dir).select("doc_id").distinct()
+    return loc.where(F.col("status") == S.STATUS_OK).join(found, "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("articles_without_results", compose(["sec_loc"], "SELECT doc_id, source FROM sec_loc WHERE status <> 'ok'"))
+def q_articles_without_results(spark, sf_dir):
+    """The articles in which no results section was found."""
+    return _articles_with(spark, sf_dir, S.STATUS_NO_RESULTS)
+
+
+@query("articles_without_outcomes", compose(["sec_loc", "corpus"], """SELECT l.doc_id, l.source FROM sec_loc l
+    WHERE l.status = 'ok' AND l.doc_id NOT IN (SELECT doc_id FROM corpus)"""))
+def q_articles_without_outcomes(spark, sf_dir):
+    """The articles whose results section holds no predicted outcome."""
+    return _articles_with(spark, sf_dir, S.STATUS_NO_OUTCOMES)
+
+
 # --- M12: score outcomes + as many sampled negatives, flag training studies --
-register("ot_sp", ["ot"], split_sql("(SELECT DISTINCT study_id FROM ot) s", "study_id", 10))
-register("neg_pool", ["negs", "articles"], """SELECT CAST(substr(a.source, 4) AS BIGINT) AS study_id, n.phrase AS text,
-    CAST(n.doc_id AS VARCHAR) || '|' || n.phrase AS k FROM negs n JOIN articles a ON n.doc_id = a.doc_id""")
 register("sc_rows", ["ot", "neg_pool"], f"""SELECT study_id, text, domain AS label FROM ot
     UNION ALL SELECT study_id, text, '{NOT_OUTCOME}' AS label FROM (
       SELECT *, row_number() OVER (ORDER BY md5('4220|' || k), k) AS rn FROM neg_pool) q
@@ -141,28 +197,22 @@ text_score_sql("scx", "sc_rows", "text", "tm1")
 
 @query("score_corpus", compose(["sc_rows", "ot_sp", "scx"], """SELECT r.study_id, r.text, r.label,
     coalesce(s.split IN ('train', 'eval'), false) AS used_in_training, x.label AS predicted
-    FROM sc_rows r LEFT JOIN ot_sp s ON r.study_id = s.study_id JOIN scx x ON r.text = x.t"""))
+    FROM sc_rows r LEFT JOIN ot_sp s ON r.study_id = s.study_id LEFT JOIN scx x ON r.text = x.t"""))
 def q_score_corpus(spark, sf_dir):
     """The annotated outcomes plus an equal number of mined negatives
-    (seeded, without replacement), flagged when their study was used for
-    training, with the stage-1 prediction."""
+    (seeded, without replacement), flagged when their study is one of those
+    that the stage-1 model was fitted on, with its prediction. A row with a null
+    text stays, without a prediction."""
     ot = outcome_texts(spark, sf_dir)
     pos = ot.select("study_id", "text", F.col("domain").alias("label"))
-    art = fx.articles(spark, sf_dir).select("doc_id", "source")
-    pool = negatives(spark, sf_dir).join(art, "doc_id").select(
-        F.substring("source", 4, 1 << 20).cast("bigint").alias("study_id"), F.col("phrase").alias("text"),
-        F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("phrase")).alias("k"))
     n_pos = ot.groupBy().agg(F.count(F.lit(1)).alias("n_pos"))
-    from sectio.functions.frames import with_scalars
-    from sectio.functions.ordering import hash_rank
-    neg = with_scalars(hash_rank(pool, 4220, "k", count_col=None), n_pos).where(F.col("rn") <= F.col("n_pos"))
+    ranked = hash_rank(negative_pool(spark, sf_dir), fx.SEED, "k", count_col=None)
+    neg = with_scalars(ranked, n_pos).where(F.col("rn") <= F.col("n_pos"))
     rows = pos.unionByName(neg.select("study_id", "text", F.lit(NOT_OUTCOME).alias("label")))
-    used = SP.split_studies(ot, n_use=10).where(F.col("split").isin("train", "eval")).select("study_id")
-    from sectio.operators.labels import membership_flag
-    rows = membership_flag(rows, used, "study_id", "used_in_training")
+    rows = L.membership_flag(rows, training_studies(spark, sf_dir), "study_id", "used_in_training")
     m1, _ = stage_models(spark, sf_dir)
     pred = TM.score_texts(rows, "text", m1).select("text", F.col("label").alias("predicted"))
-    return rows.join(pred, "text").select("study_id", "text", "label", "used_in_training", "predicted")
+    return rows.join(pred, "text", "left").select("study_id", "text", "label", "used_in_training", "predicted")
 
 
 # --- M9: learning curve (binary head, growing training prefixes) ----------
@@ -292,25 +342,31 @@ def q_cv_folds_eval(spark, sf_dir):
         F.col("fold").cast("int").alias("fold"), "accuracy", "precision", "recall", "f1", "auroc", "auprc")
 
 
-# --- M7: logistic-regression head (pyspark.ml); no SQL twin ------------------
-@query("fit_logistic")
+# --- M7: L2 logistic head on text vectors (pyspark.ml) ----------------------
+# At the optimum of a penalised fit whose intercepts are not penalised, the
+# probabilities of a class sum to its number of training rows: that is what SQL
+# can check of the fit.
+register("lg", ["labelled"], """SELECT label, row_number() OVER (ORDER BY md5('4220|' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
+    count(*) OVER () AS n FROM labelled""")
+
+
+@query("fit_logistic", compose(["lg"], """SELECT label, CAST(count(*) FILTER (WHERE rn <= round_even(0.75 * n, 0)) AS BIGINT) AS n_train,
+    round(CAST(count(*) FILTER (WHERE rn <= round_even(0.75 * n, 0)) AS DOUBLE), 1) AS sum_probability,
+    CAST(count(*) FILTER (WHERE rn > round_even(0.75 * n, 0)) AS BIGINT) AS n_held_out,
+    CAST(count(*) FILTER (WHERE rn > round_even(0.75 * n, 0)) AS BIGINT) AS n_scored
+    FROM lg GROUP BY label"""))
 def q_fit_logistic(spark, sf_dir):
-    """M7: multinomial logistic regression on the embedding vectors (max
-    iterations 200, as the chosen parameters), trained on the seeded 75 %,
-    predictions for the held-out 25 %."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, StringIndexer
-    from pyspark.ml.functions import array_to_vector
-
-    from sectio.functions.ordering import hash_rank
-    ce = fx.class_embeddings(spark, sf_dir).withColumn("features", array_to_vector("v"))
-    r = hash_rank(ce, 4220, "vec_id")
-    r = r.withColumn("is_train", F.col("rn") <= F.bround(F.lit(0.75) * F.col("n"), 0))
-    train, test = r.where("is_train"), r.where(~F.col("is_train"))
-    idx = StringIndexer(inputCol="cls", outputCol="y", stringOrderType="alphabetAsc").fit(train)
-    lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=200, family="multinomial").fit(idx.transform(train))
-    pred = lr.transform(idx.transform(test.where(F.col("cls").isin(idx.labels))))
-    back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=idx.labels).transform(pred)
-    from pyspark.ml.functions import vector_to_array
-    return back.select("vec_id", F.col("cls").alias("y_true"), "y_pred",
-                       F.round(F.array_max(vector_to_array("probability")), 6).alias("prob"))
+    """M7: L2-penalised logistic regression on trigram vectors of the labelled
+    texts, fitted on the seeded 75 %. Per class: training rows, the sum of the
+    fitted probabilities over them, held-out rows and how many were scored."""
+    rows = hash_rank(fx.labelled(spark, sf_dir).select("doc_id", "text", "label"), fx.SEED, "doc_id")
+    rows = rows.withColumn("is_train", F.col("rn") <= F.bround(F.lit(0.75) * F.col("n"), 0))
+    model = LG.fit(rows.where("is_train"), "text", "label")
+    scored = LG.predict(rows, model, "text")
+    classes = model.labels
+    own = [F.round(F.sum(F.when(F.col("is_train"), F.element_at("probabilities", F.lit(c)))), 1) for c in classes]
+    sums = scored.agg(*(e.alias(f"s{i}") for i, e in enumerate(own)))
+    per = scored.groupBy("label").agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_held_out"),
+                                      F.count_if(~F.col("is_train") & F.col("probabilities").isNotNull()).alias("n_scored"))
+    cases = F.coalesce(*(F.when(F.col("label") == c, F.col(f"s{i}")) for i, c in enumerate(classes)))
+    return with_scalars(per, sums).select("label", "n_train", cases.alias("sum_probability"), "n_held_out", "n_scored")

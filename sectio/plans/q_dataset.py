@@ -57,7 +57,7 @@ def q_labelled_examples(spark, sf_dir):
            .select("study_id", F.col("verbatim").alias("text"), F.lit("outcome").alias("label")))
     lab = fx.labelled(spark, sf_dir).where(F.col("label") == "not outcome")
     lab = lab.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    neg = (lab.withColumn("study_id", F.substring("study_id", 4, 1 << 20).cast("bigint"))
+    neg = (lab.withColumn("study_id", F.expr("try_cast(substring(study_id, 4) AS bigint)"))
            .join(ind.select("study_id", "has_results").dropDuplicates(), "study_id")
            .where(F.col("has_results"))
            .select("study_id", "text", F.lit("not outcome").alias("label")))

@@ -55,9 +55,10 @@ def report_ctes(src: str, g: str = "run") -> list[tuple[str, str]]:
     ]
 
 
-@query("confusion_matrix", compose(["p1", "preds"], """SELECT run, y_true, y_pred, CAST(count(*) AS BIGINT) AS n FROM p1
-    WHERE (run, y_true) IN (SELECT DISTINCT run, label FROM preds) AND (run, y_pred) IN (SELECT DISTINCT run, label FROM preds)
-    GROUP BY run, y_true, y_pred"""))
+@query("confusion_matrix", compose(["p1", "preds"], """SELECT a.run, a.label AS y_true, b.label AS y_pred, CAST(count(p.vec_id) AS BIGINT) AS n
+    FROM (SELECT DISTINCT run, label FROM preds) a JOIN (SELECT DISTINCT run, label FROM preds) b ON a.run = b.run
+    LEFT JOIN p1 p ON p.run = a.run AND p.y_true = a.label AND p.y_pred = b.label
+    GROUP BY a.run, a.label, b.label"""))
 def q_confusion_matrix(spark, sf_dir):
     p = preds(spark, sf_dir)
     return M.confusion_matrix(one(p), G, model_labels(p))

@@ -106,14 +106,13 @@ def q_final_metrics_wide(spark, sf_dir):
     """Q3 (report): outcome / not outcome rows, metric columns (R3 with the
     value list given), accuracy from the single accuracy row on every row
     (J11), as percentages (F12)."""
-    lg = final_long(spark, sf_dir)
-    w = (lg.where(F.col("target").isin(OUTCOME, NOT_OUTCOME))
-         .groupBy("target").pivot("metric", ["precision", "recall", "f1-score", "AUROC", "AUPRC"]).agg(F.first("score")))
-    acc = lg.where(F.col("metric") == "accuracy").select(F.col("score").alias("acc"))
-    w = with_scalars(w, acc)
-    return w.select("target", pct(F.col("precision")).alias("precision"), pct(F.col("recall")).alias("recall"),
-                    pct(F.col("`f1-score`")).alias("f1"), pct(F.col("AUROC")).alias("auroc"),
-                    pct(F.col("AUPRC")).alias("auprc"), pct(F.col("acc")).alias("accuracy"))
+    f = size_metrics_long(spark, sf_dir).where((F.col("run") == FINAL_RUN) & F.col("target").isin(OUTCOME, NOT_OUTCOME))
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("score")))
+    own = F.col("target") == OUTCOME  # AUROC and AUPRC belong to the outcome class, accuracy to the run
+    w = f.groupBy("target").agg(of("precision").alias("p"), of("recall").alias("r"), of("f1-score").alias("f"),
+                                F.max(F.when(own, F.col("auroc"))).alias("a"), F.max(F.when(own, F.col("auprc"))).alias("c"), F.max("accuracy").alias("acc"))
+    return w.select("target", pct(F.col("p")).alias("precision"), pct(F.col("r")).alias("recall"), pct(F.col("f")).alias("f1"),
+                    pct(F.col("a")).alias("auroc"), pct(F.col("c")).alias("auprc"), pct(F.col("acc")).alias("accuracy"))
 
 
 # --- Q1: learning-curve table -------------------------------------------------

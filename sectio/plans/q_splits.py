@@ -46,6 +46,13 @@ def q_split_studies(spark, sf_dir):
     return lab_split(spark, sf_dir)
 
 
+@query("first_studies", compose(["labelled"], """SELECT study_id, min(doc_id) AS first FROM labelled WHERE study_id IS NOT NULL
+    GROUP BY study_id ORDER BY first, study_id LIMIT 10"""))
+def q_first_studies(spark, sf_dir):
+    """O3: the first ten studies in the order in which they turn up."""
+    return S.first_studies(fx.labelled(spark, sf_dir), 10, "doc_id")
+
+
 @query("split_balanced", compose(["lab_sp", "labelled"], """
 SELECT split, study_id, doc_id, label FROM rws WHERE label = 'outcome'
 UNION ALL
@@ -77,7 +84,7 @@ def dom_pos(spark, sf_dir):
 def lab_negatives(spark, sf_dir):
     """Negatives (not outcome documents) keyed by the mapping's study id."""
     lab = fx.labelled(spark, sf_dir).where(F.col("label") == "not outcome")
-    return lab.select(F.substring("study_id", 4, 1 << 20).cast("bigint").alias("study_id"), "doc_id", "label")
+    return lab.select(F.expr("try_cast(substring(study_id, 4) AS bigint)").alias("study_id"), "doc_id", "label")
 
 
 @query("split_ratio_negatives", compose(["dom_sp", "dom_pos", "labelled"], """

@@ -13,8 +13,7 @@ from sectio.plans import fixtures as fx
 from sectio.plans.oracle import compose, lit, register
 from sectio.plans.registry import query
 
-# The article fixture is short: pre-results text starts at 200, not 2500.
-PRE_START = 200
+PRE_START = T.PRERESULTS_START
 
 STRIP = f"'{T.STRIP_RE}'"
 

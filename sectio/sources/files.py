@@ -24,24 +24,36 @@ def scan_text_corpus(spark: SparkSession, folder: str, suffix: str = ".txt") ->
     return df.select(stem.alias("file_id"), stem.try_cast("bigint").alias("study_id"), F.col("value").alias("text"))
 
 
-def rename_at_source(df: DataFrame) -> DataFrame:
-    for old, new in MAPPING_RENAMES.items():
-        if old in df.columns:
-            df = df.withColumnRenamed(old, new)
-    return df
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, renames: dict[str, str] | None = None) -> DataFrame:
     """CSV with header; quoted fields may span lines (labels hold
-    newlines)."""
-    return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-            .option("escape", '"').csv(path))
+    newlines), so one file is one task: write large inputs as Parquet once.
+
+    Columns are taken by name, in any order, after ``renames`` (file name ->
+    schema name; the known spellings by default); further columns are left out
+    and a missing one is an error. A value that is not of the column's type
+    becomes null."""
+    names = MAPPING_RENAMES if renames is None else renames
+    raw = (spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true")
+           .option("escape", '"').csv(path))
+    by_name: dict[str, str] = {}
+    for c in raw.columns:
+        by_name.setdefault(names.get(c.strip(), c.strip()), c)
+    missing = [f.name for f in schema.fields if f.name not in by_name]
+    if missing:
+        raise ValueError(f"{path}: no column for {', '.join(missing)}; the file has {', '.join(raw.columns)}")
+    return raw.select(*(F.col(f"`{by_name[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
 def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
-    """Report documents (one JSON object per line) from every file
-    matching a path glob, kept as text for ``reportio.flatten_reports``."""
-    return spark.read.text(pattern).select(F.col("value").alias("report")).where(F.length("report") > 0)
+    """Report documents from every file matching a path glob, kept as
+    text (``report``) for ``reportio.flatten_reports``. A file holds a JSON array
+    of reports, or one report per line; a lone object over several lines counts
+    as one report. ``parsed`` is false for text that is no JSON object."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(pattern, wholetext=True).select(F.trim(F.regexp_replace("value", "^\\s+|\\s+$", "")).alias("v")).where(F.length("v") > 0)
+    one = F.col("v").startswith("{") & F.try_parse_json("v").isNotNull()
+    rows = F.when(F.col("v").startswith("["), F.coalesce(F.from_json("v", "array<string>"), F.array("v"))).when(one, F.array("v")).otherwise(F.split("v", "[\\r\\n]+"))
+    out = whole.select(F.explode(rows).alias("report")).where(F.length(F.trim("report")) > 0)
+    return out.withColumn("parsed", F.trim("report").startswith("{") & F.try_parse_json("report").isNotNull())
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -49,7 +61,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
 
 
-def write_reports(df: DataFrame, path: str, mode: str = "append") -> None:
-    """K2/K3: one report per line (``report`` column); appending adds files,
-    never rewrites earlier runs."""
-    df.select("report").write.mode(mode).text(path)
+def write_reports(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
+    """K2/K3: one report per line (``report`` column), in a folder of the run
+    (``run_id=...``); appending adds files, never rewrites earlier runs."""
+    df.select("report", F.lit(run_id).alias("run_id")).write.mode(mode).partitionBy("run_id").text(path)

@@ -69,6 +69,3 @@ MAPPING_RENAMES = {
     "has results": "has_results",
     "has negatives": "has_negatives",
 }
-
-# One line of a hyper-parameter search log.
-TRIAL_PARAMS = "struct<body_learning_rate:double,num_epochs:bigint,batch_size:bigint,max_iter:bigint,solver:string>"

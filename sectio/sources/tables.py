@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sectio.sources import schemas
 
-DEFAULT_SF_DIR = "/root/testdata/sf0.01"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; column pruning and filters push into the scan."""
     path = os.path.join(sf_dir, f"{name}.parquet")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # --- fixed values: the log line layout ---------------------------------------
 LINE_FORMAT = "Trial %d | Objective value: %s | Hyperparameters: %s"
 NUMBER_RE = r"^Trial (\d+)"
-OBJECTIVE_RE = r"Objective value: (\d\.\d+)"
+OBJECTIVE_RE = r"Objective value: ([-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)"
 PARAMS_RE = r"Hyperparameters: (.*?)$"
 # -----------------------------------------------------------------------------
 
@@ -29,10 +29,13 @@ def trial_lines(trials: DataFrame) -> DataFrame:
 
 
 def parse_trial_lines(lines: DataFrame, params_schema: str = PARAMS_SCHEMA) -> DataFrame:
+    """Trial lines as columns; other lines are left out. A number that cannot be
+    read is null."""
+    lines = lines.where(F.col("line").rlike(NUMBER_RE))
     p = F.from_json(F.regexp_extract("line", PARAMS_RE, 1), params_schema, {"allowSingleQuotes": "true"})
     out = lines.select(
-        F.regexp_extract("line", NUMBER_RE, 1).cast("bigint").alias("trial"),
-        F.regexp_extract("line", OBJECTIVE_RE, 1).cast("double").alias("objective_value"),
+        F.regexp_extract("line", NUMBER_RE, 1).try_cast("bigint").alias("trial"),
+        F.regexp_extract("line", OBJECTIVE_RE, 1).try_cast("double").alias("objective_value"),
         p.alias("p"),
     )
     return out.select("trial", "objective_value", "p.*")

@@ -99,3 +99,26 @@ def test_hash_rank_exact_with_a_hot_group(spark):
     hot = sorted((row["rn"], row["k"]) for row in r.where("grp = 'hot'").collect())
     keys = md5_order([k for k, g in data if g == "hot"], seed=7)
     assert [k for _, k in hot] == keys and [n for n, _ in hot] == list(range(1, len(keys) + 1))
+
+
+def test_first_studies_in_encounter_order(spark):
+    rows = spark.createDataFrame([(5, "b"), (1, "c"), (3, "a"), (2, "c"), (0, None), (3, "d")], "doc_id long, study_id string")
+    assert [tuple(r) for r in S.first_studies(rows, 3, "doc_id").collect()] == [("c", 1), ("a", 3), ("d", 3)]
+
+
+def test_stage1_fit_sees_training_studies_only(spark):
+    from pyspark.sql import functions as F
+
+    from sectio.plans import load_all, q_cascade as Q
+
+    load_all()
+    d = "/root/testdata/sf0.01"
+    used = {r[0] for r in Q.training_studies(spark, d).collect()}
+    train = Q.stage1_train(spark, d).collect()
+    n_pos = sum(r.cls == "outcome" for r in train)
+    assert n_pos and len(train) - n_pos <= n_pos
+    negs = [r.text for r in train if r.cls != "outcome"]
+    of = Q.negative_pool(spark, d).where(F.col("text").isin(negs)).select("study_id").distinct().collect()
+    assert {r[0] for r in of} <= used
+    items = {r.item_id: r.study_id for r in Q.outcome_texts(spark, d).collect()}
+    assert {items[int(r.k[2:])] for r in train if r.cls == "outcome"} <= used
