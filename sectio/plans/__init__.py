@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_models", "q_dataset", "q_splits", "q_metrics", "q_text", "q_similarity", "q_cascade", "q_reports"]
+MODULES = ["q_models", "q_dataset", "q_splits", "q_sizes", "q_metrics", "q_text", "q_similarity", "q_cascade", "q_reports"]
 
 
 def load_all() -> None:

@@ -17,9 +17,10 @@ from sectio.operators import splits as SP
 from sectio.operators import textmodel as TM
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import VIEWS, _nc, clean_label_sql, compose, domain_sql, register
-from sectio.plans.q_metrics import AUROC_CTES, EVAL_REPORT_CTES, eval_report, one, report_ctes, report_sql
+from sectio.plans.q_metrics import AUROC_CTES, EVAL_REPORT_CTES, EVAL_VIEWS, eval_report, one, report_ctes, report_sql
 from sectio.plans.q_similarity import grams_sql, negatives, norms_sql
-from sectio.plans.q_splits import split_sql
+from sectio.plans.q_sizes import size_preds, study_vectors
+from sectio.plans.q_splits import rank_sql, split_sql
 from sectio.plans.q_text import phrases, sections
 from sectio.plans.registry import query
 from sectio.plans.stages import stage
@@ -220,10 +221,9 @@ LC_TARGETS = [OUTCOME, NOT_OUTCOME, "macro avg", "weighted avg"]
 
 
 def learning_curve(spark, sf_dir):
-    """Long report per training size: (run, n_articles, target, metric,
+    """Long report per training size in studies: (run, n_articles, target, metric,
     score) with the run's accuracy / AUROC / AUPRC on every row."""
-    from sectio.plans.q_models import preds
-    rep = M.classification_report(one(preds(spark, sf_dir, binary=True)), ["run"]).where(F.col("target").isin(LC_TARGETS))
+    rep = M.classification_report(one(size_preds(spark, sf_dir)), ["run"]).where(F.col("target").isin(LC_TARGETS))
     long = rep.select("run", "target", F.expr(
         "stack(4, 'precision', precision, 'recall', recall, 'f1-score', f1_score, 'support', CAST(support AS DOUBLE)) AS (metric, score)"))
     ev = eval_report(spark, sf_dir).select("run", F.col("n_train").alias("n_articles"), "accuracy", "auroc", "auprc")
@@ -242,9 +242,9 @@ def _ev_sql():
     return EVAL_REPORT_SQL
 
 
-register("ev", ["b1", "bs", "preds_bin", "ntrain"], "SELECT * FROM (" + "WITH " + ",\n".join(
+register("ev", EVAL_VIEWS, "SELECT * FROM (" + "WITH " + ",\n".join(
     f"{n} AS ({sql})" for n, sql in EVAL_REPORT_CTES) + "\n" + _ev_sql() + ") q")
-register("lc_rep", ["b1"], "SELECT * FROM (WITH " + ",\n".join(f"{n} AS ({sql})" for n, sql in report_ctes("b1")) + "\n" + report_sql("b1") + ") q")
+register("lc_rep", ["b1_sz"], "SELECT * FROM (WITH " + ",\n".join(f"{n} AS ({sql})" for n, sql in report_ctes("b1_sz")) + "\n" + report_sql("b1_sz") + ") q")
 
 
 @query("learning_curve", compose(["lc_rep", "ev"], LC_SQL.replace("FROM rep r", "FROM lc_rep r")))
@@ -295,8 +295,14 @@ def q_model_compare(spark, sf_dir):
 
 # --- M11: stratified 5-fold validation of the binary head -------------------
 K_FOLDS = 5
-register("cvf", ["cemb_bin"], f"""SELECT vec_id, v, cls, CAST((rn - 1) % {K_FOLDS} + 1 AS INTEGER) AS fold FROM (
-    SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('4220|' || CAST(vec_id AS VARCHAR)), vec_id) AS rn FROM cemb_bin) q""")
+CV_STUDIES = 10
+register("cv_own", ["sz_v"], f"""SELECT * FROM sz_v WHERE study_id IN (
+    SELECT study_id FROM (SELECT study_id, min(vec_id) AS first FROM sz_v GROUP BY study_id ORDER BY first, study_id LIMIT {CV_STUDIES}) f)""")
+register("cv_src", ["cv_own"], f"""SELECT vec_id, v, cls FROM cv_own WHERE cls = '{OUTCOME}'
+    UNION ALL SELECT vec_id, v, cls FROM ({rank_sql(f"cv_own WHERE cls = '{NOT_OUTCOME}'", "vec_id", rn="draw", n=None)}) n
+    WHERE draw <= (SELECT count(*) FROM cv_own WHERE cls = '{OUTCOME}')""")
+register("cvf", ["cv_src"], f"""SELECT vec_id, v, cls, CAST((rn - 1) % {K_FOLDS} + 1 AS INTEGER) AS fold FROM (
+    SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('4220|' || CAST(vec_id AS VARCHAR)), vec_id) AS rn FROM cv_src) q""")
 register("cv_cent", ["cvf"], f"""SELECT f AS fold, cls, list(m ORDER BY pos) AS c FROM (
     SELECT f, cls, pos, avg(x) AS m FROM (
       SELECT r.f, t.cls, unnest(range(0, len(t.v))) AS pos, unnest(t.v) AS x
@@ -310,8 +316,14 @@ register("cv_p", ["cv_sc"], """SELECT *, first_value(label) OVER (PARTITION BY v
 
 def cv_predictions(spark, sf_dir, k: int = K_FOLDS):
     """Long predictions per fold: each row is scored by the centroids of the
-    other k-1 folds (one fit per fold, all folds in one job)."""
-    ce = fx.class_embeddings(spark, sf_dir, binary=True)
+    other k-1 folds (one fit per fold, all folds in one job). The rows are those
+    of the first ``CV_STUDIES`` studies in encounter order (O3), with as many
+    negatives as positives (M3)."""
+    rows = study_vectors(spark, sf_dir)
+    own = rows.join(SP.first_studies(rows, CV_STUDIES, "vec_id").select("study_id"), "study_id", "left_semi").withColumn("all", F.lit(1))
+    pos = own.where(F.col("cls") == OUTCOME)
+    neg = SP.balance_negatives(pos, own.where(F.col("cls") != OUTCOME), by="all", key="vec_id")
+    ce = pos.unionByName(neg.select(*pos.columns)).select("vec_id", "v", "cls")
     folds = SP.stratified_folds(ce, "vec_id", "cls", k=k)
     train = folds.withColumn("f", F.explode(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda x: x != F.col("fold"))))
     model = C.fit_centroids(train, ["f"])

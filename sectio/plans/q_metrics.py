@@ -9,6 +9,7 @@ from sectio.operators import metrics as M
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import compose, register
 from sectio.plans.q_models import od_preds, preds
+from sectio.plans.q_sizes import size_counts, size_preds
 from sectio.plans.registry import query
 
 G = ["run"]
@@ -174,8 +175,9 @@ def train_sizes(spark, sf_dir, n_runs=4):
 
 
 def eval_report(spark, sf_dir):
-    """M8: one row per run with the binary model's test-set report."""
-    p = preds(spark, sf_dir, binary=True)
+    """M8: one row per training size (run) with the binary model's report on
+    the test studies."""
+    p = size_preds(spark, sf_dir)
     o = one(p)
     rep = M.classification_report(o, G)
     wide = rep.groupBy("run").pivot("target", ["accuracy", "macro avg", "weighted avg"]).agg(
@@ -184,20 +186,21 @@ def eval_report(spark, sf_dir):
     cnt = cc.groupBy("run").agg(*[
         F.max(F.when(F.col("label") == lab, F.col(m))).alias(f"{m}_{sfx}")
         for m in ["tp", "fp", "fn", "tn"] for lab, sfx in [(OUTCOME, "o"), (NOT_OUTCOME, "no")]])
-    bs = bin_scores(spark, sf_dir)
+    bs = p.where(F.col("label") == OUTCOME).select("vec_id", "run", "y_true", "score")
     return (
         wide.select("run", F.col("accuracy_f").alias("accuracy"),
                     F.col("`macro avg_p`").alias("macro_precision"), F.col("`macro avg_r`").alias("macro_recall"),
                     F.col("`macro avg_f`").alias("macro_f1"), F.col("`weighted avg_p`").alias("weighted_precision"),
                     F.col("`weighted avg_r`").alias("weighted_recall"), F.col("`weighted avg_f`").alias("weighted_f1"))
-        .join(M.auroc(bs, G), G).join(M.auprc(bs, G), G).join(cnt, G).join(train_sizes(spark, sf_dir), G)
+        .join(M.auroc(bs, G), G).join(M.auprc(bs, G), G).join(cnt, G).join(size_counts(spark, sf_dir), G)
         .withColumn("seed_no", F.lit(4220).cast("bigint"))
     )
 
 
-EVAL_REPORT_CTES = report_ctes("b1") + [("rep", report_sql("b1"))] + AUROC_CTES + [
-    ("cc", CLASS_COUNTS_SQL.format(src="preds_bin", one="b1")),
+EVAL_REPORT_CTES = report_ctes("b1_sz") + [("rep", report_sql("b1_sz"))] + [(n, q.replace("FROM bs ", "FROM bs_sz ")) for n, q in AUROC_CTES] + [
+    ("cc", CLASS_COUNTS_SQL.format(src="preds_sz", one="b1_sz")),
 ]
+EVAL_VIEWS = ["b1_sz", "bs_sz", "preds_sz", "ntrain_sz"]
 EVAL_REPORT_SQL = f"""SELECT r.run,
     max(f1_score) FILTER (WHERE target = 'accuracy') AS accuracy,
     max(precision) FILTER (WHERE target = 'macro avg') AS macro_precision,
@@ -210,13 +213,13 @@ EVAL_REPORT_SQL = f"""SELECT r.run,
     any_value(c.tp_o) AS tp_o, any_value(c.tp_no) AS tp_no, any_value(c.fp_o) AS fp_o, any_value(c.fp_no) AS fp_no,
     any_value(c.fn_o) AS fn_o, any_value(c.fn_no) AS fn_no, any_value(c.tn_o) AS tn_o, any_value(c.tn_no) AS tn_no,
     any_value(n.n_train) AS n_train, CAST(4220 AS BIGINT) AS seed_no
-FROM rep r JOIN auc a ON r.run = a.run JOIN ntrain n ON r.run = n.run JOIN (
+FROM rep r JOIN auc a ON r.run = a.run JOIN ntrain_sz n ON r.run = n.run JOIN (
   SELECT run, {", ".join(f"max({m}) FILTER (WHERE label = '{lab}') AS {m}_{sfx}" for m in ["tp", "fp", "fn", "tn"] for lab, sfx in [(OUTCOME, "o"), (NOT_OUTCOME, "no")])}
   FROM cc GROUP BY run) c ON r.run = c.run
 GROUP BY r.run"""
 
 
-@query("eval_report", compose(["b1", "bs", "preds_bin", "ntrain"], EVAL_REPORT_SQL, local=EVAL_REPORT_CTES))
+@query("eval_report", compose(EVAL_VIEWS, EVAL_REPORT_SQL, local=EVAL_REPORT_CTES))
 def q_eval_report(spark, sf_dir):
     return eval_report(spark, sf_dir)
 

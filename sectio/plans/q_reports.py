@@ -16,6 +16,7 @@ from sectio.plans.oracle import VIEWS, _nc, compose, register
 from sectio.plans.q_cascade import ENCODERS, corpus_outcomes, cv_predictions, learning_curve
 from sectio.plans.q_metrics import AUROC_CTES, eval_report, one, report_ctes, report_sql, train_sizes
 from sectio.plans.q_models import od_preds, preds
+from sectio.plans.q_sizes import FINAL_SIZE_RUN, size_preds
 from sectio.plans.registry import query
 from sectio.sources import trials as TR
 
@@ -41,7 +42,7 @@ def size_reports(spark, sf_dir) -> DataFrame:
     """K2: one JSON report per training size (run), the reference's report
     layout (class objects, accuracy, AUROC, AUPRC, n_articles, seed_no,
     FP/FN/TP/TN lists in class order outcome, not outcome)."""
-    rep = M.classification_report(one(preds(spark, sf_dir, binary=True)), ["run"])
+    rep = M.classification_report(one(size_preds(spark, sf_dir)), ["run"])
     ev = eval_report(spark, sf_dir)
     scal = ev.select("run", F.col("auroc").alias("AUROC"), F.col("auprc").alias("AUPRC"),
                      F.col("n_train").alias("n_articles"), "seed_no", *[c for cs in COUNT_KEYS.values() for c in cs])
@@ -70,7 +71,7 @@ def q_report_flatten(spark, sf_dir):
 
 # --- Q3: final binary metrics, long and wide --------------------------------
 def final_long(spark, sf_dir) -> DataFrame:
-    f = size_metrics_long(spark, sf_dir).where(F.col("run") == FINAL_RUN)
+    f = size_metrics_long(spark, sf_dir).where(F.col("run") == FINAL_SIZE_RUN)
     base = f.select("metric", "target", "score")
     one_row = f.select("accuracy", "auroc", "auprc").limit(1)
     extra = one_row.select(F.expr(f"stack(3, 'AUROC', '{OUTCOME}', auroc, 'AUPRC', '{OUTCOME}', auprc, "
@@ -79,10 +80,10 @@ def final_long(spark, sf_dir) -> DataFrame:
 
 
 register("final_long", ["flat"], f"""SELECT metric, target, score FROM (
-    SELECT metric, target, score FROM flat WHERE run = {FINAL_RUN}
-    UNION ALL SELECT 'AUROC', '{OUTCOME}', auroc FROM (SELECT DISTINCT auroc FROM flat WHERE run = {FINAL_RUN}) a
-    UNION ALL SELECT 'AUPRC', '{OUTCOME}', auprc FROM (SELECT DISTINCT auprc FROM flat WHERE run = {FINAL_RUN}) b
-    UNION ALL SELECT 'accuracy', 'macro avg', accuracy FROM (SELECT DISTINCT accuracy FROM flat WHERE run = {FINAL_RUN}) c) q
+    SELECT metric, target, score FROM flat WHERE run = {FINAL_SIZE_RUN}
+    UNION ALL SELECT 'AUROC', '{OUTCOME}', auroc FROM (SELECT DISTINCT auroc FROM flat WHERE run = {FINAL_SIZE_RUN}) a
+    UNION ALL SELECT 'AUPRC', '{OUTCOME}', auprc FROM (SELECT DISTINCT auprc FROM flat WHERE run = {FINAL_SIZE_RUN}) b
+    UNION ALL SELECT 'accuracy', 'macro avg', accuracy FROM (SELECT DISTINCT accuracy FROM flat WHERE run = {FINAL_SIZE_RUN}) c) q
     WHERE score IS NOT NULL""")
 
 
@@ -106,7 +107,7 @@ def q_final_metrics_wide(spark, sf_dir):
     """Q3 (report): outcome / not outcome rows, metric columns (R3 with the
     value list given), accuracy from the single accuracy row on every row
     (J11), as percentages (F12)."""
-    f = size_metrics_long(spark, sf_dir).where((F.col("run") == FINAL_RUN) & F.col("target").isin(OUTCOME, NOT_OUTCOME))
+    f = size_metrics_long(spark, sf_dir).where((F.col("run") == FINAL_SIZE_RUN) & F.col("target").isin(OUTCOME, NOT_OUTCOME))
     of = lambda m: F.max(F.when(F.col("metric") == m, F.col("score")))
     own = F.col("target") == OUTCOME  # AUROC and AUPRC belong to the outcome class, accuracy to the run
     w = f.groupBy("target").agg(of("precision").alias("p"), of("recall").alias("r"), of("f1-score").alias("f"),
