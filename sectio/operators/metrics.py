@@ -4,10 +4,11 @@ Inputs are prediction rows; ``group`` columns (run, fold, size, model, ...)
 make every metric a grouped aggregate, so a whole learning curve or all
 folds are scored in one job.
 
-Score-based metrics (AUROC, AUPRC) first aggregate to distinct scores per
-group. Scores are rounded to 6 digits upstream, so a group has at most
-2e6 distinct values in [-1, 1] whatever the row count; the ordered window
-then runs over that bounded table, not over the rows.
+Score-based metrics (AUROC, AUPRC) aggregate to distinct scores per group and
+need, for each, the counts below it. No window orders a whole group: scores are
+dealt to ``BUCKETS`` buckets at approximate quantiles, bucket totals are
+prefix-summed (``BUCKETS`` rows per group) and the exact running sums are taken
+inside a bucket.
 """
 
 from __future__ import annotations
@@ -127,6 +128,24 @@ def micro_metrics(preds: DataFrame, group: list[str]) -> DataFrame:
                     F.col("accuracy").alias("recall"), F.col("accuracy").alias("f1"))
 
 
+BUCKETS = 64
+
+
+def running_counts(st: DataFrame, group: list[str], cols: list[str], score: str = "score") -> DataFrame:
+    """Append ``<col>_below`` for each count column: its sum over the rows of the
+    group with a smaller score. Scores are distinct within a group; they may be
+    any doubles, so quantiles only place the bucket edges and are never part of
+    the result."""
+    edges = st.groupBy(*group).agg(F.percentile_approx(score, [i / BUCKETS for i in range(1, BUCKETS)], 2000).alias("__e"))
+    rows = st.join(edges, group).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col(score)))).drop("__e")
+    per = rows.groupBy(*group, "__b").agg(*(F.sum(c).alias(f"__{c}") for c in cols))
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*group, "__b", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in cols))
+    inside = Window.partitionBy(*group, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(per, [*group, "__b"]).select(
+        *st.columns, *((F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in cols))
+
+
 def _score_table(scores: DataFrame, group: list[str], is_pos) -> DataFrame:
     return scores.groupBy(*group, "score").agg(F.count_if(is_pos).alias("np"), F.count_if(~is_pos).alias("nn"))
 
@@ -135,11 +154,9 @@ def auroc(scores: DataFrame, group: list[str], positive: str = "outcome") -> Dat
     """Area under the ROC curve, ties counted half (mid-ranks).
     Input: group, y_true, score (of the positive class). Null when a group
     lacks either class."""
-    st = _score_table(scores, group, F.col("y_true") == positive)
-    w = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    st = st.withColumn("neg_below", F.coalesce(F.sum("nn").over(w), F.lit(0)))
+    st = running_counts(_score_table(scores, group, F.col("y_true") == positive), group, ["nn"])
     a = st.groupBy(*group).agg(
-        F.sum(F.col("np") * (F.col("neg_below") + 0.5 * F.col("nn"))).alias("u"),
+        F.sum(F.col("np") * (F.col("nn_below") + 0.5 * F.col("nn"))).alias("u"),
         F.sum("np").alias("P"), F.sum("nn").alias("N"))
     return a.select(*group, _r(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N")))).alias("auroc"))
 
@@ -147,9 +164,9 @@ def auroc(scores: DataFrame, group: list[str], positive: str = "outcome") -> Dat
 def auprc(scores: DataFrame, group: list[str], positive: str = "outcome") -> DataFrame:
     """Average precision, step-wise (no interpolation): sum over
     distinct thresholds, high to low, of recall gain x precision."""
-    st = _score_table(scores, group, F.col("y_true") == positive)
-    w = Window.partitionBy(*group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    st = st.withColumn("ctp", F.sum("np").over(w)).withColumn("cfp", F.sum("nn").over(w))
+    st = running_counts(_score_table(scores, group, F.col("y_true") == positive), group, ["np", "nn"])
+    total = st.groupBy(*group).agg(F.sum("np").alias("__P"), F.sum("nn").alias("__N"))
+    st = st.join(total, group).withColumn("ctp", F.col("__P") - F.col("np_below")).withColumn("cfp", F.col("__N") - F.col("nn_below"))
     a = st.groupBy(*group).agg(
         F.sum(F.col("np") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("s"), F.sum("np").alias("P"))
     return a.select(*group, _r(F.when(F.col("P") > 0, F.col("s") / F.col("P"))).alias("auprc"))
@@ -174,10 +191,9 @@ def auroc_ovo_weighted(long_scores: DataFrame, group: list[str], key: str) -> Da
     d = pos.unionByName(neg)
     g2 = group + ["a", "b"]
     st = d.groupBy(*g2, "score").agg(F.count_if("is_pos").alias("np"), F.count_if(~F.col("is_pos")).alias("nn"))
-    w = Window.partitionBy(*g2).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    st = st.withColumn("neg_below", F.coalesce(F.sum("nn").over(w), F.lit(0)))
+    st = running_counts(st, g2, ["nn"])
     dir_auc = st.groupBy(*g2).agg(
-        F.sum(F.col("np") * (F.col("neg_below") + 0.5 * F.col("nn"))).alias("u"),
+        F.sum(F.col("np") * (F.col("nn_below") + 0.5 * F.col("nn"))).alias("u"),
         F.sum("np").alias("na"), F.sum("nn").alias("nb"))
     dir_auc = dir_auc.withColumn("auc", F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("u") / (F.col("na") * F.col("nb"))))
     pair = dir_auc.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).groupBy(*group, "lo", "hi").agg(

@@ -116,3 +116,35 @@ def test_binary_metrics(spark):
                      ("g", "not outcome", "not outcome")], ["run", "y_true", "y_pred"])
     r = M.binary_metrics(p, ["run"]).first()
     assert (r["accuracy"], r["precision"], r["recall"], r["f1"]) == (0.5, 0.5, 0.5, 0.5)
+
+
+def test_areas_over_many_distinct_scores_in_one_group(spark):
+    """Unrounded, skewed scores: far more values than buckets, some tied."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sectio.operators import metrics as M
+
+    n = 20000
+    df = spark.range(n).select(F.lit(1).alias("run"), F.when(F.xxhash64("id") % 3 == 0, "outcome").otherwise("not outcome").alias("y_true"),
+                               F.pow(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(15000)) / 15000.0, F.lit(9)).alias("score"))
+    rows = df.toPandas()
+    pos = (rows.y_true == "outcome").to_numpy()
+    s = rows.score.to_numpy()
+    values, at = np.unique(s, return_inverse=True)
+    npos, nneg = np.bincount(at, pos, len(values)), np.bincount(at, ~pos, len(values))
+    below = np.cumsum(nneg) - nneg
+    auc = (npos * (below + 0.5 * nneg)).sum() / (pos.sum() * (~pos).sum())
+    ctp, cfp = np.cumsum(npos[::-1])[::-1], np.cumsum(nneg[::-1])[::-1]
+    ap = (npos * ctp / (ctp + cfp)).sum() / pos.sum()
+    assert abs(M.auroc(df, ["run"]).first()["auroc"] - auc) < 1e-6
+    assert abs(M.auprc(df, ["run"]).first()["auprc"] - ap) < 1e-6
+
+
+def test_confusion_matrix_has_every_pair_of_labels(spark):
+    from sectio.operators import metrics as M
+
+    p = spark.createDataFrame([(1, "a", "b"), (1, "a", "z")], "run int, y_true string, y_pred string")
+    labels = spark.createDataFrame([(1, "a"), (1, "b")], "run int, label string")
+    got = sorted(tuple(r) for r in M.confusion_matrix(p, ["run"], labels).select("run", "y_true", "y_pred", "n").collect())
+    assert got == [(1, "a", "a", 0), (1, "a", "b", 1), (1, "b", "a", 0), (1, "b", "b", 0)]
