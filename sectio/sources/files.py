@@ -50,7 +50,8 @@ def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
     of reports, or one report per line; a lone object over several lines counts
     as one report. ``parsed`` is false for text that is no JSON object."""
     whole = spark.read.option("recursiveFileLookup", "true").text(pattern, wholetext=True).select(F.trim(F.regexp_replace("value", "^\\s+|\\s+$", "")).alias("v")).where(F.length("v") > 0)
-    one = F.col("v").startswith("{") & F.try_parse_json("v").isNotNull()
+    first_line = F.trim(F.split("v", "[\r\n]+")[0])
+    one = F.col("v").startswith("{") & ~first_line.endswith("}") & F.try_parse_json("v").isNotNull()
     rows = F.when(F.col("v").startswith("["), F.coalesce(F.from_json("v", "array<string>"), F.array("v"))).when(one, F.array("v")).otherwise(F.split("v", "[\\r\\n]+"))
     out = whole.select(F.explode(rows).alias("report")).where(F.length(F.trim("report")) > 0)
     return out.withColumn("parsed", F.trim("report").startswith("{") & F.try_parse_json("report").isNotNull())

@@ -30,7 +30,7 @@ def test_confusion_drops_labels_outside_list(spark):
     p = rows(spark, [(1, "g", "a", "a"), (2, "g", "x", "a"), (3, "g", "b", "a")], ["k", "run", "y_true", "y_pred"])
     labels = rows(spark, [("g", "a"), ("g", "b")], ["run", "label"])
     cm = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(p, ["run"], labels).collect()}
-    assert cm == {("a", "a"): 1, ("b", "a"): 1}
+    assert cm == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 1, ("b", "b"): 0}
     cc = {r["label"]: r for r in M.class_counts(p, ["run"], labels).collect()}
     assert (cc["a"]["tp"], cc["a"]["fp"], cc["a"]["fn"], cc["a"]["tn"]) == (1, 1, 0, 0)
     assert (cc["b"]["tp"], cc["b"]["fp"], cc["b"]["fn"], cc["b"]["tn"]) == (0, 0, 1, 1)
