@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sectio.session import checkpoint_dir
+from sectio.session import write_shared as cut  # noqa: F401  lineage cuts of all operators here
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -17,16 +16,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table in the shared checkpoint folder.
-
-    Parquet rather than an RDD checkpoint: compressed, and readers prune
-    columns. The files stay until the cluster clears the folder."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/sectio-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b"" if v is None else v for v in col.cast(pa.binary()).to_pylist()]

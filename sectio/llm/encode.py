@@ -89,7 +89,7 @@ class Encoder:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 200_000:
+            if len(self.fits) >= 100_000:
                 self.fits.clear()
             known = self.fits[key] = self.remerged(left, right)
         return known

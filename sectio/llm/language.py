@@ -34,7 +34,7 @@ FAMILIES = {
 }
 UND = "und"
 GRAMS = 4
-DIMS = 4096
+DIMS = 2048
 BLOCK = 1 << 15
 EDGE = np.uint32(1)  # stands for the end of a word inside an n-gram
 
@@ -134,13 +134,11 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 1
     """Squared-hinge linear machine for labels -1 and 1, both classes weighing
     the same; accelerated gradient descent from zero (deterministic)."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    step = 1.0 / (2 * (weight[:, None] * xb**2).sum() + penalty)
-    w = z = np.zeros(xb.shape[1])
+    step = 1.0 / (2 * (weight * (np.einsum("ij,ij->i", x, x, dtype=float) + 1)).sum() + penalty)
+    w = z = np.zeros(x.shape[1] + 1)  # the last is the intercept, which is not penalised
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (xb @ z))
-        grad = -2 * xb.T @ (weight * y * slack) + penalty * np.append(z[:-1], 0)
-        new = z - step * grad
+        pull = weight * y * np.maximum(0, 1 - y * (x @ z[:-1].astype(x.dtype) + z[-1]))
+        new = z - step * np.append(penalty * z[:-1] - 2 * (pull.astype(x.dtype) @ x), -2 * pull.sum())
         z, w = new + t / (t + 3) * (new - w), new
     return w[:-1], float(w[-1])
 
@@ -178,7 +176,7 @@ class Model:
         return best, float(score * squash(min(against)))
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_lang: int = 800) -> Model:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_lang: int = 500) -> Model:
     """Fit on up to ``per_lang`` documents of each non-null language, drawn by a
     hash of their id. Documents without letters are left out; no labelled
     documents give a model that knows no language."""
@@ -195,13 +193,14 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
             yield pa.record_batch([batch.column("lang").take(keep), batch.column("id").take(keep),
                                    pa.array([x.astype("<f4").tobytes() for x in found if x is not None], pa.binary())], ["lang", "id", "x"])
 
-    got = rows.join(drawn, ["id", "lang"], "left_semi").select("lang", "id", "text").mapInArrow(vectors, "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
+    # At most ``per_lang`` ids a language.
+    got = rows.join(F.broadcast(drawn), ["id", "lang"], "left_semi").select("lang", "id", "text").mapInArrow(vectors, "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
     model = Model()
     langs = sorted(got.lang.unique())
     if not langs:
         return model
-    x, y = np.stack([np.frombuffer(b, "<f4") for b in got.x]).astype(float), got.lang.to_numpy()
-    scale = 1 / np.sqrt((x**2).sum(1)).mean()
+    x, y = np.stack([np.frombuffer(b, "<f4") for b in got.x]), got.lang.to_numpy()
+    scale = np.float32(1 / np.sqrt((x**2).sum(1)).mean())
     x *= scale
     for lang in langs:
         model.members.setdefault(family_of(lang), []).append(lang)
@@ -243,7 +242,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, per_lang: int = 800) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 500) -> DataFrame:
     """Fit on the rows of ``docs`` outside the held-out fold (ids not null) and predict all."""
     model = fit(docs.where("doc_id is not null").where(~held_out()), per_lang=per_lang)
     return predict(docs, model).withColumn("held_out", held_out())

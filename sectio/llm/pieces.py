@@ -74,7 +74,7 @@ class Kept(dict):
     """Results per unit, made on first sight. Forgotten when they take more than
     ``limit`` characters, so that memory is bounded."""
 
-    def __init__(self, make, limit: int = 16 << 20):
+    def __init__(self, make, limit: int = 8 << 20):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
