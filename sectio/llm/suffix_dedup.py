@@ -330,14 +330,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
             _window_rows(length), "mh long, fh long, rid long, at long, off int, number int, w0 long, w1 long")
         place = F.struct("rid", (F.shiftright("at", 16) + F.col("off")).alias("p"))
         seen = windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")).where("c > 1")
-        crowded = (windows.join(seen, ["w0", "w1"]).withColumn("early", place != F.col("f")).groupBy("mh", "fh")
+        crowded = (windows.join(cut(seen), ["w0", "w1"]).withColumn("early", place != F.col("f")).groupBy("mh", "fh")
                    .agg(F.first("number").alias("number"), F.collect_list(F.when(F.col("early"), F.col("off"))).alias("early"), F.collect_list("off").alias("other"))
                    .mapInArrow(_mask_rows, masks))
     found = (found.repartition("mh").sortWithinPartitions("mh", "rid", "at").select("mh", "fh", "body")
              .mapInArrow(_factor_rows(length), masks))
     if crowded is not None:
         found = found.union(crowded)
-    known = kinds.join(cut(found), ["mh", "fh"], "left")
+    # Written for the same reason: very many documents may hold one super-window.
+    known = cut(kinds.join(cut(found), ["mh", "fh"], "left"))
     # A later copy of a super-window is covered as a whole (no mask); a first copy by its own mask.
     marked = hits.select("mh", "fh", "rid", "at").join(known.select("mh", "fh", "c", "first", "early", "other"), ["mh", "fh"])
     if mode == "all":
