@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.llm.common import cut
+from sectio.llm.common import cut, lean
 
 SAMPLE = 16_384
 
@@ -176,8 +176,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     asked = pick(queries)
     names = asked.groupBy("embedding").agg(F.min("id").alias("query"))
     who = asked.join(names, "embedding").select(F.col("id").alias("query_id"), "query").distinct()
-    posted = cut(base.select("vid", "ids", "embedding").mapInArrow(_lists(graph, replicate, copies), "list int, vid long, ids array<long>, embedding array<double>"))
-    wide = names.select("query", "embedding").mapInArrow(_lists(graph, probe_ratio, probes), "list int, query long, embedding array<double>")
+    posted = cut(base.select("vid", "ids", "embedding").mapInArrow(lean(_lists(graph, replicate, copies)), "list int, vid long, ids array<long>, embedding array<double>"))
+    wide = names.select("query", "embedding").mapInArrow(lean(_lists(graph, probe_ratio, probes)), "list int, query long, embedding array<double>")
     # One row a list: bounded by the sample.
     sizes = [(r["list"], -(-r["count"] // shard_rows)) for r in posted.groupBy("list").count().collect()]
     of = lambda: F.broadcast(spark.createDataFrame(sizes, "list int, shards int"))

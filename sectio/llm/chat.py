@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sectio.llm.common import lean
 from sectio.llm.template import Template, as_messages
 
 TEMPLATE = (
@@ -94,7 +95,7 @@ def render(conversations: DataFrame, template: str = TEMPLATE, part_chars: int =
                 at += len(piece)
             yield flush()
 
-    return _sorted(conversations).mapInArrow(run, "conv_id long, part int, formatted string, loss_start array<long>, loss_end array<long>")
+    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, part int, formatted string, loss_start array<long>, loss_end array<long>")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
@@ -117,4 +118,4 @@ def digests(conversations: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     table = lambda rows: pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-    return _sorted(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

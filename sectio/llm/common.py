@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,29 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def lean(run: Callable) -> Callable:
+    """A task function that gives memory it has freed back to the system when it
+    ends. Python workers live on between tasks, and an executor has several."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def ending(batches: Iterator[pa.RecordBatch], last: Callable[[], None]) -> Iterator[pa.RecordBatch]:
+    """The same batches; ``last`` runs when they are over or given up."""
+    try:
+        yield from batches
+    finally:
+        last()
+
+
 def text_bytes(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b"" if v is None else v for v in col.cast(pa.binary()).to_pylist()]

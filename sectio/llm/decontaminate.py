@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import sized_batches, texts
+from sectio.llm.common import lean, sized_batches, texts
 
 GAP = re.compile(r"[\W_]+")
 ERROR_RATE = 0.08
@@ -186,7 +186,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
                         pa.array([f[1] for f in found], pa.int32()), pa.array([limit[f[0]] for f in found], pa.int32()),
                         pa.array([f[2] for f in found], pa.int64())], ["id", "item_id", "distance", "budget", "match_end"])
 
-        part = held.mapInArrow(run, f"id {kind}, item_id long, distance int, budget int, match_end long")
+        part = held.mapInArrow(lean(run), f"id {kind}, item_id long, distance int, budget int, match_end long")
         out = part if out is None else out.union(part)
     return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "distance", "budget", "match_end")
 
@@ -209,5 +209,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
             for batch in sized_batches(batches, "text"):
                 yield batch.filter(pa.array([not matcher.leaks(t) for t in texts(batch.column("text"))], pa.bool_()))
 
-        row = row.mapInArrow(run, kind)
+        row = row.mapInArrow(lean(run), kind)
     return row.select(*(F.col("row").getField(c).alias(c) for c in columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import sized_batches, texts
+from sectio.llm.common import ending, lean, sized_batches, texts
 from sectio.llm.pieces import MARK, Kept, Vocabulary, vocabulary
 
 
@@ -84,6 +84,11 @@ class Encoder:
             else:
                 return True
 
+    def forget(self) -> None:
+        """Drop what was kept of units and pairs (at the end of a task)."""
+        self.units.forget()
+        self.fits.clear()
+
     def compatible(self, left: str, right: str) -> bool:
         """Whether re-merging two pieces gives the two again."""
         key = (left, right)
@@ -153,7 +158,7 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(path: str) -> Encoder:
-    """One per path and Python worker, so that tasks share what is known of units."""
+    """One per path and Python worker: tasks share the automaton."""
     return Encoder(vocabulary(path))
 
 
@@ -219,14 +224,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ends: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         dec = Decoder(enc.vocab)
-        for batch in sized_batches(batches, "text", 4 << 20):
+        for batch in ending(sized_batches(batches, "text", 4 << 20), enc.forget):
             ids = [enc.encode(t, ends) for t in texts(batch.column("text"))]
             edges = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             yield pa.record_batch([
                 batch.column("rest"), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids).astype(np.int32))),
                 pa.array([dec.decode(i) for i in ids], pa.string())], ["rest", "ids", "decoded"])
 
-    done = held.mapInArrow(run, f"rest {held.schema['rest'].dataType.simpleString()}, ids array<int>, decoded string")
+    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, ids array<int>, decoded string")
     return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), "ids", "decoded")
 
 
@@ -236,7 +241,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         dec = Decoder(enc.vocab)
-        for batch in sized_batches(batches, "text"):
+        for batch in ending(sized_batches(batches, "text"), enc.forget):
             out = []
             for t in texts(batch.column("text")):
                 ids = enc.encode(t)
@@ -245,4 +250,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                                   ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            .mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"))

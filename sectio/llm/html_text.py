@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import sized_batches, texts
+from sectio.llm.common import lean, sized_batches, texts
 
 # What HTML says of its elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,5 +215,5 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             out = [main_text(h) for h in texts(batch.column("html"))]
             yield pa.record_batch([batch.column("rest"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["rest", "text", "n_chars"])
 
-    done = held.mapInArrow(run, f"rest {held.schema['rest'].dataType.simpleString()}, text string, n_chars long")
+    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, text string, n_chars long")
     return done.select(*(F.col("rest").getField(c).alias(c) for c in keep), "text", "n_chars")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.llm.common import sized_batches, texts
+from sectio.llm.common import lean, sized_batches, texts
 
 # Families of common languages; any other language is a family of its own.
 FAMILIES = {
@@ -194,7 +194,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
                                    pa.array([x.astype("<f4").tobytes() for x in found if x is not None], pa.binary())], ["lang", "id", "x"])
 
     # At most ``per_lang`` ids a language.
-    got = rows.join(F.broadcast(drawn), ["id", "lang"], "left_semi").select("lang", "id", "text").mapInArrow(vectors, "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
+    got = rows.join(F.broadcast(drawn), ["id", "lang"], "left_semi").select("lang", "id", "text").mapInArrow(lean(vectors), "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
     model = Model()
     langs = sorted(got.lang.unique())
     if not langs:
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([batch.column("rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
                                   ["rest", "lang_pred", "score"])
 
-    done = held.mapInArrow(run, f"rest {held.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
+    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
     return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), "lang_pred", "score")
 
 

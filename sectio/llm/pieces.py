@@ -78,11 +78,14 @@ class Kept(dict):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def __missing__(self, unit: str):
         value = self.make(unit)
         if self.held > self.limit:
-            self.clear()
-            self.held = 0
+            self.forget()
         self.held += len(unit) + 16
         self[unit] = value
         return value

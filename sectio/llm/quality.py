@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import sized_batches, texts
+from sectio.llm.common import lean, sized_batches, texts
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 BUCKETS = 1 << 14
@@ -109,7 +109,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.record_batch([pa.array(rows), *(pa.array(total[rows, k]) for k in range(DIMS))], names)
 
     names = ["bucket", *(f"v{k}" for k in range(DIMS))]
-    sums = (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    sums = (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
             .groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names[1:])).toPandas())
     out = np.zeros((BUCKETS, DIMS))
     out[sums.bucket.to_numpy(int)] = sums[names[1:]].to_numpy(float)
@@ -190,7 +190,7 @@ def features(docs: DataFrame, vectors, text_col: str, columns: list[str]) -> Dat
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(x, pa.binary())], [*columns, "x"])
 
     held = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    return held.mapInArrow(run, ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in columns) + ", x binary")
+    return held.mapInArrow(lean(run), ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in columns) + ", x binary")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -226,5 +226,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
             yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(net.value.probability(x.astype("<f4").astype(float)))], ["id", "held_out", "score"])
 
     held = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__text"))
-    done = held.mapInArrow(run, f"id {held.schema['id'].dataType.simpleString()}, held_out boolean, score double")
+    done = held.mapInArrow(lean(run), f"id {held.schema['id'].dataType.simpleString()}, held_out boolean, score double")
     return done.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

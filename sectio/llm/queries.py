@@ -31,7 +31,7 @@ def query(name: str, oracle: str | None = None):
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents", "doc_id", "text")
     done = suffix_dedup.remove_repeats(docs, length=200, mode="all")
-    return done.mapInArrow(suffix_dedup.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return done.mapInArrow(common.lean(suffix_dedup.digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 @query("op2_nearest_neighbours")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.llm.common import cut, sized_batches, texts
+from sectio.llm.common import cut, lean, sized_batches, texts
 from sectio.llm.components import components
 
 MAX_BITS = 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
             yield pa.record_batch([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "id long, fp long"))
+            .mapInArrow(lean(run), "id long, fp long"))
 
 
 def golay_syndrome(words: np.ndarray) -> np.ndarray:
@@ -224,13 +224,13 @@ def links(nodes: DataFrame, bits: int = MAX_BITS, bucket_limit: int = 512) -> Da
     connect exactly the components of "differ in at most ``bits`` bits"."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be 0 to {MAX_BITS}")
-    rows, out = nodes.select("fp", "id").mapInArrow(_first_keys, "key long, fp long, id long"), None
+    rows, out = nodes.select("fp", "id").mapInArrow(lean(_first_keys), "key long, fp long, id long"), None
     for level in range(LEVELS + 1):
         number = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = cut(rows.join(number, "key"))
         fine = shared if level == LEVELS else shared.where(F.col("n") <= bucket_limit)
         found = (fine.select("key", "fp", "id").repartition("key").sortWithinPartitions("key")
-                 .mapInArrow(_bucket_links(bits), "a long, b long"))
+                 .mapInArrow(lean(_bucket_links(bits)), "a long, b long"))
         out = found if out is None else out.union(found)
         large = shared.where(F.col("n") > bucket_limit)
         if level == LEVELS or large.isEmpty():

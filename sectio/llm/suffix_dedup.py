@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import cut, text_bytes
+from sectio.llm.common import cut, lean, sized_batches, text_bytes
 from sectio.llm.rolling import Hashed, ranges, super_windows
 
 LENGTH = 200
@@ -98,16 +98,17 @@ def _bits(flags: np.ndarray) -> bytes:
 
 def _slices(batch: pa.RecordBatch, cols: tuple[str, ...]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
     """Rows of a batch, about ``SLICE`` bytes of text at a time."""
-    body = text_bytes(batch.column("text"))
-    rest = [batch.column(c) for c in cols]
-    at = 0
-    while at < len(body):
-        end, held = at + 1, len(body[at])
-        while end < len(body) and held + len(body[end]) <= SLICE:
-            held += len(body[end])
-            end += 1
-        yield body[at:end], [c.slice(at, end - at) for c in rest]
-        at = end
+    for part in sized_batches(iter([batch]), "text", 8 * SLICE):
+        body = text_bytes(part.column("text"))
+        rest = [part.column(c) for c in cols]
+        at = 0
+        while at < len(body):
+            end, held = at + 1, len(body[at])
+            while end < len(body) and held + len(body[end]) <= SLICE:
+                held += len(body[end])
+                end += 1
+            yield body[at:end], [c.slice(at, end - at) for c in rest]
+            at = end
 
 
 PART = 4 << 20
@@ -308,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     base = _keyed(docs, id_col)
     body = base.select(F.col("__rid").alias("rid"), F.col(text_col).cast("string").alias("text"))
 
-    supers = body.mapInArrow(_super_rows(length, gram), "mh long, fh long, rid long, at long")
+    supers = body.mapInArrow(lean(_super_rows(length, gram)), "mh long, fh long, rid long, at long")
     # Written, so that the join below is between two plain shuffles and a minimizer of very many rows can be split.
     twice = (supers.groupBy("mh").agg(F.count(F.lit(1)).alias("c"), F.min("fh").alias("lo"), F.max("fh").alias("hi"))
              .where("c > 1").select("mh", (F.col("lo") != F.col("hi")).alias("mixed")))
@@ -318,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     reps = kinds.where("mixed").select("mh", "fh", "first.rid", "first.at")
     crowd = reps.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit).select("mh")
     wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("mh", "fh", "at")).alias("want"))
-    strings = body.join(wanted, "rid").mapInArrow(_cut_strings(length), "mh long, fh long, rid long, at long, body binary")
+    strings = body.join(wanted, "rid").mapInArrow(lean(_cut_strings(length)), "mh long, fh long, rid long, at long, body binary")
     masks = "mh long, fh long, early binary, other binary"
     if crowd.isEmpty():
         found = strings
@@ -326,15 +327,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     else:
         strings = cut(strings)
         found = strings.join(crowd, "mh", "left_anti")
-        windows = strings.join(crowd, "mh", "left_semi").mapInArrow(
-            _window_rows(length), "mh long, fh long, rid long, at long, off int, number int, w0 long, w1 long")
+        windows = strings.join(crowd, "mh", "left_semi").mapInArrow(lean(_window_rows(length)), "mh long, fh long, rid long, at long, off int, number int, w0 long, w1 long")
         place = F.struct("rid", (F.shiftright("at", 16) + F.col("off")).alias("p"))
         seen = windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")).where("c > 1")
         crowded = (windows.join(cut(seen), ["w0", "w1"]).withColumn("early", place != F.col("f")).groupBy("mh", "fh")
                    .agg(F.first("number").alias("number"), F.collect_list(F.when(F.col("early"), F.col("off"))).alias("early"), F.collect_list("off").alias("other"))
-                   .mapInArrow(_mask_rows, masks))
+                   .mapInArrow(lean(_mask_rows), masks))
     found = (found.repartition("mh").sortWithinPartitions("mh", "rid", "at").select("mh", "fh", "body")
-             .mapInArrow(_factor_rows(length), masks))
+             .mapInArrow(lean(_factor_rows(length)), masks))
     if crowded is not None:
         found = found.union(crowded)
     # Written for the same reason: very many documents may hold one super-window.
@@ -352,8 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     rest = [c for c in docs.columns if c != text_col and c not in ADDED]
     held = base.select(F.col("__rid").alias("rid"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
     kind = held.schema["rest"].dataType.simpleString()
-    done = held.join(marks, "rid", "left").mapInArrow(
-        _apply(length), f"rest {kind}, span_start array<long>, span_end array<long>, n_bytes long, kept binary")
+    done = held.join(marks, "rid", "left").mapInArrow(lean(_apply(length)), f"rest {kind}, span_start array<long>, span_end array<long>, n_bytes long, kept binary")
     return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), *ADDED)
 
 

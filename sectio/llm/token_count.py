@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import sized_batches, texts
+from sectio.llm.common import ending, lean, sized_batches, texts
 from sectio.llm.pieces import Kept, Vocabulary, vocabulary
 
 
@@ -65,7 +65,7 @@ class Counter:
 
 @lru_cache(4)
 def counter(path: str) -> Counter:
-    """One per path and Python worker, so that tasks share what is known of units."""
+    """One per path and Python worker: tasks share the vocabulary."""
     return Counter(vocabulary(path))
 
 
@@ -80,11 +80,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in sized_batches(batches, "text"):
+        for batch in ending(sized_batches(batches, "text"), own.units.forget):
             body = texts(batch.column("text"))
             n = [own.count(t) for t in body]
             yield pa.record_batch([batch.column("rest"), pa.array([len(t.encode()) for t in body], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                                   ["rest", *added])
 
-    done = held.mapInArrow(run, f"rest {held.schema['rest'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
     return done.select(*(F.col("rest").getField(c).alias(c) for c in keep), *added)
