@@ -73,8 +73,8 @@ def test_columns_nulls_repeats_and_empty_table(spark, words):
 def test_previous_factors_on_hand_case():
     data = np.frombuffer(b"abcabcabx", np.uint8)
     back, on = S.previous_factors(data, np.arange(7), 3)
-    assert back.tolist() == [0, 0, 0, 3, 3, 0, 0]
-    assert on.tolist() == [3, 3, 0, 0, 0, 0, 0]
+    assert back.tolist() == [0, 0, 0, 3, 3, 3, 0]
+    assert on.tolist() == [3, 3, 3, 0, 0, 0, 0]
 
 
 def test_jumping_links_agree_with_a_scan():
