@@ -283,13 +283,15 @@ def _apply(length: int):
 
 
 def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """Add ``__rid``, a unique long. It is the id itself where ids are unique;
-    where ids repeat or are null, rows are numbered as Spark reads them and
-    written once, so that every later step sees the same numbers."""
+    """Add ``__rid``, a unique long in the order of ids. It is the id itself where
+    ids are unique; where ids repeat or are null, rows are sorted by id (nulls
+    last), numbered, and written once, so that every later step sees the same
+    numbers."""
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
     if ids.groupBy("i").count().where("count > 1 or i is null").isEmpty():
         return docs.withColumn("__rid", F.col(id_col).cast("long"))
-    return cut(docs.withColumn("__rid", F.monotonically_increasing_id()))
+    order = F.col(id_col).cast("long").asc_nulls_last()
+    return cut(docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__rid", F.monotonically_increasing_id()))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", gram: int = GRAM,
@@ -299,8 +301,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     ``kept`` (the bytes left; a cut may fall inside a character).
 
     Null texts count as empty; a text shorter than ``length`` bytes keeps all.
-    "Earlier" goes by id, then place; if any id is null or repeats, rows count in
-    the order Spark reads them. Columns of ``docs`` named like an added one are
+    "Earlier" goes by id (nulls last), then place; rows that share an id follow
+    each other in the order in which they were numbered. Columns of ``docs`` named like an added one are
     replaced, others left alone; an empty table gives no rows."""
     if mode not in ("first", "all"):
         raise ValueError("mode must be 'first' or 'all'")
