@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,13 +222,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     replaced). Null texts, texts without letters, and any text under a model
     without languages give ``und`` with score zero."""
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    held = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few columns of ``dims`` numbers
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
+    place = rest.index(text_col)  # the text travels once, inside the row
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few columns of ``DIMS`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in sized_batches(batches, "text"):
-            body = texts(batch.column("text"))
+        for batch in sized_batches(batches, "rest", 4 << 20):
+            body = texts(pc.struct_field(batch.column("rest"), [place]).cast(pa.string()))
             means = mean_weights(body, own.weights) if own.families else [None] * len(body)
             out = [(UND, 0.0) if m is None else own.decide(m) for m in means]
             yield pa.record_batch([batch.column("rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
@@ -251,7 +253,9 @@ def identify(docs: DataFrame, per_lang: int = 500) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Rows whose language is told with ``min_score`` at least; the columns of ``docs``."""
     columns = docs.columns
-    found = predict(docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in columns))).select("__row", F.col("text").alias("__text")),
-                    fit(docs.where("doc_id is not null").where(~held_out())), text_col="__text")
+    model = fit(docs.where("doc_id is not null").where(~held_out()))
+    # Columns named like the prediction's step aside meanwhile.
+    aside = {c: f"__{c}" for c in columns if c in ("lang_pred", "score")}
+    found = predict(docs.withColumnsRenamed(aside), model)
     kept = found.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    return kept.select(*(F.col("__row").getField(c).alias(c) for c in columns))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({v: c for c, v in aside.items()}).select(*columns)
