@@ -126,7 +126,7 @@ def _score(k: int):
     """Nearest ``k`` members of one shard for each query that comes to it."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "vid": [], "ids": [], "score": []}).astype({"query": "int64", "vid": "int64", "score": "float64"})
+            return pd.DataFrame({"query": [], "vid": [], "ids": [], "score": []}).astype({"query": "int64", "vid": "int64", "ids": "object", "score": "float64"})
         x = np.stack(left.embedding.to_numpy()).astype(float)
         out, x2 = [], (x**2).sum(1)
         for lo in range(0, len(right), 256):

@@ -54,6 +54,15 @@ def test_copies_shards_and_bad_vectors(spark):
     assert len(ann.search(few, few).collect()) == 6
 
 
+def test_a_shard_without_queries_gives_an_empty_frame_that_arrow_takes(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    out = ann._score(3)(pd.DataFrame({"vid": [1], "ids": [[1]], "embedding": [[1.0]]}), pd.DataFrame({"query": [], "embedding": []}))
+    schema = pa.schema([("query", pa.int64()), ("vid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    assert pa.Table.from_pandas(out, schema).num_rows == 0
+
+
 def test_graph_search_finds_most(spark):
     rng = np.random.default_rng(1)
     c = rng.normal(size=(200, 16))
