@@ -8,8 +8,10 @@ the least distance. Centroids form a neighbour graph held in memory (the sample
 bounds its size); lists are found by beam search over it. A list longer than
 ``shard_rows`` is dealt out over several shards; every shard is searched.
 
-Search. A query takes the lists whose centroid lies within ``probe_ratio`` times
-the least distance, at most ``probes`` of them. Candidates are scored exactly.
+Search. A query opens lists in order of distance until the vectors at home there
+are several times ``k + 1``, and goes on to ``probe_ratio`` times the distance of
+the last of these, to at most ``probes`` lists. Candidates are scored exactly. A
+query that still has fewer than ``k`` is compared with all vectors, in blocks.
 Equal vectors are indexed once with their smallest ids, so copies cost one row.
 """
 
@@ -108,33 +110,45 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def _lists(shared, ratio: float, most: int):
-    """``(id, embedding, ...)`` -> the same rows, once for each list they take."""
+def _lists(shared, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0):
+    """``(id, embedding, ...)`` -> the same rows, once for each list they take, and
+    whether it is the nearest. The ratio is to the distance at which the lists
+    hold ``need`` vectors by ``sizes``, without sizes to the least."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 found, d = graph.search(_matrix(batch.column("embedding")), most)
-                rows, k = np.nonzero(d <= np.maximum(d[:, :1] * ratio, 1e-12))
-                yield pa.record_batch([pa.array(found[rows, k].astype(np.int32)), *(c.take(pa.array(rows)) for c in batch.columns)], ["list", *batch.schema.names])
+                reach = d[:, :1]
+                if sizes is not None:
+                    held = sizes[found].cumsum(1)
+                    at_need = np.where(held[:, -1] >= need, (held >= need).argmax(1), held.shape[1] - 1)
+                    reach = np.take_along_axis(d, at_need[:, None], 1)
+                rows, k = np.nonzero(d <= np.maximum(reach * ratio, 1e-12))
+                yield pa.record_batch([pa.array(found[rows, k].astype(np.int32)), pa.array(k == 0), *(c.take(pa.array(rows)) for c in batch.columns)],
+                                      ["list", "home", *batch.schema.names])
 
     return run
 
 
-def _score(k: int):
-    """Nearest ``k`` members of one shard for each query that comes to it."""
+def _score(k: int, others: bool = False):
+    """Nearest ``k`` members of one shard for each query that comes to it; with
+    ``others``, members that hold no id but the query's are passed over."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "vid": [], "ids": [], "score": []}).astype({"query": "int64", "vid": "int64", "ids": "object", "score": "float64"})
         x = np.stack(left.embedding.to_numpy()).astype(float)
         out, x2 = [], (x**2).sum(1)
+        alone = np.array([i[0] if len(i) == 1 else None for i in left.ids], object) if others else None
         for lo in range(0, len(right), 256):
             part = right.iloc[lo:lo + 256]
             q = np.stack(part.embedding.to_numpy()).astype(float)
             rough = x2[None, :] - 2 * q @ x.T
+            if others:
+                rough[part["query"].to_numpy()[:, None] == alone[None, :]] = np.inf
             kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            r, c = np.nonzero(rough <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None])
+            r, c = np.nonzero(np.isfinite(rough) & (rough <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None]))
             out.append(pd.DataFrame({"query": part["query"].to_numpy()[r], "vid": left.vid.to_numpy()[c], "ids": left.ids.to_numpy()[c],
                                      "score": np.sqrt(((q[r] - x[c])**2).sum(1))}))
         return pd.concat(out)
@@ -151,6 +165,20 @@ def valid(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     return ok.where(F.size(col) == (size.n if size else 0))
 
 
+def _all_pairs(base: DataFrame, asked: DataFrame, n_asked: int, k: int, shard_rows: int) -> DataFrame:
+    """``(query_id, found)``: the ``k`` nearest of all vectors for each id asked."""
+    shards, blocks = -(-base.count() // shard_rows), -(-n_asked // shard_rows)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    members = base.select(each(blocks).alias("block"), F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int").alias("shard"), "vid", "ids", "embedding")
+    queries = asked.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), each(shards).alias("shard"), F.col("id").alias("query"), "embedding")
+    scored = (members.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard"))
+              .applyInPandas(_score(k, others=True), "query long, vid long, ids array<long>, score double"))
+    best = scored.groupBy("query", "vid").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
+    flat = best.select("query", "score", F.explode("ids").alias("id")).where("id != query")
+    return (flat.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).where(F.col("r") <= k)
+            .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("found")).withColumnRenamed("query", "query_id"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", sample: int = SAMPLE, leaf: int = 48,
            replicate: float = 1.06, copies: int = 4, probe_ratio: float = 1.3, probes: int = 192, shard_rows: int = 8192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each
@@ -159,8 +187,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Vectors that are null, zero, of another length, or hold null or non-finite
     components take no part, as do rows with a null id. Equal vectors are all
-    candidates. Fewer candidates give fewer rows; empty tables give none. The
-    centroids are fitted on ``sample`` vectors; every vector is indexed."""
+    candidates. Only a query with fewer than ``k`` candidates in the whole table
+    has fewer rows; empty tables give none. The centroids are fitted on ``sample``
+    vectors; every vector is indexed."""
     spark = vectors.sparkSession
     pick = lambda df: valid(df.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("embedding")).where("id is not null"))
     rows = pick(vectors)
@@ -176,10 +205,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     asked = pick(queries)
     names = asked.groupBy("embedding").agg(F.min("id").alias("query"))
     who = asked.join(names, "embedding").select(F.col("id").alias("query_id"), "query").distinct()
-    posted = cut(base.select("vid", "ids", "embedding").mapInArrow(lean(_lists(graph, replicate, copies)), "list int, vid long, ids array<long>, embedding array<double>"))
-    wide = names.select("query", "embedding").mapInArrow(lean(_lists(graph, probe_ratio, probes)), "list int, query long, embedding array<double>")
+    posted = cut(base.select("vid", "ids", "embedding").mapInArrow(lean(_lists(graph, replicate, copies)), "list int, home boolean, vid long, ids array<long>, embedding array<double>"))
     # One row a list: bounded by the sample.
-    sizes = [(r["list"], -(-r["count"] // shard_rows)) for r in posted.groupBy("list").count().collect()]
+    counts = posted.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("home")).collect()
+    sizes = [(r["list"], -(-r["n"] // shard_rows)) for r in counts]
+    home = np.zeros(len(graph.value.x), np.int64)
+    home[[r["list"] for r in counts]] = [r["home"] for r in counts]
+    wide = names.select("query", "embedding").mapInArrow(lean(_lists(graph, probe_ratio, probes, home, 8 * (k + 1))), "list int, home boolean, query long, embedding array<double>")
     of = lambda: F.broadcast(spark.createDataFrame(sizes, "list int, shards int"))
     posted = posted.join(of(), "list").select("list", F.pmod(F.xxhash64("vid"), F.col("shards")).cast("int").alias("shard"), "vid", "ids", "embedding")
     wide = wide.join(of(), "list").select("list", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), "query", "embedding")
@@ -190,6 +222,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     flat = best.select("query", "score", F.explode("ids").alias("id"))
     top = (flat.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).where(F.col("r") <= k + 1)
            .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("found")))
-    own = who.join(top, "query").select("query_id", F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k).alias("found"))
+    own = cut(who.join(top, "query", "left")
+              .select("query_id", F.slice(F.filter(F.coalesce("found", F.array().cast(top.schema["found"].dataType)), lambda f: f["id"] != F.col("query_id")), 1, k).alias("found")))
+    short = own.where(F.size("found") < k).select("query_id").distinct()
+    n_short = short.count()
+    if n_short:
+        own = own.join(short, "query_id", "left_anti").unionByName(_all_pairs(base, asked.join(short.withColumnRenamed("query_id", "id"), "id", "left_semi"), n_short, k, shard_rows))
     return (own.select("query_id", F.posexplode("found").alias("p", "f"))
             .select("query_id", (F.col("p") + 1).alias("rank"), F.col("f.id").alias("vec_id"), F.col("f.score").alias("score")))

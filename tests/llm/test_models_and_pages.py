@@ -63,6 +63,25 @@ def test_a_shard_without_queries_gives_an_empty_frame_that_arrow_takes(spark):
     assert pa.Table.from_pandas(out, schema).num_rows == 0
 
 
+def test_every_query_has_k_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 16)), 40 * rng.normal(size=(60, 16)), 1e6 + rng.normal(size=(3, 16)),
+                        np.repeat(8 * rng.normal(size=(40, 16)), 4, 0) + 1e-6 * rng.normal(size=(160, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    # An id with many vectors of its own near it still has its ten others.
+    own = spark.createDataFrame([(5000, [500.0 + j / 100] + [0.0] * 15) for j in range(60)], df.schema)
+    got: dict = {}
+    for r in ann.search(df.union(own), df.where("vec_id >= 380").union(own.limit(1))).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {*range(380, len(x)), 5000}
+    assert all(sorted(f[0] for f in found) == list(range(1, 11)) for found in got.values())
+    y, ids = np.concatenate([x, [[500.0 + j / 100] + [0.0] * 15 for j in range(60)]]), [*range(len(x)), *[5000] * 60]
+    hits = sum(len({v for _, v, _ in got[q]} & {i for _, i in exact(ids, y, q)}) for q in range(380, len(x)))
+    assert hits >= 0.9 * 10 * (len(x) - 380)
+    near = sorted((s, i) for s, i in zip(np.sqrt(((x - y[len(x)]) ** 2).sum(1)).tolist(), range(len(x))))[:10]
+    assert [v for _, v, _ in sorted(got[5000])] == [i for _, i in near]
+
+
 def test_graph_search_finds_most(spark):
     rng = np.random.default_rng(1)
     c = rng.normal(size=(200, 16))
