@@ -1,13 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 A tolerant parse gives the text nodes of a page with their root-to-leaf tag
-paths (tags with class or id). What can't be article text (scripts, forms,
-navigation, and elements whose tag, role, class or id names them as adverts,
-sidebars, notices, reader comments and the like) is left out first. Then, per
+paths (tags with class or id). What can't be article text (scripts, navigation,
+hidden elements and the like) is left out first. Then, per
 path, the text length per node and the punctuation per node are aggregated;
 both series are smoothed over the nodes in page order, fused (geometric mean,
 less by the share of link text), and paths whose mean fused value reaches the
-threshold are content. The smallest element that holds most of the content text
+threshold are content. Forms and elements whose role, class or id names them as
+adverts, sidebars, notices, reader comments and the like go, unless by the text
+on such paths they are wrappers that hold the article (``judge``); the ratios are
+taken again over what is left. The smallest element that holds most of the content text
 is the article: its other nodes, such as headings and short lines, belong to it.
 """
 
@@ -27,7 +29,7 @@ from sectio.llm.common import lean, sized_batches, texts
 # What HTML says of its elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = set("script style noscript template head title nav aside footer form button select option textarea input iframe object svg canvas audio video menu dialog".split())
+NEVER = set("script style noscript template head title nav aside footer button select option textarea input iframe object svg canvas audio video menu dialog".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar side nav navbar navigation menu "
@@ -44,27 +46,33 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，؟।\"'()]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "drop", "link", "article", "depth", "number")
+    __slots__ = ("tag", "parent", "path", "drop", "link", "article", "depth", "number", "named")
 
-    def __init__(self, tag, label, parent, drop, number):
+    def __init__(self, tag, label, parent, drop, number, named=False):
         self.tag, self.parent, self.number = tag, parent, number
         self.path = f"{parent.path}/{label}" if parent else label
         self.drop = drop or bool(parent and parent.drop)
         self.link = tag == "a" or bool(parent and parent.link)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.depth = parent.depth + 1 if parent else 0
+        self.named = named  # tells of itself that it is no article text
 
 
 def unwanted(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
-    """Whether tag, role, state or names tell that an element isn't article text.
-    Inside an article a header is the article's own."""
+    """Whether tag or state tell that an element isn't article text. Inside an
+    article a header is the article's own."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
     if tag in ROOTS:
         return False
-    if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+    if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
+
+
+def named_so(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+    """Whether a form, a role or names say that an element isn't article text."""
+    if tag == "form" or (attrs.get("role") or "").lower() in ROLES:
         return True
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
     for name in names.split():
@@ -100,7 +108,8 @@ class Reader(HTMLParser):
         top = self.open[-1]
         self.made += 1
         name = (attrs.get("id") or attrs.get("class") or "").split()
-        self.open.append(Element(tag, f"{tag}.{name[0]}" if name else tag, top, unwanted(tag, attrs, top.article), self.made))
+        self.open.append(Element(tag, f"{tag}.{name[0]}" if name else tag, top, unwanted(tag, attrs, top.article), self.made,
+                                 named_so(tag, attrs, top.article)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -179,16 +188,86 @@ def article_of(nodes: list[tuple[Element, int, str]], paths: set[str], share: fl
     return found
 
 
+def judge(nodes: list[tuple[Element, int, str]], minor: float = 0.25, least: float = 0.1) -> list[tuple[Element, int, str]]:
+    """The nodes that are in no named element that goes. Outer elements are judged
+    first, by their text on content paths against the text beside them: that
+    outside all named elements, and that of the wrappers around them. An element
+    stays if it has ``minor`` of the page's text and leaves no more than ``minor``
+    beside it. Article and main elements that aren't named themselves come first:
+    an element that holds the only ones stays with ``minor`` of both texts, and one
+    that holds none goes if they have ``least`` of both beside it."""
+    known: set[Element] = set()
+    for e, _, _ in nodes:
+        while e is not None and e not in known:
+            known.add(e)
+            e = e.parent
+    judged = sorted((e for e in known if e.named and e.tag not in ROOTS), key=lambda e: e.number)
+    if not judged:
+        return nodes
+    full = [n for n in nodes if n[2].strip()]
+    if not full:
+        return []
+    paths, among = content_paths(full), set(judged)
+    held, holds = dict.fromkeys(judged, 0), dict.fromkeys(judged, False)
+    # Text, and the article elements around it, by the nearest named element.
+    own: dict[Element | None, int] = {None: 0, **held}
+    articles: dict[Element | None, set[Element]] = {e: set() for e in own}
+    total = 0
+    for e, _, t in full:
+        if e.path not in paths:
+            continue
+        size, near, around = len(t.strip()), None, set()
+        total += size
+        while e is not None:
+            if e.tag in ("article", "main") and not e.named:
+                around.add(e)
+            elif e in among:
+                near = near or e
+                held[e] += size
+                holds[e] = holds[e] or bool(around)
+            e = e.parent
+        own[near] += size
+        articles[near] |= around
+    gone: set[Element] = set()
+    for e in judged:
+        above, beside, others = e.parent, own[None], set(articles[None])
+        around = set()
+        while above is not None and above not in gone:
+            around.add(above)
+            if above in among:
+                beside += own[above]
+                others |= articles[above]
+            above = above.parent
+        both = beside + held[e]
+        if above is not None:
+            continue  # inside one that goes
+        elsewhere = bool(others - around)
+        if holds[e] and not elsewhere:
+            stays = held[e] >= minor * both
+        elif elsewhere and not holds[e] and beside >= least * both:
+            stays = False
+        else:
+            stays = held[e] >= minor * total and beside <= minor * both
+        if not stays or not held[e]:
+            gone.add(e)
+    drop: dict[Element | None, bool] = {None: False}
+    for e in sorted(known, key=lambda e: e.number):
+        drop[e] = drop[e.parent] or e in gone
+    return [n for n in nodes if not drop[n[0]]]
+
+
 def main_text(html: str) -> str:
     """Text of the article of one page; empty if there is none."""
     reader = Reader()
     reader.feed(html)
     HTMLParser.close(reader)
-    wanted = [n for n in reader.nodes if not n[0].drop]
+    wanted = judge([n for n in reader.nodes if not n[0].drop])
     full = [n for n in wanted if n[2].strip()]
     if not full:
         return ""
     paths = content_paths(full)
+    if not paths:
+        return ""  # nothing but links
     root = article_of(full, paths)
 
     def inside(e):

@@ -144,6 +144,31 @@ def test_page_text(wrap):
     assert H.main_text(PAGE.format(body=wrap.format(BODY))) == WANT
 
 
+SIDE = '<div class="sidebar"><p>Side text, of a box. Not long.</p></div>'
+
+
+@pytest.mark.parametrize("wrap", ['<form id="aspnetForm">{}</form>', '<div class="main-with-sidebar">{}' + SIDE + "</div>", '<div class="content-sidebar-wrap"><article>{}</article>' + SIDE + "</div>",
+                                  '<section class="social">{}</section>', '<form><div class="main-with-sidebar"><main>{}</main>' + SIDE + "</div></form>", '<div role="form">{}</div>'])
+def test_a_named_wrapper_of_the_article_stays(wrap):
+    assert H.main_text(PAGE.format(body=wrap.format(BODY + BODY))) == f"{WANT} {WANT}"
+    # Named elements of the whole page's wrapper are judged one by one.
+    whole = PAGE.format(body=wrap.format(BODY + BODY)).replace("<header>", '<form id="aspnetForm"><header>').replace("<form><label>", "<div class=\"search\"><label>").replace("</form><footer>", "</div><footer>")
+    assert H.main_text(whole) == f"{WANT} {WANT}"
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><article>{}</article></main>", '<div class="post-body">{}</div>'])
+def test_named_boxes_beside_an_article_go(wrap):
+    more = "<p>A comment, with words. And more words, you see.</p>"
+    for name in ["ad", "related", "social"]:
+        assert H.main_text(PAGE.format(body=wrap.format(BODY + BODY) + f'<div class="{name}"><p>Read this, too. It is short.</p></div>')) == f"{WANT} {WANT}"
+    comments = f'<ol class="comments">{"".join(f"""<li class="comment" id="c{i}"><article class="comment-body">{more}</article></li>""" for i in range(30))}</ol>'
+    assert H.main_text(PAGE.format(body=wrap.format(BODY + BODY) + comments)) == f"{WANT} {WANT}"
+
+
+def test_pages_of_links_and_boxes_only():
+    assert H.main_text("<a href=x>hi</a>") == "" and H.main_text('<div class="ad"> </div>') == ""
+
+
 def test_page_cases(spark):
     cut = PAGE.format(body=f"<article>{BODY}</article>")
     for page in ["", "<html>", "<p", "&amp", "<article><h1>a</h1><p>b <i>c", "<!-- x", "<div hidden>no</div>", "text only", "<p>" * 3000 + "deep", "<b>" * 3000 + "deep",
