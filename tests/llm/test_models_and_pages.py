@@ -82,6 +82,24 @@ def test_every_query_has_k_rows(spark):
     assert [v for _, v, _ in sorted(got[5000])] == [i for _, i in near]
 
 
+def test_recall_with_pruned_lists(spark):
+    """Production parameters on more vectors than the sample and more lists than
+    are probed: clusters, near copies, outliers and noise."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([(4 * rng.normal(size=(120, 1, 16)) + rng.normal(size=(120, 120, 16))).reshape(-1, 16), rng.normal(size=(3600, 16)),
+                        np.repeat(4 * rng.normal(size=(300, 16)), 4, 0) + 1e-3 * rng.normal(size=(1200, 16)), 30 * rng.normal(size=(800, 16))])
+    x = x[rng.permutation(len(x))]
+    assert len(x) == 20000 and len(ann.balanced_centroids(x[:ann.SAMPLE].copy(), 48)) > 192
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, df.where("vec_id % 40 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, len(x), 40)) and all(len(v) == 10 for v in got.values())
+    ids = list(range(len(x)))
+    recall = np.array([len(got[q] & {i for _, i in exact(ids, x, q)}) / 10 for q in got])
+    assert recall.mean() >= 0.95
+
+
 def test_graph_search_finds_most(spark):
     rng = np.random.default_rng(1)
     c = rng.normal(size=(200, 16))
