@@ -177,15 +177,22 @@ class Model:
         return best, float(score * squash(min(against)))
 
 
+def sampled(rows: DataFrame, per_lang: int) -> DataFrame:
+    """One text with letters (the one with the smallest hash) of each of at most
+    ``per_lang`` ids of a language, drawn by a hash of the id."""
+    rows = rows.where("id is not null and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    # Ids and hashes are drawn first, so that only the texts of the sample move.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    drawn = rows.groupBy("id", "lang").agg(F.min("h").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("id", "lang", "h")
+    return rows.join(F.broadcast(drawn), ["id", "lang", "h"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
+
+
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_lang: int = 500) -> Model:
     """Fit on up to ``per_lang`` documents of each non-null language, drawn by a
     hash of their id. Documents without letters are left out; no labelled
     documents give a model that knows no language."""
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("id is not null and lang is not null and text is not null")
-    # Ids are drawn first, so that only the texts of the sample move.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = (rows.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("id", "lang"))
+    rows = sampled(rows, per_lang)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text", 1 << 20):
@@ -194,8 +201,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
             yield pa.record_batch([batch.column("lang").take(keep), batch.column("id").take(keep),
                                    pa.array([x.astype("<f4").tobytes() for x in found if x is not None], pa.binary())], ["lang", "id", "x"])
 
-    # At most ``per_lang`` ids a language.
-    got = rows.join(F.broadcast(drawn), ["id", "lang"], "left_semi").select("lang", "id", "text").mapInArrow(lean(vectors), "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
+    got = rows.mapInArrow(lean(vectors), "lang string, id long, x binary").toPandas().sort_values(["lang", "id", "x"])
     model = Model()
     langs = sorted(got.lang.unique())
     if not langs:

@@ -135,3 +135,13 @@ def test_three_languages_of_one_family_vote():
     m = L.Model(["a"], {"a": ["x", "y", "z"]}, [("x", "y"), ("x", "z"), ("y", "z")], np.zeros((1, 4)), np.zeros(4))
     assert m.decide(np.array([0, -1, 1, 2.0]))[0] == "y"
     assert m.decide(np.array([0, 1, -3, 1.5]))[0] == "z" and m.decide(np.array([0, 0, 0, 0.0]))[0] == "x"
+
+
+def test_language_sample_holds_one_text_an_id(spark, words):
+    rows = [(1, "en", f"the same id with text {'abcdefghij'[i % 10]}") for i in range(300)] + [(2, "en", "a copy of it")] * 300 + [(i, "de", "123 --") for i in range(300)]
+    rows += [(i, "de", f"das ist ein Satz {i}") for i in range(300, 306)] + [(None, "de", "kein Platz"), (3, None, "x"), (4, "en", None)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    got = sorted((r.lang, r.id) for r in L.sampled(df, 5).collect())
+    assert [x for x in got if x[0] == "en"] == [("en", 1), ("en", 2)] and len(got) == 7
+    # Rows without letters take no places.
+    assert L.fit(df, id_col="id", per_lang=5).members == {"germanic": ["de", "en"]}
