@@ -194,7 +194,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     pick = lambda df: valid(df.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("embedding")).where("id is not null"))
     rows = pick(vectors)
     order = Window.partitionBy("embedding").orderBy("id")
-    base = cut(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    base = cut(rows.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
                .groupBy("embedding").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("vid", F.col("ids")[0]))
     drawn = base.select("embedding").orderBy(F.xxhash64("vid"), "vid").limit(sample).toPandas()
     schema = "query_id long, rank int, vec_id long, score double"

@@ -54,6 +54,13 @@ def test_copies_shards_and_bad_vectors(spark):
     assert len(ann.search(few, few).collect()) == 6
 
 
+def test_repeated_rows_hide_no_equal_vectors(spark):
+    rows = [(1, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in range(2, 15)] + [(i, [float(i), -5.0]) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 1").limit(1)).collect())
+    assert got == [(i, i + 1, 0.0) for i in range(1, 11)]
+
+
 def test_a_shard_without_queries_gives_an_empty_frame_that_arrow_takes(spark):
     import pandas as pd
     import pyarrow as pa
