@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sectio.session import write_shared as cut  # noqa: F401  lineage cuts of all operators here
 
@@ -17,6 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def typed(df: DataFrame, keep: list[str], added: str) -> StructType:
+    """Schema of the columns ``keep`` of ``df``, as they are, and of ``added``
+    (DDL text): types never pass through text, where names could break them."""
+    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+
+
 def lean(run: Callable) -> Callable:
     """A task function that gives memory it has freed back to the system when it
     ends. Python workers live on between tasks, and an executor has several."""
