@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectio.functions.frames import with_scalars as _with_scalars
-from sectio.functions.ordering import hash_rank, seeded_key
+from sectio.functions.ordering import hash_first, hash_rank, seeded_key
 
 SEED = 4220
 
@@ -59,21 +59,19 @@ def balance_negatives(pos: DataFrame, neg: DataFrame, by: str, key: str, seed: i
     negatives than positives (the reference raises); otherwise all of them
     are taken. The per-group positive counts are one row per group."""
     n_pos = pos.groupBy(by).agg(F.count(F.lit(1)).alias("n_pos"))
-    ranked = hash_rank(neg, seed, key, partition_by=[by], rank_col="draw", count_col="n_avail")
     if strict:
-        short = ranked.select(by, "n_avail").distinct().join(n_pos, by).where(F.col("n_avail") < F.col("n_pos"))
-        if short.limit(1).count() > 0:
+        avail = neg.groupBy(by).agg(F.count(F.lit(1)).alias("n_avail"))
+        short = n_pos.where(F.col(by).isNotNull()).join(avail, by, "left").where(F.coalesce("n_avail", F.lit(0)) < F.col("n_pos"))
+        if not short.isEmpty():
             raise ValueError("fewer negatives than positives in a group")
-    return ranked.join(n_pos, by).where(F.col("draw") <= F.col("n_pos")).drop("n_pos", "n_avail")
+    return hash_first(neg, seed, key, n_pos.withColumnRenamed("n_pos", "n"), [by])
 
 
 def ratio_negatives(pos: DataFrame, neg: DataFrame, n_labels: int, by: str, key: str, seed: int = SEED) -> DataFrame:
     """M4: per group, bround(positives / n_labels) negatives, capped at what
     exists; seeded (the reference's draw is unseeded)."""
     n_pos = pos.groupBy(by).agg(F.count(F.lit(1)).alias("n_pos"))
-    ranked = hash_rank(neg, seed, key, partition_by=[by], rank_col="draw", count_col="n_avail")
-    want = F.least(F.bround(F.col("n_pos") / F.lit(n_labels), 0).cast("bigint"), F.col("n_avail"))
-    return ranked.join(n_pos, by).where(F.col("draw") <= want).drop("n_pos", "n_avail")
+    return hash_first(neg, seed, key, n_pos.select(by, F.bround(F.col("n_pos") / F.lit(n_labels), 0).cast("bigint").alias("n")), [by])
 
 
 def hash_int(seed: int | str, key) -> F.Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sectio.functions.frames import with_scalars
 from sectio.functions.labels import LABELS_EXCLUDE, NOT_OUTCOME, OUTCOME, clean_label
-from sectio.functions.ordering import hash_rank
+from sectio.functions.ordering import hash_first, hash_rank
 from sectio.operators import classify as C
 from sectio.operators import labels as L
 from sectio.operators import logistic as LG
@@ -50,10 +50,13 @@ def training_studies(spark, sf_dir):
 
 
 def negative_pool(spark, sf_dir):
-    """Mined negatives with the study of their article."""
-    art = tables.documents(spark, sf_dir).select("doc_id", F.expr("try_cast(substring(source, 4) AS bigint)").alias("study_id"))
-    return negatives(spark, sf_dir).join(art, "doc_id").select(
-        "study_id", F.col("phrase").alias("text"), F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("phrase")).alias("k"))
+    """Mined negatives with the study of their article (read by several draws)."""
+    def build():
+        art = tables.documents(spark, sf_dir).select("doc_id", F.expr("try_cast(substring(source, 4) AS bigint)").alias("study_id"))
+        return negatives(spark, sf_dir).join(art, "doc_id").select(
+            "study_id", F.col("phrase").alias("text"), F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("phrase")).alias("k"))
+
+    return stage(spark, sf_dir, "negative_pool", build)
 
 
 def stage1_train(spark, sf_dir):
@@ -64,9 +67,8 @@ def stage1_train(spark, sf_dir):
     pos = outcome_texts(spark, sf_dir).join(used, "study_id", "left_semi").select(
         F.concat(F.lit("p:"), F.col("item_id").cast("string")).alias("k"), "text", F.lit(OUTCOME).alias("cls"))
     pool = L.membership_flag(negative_pool(spark, sf_dir), used, "study_id", "own").groupBy("text").agg(F.min("own").alias("own")).where("own").select("text")
-    n_pos = pos.groupBy().agg(F.count(F.lit(1)).alias("n_pos"))
-    neg = with_scalars(hash_rank(pool, fx.SEED, "text", count_col=None), n_pos).where(F.col("rn") <= F.col("n_pos")).select(
-        F.concat(F.lit("n:"), "text").alias("k"), "text", F.lit(NOT_OUTCOME).alias("cls"))
+    n_pos = pos.groupBy().agg(F.count(F.lit(1)).alias("n"))
+    neg = hash_first(pool, fx.SEED, "text", n_pos).select(F.concat(F.lit("n:"), "text").alias("k"), "text", F.lit(NOT_OUTCOME).alias("cls"))
     return pos.unionByName(neg)
 
 
@@ -206,9 +208,7 @@ def q_score_corpus(spark, sf_dir):
     text stays, without a prediction."""
     ot = outcome_texts(spark, sf_dir)
     pos = ot.select("study_id", "text", F.col("domain").alias("label"))
-    n_pos = ot.groupBy().agg(F.count(F.lit(1)).alias("n_pos"))
-    ranked = hash_rank(negative_pool(spark, sf_dir), fx.SEED, "k", count_col=None)
-    neg = with_scalars(ranked, n_pos).where(F.col("rn") <= F.col("n_pos"))
+    neg = hash_first(negative_pool(spark, sf_dir), fx.SEED, "k", ot.groupBy().agg(F.count(F.lit(1)).alias("n")))
     rows = pos.unionByName(neg.select("study_id", "text", F.lit(NOT_OUTCOME).alias("label")))
     rows = L.membership_flag(rows, training_studies(spark, sf_dir), "study_id", "used_in_training")
     m1, _ = stage_models(spark, sf_dir)

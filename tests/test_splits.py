@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sectio.functions.ordering import hash_rank
+from sectio.functions.ordering import hash_first, hash_rank
 from sectio.operators import splits as S
 
 
@@ -25,6 +25,21 @@ def test_hash_rank_equals_global_row_number_and_ignores_partitioning(spark):
                 assert got[k] == (pos, len(keys))
 
 
+def test_hash_first_equals_the_first_ranks(spark):
+    data = [(i, "g%d" % min(i % 4, i % 7), i * 2) for i in range(600)] + [(i, None, 0) for i in range(900, 910)]
+    df = spark.createDataFrame(data, ["k", "grp", "all"]).repartition(5)
+    for n in (0, 1, 7, 599, 600, 10**6):
+        got = [r["k"] for r in hash_first(df.where("grp is not null"), 4220, "k", n).collect()]
+        assert sorted(got) == sorted(md5_order(range(600))[:n])
+    table = spark.createDataFrame([("g0", 5), ("g1", 0), ("g2", 10**6)], ["grp", "n"])
+    for want, n in (({"g0": 5, "g2": 10**6}, table), ({"g0": 3, "g1": 3, "g2": 3, "g3": 3}, 3)):
+        got = [tuple(r) for r in hash_first(df, 4220, "k", n, ["grp"]).collect()]
+        own = {g: md5_order([k for k, x, _ in data if x == g])[:m] for g, m in want.items()}
+        assert sorted(got) == sorted((k, g, k * 2) for g, ks in own.items() for k in ks)
+    one = spark.createDataFrame([(4,)], ["n"])
+    assert hash_first(df.where("grp = 'g1'"), 4220, "k", one).count() == 4 and hash_first(df.limit(0), 4220, "k", 3).collect() == []
+
+
 def test_ten_studies_quarter_is_half_even(spark):
     df = spark.createDataFrame([("s%d" % i,) for i in range(10)], ["study_id"])
     sp = S.split_studies(df)
