@@ -1,27 +1,31 @@
 """Text vectors and similarity.
 
 T6 is re-aimed: a text's vector is its character-trigram count vector
-(lower case), kept sparse as rows (key, gram, n). Cosine similarity between
-two sets of texts is then a sparse matrix product: join on ``gram``,
-sum of products per pair, divide by the norms. Only pairs that share a gram
-are ever produced; pairs that share none have similarity 0 and are
-accounted for arithmetically where a statistic needs them.
-
-Scale: candidates are scored against the known positives (annotated outcomes /
-benchmark phrases) in blocks of bounded size. Candidate texts are deduplicated
-before vectorising, so a phrase that recurs across articles is scored once.
+(lower case), kept sparse as rows (key, gram, n).
+
+``best_similarity`` reads an inverted index over the known positives with a
+score bound per list, list by list, until no positive that has not been met can
+beat the best one so far (MaxScore); only those whose bound still reaches it get
+an exact dot product. Executors build the index in blocks of bounded size, which
+are a table and never in the driver. Candidate texts are deduplicated before, so
+a phrase that recurs across articles is scored once.
+
+``pair_stats`` takes the self-product of the positives block by block; a task
+keeps a histogram of its similarities, and only that leaves it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.functions.frames import with_scalars
+from sectio.functions.frames import materialize, with_scalars
 from sectio.functions.text import trigrams
 
 NEG_THRESHOLD = 0.85  # keep a candidate whose best similarity is at most this
@@ -56,97 +60,239 @@ def cosine_pairs(a: DataFrame, akey: str, b: DataFrame, bkey: str, ordered: bool
                        F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 6).alias("cos"))
 
 
-def pair_stats(vec: DataFrame, key: str) -> DataFrame:
-    """Minimum and median cosine over all unordered pairs of items.
-    Pairs with no common gram (cosine 0) are not materialised: their number
-    is n(n-1)/2 minus the pairs found, and they enter the exact median as
-    one value with that frequency."""
-    pairs = cosine_pairs(vec, key, vec, key, ordered=True)
-    n = vec.where(F.col("gram").isNotNull()).select(key).distinct().groupBy().agg(F.count(F.lit(1)).alias("n_items"))
-    found = pairs.groupBy().agg(F.count(F.lit(1)).alias("n_found"), F.min("cos").alias("min_found"))
-    head = with_scalars(n, found)
-    head = head.withColumn("n_pairs", (F.col("n_items") * (F.col("n_items") - 1) / 2).cast("bigint"))
-    head = head.withColumn("n_zero", F.col("n_pairs") - F.col("n_found"))
-    zeros = head.where(F.col("n_zero") > 0).select(F.lit(0.0).alias("cos"), F.col("n_zero").alias("freq"))
-    # The exact median runs in one task, so it gets at most one row per distinct
-    # 6-digit similarity (about 10^6), with the number of pairs at that value.
-    vals = pairs.groupBy("cos").agg(F.count(F.lit(1)).alias("freq")).unionByName(zeros)
-    med = vals.groupBy().agg(F.percentile("cos", 0.5, F.col("freq")).alias("median_sim"))
-    out = with_scalars(head, med)
-    return out.select(
-        "n_items", "n_pairs",
-        F.round(F.when(F.col("n_zero") > 0, F.least(F.lit(0.0), F.coalesce("min_found", F.lit(0.0)))).otherwise(F.col("min_found")), 6).alias("min_sim"),
-        F.round("median_sim", 6).alias("median_sim"))
-
-
-# Positives x vocabulary cells of one broadcast block (8 bytes each: 32 MB), and
-# cells of one (candidate gram x positive) or (candidate x positive) block in a task.
-BLOCK_CELLS = 4_000_000
-
-
-def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptext: str,
-                    block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """For every distinct candidate text, its highest cosine to any
-    positive (0 when it shares no gram with any).
-
-    The positives are a stated query set: they go to all candidates in blocks
-    whose trigram matrix has at most about ``block_cells`` cells, dealt by a hash
-    of their key, and the best of all blocks counts. Grams are made in the JVM;
-    a block's dots are one segmented numpy product per Arrow slice. Dots are
-    integer sums and are divided by the same product of norms as in SQL; the
-    quotient is rounded once, by Spark, so neither the number of blocks nor that
-    of rows changes a value."""
-    pv = gram_vectors(pos, pkey, ptext).where(F.col("gram").isNotNull())
-    size = pv.agg(F.countDistinct(pkey).alias("p"), F.countDistinct("gram").alias("v")).first()
-    blocks = max(1, -(-size["p"] * size["v"] // block_cells))
-    texts = cand.select(F.col(ctext).alias("__t")).distinct().select("__t", F.coalesce(trigrams(F.col("__t")), F.array().cast("array<string>")).alias("__g"))
-    out = None
-    for b in range(blocks):
-        own = pv if blocks == 1 else pv.where(F.pmod(F.xxhash64(pkey), F.lit(blocks)) == b)
-        part = _best_of_block(texts, own, pkey)
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:
-        out = out.groupBy("__t").agg(F.max("max_sim").alias("max_sim"))
-    return out.select(F.col("__t").alias(ctext), F.round("max_sim", 6).alias("max_sim"))
-
-
-def _best_of_block(texts: DataFrame, pv: DataFrame, pkey: str) -> DataFrame:
-    """Unrounded best cosine of each text's grams to the positives of a block."""
-    rows = pv.select(pkey, "gram", "n", "norm").toPandas()  # at most a block's cells
-    kcode, keys = pd.factorize(rows[pkey])
-    gcode, vocab = pd.factorize(rows["gram"])
-    counts, norms = np.zeros((len(vocab), len(keys))), np.ones(len(keys))
-    counts[gcode, kcode] = rows["n"].to_numpy(float)
-    norms[kcode] = rows["norm"].to_numpy(float)
-    shared = texts.sparkSession.sparkContext.broadcast((pa.array(vocab, pa.string()), counts, norms))
-
-    def score(batches):
-        vocab_, counts_, norms_ = shared.value
-        n_pos = max(1, counts_.shape[1])
-        for whole in batches:
-            step = max(1, BLOCK_CELLS // n_pos)
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                grams = batch.column("__g")
-                row = np.repeat(np.arange(len(grams)), np.diff(grams.offsets.to_numpy()))
-                coded = grams.flatten().dictionary_encode()
-                width = max(1, len(coded.dictionary))
-                pair, n = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
-                row, gram = pair // width, pair % width
-                norm = np.sqrt(np.bincount(row, n * n, len(grams)))
-                known = pc.index_in(coded.dictionary, vocab_).fill_null(-1).to_numpy(zero_copy_only=False)
-                col = known[gram] if len(gram) else gram
-                row, col, n = row[col >= 0], col[col >= 0], n[col >= 0]
-                dots = np.zeros((len(grams), counts_.shape[1]))
-                for a in range(0, len(row), step):
-                    r = row[a:a + step]
-                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    dots[r[first]] += np.add.reduceat(counts_[col[a:a + step]] * n[a:a + step, None], first, axis=0)
-                cos = np.divide(dots, norm[:, None] * norms_[None, :], out=np.zeros_like(dots), where=dots > 0)
-                best = cos.max(axis=1) if cos.shape[1] else np.zeros(len(grams))
-                yield pa.record_batch([batch.column("__t"), pa.array(best)], ["__t", "max_sim"])
-
-    return texts.mapInArrow(score, "__t string, max_sim double")
+def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Half-up rounding of non-negative numbers as Spark's ``round`` does it, on
+    their shortest decimal form."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6).tolist():  # near a half
+        out[i] = int(Decimal(repr(float(x[i]))).scaleb(digits).to_integral_value(ROUND_HALF_UP))
+    return out / 10.0**digits
+
+
+# Items of one side of a block of the self-product.
+SIDE = 512
+
+
+def _counts(grams: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Rows of gram lists -> (row, gram code, count) of their distinct grams in
+    row order, and the grams that the codes stand for."""
+    row = np.repeat(np.arange(len(grams)), np.diff(grams.offsets.to_numpy()))
+    coded = grams.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    pair, n = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+    return pair // width, pair % width, n, coded.dictionary
+
+
+def _block_histogram(table: pa.Table) -> pa.Table:
+    """All pairs of a block's two sides (of one side, the pairs in order) ->
+    distinct rounded cosines and how many pairs have each."""
+    table = table.combine_chunks()
+    side = table.column("side").to_numpy()
+    row, gram, n, names = _counts(table.column("grams").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.string())))
+    x = np.zeros((table.num_rows, max(1, len(names))))
+    x[row, gram] = n
+    norm = np.sqrt((x**2).sum(1))
+    if table.column("own")[0].as_py():
+        a, b = np.triu_indices(len(x), 1)
+        cos = (x @ x.T)[a, b] / (norm[a] * norm[b])
+    else:
+        cos = ((x[side == 0] @ x[side == 1].T) / (norm[side == 0][:, None] * norm[side == 1][None, :])).ravel()
+    value, freq = np.unique(rounded(cos), return_counts=True)
+    return pa.table({"cos": pa.array(value, pa.float64()), "freq": pa.array(freq, pa.int64())})
+
+
+def pair_histogram(items: DataFrame, key: str, text: str, side: int = SIDE) -> DataFrame:
+    """(cos, freq): how many unordered pairs of items have each cosine (6
+    digits). Items are dealt to blocks of about ``side``; each pair of blocks is
+    one group of at most two blocks' items, whatever the grams they share. A text
+    without trigrams is no item."""
+    held = items.select(F.col(key).alias("k"), trigrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
+    total = held.count()
+    blocks = max(1, -(-total // side))
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = held.select("grams", own.alias("b"), other.alias("o")).select(
+        "grams", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), (F.col("b") == F.col("o")).alias("own"))
+    found = dealt.groupBy("i", "j").applyInArrow(_block_histogram, "cos double, freq long")
+    return found.groupBy("cos").agg(F.sum("freq").alias("freq"))
+
+
+def pair_stats(items: DataFrame, key: str, text: str, side: int = SIDE) -> DataFrame:
+    """Number of items and of unordered pairs, minimum and median cosine
+    over all pairs. Pairs are counted by value inside the tasks, so at most one
+    row per task and distinct 6-digit similarity (about 10^6) is merged."""
+    hist = materialize(pair_histogram(items, key, text, side))
+    n = items.where(F.size(trigrams(F.col(text))) > 0).groupBy().agg(F.count(F.lit(1)).alias("n_items"))
+    stats = hist.groupBy().agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("n_pairs"), F.min("cos").alias("min_sim"), F.percentile("cos", 0.5, F.col("freq")).alias("median_sim"))
+    return with_scalars(n, stats).select("n_items", "n_pairs", F.round("min_sim", 6).alias("min_sim"), F.round("median_sim", 6).alias("median_sim"))
+
+
+# Postings of one block of the index (24 bytes each: about 24 MB), and candidates of one slice.
+BLOCK_POSTINGS = 1_000_000
+SLICE_ROWS = 50_000
+CHUNK = 8
+SAFE = 1 + 1e-9  # room for sums in another order
+INDEX = "vocab array<string>, starts binary, ids binary, counts binary, norms binary"
+
+
+class PositiveIndex:
+    """Inverted index of a block of positives: per gram the positives that hold
+    it, their counts, and the largest weight (count over norm) of the list."""
+
+    def __init__(self, vocab: pa.Array, starts: np.ndarray, ids: np.ndarray, counts: np.ndarray, norms: np.ndarray):
+        self.vocab, self.starts, self.ids, self.counts, self.norms = vocab, starts, ids, counts, norms
+        self.weights = counts / norms[ids]
+        self.bounds = np.maximum.reduceat(self.weights, starts[:-1]) if len(ids) else np.zeros(0)
+        # The same counts by positive, for exact dots.
+        order = np.argsort(ids, kind="stable")
+        self.own_gram = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[order]
+        self.own_count = counts[order]
+        self.own_start = np.searchsorted(ids[order], np.arange(len(norms) + 1))
+        self.score, self.wanted = np.zeros(len(norms)), np.zeros(len(starts) - 1)
+
+    @classmethod
+    def build(cls, grams: pa.Array) -> PositiveIndex:
+        row, gram, n, names = _counts(grams)
+        order = np.argsort(gram, kind="stable")
+        starts = np.searchsorted(gram[order], np.arange(len(names) + 1))
+        norms = np.sqrt(np.bincount(row, n * n, len(grams)))
+        return cls(names, starts, row[order], n[order], norms)
+
+    def row(self) -> list:
+        return [self.vocab.to_pylist(), self.starts.astype("<i8").tobytes(), self.ids.astype("<i4").tobytes(), self.counts.astype("<i4").tobytes(), self.norms.astype("<f8").tobytes()]
+
+    @classmethod
+    def of(cls, vocab: list[str], starts: bytes, ids: bytes, counts: bytes, norms: bytes) -> PositiveIndex:
+        ints = lambda b, kind: np.frombuffer(b, kind).astype(np.int64)
+        return cls(pa.array(vocab, pa.string()), ints(starts, "<i8"), ints(ids, "<i4"), ints(counts, "<i4"), np.frombuffer(norms, "<f8"))
+
+    def dots(self, found: np.ndarray) -> np.ndarray:
+        """Exact dots of the positives ``found`` with the counts in ``wanted``."""
+        size = self.own_start[found + 1] - self.own_start[found]
+        at = np.repeat(self.own_start[found] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.bincount(np.repeat(np.arange(len(found)), size), self.wanted[self.own_gram[at]] * self.own_count[at], len(found))
+
+    def best(self, gram: np.ndarray, n: np.ndarray, norm: float) -> tuple[float, int, int]:
+        """Highest cosine of a candidate (known grams with their counts, the norm
+        of all) to any positive; how many postings were read, and how many exact
+        dots were taken."""
+        if not len(gram):
+            return 0.0, 0, 0
+        most = n * self.bounds[gram]
+        size = self.starts[gram + 1] - self.starts[gram]
+        # Lists that bound much by few entries are read first.
+        order = np.argsort(-most / size, kind="stable")
+        left = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0.0]]) * SAFE
+        self.wanted[gram] = n
+        high, met, i, dots, read = 0.0, [], 0, 0, 0
+
+        def next_list() -> np.ndarray:
+            g = gram[order[i]]
+            own = self.ids[self.starts[g]:self.starts[g + 1]]
+            self.score[own] += n[order[i]] * self.weights[self.starts[g]:self.starts[g + 1]]
+            return own
+
+        while i < len(order) and left[i] > high:  # a positive not met so far could still be the best
+            own = next_list()
+            high = max(high, float(self.score[own].max()))
+            met.append(own)
+            read, i = read + len(own), i + 1
+        alive = np.unique(np.concatenate(met))
+        touched = [alive]
+        # The exact dots of those ahead raise what the others are held against.
+        ahead = alive[np.argsort(-self.score[alive], kind="stable")[:CHUNK]]
+        best = self.dots(ahead) / self.norms[ahead]
+        dots, top = len(ahead), float(best.max())
+        tried = set(ahead.tolist())
+        alive = alive[(self.score[alive] + left[i]) * SAFE >= top]
+        while i < len(order) and len(alive) > CHUNK:  # more lists leave fewer that can reach it
+            touched.append(next_list())
+            read, i = read + len(touched[-1]), i + 1
+            alive = alive[(self.score[alive] + left[i]) * SAFE >= top]
+        value = float((self.dots(ahead) / (norm * self.norms[ahead])).max())
+        rest = np.array([p for p in alive.tolist() if p not in tried], np.int64)
+        rest = rest[np.argsort(-self.score[rest], kind="stable")]
+        for lo in range(0, len(rest), CHUNK):
+            part = rest[lo:lo + CHUNK]
+            if (self.score[part[0]] + left[i]) * SAFE < top:
+                break
+            exact = self.dots(part)
+            dots += len(part)
+            top = max(top, float((exact / self.norms[part]).max()))
+            value = max(value, float((exact / (norm * self.norms[part])).max()))
+        self.wanted[gram] = 0.0
+        for own in touched:
+            self.score[own] = 0.0
+        return value, read, dots
+
+
+def _index_rows(table: pa.Table) -> pa.Table:
+    """The positives of a block -> one row, its index."""
+    table = table.combine_chunks()
+    made = PositiveIndex.build(table.column("grams").combine_chunks()).row()
+    kinds = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), *(pa.array([v], k) for v, k in zip(made, kinds))], ["block", "vocab", "starts", "ids", "counts", "norms"])
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, slice), the index before its candidates -> the best
+    cosine of each candidate in the block."""
+    index = None
+    for batch in batches:
+        heads = np.flatnonzero(batch.column("t_null").is_null().to_numpy(zero_copy_only=False)).tolist()
+        for a, b in zip([-1, *heads], [*heads, batch.num_rows]):
+            if a >= 0:
+                index = PositiveIndex.of(*(batch.column(c)[a].as_py() for c in ("vocab", "starts", "ids", "counts", "norms")))
+            own = batch.slice(a + 1, b - a - 1)
+            if not own.num_rows:
+                continue
+            row, gram, n, names = _counts(own.column("g"))
+            norm = np.sqrt(np.bincount(row, n * n, own.num_rows))
+            known = pc.index_in(names, index.vocab).fill_null(-1).to_numpy(zero_copy_only=False)
+            at = known[gram] if len(gram) else gram
+            row, at, n = row[at >= 0], at[at >= 0], n[at >= 0]
+            edge = np.searchsorted(row, np.arange(own.num_rows + 1)).tolist()
+            found = [index.best(at[x:y], n[x:y], norm[i]) for i, (x, y) in enumerate(zip(edge, edge[1:]))]
+            yield pa.record_batch([own.column("t"), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64())))], ["t", "max_sim", "n_read", "n_dots"])
+
+
+def positive_index(pos: DataFrame, ptext: str, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
+    """The index of the positives as a table of blocks, dealt by a hash of the
+    text; equal positives are one."""
+    held = pos.select(F.col(ptext).alias("p")).distinct().select("p", trigrams(F.col("p")).alias("grams")).where(F.size("grams") > 0)
+    total = held.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-total // block_postings))
+    dealt = held.select(F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int").alias("block"), "grams")
+    return materialize(dealt.groupBy("block").applyInArrow(_index_rows, f"block int, {INDEX}"))
+
+
+def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptext: str, block_postings: int = BLOCK_POSTINGS,
+                    slice_rows: int = SLICE_ROWS, counters: bool = False) -> DataFrame:
+    """For every distinct candidate text, its highest cosine to any positive
+    (0 when it shares no gram with any). With ``counters`` also ``n_read``, the
+    postings read, and ``n_dots``, the exact dots.
+
+    The positives are a stated query set. Candidates are dealt to slices by a
+    hash of their text and go to every block of the index once; a slice's rows
+    stream past one block at a time. Dots are integer sums and are divided by the
+    same product of norms as in SQL; the quotient is rounded once, by Spark, so
+    neither blocks nor slices change a value."""
+    index = positive_index(pos, ptext, block_postings)
+    texts = materialize(cand.select(F.col(ctext).alias("t")).distinct())
+    blocks = sorted(r.block for r in index.select("block").collect())  # numbers of blocks only
+    if not blocks:
+        return texts.select(F.col("t").alias(ctext), F.lit(0.0).alias("max_sim"), *[F.lit(0).cast("long").alias(c) for c in ("n_read", "n_dots")] * counters)
+    slices = max(1, -(-texts.count() // slice_rows))
+    rows = texts.select("t", F.coalesce(trigrams(F.col("t")), F.array().cast("array<string>")).alias("g"), F.lit(1).alias("t_null"),
+                        F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("slice"))
+    rows = rows.select("*", F.explode(F.array(*(F.lit(b) for b in blocks))).alias("block"))
+    heads = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    both = heads.unionByName(rows, allowMissingColumns=True)
+    found = (both.repartition("block", "slice").sortWithinPartitions("block", "slice", F.col("t_null").asc_nulls_first())
+             .mapInArrow(_search, "t string, max_sim double, n_read long, n_dots long"))
+    merged = found.groupBy("t").agg(F.max("max_sim").alias("max_sim"), F.sum("n_read").alias("n_read"), F.sum("n_dots").alias("n_dots"))
+    return merged.select(F.col("t").alias(ctext), F.round("max_sim", 6).alias("max_sim"), *["n_read", "n_dots"] * counters)
 
 
 def negatives_by_similarity(cands: DataFrame, keys: list[str], text: str, pos: DataFrame, pkey: str, ptext: str,

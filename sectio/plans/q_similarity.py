@@ -72,7 +72,7 @@ def q_ngram_vectors(spark, sf_dir):
                  GROUP BY x.item_id, y.item_id) d ON p.a = d.a AND p.b = d.b
       JOIN bn na ON p.a = na.item_id JOIN bn nb ON p.b = nb.item_id) q"""))
 def q_pairwise_cosine_stats(spark, sf_dir):
-    return SIM.pair_stats(SIM.gram_vectors(bench(spark, sf_dir), "item_id", "text"), "item_id")
+    return SIM.pair_stats(bench(spark, sf_dir), "item_id", "text")
 
 
 @query("negatives_by_similarity", compose(["negs"], "SELECT doc_id, phrase, max_sim FROM negs"))

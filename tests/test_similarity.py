@@ -32,7 +32,7 @@ def test_best_similarity_matches_brute_force_in_any_number_of_blocks(spark):
     cand = spark.createDataFrame([(c,) for c in CAND], ["phrase"])
     want = {c: round(max(cos(c, p) for p in POS), 6) for c in CAND}
     a = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text").collect()}
-    b = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_cells=3).collect()}
+    b = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_postings=10, slice_rows=2).collect()}
     assert a == pytest.approx(want) and b == pytest.approx(want)
 
 
@@ -43,7 +43,7 @@ def test_cosine_of_one_in_128_rounds_alike_in_blocks(spark):
     other = "xyz" + "".join(chr(0x6E00 + i) for i in range(63))
     cand = spark.createDataFrame([(other,), (None,), ("",)], "phrase string")
     for cells in (10**9, 50):
-        got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_cells=cells).collect()}
+        got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_postings=cells).collect()}
         assert got == {other: 0.007813, None: 0.0, "": 0.0}
 
 
@@ -51,11 +51,57 @@ def test_pair_stats_against_brute_force(spark):
     pos = spark.createDataFrame(list(enumerate(POS[:3] + ["blood loss"])), ["item_id", "text"])
     texts = POS[:3] + ["blood loss"]
     vals = sorted(round(cos(a, b), 6) for a, b in itertools.combinations(texts, 2))
-    r = SIM.pair_stats(SIM.gram_vectors(pos, "item_id", "text"), "item_id").first()
+    r = SIM.pair_stats(pos, "item_id", "text").first()
     mid = (vals[2] + vals[3]) / 2
     assert r["n_pairs"] == 6 and r["min_sim"] == vals[0] and r["median_sim"] == pytest.approx(mid)
 
 
+def test_pair_histogram_in_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 12))) for _ in range(70)] + ["same text"] * 5 + [None, "ab"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    real = [t for t in texts if t and len(t) >= 3]
+    want: Counter = Counter(round(cos(a, b), 6) for a, b in itertools.combinations(real, 2))
+    for side in (7, 1000):
+        got = {r["cos"]: r["freq"] for r in SIM.pair_histogram(items, "item_id", "text", side).collect()}
+        assert sum(got.values()) == len(real) * (len(real) - 1) // 2
+        assert {round(k, 5): 0 for k in got}.keys() == {round(k, 5): 0 for k in want}.keys()
+    none = SIM.pair_stats(items.where("item_id < 0"), "item_id", "text").first()
+    assert tuple(none) == (0, 0, None, None)
+
+
+def test_rounding_is_half_up_on_the_decimal_form():
+    import numpy as np
+
+    x = [0.0078125, 0.0000005, 0.1234565, 0.12345649999999999, 2.5e-7, 0.0, 1.0, 0.9999995, 0.3333333333333333]
+    from decimal import ROUND_HALF_UP, Decimal
+
+    want = [float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in x]
+    assert SIM.rounded(np.array(x)).tolist() == want
+
+
+def test_bounds_never_lose_the_best(spark):
+    """Lists stop being read early and few exact dots are taken, on texts with
+    shared grams, ties and repeated positives."""
+    import random
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    positives = [say(rng.randint(1, 30)) for _ in range(200)] + ["tie one", "one tie", "tie one", None, "", "xy"]
+    cands = [say(rng.randint(1, 4)) for _ in range(150)] + positives[:5] + ["zzzz", "", None, "tie", "aaaaaaa"]
+    pos = spark.createDataFrame([(i, p) for i, p in enumerate(positives)], "item_id long, text string")
+    cand = spark.createDataFrame([(c,) for c in cands], "phrase string")
+    want = {c: max(cos(c, p) for p in positives if p) if c else 0.0 for c in cands}
+    for postings in (10**6, 900):
+        got = {r["phrase"]: r for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", postings, 40, counters=True).collect()}
+        assert {c: r["max_sim"] for c, r in got.items()} == pytest.approx(want, abs=1e-6)
+        if postings == 10**6:
+            assert sum(r["n_dots"] for r in got.values()) < 0.2 * len(got) * 203
+
+
 def test_negatives_threshold(spark):
     pos = spark.createDataFrame(list(enumerate(POS)), ["item_id", "text"])
     cands = spark.createDataFrame([(1, "wound infection rate"), (1, "hospital stay"), (2, "hospital stay")], ["doc_id", "phrase"])
@@ -63,13 +109,11 @@ def test_negatives_threshold(spark):
     assert kept == [(1, "hospital stay"), (2, "hospital stay")]
 
 
-def test_matrix_scoring_across_block_boundaries(spark, monkeypatch):
-    # blocks of one positive column each: every text's grams span many blocks
-    monkeypatch.setattr(SIM, "BLOCK_CELLS", 1)
+def test_blocks_of_about_one_positive(spark):
     pos = spark.createDataFrame(list(enumerate(POS)), ["item_id", "text"])
     cand = spark.createDataFrame([(c,) for c in CAND], ["phrase"])
     want = {c: round(max(cos(c, p) for p in POS), 6) for c in CAND}
-    got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text").collect()}
+    got = {r["phrase"]: r["max_sim"] for r in SIM.best_similarity(cand, "phrase", pos, "item_id", "text", block_postings=1, slice_rows=1).collect()}
     assert got == pytest.approx(want)
 
 
