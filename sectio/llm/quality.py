@@ -77,34 +77,37 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Sums of the neighbours' index vectors by bucket, over all rows of ``docs``.
     One row per bucket and task is shuffled; ``BUCKETS`` rows come back."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = index_vectors(), Buckets()
-        total = np.zeros((BUCKETS, DIMS), np.int64)
+        # Sums of four neighbours' entries fit in a byte.
+        index, known = np.vstack([index_vectors(), np.zeros((1, DIMS), np.int32)]).astype(np.int8), Buckets()
+        total = np.zeros((BUCKETS + 1, DIMS), np.int64)  # the last row parts documents
         held, size = [], 0
+        gap = np.full(2, BUCKETS, np.int16)
 
         def add():
-            ids = np.concatenate(held)
-            near = index[ids] * (ids >= 0)[:, None]  # -1 parts documents
-            around = np.zeros_like(near)
-            for by in (1, 2):
-                around[by:] += near[:-by]
-                around[:-by] += near[by:]
-            own = np.flatnonzero(ids >= 0)
-            own = own[np.argsort(ids[own], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], ids[own][1:] != ids[own][:-1]]))
-            total[ids[own][first]] += np.add.reduceat(around[own].astype(np.int64), first, axis=0)
-
-        gap = np.full(2, -1)
+            ids = np.concatenate([gap, *held])
+            for lo in range(0, len(ids), BLOCK):
+                # Two tokens on either side of a block are neighbours too.
+                near = index[ids[max(0, lo - 2):lo + BLOCK + 2]]
+                around = np.zeros_like(near)
+                for by in (1, 2):
+                    around[by:] += near[:-by]
+                    around[:-by] += near[by:]
+                own = ids[lo:lo + BLOCK]
+                order = np.argsort(own, kind="stable")  # 16-bit numbers: a radix sort
+                own = own[order]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                total[own[first]] += np.add.reduceat(around[min(lo, 2) + order], first, axis=0, dtype=np.int32)
+
         for batch in sized_batches(batches, "text"):
             for t in texts(batch.column("text")):
-                ids = token_buckets(t, known)
-                for lo in range(0, len(ids), BLOCK):  # long texts go in blocks; a block's neighbours stay in it
-                    held += [ids[lo:lo + BLOCK], gap]
-                    size += len(held[-2]) + 2
-                    if size >= BLOCK:
-                        add()
-                        held, size = [], 0
+                held += [token_buckets(t, known).astype(np.int16), gap]
+                size += len(held[-2]) + 2
+                if size >= BLOCK:
+                    add()
+                    held, size = [], 0
         if held:
             add()
+        total = total[:BUCKETS]
         rows = np.flatnonzero(total.any(axis=1))
         yield pa.record_batch([pa.array(rows), *(pa.array(total[rows, k]) for k in range(DIMS))], names)
 
@@ -203,7 +206,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     """``(id, held_out, score, predicted)`` for every row of ``docs``.
 
     Word vectors cover all documents. The network is fitted on up to ``sample``
-    labelled documents outside the held-out fold, drawn by a hash of the id.
+    labelled documents outside the held-out fold, drawn by a hash of the id
+    before any text is read for it.
     Null labels and labels without a document are left out; several labels of an
     id count as their mean, several documents of an id each count. Null and
     empty texts are scored from a zero vector. Without labels all scores are one
@@ -214,7 +218,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     known = (labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("y")).where("__id is not null and y is not null")
              .groupBy("__id").agg(F.avg("y").alias("y")))
     open_docs = docs.where(F.col(id_col).isNotNull()).where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t"))
-    rows = (features(open_docs, vectors, "__t", ["__id"]).join(known, "__id").select("y", "x", "__id", F.xxhash64("__id").alias("h"))
+    drawn = open_docs.select("__id").join(known, "__id").select("__id", "y").orderBy(F.xxhash64("__id"), "__id").limit(sample).distinct().toPandas()
+    drawn = spark.createDataFrame(list(zip(drawn["__id"].tolist(), drawn["y"].tolist())), "__id long, y double")  # at most ``sample`` rows
+    rows = (features(open_docs.join(F.broadcast(drawn), "__id"), vectors, "__t", ["__id", "y"]).select("y", "x", "__id", F.xxhash64("__id").alias("h"))
             .orderBy("h", "__id", "x").limit(sample).toPandas())
     x = np.stack([np.frombuffer(b, "<f4") for b in rows.x]).astype(float) if len(rows) else np.zeros((0, 4 * DIMS))
     net = spark.sparkContext.broadcast(fit_network(x, rows.y.to_numpy(float)))
