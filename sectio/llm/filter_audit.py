@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.llm.common import lean, sized_batches, text_bytes
+from sectio.llm.common import cut, lean, sized_batches, text_bytes
 
 LETTERS = "ABCDE"
 COPY = 16
@@ -94,7 +94,7 @@ def mask_counts(failed: DataFrame, flags: DataFrame) -> DataFrame:
     the filters of the mask, bit 16 for copies of a smaller id's text, and how
     many of them carry the labels. A row without an id is no copy and makes
     none."""
-    one = F.count(F.lit(1))
+    failed, one = cut(failed), F.count(F.lit(1))  # texts are read once, for rows with and without an id
     lone = failed.where("id is null").groupBy("part", "mask").agg(one.alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
     # Rows that repeat an id with its text are one row with a count from here on.
     rows = failed.where("id is not null").groupBy("id", "key", "part", "mask").agg(one.alias("c")).join(flags, "id", "left")
