@@ -36,8 +36,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.kept_texts(suffix_dedup.remove_repeats(docs, length=200, mode="first"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = suffix_dedup.clean_texts(docs, length=200, mode="first")
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        # What a stage wrote on its way goes when its result is written.
+        with common.scratch(spark) as tables:
+            docs = tables.keep(stage(spark, docs, sf_dir))
     return docs

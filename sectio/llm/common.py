@@ -6,10 +6,44 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sectio.session import write_shared as cut  # noqa: F401  lineage cuts of all operators here
+from sectio.session import write_shared
+
+
+_WRITTEN: list[list[str]] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder."""
+    out = write_shared(df)
+    for made in _WRITTEN:
+        made += out.inputFiles()[:1]
+    return out
+
+
+class scratch:
+    """A block whose tables (those that ``cut`` writes) are deleted at its end;
+    results that go on are written with ``keep``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> scratch:
+        _WRITTEN.append(self.made)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return write_shared(df)
+
+    def __exit__(self, *failed) -> None:
+        _WRITTEN.remove(self.made)
+        jvm = self.spark._jvm
+        for name in self.made:
+            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -24,6 +58,23 @@ def typed(df: DataFrame, keep: list[str], added: str) -> StructType:
     return StructType([df.schema[c] for c in keep] + StructType.fromDDL(added).fields)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def carry(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
+    """The columns ``keep`` as one struct ``rest`` whose fields are numbered, and
+    ``cols`` beside it: no name that the input has can meet one used here."""
+    fields = [quoted(c).alias(f"f{i}") for i, c in enumerate(keep)] or [F.lit(0).alias("f0")]
+    return df.select(F.struct(*fields).alias("rest"), *(c.alias(name) for name, c in cols.items()))
+
+
+def unpack(df: DataFrame, keep: list[str], *added: str | Column) -> DataFrame:
+    """The columns that ``carry`` took along, then ``added``."""
+    return df.select(*(F.col("rest").getField(f"f{i}").alias(c) for i, c in enumerate(keep)), *added)
+
+
 def lean(run: Callable) -> Callable:
     """A task function that gives memory it has freed back to the system when it
     ends. Python workers live on between tasks, and an executor has several."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import lean, sized_batches, texts
+from sectio.llm.common import carry, lean, quoted, sized_batches, texts, typed, unpack
 
 GAP = re.compile(r"[\W_]+")
 ERROR_RATE = 0.08
@@ -164,7 +164,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
     total = wanted.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     number = -(-total // block_chars) or 1
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = held.schema["id"].dataType.simpleString()
+    kind = typed(held, ["id"], "item_id long, distance int, budget int, match_end long")
     out = None
     for b in range(number):
         own = wanted if number == 1 else wanted.where(F.pmod(F.xxhash64("t"), F.lit(number)) == b)
@@ -186,19 +186,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
                         pa.array([f[1] for f in found], pa.int32()), pa.array([limit[f[0]] for f in found], pa.int32()),
                         pa.array([f[2] for f in found], pa.int64())], ["id", "item_id", "distance", "budget", "match_end"])
 
-        part = held.mapInArrow(lean(run), f"id {kind}, item_id long, distance int, budget int, match_end long")
+        part = held.mapInArrow(lean(run), kind)
         out = part if out is None else out.union(part)
     return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "distance", "budget", "match_end")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of ``docs`` into which no item leaks; all columns stay."""
-    columns = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    row = carry(docs, docs.columns, text=quoted(text_col).cast("string"))
     wanted = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").distinct()
     total = wanted.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     number = -(-total // block_chars) or 1
-    kind = f"row {row.schema['row'].dataType.simpleString()}, text string"
+    kind = row.schema
     for b in range(number):
         own = wanted if number == 1 else wanted.where(F.pmod(F.xxhash64("t"), F.lit(number)) == b)
         block = sorted((r.i or 0, n) for r in own.collect() if (n := normalise(r.t)))
@@ -210,4 +209,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
                 yield batch.filter(pa.array([not matcher.leaks(t) for t in texts(batch.column("text"))], pa.bool_()))
 
         row = row.mapInArrow(lean(run), kind)
-    return row.select(*(F.col("row").getField(c).alias(c) for c in columns))
+    return unpack(row, docs.columns)

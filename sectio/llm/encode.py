@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import ending, lean, sized_batches, texts
+from sectio.llm.common import carry, ending, lean, quoted, sized_batches, texts, typed, unpack
 from sectio.llm.pieces import MARK, Kept, Vocabulary, vocabulary
 
 
@@ -209,17 +209,13 @@ class Decoder:
         return False
 
 
-def _held(docs: DataFrame, text_col: str, rest: list[str]) -> DataFrame:
-    return docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ends: bool = True) -> DataFrame:
     """Add ``ids`` (array of int) and ``decoded``; columns of these names are
     replaced. Null texts count as empty (begin and end ids only, decoded empty).
     U+2581 inside a text reads as a space, as in the library. One long text is
     one task's work; rows are independent, so copies and ties change nothing."""
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
-    held = _held(docs, text_col, rest)
+    held = carry(docs, rest, text=quoted(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -231,8 +227,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ends: bool = True
                 batch.column("rest"), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids).astype(np.int32))),
                 pa.array([dec.decode(i) for i in ids], pa.string())], ["rest", "ids", "decoded"])
 
-    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, ids array<int>, decoded string")
-    return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), "ids", "decoded")
+    return unpack(held.mapInArrow(lean(run), typed(held, ["rest"], "ids array<int>, decoded string")), rest, "ids", "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

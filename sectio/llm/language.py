@@ -22,10 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import lean, sized_batches, texts
+from sectio.functions.ordering import hash_first
+from sectio.llm.common import carry, cut, lean, sized_batches, texts, typed, unpack
 
 # Families of common languages; any other language is a family of its own.
 FAMILIES = {
@@ -181,9 +182,10 @@ def sampled(rows: DataFrame, per_lang: int) -> DataFrame:
     """One text with letters (the one with the smallest hash) of each of at most
     ``per_lang`` ids of a language, drawn by a hash of the id."""
     rows = rows.where("id is not null and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    # Ids and hashes are drawn first, so that only the texts of the sample move.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = rows.groupBy("id", "lang").agg(F.min("h").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("id", "lang", "h")
+    # Ids and hashes are drawn first, so that only the texts of the sample move; a
+    # language's cut-off comes from counts, no task sees all of its ids.
+    ids = cut(rows.groupBy("id", "lang").agg(F.min("h").alias("h")))
+    drawn = hash_first(ids, "", "id", per_lang, ["lang"], order=lambda k: F.lower(F.lpad(F.hex(F.xxhash64(k)), 16, "0"))).select("id", "lang", "h")
     return rows.join(F.broadcast(drawn), ["id", "lang", "h"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
 
 
@@ -223,13 +225,10 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row (columns of those names are
-    replaced). Null texts, texts without letters, and any text under a model
-    without languages give ``und`` with score zero."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
-    place = rest.index(text_col)  # the text travels once, inside the row
+def _decided(docs: DataFrame, carried: list[str], model: Model, text_col: str) -> DataFrame:
+    """``rest`` (the columns ``carried``, the text among them, so it travels once),
+    ``lang_pred`` and ``score``."""
+    held, place = carry(docs, carried), carried.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few columns of ``DIMS`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +240,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([batch.column("rest"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
                                   ["rest", "lang_pred", "score"])
 
-    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
-    return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), "lang_pred", "score")
+    return held.mapInArrow(lean(run), typed(held, ["rest"], "lang_pred string, score double"))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` to every row (columns of those names are
+    replaced). Null texts, texts without letters, and any text under a model
+    without languages give ``und`` with score zero."""
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return unpack(_decided(docs, rest if text_col in rest else [*rest, text_col], model, text_col), rest, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -258,10 +264,5 @@ def identify(docs: DataFrame, per_lang: int = 500) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Rows whose language is told with ``min_score`` at least; the columns of ``docs``."""
-    columns = docs.columns
     model = fit(docs.where("doc_id is not null").where(~held_out()))
-    # Columns named like the prediction's step aside meanwhile.
-    aside = {c: f"__{c}" for c in columns if c in ("lang_pred", "score")}
-    found = predict(docs.withColumnsRenamed(aside), model)
-    kept = found.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({v: c for c, v in aside.items()}).select(*columns)
+    return unpack(_decided(docs, docs.columns, model, "text").where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)), docs.columns)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.llm.common import cut, lean, sized_batches, texts
+from sectio.llm.common import carry, cut, lean, quoted, sized_batches, texts, unpack
 from sectio.llm.components import components
 
 MAX_BITS = 3
@@ -266,10 +266,11 @@ def keep_one(docs: DataFrame, size: int = 3, bits: int = MAX_BITS, id_col: str =
     kept. Of rows that repeat an id, the first in the order of their columns
     stays; rows with a null id stay."""
     found = near_duplicates(docs, size, bits, id_col=id_col, text_col=text_col)
-    found = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("__c"), F.count(F.lit(1)).alias("__n"))
-    marks = cut(found.select(F.col(id_col).alias("__id"), "__n").where(F.col(id_col) == F.col("__c")))
-    kept = docs.join(marks, F.col(id_col).cast("long") == F.col("__id"))
-    once = kept.where("__n = 1").select(*docs.columns)
-    order = Window.partitionBy("__id").orderBy(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
-    again = kept.where("__n > 1").withColumn("__r", F.row_number().over(order)).where("__r = 1").select(*docs.columns)
-    return once.union(again).union(docs.where(F.col(id_col).isNull()))
+    found = found.select(F.col(id_col).alias("id"), "component_id").where("id is not null").groupBy("id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    marks = cut(found.where("id = c").select("id", "n"))
+    rows = carry(docs, docs.columns, id=quoted(id_col).cast("long"))
+    # The same join at every size: marks grow with the rows, and each text moves once.
+    kept = rows.join(marks.hint("merge"), "id")
+    order = Window.partitionBy("id").orderBy(*(F.col("rest").getField(f"f{i}").cast("string") for i in range(len(docs.columns))))
+    again = kept.where("n > 1").withColumn("r", F.row_number().over(order)).where("r = 1").select("rest")
+    return unpack(kept.where("n = 1").select("rest").union(again).union(rows.where("id is null").select("rest")), docs.columns)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.llm.common import cut, lean, sized_batches, text_bytes
+from sectio.llm.common import carry, cut, lean, quoted, sized_batches, text_bytes, typed, unpack
 from sectio.llm.rolling import Hashed, ranges, super_windows
 
 LENGTH = 200
@@ -282,16 +282,15 @@ def _apply(length: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """Add ``__rid``, a unique long in the order of ids. It is the id itself where
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Turn ``id`` into ``rid``, a unique long in the order of ids. It is the id itself where
     ids are unique; where ids repeat or are null, rows are sorted by id (nulls
     last), numbered, and written once, so that every later step sees the same
     numbers."""
-    ids = docs.select(F.col(id_col).cast("long").alias("i"))
-    if ids.groupBy("i").count().where("count > 1 or i is null").isEmpty():
-        return docs.withColumn("__rid", F.col(id_col).cast("long"))
-    order = F.col(id_col).cast("long").asc_nulls_last()
-    return cut(docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__rid", F.monotonically_increasing_id()))
+    if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return rows.withColumnRenamed("id", "rid")
+    order = F.col("id").asc_nulls_last()
+    return cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("rid", F.monotonically_increasing_id()).drop("id"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", gram: int = GRAM,
@@ -304,12 +303,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     "Earlier" goes by id (nulls last), then place; rows that share an id follow
     each other in the order in which they were numbered. Columns of ``docs`` named like an added one are
     replaced, others left alone; an empty table gives no rows."""
+    rest = [c for c in docs.columns if c != text_col and c not in ADDED]
+    return unpack(_removed(docs, rest, length, mode, gram, bucket_limit, id_col, text_col), rest, *ADDED)
+
+
+def clean_texts(docs: DataFrame, length: int = LENGTH, mode: str = "first", gram: int = GRAM,
+                bucket_limit: int = BUCKET_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs``, the text without what ``remove_repeats`` takes out;
+    bytes of a character that a cut has split are left out."""
+    rest = [c for c in docs.columns if c != text_col]
+    done = _removed(docs, rest, length, mode, gram, bucket_limit, id_col, text_col).select("rest", "kept")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_batches(batches, "kept"):
+            yield pa.record_batch([batch.column("rest"), pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())], ["rest", "body"])
+
+    out = done.mapInArrow(lean(decode), typed(done, ["rest"], "body string"))
+    return unpack(out, rest, F.col("body").alias(text_col)).select(*map(quoted, docs.columns))
+
+
+def _removed(docs: DataFrame, rest: list[str], length: int, mode: str, gram: int, bucket_limit: int, id_col: str, text_col: str) -> DataFrame:
+    """``rest`` (the carried columns) and ``ADDED``."""
     if mode not in ("first", "all"):
         raise ValueError("mode must be 'first' or 'all'")
     if not 8 <= gram <= length or length > 60000:
         raise ValueError("8 <= gram <= length <= 60000")
-    base = _keyed(docs, id_col)
-    body = base.select(F.col("__rid").alias("rid"), F.col(text_col).cast("string").alias("text"))
+    base = _keyed(carry(docs, rest, id=quoted(id_col).cast("long"), text=quoted(text_col).cast("string")))
+    body = base.select("rid", "text")
 
     supers = body.mapInArrow(lean(_super_rows(length, gram)), "mh long, fh long, rid long, at long")
     # Written, so that the join below is between two plain shuffles and a minimizer of very many rows can be split.
@@ -351,11 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
         marked = marked.select("rid", "at", F.when(F.col("whole"), None).otherwise(F.col("early")).alias("mask"), "whole")
     marks = marked.where("whole or mask is not null").groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
     marks = cut(marks)
-    rest = [c for c in docs.columns if c != text_col and c not in ADDED]
-    held = base.select(F.col("__rid").alias("rid"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
-    kind = held.schema["rest"].dataType.simpleString()
-    done = held.join(marks, "rid", "left").mapInArrow(lean(_apply(length)), f"rest {kind}, span_start array<long>, span_end array<long>, n_bytes long, kept binary")
-    return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), *ADDED)
+    return base.join(marks, "rid", "left").mapInArrow(lean(_apply(length)), typed(base, ["rest"], "span_start array<long>, span_end array<long>, n_bytes long, kept binary"))
 
 
 def digest(bodies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

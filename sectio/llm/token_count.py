@@ -15,9 +15,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sectio.llm.common import ending, lean, sized_batches, texts
+from sectio.llm.common import carry, ending, lean, quoted, sized_batches, texts, typed, unpack
 from sectio.llm.pieces import Kept, Vocabulary, vocabulary
 
 
@@ -74,9 +73,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text_col: str =
     (columns of these names are replaced). Null texts count as empty: no bytes,
     no tokens. Rows are independent; nothing is truncated or padded."""
     added = ["n_bytes", "n_tokens", "over_limit"]
-    rest = [c for c in docs.columns if c not in added]
-    keep = [c for c in rest if c != text_col]
-    held = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep), F.lit(None).cast("int").alias("__")).alias("rest"))
+    keep = [c for c in docs.columns if c not in (*added, text_col)]
+    held = carry(docs, keep, text=quoted(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
@@ -86,5 +84,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text_col: str =
             yield pa.record_batch([batch.column("rest"), pa.array([len(t.encode()) for t in body], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                                   ["rest", *added])
 
-    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
-    return done.select(*(F.col("rest").getField(c).alias(c) for c in keep), *added)
+    return unpack(held.mapInArrow(lean(run), typed(held, ["rest"], "n_bytes long, n_tokens long, over_limit boolean")), keep, *added)
