@@ -126,18 +126,43 @@ def spaces_for_breaks(c: Column) -> Column:
     return F.translate(c, "\n\r\t", "   ")
 
 
-# Sentence boundary: terminal punctuation, spaces, then an upper-case letter
-# or a digit. The boundary is marked with \x01 and split there.
-SENT_BOUNDARY_RE = r"([.!?]+) +(\p{Lu}|\p{N})"
+# Sentence boundary: terminal punctuation with the quotes and brackets that it
+# closes, spaces, then an upper-case letter or a digit, which a quote or bracket
+# may open. The boundary is marked with \x01 before the spaces.
+SENT_BOUNDARY_RE = r"([.!?]+[\"'”’»)\]]*)( +[\"'“‘«(\[]*(?:\p{Lu}|\p{N}))"
 SENT_MARK = "\u0001"
+# The word before a piece's closing full stop; words may hold stops ("e.g").
+LAST_WORD_RE = r"([\p{L}]+(?:\.[\p{L}]+)*+)\.$"
+# Words of a text, with the full stop that follows.
+DOTTED_WORD_RE = r"[\p{L}]+(?:\.[\p{L}]+)*+\.?"
+# A word with a full stop after which the sentence plainly goes on.
+INSIDE_WORD_RE = r"([\p{L}]+(?:\.[\p{L}]+)*+)\.(?:[,;:]| +\p{Ll})"
+INSIDE_MARK = "\u0002"
+# Words that never end a sentence by their full stop.
+KNOWN_ABBREVIATIONS = "al approx bzw ca cf dr e.g eq eqs fig figs i.e p.ej p.ex prof ref refs resp vs z.b".split()
+
+
+def sentences(c: Column, abbreviations: Column | None = None) -> Column:
+    """T4 (re-aimed): split text into sentences after terminal punctuation, unless
+    it is the lone full stop of one of ``abbreviations`` (an array of lower-case
+    words; the known ones by default). Pieces are trimmed, empty ones dropped."""
+    words = F.array(*map(F.lit, KNOWN_ABBREVIATIONS)) if abbreviations is None else abbreviations
+    marked = F.regexp_replace(spaces_for_breaks(c), SENT_BOUNDARY_RE, "$1" + SENT_MARK + "$2")
 
+    def close(p):
+        held = F.array_contains(words, F.lower(F.regexp_extract(p, LAST_WORD_RE, 1)))
+        return F.concat(p, F.when(held, F.lit("")).otherwise(F.lit(SENT_MARK)))
 
-def sentences(c: Column) -> Column:
-    """T4 (re-aimed): split text into sentences at terminal punctuation
-    followed by a capitalised word; pieces are trimmed, empty ones dropped."""
-    marked = F.regexp_replace(spaces_for_breaks(c), SENT_BOUNDARY_RE, "$1" + SENT_MARK + "$2")
-    parts = F.transform(F.split(marked, SENT_MARK, -1), lambda s: F.trim(s))
-    return F.filter(parts, lambda s: s != "")
+    joined = F.array_join(F.transform(F.split(marked, SENT_MARK, -1), close), "")
+    return F.filter(F.transform(F.split(joined, SENT_MARK, -1), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def dotted_words(c: Column) -> Column:
+    """Words of a text in lower case, each with the full stop that follows it, and
+    once more with a mark where the sentence goes on after that."""
+    words = F.transform(F.regexp_extract_all(c, F.lit(DOTTED_WORD_RE), F.lit(0)), lambda t: F.lower(t))
+    inside = F.transform(F.regexp_extract_all(c, F.lit(INSIDE_WORD_RE), F.lit(1)), lambda t: F.concat(F.lower(t), F.lit(INSIDE_MARK)))
+    return F.concat(words, inside)
 
 
 # Tokens: words (letters/digits with inner ' ’ - . joins) or single symbols.

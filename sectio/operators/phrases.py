@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sectio.functions import stopwords as SW
 from sectio.functions import text as T
+from sectio.functions.frames import with_scalars
 
 
 def marked(sentence: Column, lang: Column | None = None) -> Column:
@@ -31,10 +32,65 @@ def marked(sentence: Column, lang: Column | None = None) -> Column:
     return expr.otherwise(for_lang("en"))
 
 
-def explode_sentences(df: DataFrame, text: str, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Rows (keys, sent_idx, sentence) from a text column."""
+# Probability of a full stop after an abbreviation, the score that makes one, and the
+# share of all full stops that a learned one must hold: at most 1 / share are learned.
+STOP_AFTER = 0.99
+MIN_SCORE = 0.3
+MIN_SHARE = 1e-4
+# Stops of an abbreviation after which the sentence goes on, as a share of all its stops.
+MIN_INSIDE = 0.1
+
+
+def word_stops(texts: DataFrame, text: str) -> DataFrame:
+    """(word, n_stop, n_plain, n_inside): occurrences of each word with and without
+    a full stop after it, and those with one after which the sentence goes on (a
+    lower-case word or a comma follows), in one aggregate with map-side combining."""
+    w = texts.select(F.explode(T.dotted_words(F.col(text))).alias("w"))
+    stop, inside = F.col("w").endswith("."), F.col("w").endswith(T.INSIDE_MARK)
+    return w.groupBy(F.rtrim("w", F.lit("." + T.INSIDE_MARK)).alias("word")).agg(
+        F.count_if(stop).alias("n_stop"), F.count_if(~stop & ~inside).alias("n_plain"), F.count_if(inside).alias("n_inside"))
+
+
+def abbreviation_scores(texts: DataFrame, text: str, min_share: float = MIN_SHARE) -> DataFrame:
+    """(word, n_stop, n_plain, n_inside, score, learned): words before full stops,
+    and whether the corpus shows them to be abbreviations, by the log-likelihood ratio of "a full stop nearly always
+    follows" against "as often as after any word", scaled down for long words and
+    for occurrences without a stop, up for stops inside (after Kiss and Strunk).
+    The sentence must go on after ``MIN_INSIDE`` of its stops, so that a word which
+    often ends sentences is none.
+
+    A word must hold ``min_share`` of all full stops, so the list is bounded by
+    1 / ``min_share`` entries at any size of the corpus."""
+    counts = word_stops(texts, text)
+    total = counts.groupBy().agg(F.sum("n_stop").alias("stops"), F.sum(F.col("n_stop") + F.col("n_plain")).alias("words"))
+    c = with_scalars(counts, total).where((F.col("n_stop") > 0) & (F.col("n_stop") >= F.col("stops") * min_share) & (F.col("stops") < F.col("words")))
+    base = F.col("stops") / F.col("words")
+    ratio = 2 * (F.col("n_stop") * (F.log(F.lit(STOP_AFTER)) - F.log(base)) + F.col("n_plain") * (F.log(F.lit(1 - STOP_AFTER)) - F.log(1 - base)))
+    letters = F.length(F.replace("word", F.lit("."), F.lit("")))
+    inner = F.length("word") - letters
+    score = F.round(ratio * F.exp(-letters) * (inner + 1) * F.pow(letters.cast("double"), -F.col("n_plain")), 6) + F.lit(0.0)  # no negative zeros
+    learned = (F.col("score") >= MIN_SCORE) & (F.col("n_inside") >= F.col("n_stop") * MIN_INSIDE)
+    return c.withColumn("score", score).select("word", "n_stop", "n_plain", "n_inside", "score", learned.alias("learned"))
+
+
+def abbreviations(texts: DataFrame, text: str, min_share: float = MIN_SHARE) -> DataFrame:
+    """The learned rows of ``abbreviation_scores``."""
+    return abbreviation_scores(texts, text, min_share).where("learned")
+
+
+def abbreviation_list(learned: DataFrame) -> Column:
+    """The learned words and the known ones as one array, a scalar subquery."""
+    words = learned.groupBy().agg(F.array_sort(F.collect_set("word")).alias("w")).scalar()
+    return F.array_union(F.array(*map(F.lit, T.KNOWN_ABBREVIATIONS)), words)
+
+
+def explode_sentences(df: DataFrame, text: str, keys: list[str], keep: list[str] | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, sent_idx, sentence) from a text column. ``learned``: the
+    corpus's ``abbreviations``, which end no sentence besides the known ones."""
     extra = list(keep or [])
-    return df.select(*keys, *extra, F.posexplode(T.sentences(F.col(text))).alias("sent_idx", "sentence"))
+    words = None if learned is None else F.col("__abbr")
+    held = df if learned is None else df.withColumn("__abbr", abbreviation_list(learned))
+    return held.select(*keys, *extra, F.posexplode(T.sentences(F.col(text), words)).alias("sent_idx", "sentence"))
 
 
 def explode_phrases(sents: DataFrame, keys: list[str], covered: bool = True, lang: str | None = None) -> DataFrame:

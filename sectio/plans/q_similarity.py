@@ -9,7 +9,7 @@ from sectio.operators import sections as S
 from sectio.operators import similarity as SIM
 from sectio.plans.oracle import compose, register
 from sectio.plans.stages import stage
-from sectio.plans.q_text import PRE_START, sections, sql_marked, sql_runs, sql_sentences
+from sectio.plans.q_text import PRE_START, abbreviations, sections, sql_marked, sql_runs, sql_sentences
 from sectio.plans.registry import query
 from sectio.sources import tables
 
@@ -26,9 +26,9 @@ def norms_sql(src: str, key: str) -> str:
 
 register("bg", [], grams_sql("benchmark", "item_id", "text"))
 register("bn", ["bg"], norms_sql("bg", "item_id"))
-register("pre_cand", ["sec_loc"], f"""SELECT DISTINCT doc_id, unnest({sql_runs(sql_marked('sentence'), True)}) AS phrase FROM (
+register("pre_cand", ["sec_loc", "abbr_all"], f"""SELECT DISTINCT doc_id, unnest({sql_runs(sql_marked('sentence'), True)}) AS phrase FROM (
     SELECT doc_id, lang, unnest({sql_sentences('pre')}) AS sentence FROM (
-      SELECT doc_id, lang, substring(text, {PRE_START + 1}, greatest(res_start - {PRE_START}, 0)) AS pre FROM sec_loc WHERE status = 'ok') a) b""")
+      SELECT doc_id, lang, substring(text, {PRE_START + 1}, greatest(res_start - {PRE_START}, 0)) AS pre, abbr FROM sec_loc, abbr_all WHERE status = 'ok') a) b""")
 register("pc_g", ["pre_cand"], grams_sql("(SELECT DISTINCT phrase FROM pre_cand) t", "phrase", "phrase"))
 register("pc_n", ["pc_g"], norms_sql("pc_g", "phrase"))
 register("pc_best", ["pc_g", "pc_n", "bg", "bn"], """SELECT d.phrase, max(round(d.dot / (cn.norm * bn.norm), 6)) AS max_sim FROM (
@@ -46,7 +46,7 @@ def pre_candidates(spark, sf_dir):
     """Candidate negatives: covered phrases of the pre-results text, one
     row per distinct (article, phrase); materialized (read twice)."""
     pre = sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK)
-    sents = P.explode_sentences(pre, "preresults", ["doc_id"], ["lang"])
+    sents = P.explode_sentences(pre, "preresults", ["doc_id"], ["lang"], abbreviations(spark, sf_dir).where("learned"))
     return stage(spark, sf_dir, "pre_candidates",
                  lambda: P.explode_phrases(sents, ["doc_id"], lang="lang").select("doc_id", "phrase").distinct())
 

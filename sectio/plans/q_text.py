@@ -22,7 +22,9 @@ def sql_sentences(x: str) -> str:
     """DuckDB twin of ``T.sentences``."""
     marked = (f"regexp_replace(translate({x}, chr(10) || chr(13) || chr(9), '   '), {lit(T.SENT_BOUNDARY_RE)}, "
               f"'\\1' || chr(1) || '\\2', 'g')")
-    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+    last = f"lower(regexp_extract(p, {lit(T.for_re2(T.LAST_WORD_RE))}, 1))"
+    joined = f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda p: p || CASE WHEN list_contains(abbr, {last}) THEN '' ELSE chr(1) END), '')"
+    return f"list_filter(list_transform(string_split({joined}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 
 
 def _in(words: list[str]) -> str:
@@ -85,8 +87,22 @@ register("sec_loc", ["articles", "sec_best", "sec_sim"], f"""SELECT a.doc_id, a.
     LEFT JOIN sec_sim s2 ON s2.doc_id = a.doc_id AND s2.idx = b.end_idx""")
 register("sec_res", ["sec_loc"], f"""SELECT doc_id, source, lang, regexp_replace(substring(text, res_start + 1, res_end - res_start), {STRIP}, '', 'g') AS results
     FROM sec_loc WHERE status = 'ok'""")
-register("sents", ["sec_res"], f"""SELECT doc_id, lang, CAST(unnest(range(0, len(ss))) AS BIGINT) AS sent_idx, unnest(ss) AS sentence FROM (
-    SELECT doc_id, lang, {sql_sentences('results')} AS ss FROM sec_res) q""")
+register("abbr_n", ["sec_loc", "sec_res"], f"""SELECT rtrim(w, '.' || chr(2)) AS word, count(*) FILTER (WHERE w LIKE '%.') AS n_stop,
+      count(*) FILTER (WHERE w NOT LIKE '%.' AND w NOT LIKE '%' || chr(2)) AS n_plain, count(*) FILTER (WHERE w LIKE '%' || chr(2)) AS n_inside
+    FROM (SELECT lower(unnest(list_concat(regexp_extract_all(t, {lit(T.for_re2(T.DOTTED_WORD_RE))}, 0),
+            list_transform(regexp_extract_all(t, {lit(T.for_re2(T.INSIDE_WORD_RE))}, 1), lambda x: x || chr(2))))) AS w
+          FROM (SELECT substring(text, {PRE_START + 1}, greatest(res_start - {PRE_START}, 0)) AS t FROM sec_loc WHERE status = 'ok'
+                UNION ALL SELECT results FROM sec_res) x) q GROUP BY rtrim(w, '.' || chr(2))""")
+register("abbr", ["abbr_n"], f"""SELECT *, score >= {P.MIN_SCORE} AND n_inside >= n_stop * {P.MIN_INSIDE} AS learned FROM (
+    SELECT word, n_stop, n_plain, n_inside, round(2 * (n_stop * (ln({P.STOP_AFTER}::DOUBLE) - ln(base)) + n_plain * (ln(1 - {P.STOP_AFTER}::DOUBLE) - ln(1 - base)))
+        * exp(-letters) * (length(word) - letters + 1) * pow(CAST(letters AS DOUBLE), -n_plain), 6) + 0.0::DOUBLE AS score
+    FROM (SELECT *, length(replace(word, '.', '')) AS letters, stops / words AS base
+          FROM abbr_n, (SELECT sum(n_stop) AS stops, sum(n_stop + n_plain) AS words FROM abbr_n) t) c
+    WHERE n_stop > 0 AND n_stop >= stops * {P.MIN_SHARE} AND stops < words) s""")
+register("abbr_all", ["abbr"], f"""SELECT list_concat([{', '.join(lit(w) for w in T.KNOWN_ABBREVIATIONS)}],
+    coalesce((SELECT list(word) FROM abbr WHERE learned), [])) AS abbr""")
+register("sents", ["sec_res", "abbr_all"], f"""SELECT doc_id, lang, CAST(unnest(range(0, len(ss))) AS BIGINT) AS sent_idx, unnest(ss) AS sentence FROM (
+    SELECT doc_id, lang, {sql_sentences('results')} AS ss FROM sec_res, abbr_all) q""")
 register("phr_all", ["sents"], f"""SELECT doc_id, sent_idx, sentence, CAST(unnest(range(0, len(pp))) AS BIGINT) AS phrase_idx, unnest(pp) AS phrase FROM (
     SELECT doc_id, sent_idx, sentence, {sql_runs(sql_marked('sentence'), True)} AS pp FROM sents) q""")
 register("phrases", ["phr_all"], """SELECT doc_id, sent_idx, phrase_idx, phrase, sentence FROM (
@@ -111,8 +127,17 @@ def results(spark, sf_dir):
     return sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select("doc_id", "source", "lang", "results")
 
 
+def abbreviations(spark, sf_dir):
+    """Words before full stops with their abbreviation scores, learned from the
+    texts that are split, before the results and in them; a stage output."""
+    def build():
+        texts = sections(spark, sf_dir).where(F.col("status") == S.STATUS_OK).select(F.explode(F.array("preresults", "results")).alias("text"))
+        return P.abbreviation_scores(texts, "text")
+    return stage(spark, sf_dir, "abbreviations", build)
+
+
 def sentences(spark, sf_dir):
-    return P.explode_sentences(results(spark, sf_dir), "results", ["doc_id"], ["lang"])
+    return P.explode_sentences(results(spark, sf_dir), "results", ["doc_id"], ["lang"], abbreviations(spark, sf_dir).where("learned"))
 
 
 def phrases_all(spark, sf_dir, covered=True):
@@ -159,6 +184,12 @@ def q_sentences(spark, sf_dir):
     return sentences(spark, sf_dir).select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), "sentence")
 
 
+@query("abbreviations", compose(["abbr"], "SELECT word, CAST(n_stop AS BIGINT) AS n_stop, CAST(n_plain AS BIGINT) AS n_plain, CAST(n_inside AS BIGINT) AS n_inside, score, learned FROM abbr"))
+def q_abbreviations(spark, sf_dir):
+    """T4: words before full stops, with counts, score and whether they count as abbreviations."""
+    return abbreviations(spark, sf_dir).select("word", "n_stop", "n_plain", "n_inside", "score", "learned")
+
+
 @query("candidate_phrases", compose(["sents"], f"""SELECT doc_id, sent_idx, CAST(unnest(range(0, len(pp))) AS BIGINT) AS phrase_idx,
     unnest(pp) AS phrase FROM (SELECT doc_id, sent_idx, {sql_runs(sql_marked('sentence'), False)} AS pp FROM sents) q"""))
 def q_candidate_phrases(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Sections, sentences and phrases: hand cases."""
 
+from pyspark.sql import functions as F
+
 from sectio.functions import text as T
 from sectio.operators import phrases as P
 from sectio.operators import sections as S
@@ -55,6 +57,44 @@ def test_sentence_split(spark):
     assert got == ["Mortality fell.", "Pain, p<0.05, improved!", "2 cases remained. e.g. this stays"]
 
 
+def test_sentence_ends_after_abbreviations_quotes_and_brackets(spark):
+    cases = {
+        "Smith et al. Found it. So did we.": ["Smith et al. Found it.", "So did we."],
+        "See Fig. 2 and vs.  Placebo. End": ["See Fig. 2 and vs.  Placebo.", "End"],
+        'He said "yes." Then (it ended.) Next ("came"). \u201cQuoted\u201d start.': ['He said "yes."', "Then (it ended.)", 'Next ("came").', "\u201cQuoted\u201d start."],
+        "It was real. Real! Als? Über 3 al! Ende": ["It was real.", "Real!", "Als?", "Über 3 al!", "Ende"],
+        "i.e. Here. \u00abNow.\u00bb 3 left.": ["i.e. Here.", "\u00abNow.\u00bb", "3 left."],
+        "": [], " . ": ["."],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], ["t"])
+    assert {r.t: r.s for r in df.select("t", T.sentences(df.t).alias("s")).collect()} == cases
+    assert spark.createDataFrame([(None,)], "t string").select(T.sentences(F.col("t")).alias("s")).first().s is None
+
+
+def test_abbreviations_are_learned(spark):
+    """The score against its formula, and their effect on sentence ends."""
+    import math
+
+    body = "Dose was 5 mg. Per day. " * 30 + "The drug was given. The patients slept. We found the drug. " * 40 + "a.m. Rounds were held. Mg was low. It took 2 mg. daily, and 3 mg. a week; 4 mg. more, at 8 a.m. sharp. " * 3
+    texts = spark.createDataFrame([(1, body), (2, None), (3, "Then mg. Then a.m. Rounds. ")], "doc_id long, text string")
+    got = {r.word: r for r in P.abbreviations(texts, "text", 0.001).collect()}
+    counts = {r.word: (r.n_stop, r.n_plain, r.n_inside) for r in P.word_stops(texts, "text").collect()}
+    stops, words = sum(a for a, _, _ in counts.values()), sum(a + b for a, b, _ in counts.values())
+
+    def score(w, a, b):
+        letters = len(w.replace(".", ""))
+        llr = 2 * (a * (math.log(0.99) - math.log(stops / words)) + b * (math.log(0.01) - math.log(1 - stops / words)))
+        return llr * math.exp(-letters) * (len(w) - letters + 1) * letters ** -b
+
+    want = {w: score(w, a, b) for w, (a, b, c) in counts.items() if a and a >= stops * 0.001 and 10 * c >= a and score(w, a, b) >= 0.3}
+    assert set(got) == set(want) and all(abs(got[w].score - v) < 1e-6 for w, v in want.items())
+    assert set(got) == {"a.m", "mg"} and counts["mg"] == (40, 3, 9) and counts["given"] == (40, 0, 0)
+    out = P.explode_sentences(texts, "text", ["doc_id"], learned=P.abbreviations(texts, "text", 0.001))
+    assert [r.sentence for r in out.where("doc_id = 3").orderBy("sent_idx").collect()] == ["Then mg. Then a.m. Rounds."]
+    assert P.abbreviations(texts.limit(0), "text").collect() == []
+    assert len(P.explode_sentences(texts.where("doc_id = 3"), "text", ["doc_id"], learned=P.abbreviations(texts.limit(0), "text")).collect()) == 3
+
+
 def test_very_long_runs_do_not_recurse(spark):
     body = " ".join(f"word{i}" for i in range(20000))
     dots = ".".join(["a1"] * 20000)
