@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectio.functions.text import trigrams
+from sectio.operators.encoders import Encoder, embed
 
 # The chosen parameters of the original head.
 MAX_ITER = 200
@@ -43,14 +44,18 @@ def load(spark, path: str) -> Head:
     return Head([r.label for r in rows], rows[0].dims, LogisticRegressionModel.load(f"{path}/model"))
 
 
-def vectors(df: DataFrame, text: str, dims: int) -> DataFrame:
-    """Add ``__x``, the text's vector (all zero for null or short texts)."""
+def vectors(df: DataFrame, text: str, dims: int, encoder: Encoder | None = None) -> DataFrame:
+    """Add ``__x``, the text's vector (all zero for null or short texts); by an
+    ``encoder`` instead of trigrams, if one is given."""
+    if encoder is not None:
+        held = embed(df, text, encoder, "__v")
+        return held.withColumn("__x", array_to_vector(F.coalesce("__v", F.array_repeat(F.lit(0.0), dims)))).drop("__v")
     held = df.withColumn("__g", F.coalesce(trigrams(F.col(text)), F.array().cast("array<string>")))
     counted = HashingTF(inputCol="__g", outputCol="__tf", numFeatures=dims).transform(held)
     return Normalizer(inputCol="__tf", outputCol="__x").transform(counted).drop("__g", "__tf")
 
 
-def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_INVERSE, max_iter: int = MAX_ITER, tol: float = 1e-9) -> Head:
+def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_INVERSE, max_iter: int = MAX_ITER, tol: float = 1e-9, encoder: Encoder | None = None) -> Head:
     """Fit on the rows with a label. The class list is bounded by the label set
     and is the only thing collected besides the model."""
     rows = train.where(F.col(label).isNotNull())
@@ -59,16 +64,17 @@ def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_
     if not labels:
         raise ValueError("no labelled rows to fit on")
     number = F.coalesce(*(F.when(F.col(label) == name, F.lit(float(i))) for i, name in enumerate(labels)))
-    ready = vectors(rows.select(text, number.alias("__y")), text, dims).select("__x", "__y")
+    dims = dims if encoder is None else encoder.dims
+    ready = vectors(rows.select(text, number.alias("__y")), text, dims, encoder).select("__x", "__y")
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=max_iter, tol=tol, family="multinomial", standardization=True,
                             regParam=1.0 / (c * sum(counts.values())), elasticNetParam=0.0)
     return Head(labels, dims, lr.fit(ready))
 
 
-def predict(rows: DataFrame, head: Head, text: str) -> DataFrame:
+def predict(rows: DataFrame, head: Head, text: str, encoder: Encoder | None = None) -> DataFrame:
     """Add ``predicted``, ``prob`` (its probability) and ``probabilities`` (map of
     all classes) to every row; the first class in sorted order wins ties."""
-    scored = head.model.setFeaturesCol("__x").setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__n").transform(vectors(rows, text, head.dims))
+    scored = head.model.setFeaturesCol("__x").setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__n").transform(vectors(rows, text, head.dims, encoder))
     p = vector_to_array("__p")
     names = F.array(*(F.lit(x) for x in head.labels))
     best = F.array_position(p, F.array_max(p)).cast("int")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sectio.functions import stopwords as SW
 from sectio.functions import text as T
 from sectio.functions.frames import with_scalars
+from sectio.operators import taggers as TG
 
 
 def marked(sentence: Column, lang: Column | None = None) -> Column:
@@ -93,9 +94,12 @@ def explode_sentences(df: DataFrame, text: str, keys: list[str], keep: list[str]
     return held.select(*keys, *extra, F.posexplode(T.sentences(F.col(text), words)).alias("sent_idx", "sentence"))
 
 
-def explode_phrases(sents: DataFrame, keys: list[str], covered: bool = True, lang: str | None = None) -> DataFrame:
+def explode_phrases(sents: DataFrame, keys: list[str], covered: bool = True, lang: str | None = None, tagger: TG.Tagger | None = None) -> DataFrame:
     """Rows (keys, sent_idx, phrase_idx, phrase, sentence). ``covered``:
-    phrases with their prepositional tail (W7); otherwise bare runs (T5)."""
+    phrases with their prepositional tail (W7); otherwise bare runs (T5). With a
+    ``tagger`` they are its noun phrases instead of stop-word runs."""
+    if tagger is not None:
+        return TG.phrases(sents, [*keys, "sent_idx"], tagger).select(*keys, "sent_idx", "sentence", "phrase_idx", "phrase")
     m = marked(F.col("sentence"), F.col(lang) if lang else None)
     arr = T.covered_phrases(m) if covered else T.phrase_runs(m)
     return sents.select(*keys, "sent_idx", "sentence", F.posexplode(arr).alias("phrase_idx", "phrase"))

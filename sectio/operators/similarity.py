@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sectio.functions.frames import materialize, with_scalars
 from sectio.functions.text import trigrams
+from sectio.operators import encoders as EN
 
 NEG_THRESHOLD = 0.85  # keep a candidate whose best similarity is at most this
 
@@ -296,9 +297,10 @@ def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptex
 
 
 def negatives_by_similarity(cands: DataFrame, keys: list[str], text: str, pos: DataFrame, pkey: str, ptext: str,
-                            threshold: float = NEG_THRESHOLD) -> DataFrame:
+                            threshold: float = NEG_THRESHOLD, encoder: EN.Encoder | None = None) -> DataFrame:
     """Candidate phrases (distinct per article) whose best
-    similarity to the known positives is at most ``threshold``."""
+    similarity to the known positives is at most ``threshold``; by trigrams, or
+    by the vectors of an ``encoder``."""
     c = cands.select(*keys, text).distinct()
-    best = best_similarity(c, text, pos, pkey, ptext)
+    best = best_similarity(c, text, pos, pkey, ptext) if encoder is None else EN.best_similarity(c, text, pos, ptext, encoder)
     return c.join(best, text).where(F.col("max_sim") <= threshold)
