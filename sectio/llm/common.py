@@ -6,10 +6,9 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
 
+from sectio.functions.frames import carry, quoted, sized_batches, typed, unpack  # noqa: F401  for the operators here
 from sectio.session import write_shared
 
 
@@ -52,29 +51,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def typed(df: DataFrame, keep: list[str], added: str) -> StructType:
-    """Schema of the columns ``keep`` of ``df``, as they are, and of ``added``
-    (DDL text): types never pass through text, where names could break them."""
-    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(added).fields)
-
-
-def quoted(name: str) -> Column:
-    """The column of this very name, dots and backticks included."""
-    return F.col(f"`{name.replace('`', '``')}`")
-
-
-def carry(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
-    """The columns ``keep`` as one struct ``rest`` whose fields are numbered, and
-    ``cols`` beside it: no name that the input has can meet one used here."""
-    fields = [quoted(c).alias(f"f{i}") for i, c in enumerate(keep)] or [F.lit(0).alias("f0")]
-    return df.select(F.struct(*fields).alias("rest"), *(c.alias(name) for name, c in cols.items()))
-
-
-def unpack(df: DataFrame, keep: list[str], *added: str | Column) -> DataFrame:
-    """The columns that ``carry`` took along, then ``added``."""
-    return df.select(*(F.col("rest").getField(f"f{i}").alias(c) for i, c in enumerate(keep)), *added)
-
-
 def lean(run: Callable) -> Callable:
     """A task function that gives memory it has freed back to the system when it
     ends. Python workers live on between tasks, and an executor has several."""
@@ -108,21 +84,6 @@ def texts(col: pa.Array) -> list[str]:
     return ["" if v is None else v for v in col.to_pylist()]
 
 
-def sized_batches(batches: Iterator[pa.RecordBatch], col: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slice Arrow batches so that one slice holds about ``limit`` bytes of
-    ``col`` (one row at least): memory follows this, not Spark's row count."""
-    for batch in batches:
-        size = batch.column(col).nbytes
-        rows = batch.num_rows
-        if size <= limit or rows <= 1:
-            if rows:
-                yield batch
-            continue
-        step = max(1, int(rows * limit / size))
-        for at in range(0, rows, step):
-            yield batch.slice(at, step)
-
-
 def tokenizer_path(name: str) -> str:
     """Path of a public tokenizer file; every machine has the package installed."""
     import public_tokenizers

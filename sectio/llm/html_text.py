@@ -1,30 +1,37 @@
 """Main text of web pages by tag-path ratios.
 
 A tolerant parse gives the text nodes of a page with their root-to-leaf tag
-paths (tags with class or id). What can't be article text (scripts, navigation,
-hidden elements and the like) is left out first. Then, per
-path, the text length per node and the punctuation per node are aggregated;
-both series are smoothed over the nodes in page order, fused (geometric mean,
-less by the share of link text), and paths whose mean fused value reaches the
-threshold are content. Forms and elements whose role, class or id names them as
-adverts, sidebars, notices, reader comments and the like go, unless by the text
-on such paths they are wrappers that hold the article (``judge``); the ratios are
-taken again over what is left. The smallest element that holds most of the content text
-is the article: its other nodes, such as headings and short lines, belong to it.
+paths (tags with class or id); a path is a number, made from its parent's and the
+last label. What can't be article text (scripts, navigation, hidden elements and
+the like) is left out first. Then, per path, the text length per node and the
+punctuation per node are aggregated; both series are smoothed over the nodes in
+page order, fused (geometric mean, less by the share of link text), and paths
+whose mean fused value reaches the threshold are content.
+
+Forms and elements whose role, class or id names them as adverts, sidebars,
+notices, reader comments and the like go, whatever their size, if the page has an
+article of its own outside them. Without one they are judged by the content text
+that they hold and leave: a wrapper of the article stays, a list of like items
+(comments, teasers) does not. The ratios are taken again over what is left. The
+article is the page's one article element, or the smallest element that holds
+most of the content text; its other nodes, such as headings and short lines,
+belong to it.
+
+All passes are linear in the nodes and elements of a page, however deep.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sectio.llm.common import lean, sized_batches, texts
+from sectio.llm.common import carry, lean, quoted, sized_batches, texts, typed, unpack
 
 # What HTML says of its elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,24 +47,14 @@ NAMES = set(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "tr", "td", "th", "tbody", "dt", "dd", "figure", "hr"}
 CONTAINERS = {"html", "body", "article", "main", "div", "section", "center", "table"}
+ARTICLES = {"article", "main"}
 ROOTS = {"html", "body", "article", "main"}
+READERS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，؟।\"'()]")
 
 
-class Element:
-    __slots__ = ("tag", "parent", "path", "drop", "link", "article", "depth", "number", "named")
-
-    def __init__(self, tag, label, parent, drop, number, named=False):
-        self.tag, self.parent, self.number = tag, parent, number
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.drop = drop or bool(parent and parent.drop)
-        self.link = tag == "a" or bool(parent and parent.link)
-        self.article = tag in ("article", "main") or bool(parent and parent.article)
-        self.depth = parent.depth + 1 if parent else 0
-        self.named = named  # tells of itself that it is no article text
-
-
 def unwanted(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
     """Whether tag or state tell that an element isn't article text. Inside an
     article a header is the article's own."""
@@ -74,24 +71,35 @@ def named_so(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
     """Whether a form, a role or names say that an element isn't article text."""
     if tag == "form" or (attrs.get("role") or "").lower() in ROLES:
         return True
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    for name in names.split():
-        words = re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
-        if words and words[0] in ("has", "with", "no", "without"):
-            continue
-        if any(w in NAMES and not (w == "header" and inside) for w in words):
-            return True
-    return False
+    return any(w in NAMES and not (w == "header" and inside) for w in named_words(attrs))
+
+
+def named_words(attrs: dict[str, str | None]) -> Iterator[str]:
+    """Words of class and id that say what an element is; "with-sidebar" and the
+    like tell of something else."""
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        for word in re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", name).lower()):
+            if word in ("has", "with", "no", "without"):
+                break
+            yield word
 
 
 class Reader(HTMLParser):
-    """Text nodes as ``(element, block number, text)``, in page order."""
+    """Elements as columns (number 0 is ``html``; parents come before children),
+    and text nodes as ``(element, block number, text)`` in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [Element("html", "html", None, False, 0)]
-        self.nodes: list[tuple[Element, int, str]] = []
-        self.block = self.made = 0
+        self.tag, self.parent, self.path, self.depth = ["html"], [-1], [0], [0]
+        # Of the element or one around it: left out, link text, inside an article.
+        self.drop, self.link, self.article = [False], [False], [False]
+        # Of the element itself: named as no article text, and as readers' words.
+        self.named, self.readers = [False], [False]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.nodes: list[tuple[int, int, str]] = []
+        self.block = 0
+        # Open elements; places of each tag among them; the last block element's place up to each.
+        self.open, self.places, self.floor = [0], {}, [0]
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
@@ -106,39 +114,59 @@ class Reader(HTMLParser):
         if tag in VOID or tag == "html":
             return
         top = self.open[-1]
-        self.made += 1
         name = (attrs.get("id") or attrs.get("class") or "").split()
-        self.open.append(Element(tag, f"{tag}.{name[0]}" if name else tag, top, unwanted(tag, attrs, top.article), self.made,
-                                 named_so(tag, attrs, top.article)))
+        key = (self.path[top], f"{tag}.{name[0]}" if name else tag)
+        inside = self.article[top]
+        self.tag.append(tag)
+        self.parent.append(top)
+        self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
+        self.depth.append(self.depth[top] + 1)
+        self.drop.append(self.drop[top] or unwanted(tag, attrs, inside))
+        self.link.append(self.link[top] or tag == "a")
+        self.article.append(inside or tag in ARTICLES)
+        self.named.append(tag not in ROOTS and named_so(tag, attrs, inside))
+        self.readers.append(self.named[-1] and any(w in READERS for w in named_words(attrs)))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.floor.append(self.floor[-1] if tag in INLINE else len(self.open))
+        self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "path", "iframe") and self.open[-1].tag == tag:
-            self.open.pop()
+        if tag not in VOID and tag in ("svg", "path", "iframe") and self.tag[self.open[-1]] == tag and len(self.open) > 1:
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.block += 1
-        if tag == "html" or tag in VOID:
+        if tag == "html" or tag in VOID or not self.places.get(tag):
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if tag in INLINE and self.open[i].tag not in INLINE:
-                return  # a stray end of an inline element closes no block
+        at = self.places[tag][-1]
+        if tag not in INLINE or self.floor[-1] <= at:  # a stray end of an inline element closes no block
+            self.cut(at)
+
+    def cut(self, at: int) -> None:
+        """Close the open elements from a place on."""
+        while len(self.open) > at:
+            self.places[self.tag[self.open.pop()]].pop()
+            self.floor.pop()
 
     def shut(self, tags: set[str], scopes: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in scopes:
-                return
+        """Close the innermost open element of ``tags`` unless one of ``scopes`` is nearer."""
+        last = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+        at = last(tags)
+        if at > last(scopes):
+            self.cut(at)
 
     def handle_data(self, data):
         self.nodes.append((self.open[-1], self.block, data))
 
+    def add_up(self, own: list) -> list:
+        """Sums over elements and all that they hold, from the elements' own values."""
+        out = list(own)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
 
 def smooth(x: np.ndarray, spread: float = 1.0) -> np.ndarray:
     reach = 2
@@ -148,15 +176,13 @@ def smooth(x: np.ndarray, spread: float = 1.0) -> np.ndarray:
     return np.convolve(padded, kernel, "valid") / weight
 
 
-def content_paths(nodes: list[tuple[Element, int, str]], share: float = 0.5) -> set[str]:
+def content_paths(page: Reader, nodes: list[tuple[int, int, str]], share: float = 0.5) -> set[int]:
     """Paths whose fused ratio reaches ``share`` of the spread (or of the mean,
     if that is less) of all nodes' fused ratios."""
-    paths = sorted({e.path for e, _, _ in nodes})
-    at = {p: i for i, p in enumerate(paths)}
-    own = np.array([at[e.path] for e, _, _ in nodes])
+    paths, own = np.unique([page.path[e] for e, _, _ in nodes], return_inverse=True)
     length = np.array([len(" ".join(t.split())) for _, _, t in nodes], float)
     marks = np.array([len(PUNCTUATION.findall(t)) for _, _, t in nodes], float)
-    links = np.array([e.link for e, _, _ in nodes], float) * length
+    links = np.array([page.link[e] for e, _, _ in nodes], float) * length
     number = np.bincount(own)
     total = np.bincount(own, length)
     per_text = smooth((total / number)[own])
@@ -164,120 +190,137 @@ def content_paths(nodes: list[tuple[Element, int, str]], share: float = 0.5) ->
     fused = np.sqrt(per_text * per_mark) * (1 - (np.bincount(own, links) / np.maximum(total, 1))[own])
     level = share * min(fused.std(), fused.mean()) if len(fused) > 1 else 0.0
     mean = np.bincount(own, fused) / number
-    return {p for p, i in at.items() if mean[i] >= level and mean[i] > 0}
+    return set(paths[(mean >= level) & (mean > 0)].tolist())
 
 
-def article_of(nodes: list[tuple[Element, int, str]], paths: set[str], share: float = 0.75) -> Element:
-    """The deepest element that holds ``share`` of the content text."""
-    held: dict[int, float] = {}
-    of: dict[int, Element] = {}
-    total = 0.0
+def text_sizes(page: Reader, nodes: list[tuple[int, int, str]], paths: set[int] | None = None) -> list[int]:
+    """Characters of text directly in each element, on the given paths only."""
+    own = [0] * len(page.tag)
     for e, _, t in nodes:
-        if e.path not in paths:
-            continue
-        size = len(t.strip())
-        total += size
-        while e is not None:
-            held[id(e)] = held.get(id(e), 0) + size
-            of[id(e)] = e
-            e = e.parent
-    found = max((of[k] for k, v in held.items() if v >= share * total), key=lambda e: (e.depth, -e.number))
-    # A paragraph or a part of one is no article: its container is, and an enclosing article element above all.
-    while found.parent and (found.tag not in CONTAINERS or (found.article and found.tag not in ("article", "main"))):
-        found = found.parent
-    return found
+        if paths is None or page.path[e] in paths:
+            own[e] += len(t.strip())
+    return own
+
+
+def lone_articles(page: Reader, held: list[int], near: list[int]) -> list[int]:
+    """Outermost article and main elements with text that lie in no named
+    element, but for articles of which the page has a list (three or more alike)."""
+    found = [e for e in range(len(page.tag)) if page.tag[e] in ARTICLES and held[e] and near[e] < 0]
+    alike = Counter(page.path[e] for e in found if page.tag[e] == "article")
+    found = [e for e in found if page.tag[e] == "main" or alike[page.path[e]] < 3]
+    inner = set(found)
+    return [e for e in found if not any_above(page, e, inner)]
+
+
+def any_above(page: Reader, e: int, among: set[int]) -> bool:
+    """Whether an element around ``e`` is one of ``among``; articles know whether one is."""
+    while page.article[page.parent[e]]:
+        e = page.parent[e]
+        if e in among:
+            return True
+    return False
 
 
-def judge(nodes: list[tuple[Element, int, str]], minor: float = 0.25, least: float = 0.1) -> list[tuple[Element, int, str]]:
-    """The nodes that are in no named element that goes. Outer elements are judged
-    first, by their text on content paths against the text beside them: that
-    outside all named elements, and that of the wrappers around them. An element
-    stays if it has ``minor`` of the page's text and leaves no more than ``minor``
-    beside it. Article and main elements that aren't named themselves come first:
-    an element that holds the only ones stays with ``minor`` of both texts, and one
-    that holds none goes if they have ``least`` of both beside it."""
-    known: set[Element] = set()
-    for e, _, _ in nodes:
-        while e is not None and e not in known:
-            known.add(e)
-            e = e.parent
-    judged = sorted((e for e in known if e.named and e.tag not in ROOTS), key=lambda e: e.number)
-    if not judged:
+def judge(page: Reader, nodes: list[tuple[int, int, str]], minor: float = 0.25) -> list[tuple[int, int, str]]:
+    """The nodes that are in no named element that goes.
+
+    If an article or main element lies outside all named elements, all of these
+    go. Otherwise outer ones are judged first, by their text on content paths
+    against the text beside them: that outside all named elements, and that of
+    the wrappers around them. A list of like items and readers' words go if there
+    is any text beside them; an element stays that holds the page's only article
+    or main element and at least as much text as is beside it, or that has
+    ``minor`` of the page's text and leaves no more than ``minor`` beside it."""
+    if not any(page.named):
         return nodes
     full = [n for n in nodes if n[2].strip()]
     if not full:
         return []
-    paths, among = content_paths(full), set(judged)
-    held, holds = dict.fromkeys(judged, 0), dict.fromkeys(judged, False)
-    # Text, and the article elements around it, by the nearest named element.
-    own: dict[Element | None, int] = {None: 0, **held}
-    articles: dict[Element | None, set[Element]] = {e: set() for e in own}
-    total = 0
-    for e, _, t in full:
-        if e.path not in paths:
-            continue
-        size, near, around = len(t.strip()), None, set()
-        total += size
-        while e is not None:
-            if e.tag in ("article", "main") and not e.named:
-                around.add(e)
-            elif e in among:
-                near = near or e
-                held[e] += size
-                holds[e] = holds[e] or bool(around)
-            e = e.parent
-        own[near] += size
-        articles[near] |= around
-    gone: set[Element] = set()
-    for e in judged:
-        above, beside, others = e.parent, own[None], set(articles[None])
-        around = set()
-        while above is not None and above not in gone:
-            around.add(above)
-            if above in among:
-                beside += own[above]
-                others |= articles[above]
-            above = above.parent
-        both = beside + held[e]
-        if above is not None:
-            continue  # inside one that goes
-        elsewhere = bool(others - around)
-        if holds[e] and not elsewhere:
-            stays = held[e] >= minor * both
-        elif elsewhere and not holds[e] and beside >= least * both:
-            stays = False
-        else:
-            stays = held[e] >= minor * total and beside <= minor * both
-        if not stays or not held[e]:
-            gone.add(e)
-    drop: dict[Element | None, bool] = {None: False}
-    for e in sorted(known, key=lambda e: e.number):
-        drop[e] = drop[e.parent] or e in gone
+    number = len(page.tag)
+    near = [-1] * number  # the nearest named element around, or the element itself
+    for e in range(1, number):
+        near[e] = e if page.named[e] else near[page.parent[e]]
+    paths = content_paths(page, full)
+    own = text_sizes(page, full, paths)
+    held = page.add_up(own)
+    any_text = page.add_up(text_sizes(page, full))
+    gone = [False] * number
+    if lone_articles(page, any_text, near):
+        gone = list(page.named)
+    else:
+        by = {-1: 0}  # content text by the nearest named element
+        for e in range(number):
+            by[near[e]] = by.get(near[e], 0) + own[e]
+        whole = page.add_up([int(page.tag[e] in ARTICLES and any_text[e] > 0 and not page.article[page.parent[e]]) if e else 0 for e in range(number)])
+        items = Counter((page.parent[e], page.path[e]) for e in range(1, number) if page.tag[e] not in INLINE and page.tag[e] not in PROSE and held[e])
+        lists = [0] * number  # text of like items, three or more under one element
+        for e in range(1, number):
+            if items.get((page.parent[e], page.path[e]), 0) >= 3:
+                lists[page.parent[e]] += held[e]
+        for e in range(number - 1, 0, -1):
+            lists[page.parent[e]] = max(lists[page.parent[e]], lists[e])
+        around = {-1: by[-1]}  # text beside what lies directly in a wrapper
+        for e in range(1, number):
+            if not page.named[e]:
+                continue
+            outer = near[page.parent[e]]
+            if outer >= 0 and gone[outer]:
+                gone[e] = True
+                continue
+            beside, both = around[outer], around[outer] + held[e]
+            if not held[e]:
+                stays = False
+            elif beside and (page.readers[e] or 2 * lists[e] > held[e]):
+                stays = False
+            elif whole[e]:
+                stays = whole[e] == whole[0] and held[e] >= beside
+            else:
+                stays = not whole[0] and held[e] >= minor * held[0] and beside <= minor * both
+            gone[e] = not stays
+            around[e] = beside + by.get(e, 0)
+    drop = [False] * number
+    for e in range(1, number):
+        drop[e] = drop[page.parent[e]] or gone[e]
     return [n for n in nodes if not drop[n[0]]]
 
 
+def article_of(page: Reader, nodes: list[tuple[int, int, str]], paths: set[int], share: float = 0.75) -> int:
+    """The page's one article element; without one, the deepest element that holds
+    ``share`` of the content text, widened to its container."""
+    held = page.add_up(text_sizes(page, nodes))
+    for kind in ("article", "main"):
+        found = [e for e in range(len(page.tag)) if page.tag[e] == kind and held[e]]
+        among = set(found)
+        outer = [e for e in found if not any_above(page, e, among)]
+        if len(outer) == 1:
+            return outer[0]
+    content = page.add_up(text_sizes(page, nodes, paths))
+    found = max((e for e in range(len(page.tag)) if content[e] >= share * content[0]), key=lambda e: (page.depth[e], -e))
+    # A paragraph or a part of one is no article: its container is, and an enclosing article element above all.
+    while found and (page.tag[found] not in CONTAINERS or (page.article[found] and page.tag[found] not in ARTICLES)):
+        found = page.parent[found]
+    return found
+
+
 def main_text(html: str) -> str:
     """Text of the article of one page; empty if there is none."""
-    reader = Reader()
-    reader.feed(html)
-    HTMLParser.close(reader)
-    wanted = judge([n for n in reader.nodes if not n[0].drop])
+    page = Reader()
+    page.feed(html)
+    HTMLParser.close(page)
+    wanted = judge(page, [n for n in page.nodes if not page.drop[n[0]]])
     full = [n for n in wanted if n[2].strip()]
     if not full:
         return ""
-    paths = content_paths(full)
-    if not paths:
+    paths = content_paths(page, full)
+    if not paths and not any(page.article[e] for e, _, _ in full):
         return ""  # nothing but links
-    root = article_of(full, paths)
-
-    def inside(e):
-        while e is not None and e.depth > root.depth:
-            e = e.parent
-        return e is root
-
+    root = article_of(page, full, paths)
+    inside = [False] * len(page.tag)
+    for e in range(len(page.tag)):
+        inside[e] = e == root or (e > 0 and inside[page.parent[e]])
     blocks: dict[int, list[str]] = {}
     for e, block, text in wanted:
-        if e.path in paths or inside(e):
+        if inside[e]:
             blocks.setdefault(block, []).append(text)
     return " ".join(b for parts in blocks.values() if (b := " ".join("".join(parts).split())))
 
@@ -287,12 +330,11 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     columns of those names are replaced. Null or empty html gives an empty text;
     rows are independent, so repeated rows repeat their result."""
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    held = pages.select(F.col(html_col).cast("string").alias("html"), F.struct(*(F.col(f"`{c}`") for c in keep), F.lit(None).cast("int").alias("__")).alias("rest"))
+    held = carry(pages, keep, html=quoted(html_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "html"):
             out = [main_text(h) for h in texts(batch.column("html"))]
             yield pa.record_batch([batch.column("rest"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["rest", "text", "n_chars"])
 
-    done = held.mapInArrow(lean(run), f"rest {held.schema['rest'].dataType.simpleString()}, text string, n_chars long")
-    return done.select(*(F.col("rest").getField(c).alias(c) for c in keep), "text", "n_chars")
+    return unpack(held.mapInArrow(lean(run), typed(held, ["rest"], "text string, n_chars long")), keep, "text", "n_chars")

@@ -190,6 +190,46 @@ def test_named_boxes_beside_an_article_go(wrap):
     assert H.main_text(PAGE.format(body=wrap.format(BODY + BODY) + comments)) == f"{WANT} {WANT}"
 
 
+MORE = "<p>A comment, with words. And more words, you see, of a reader who goes on and on.</p>"
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="post-body">{}</div>', "<div><div>{}</div></div>", "<section>{}</section>"])
+@pytest.mark.parametrize("box", [f'<div id="comments">{MORE * 40}</div>', f"""<div id="comments">{"".join(f'<div id="c{i}">{MORE}</div>' for i in range(40))}</div>""",
+                                 f"""<section class="responses"><ol class="comment-list">{f"<li>{MORE}</li>" * 40}</ol></section>""", f"""<div class="related">{f"<div class=item>{MORE}</div>" * 20}</div>"""])
+def test_readers_comments_and_lists_go_at_any_length(wrap, box):
+    assert H.main_text(PAGE.format(body=wrap.format(BODY) + box)) == WANT
+    if "<article>" in wrap or "<main>" in wrap:  # inside the article as well
+        assert H.main_text(PAGE.format(body=wrap.format(BODY + box))) == WANT
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "sidebar", "social", "ad", "newsletter"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>"])
+def test_named_boxes_beside_an_article_go_at_any_length(wrap, name):
+    box = f'<div class="{name}">{MORE * 30}</div>'
+    for body in (wrap.format(BODY) + box, box + wrap.format(BODY), wrap.format(BODY + box), f"<div>{wrap.format(BODY)}{box}</div>"):
+        assert H.main_text(PAGE.format(body=body)) == WANT
+
+
+def test_unnamed_prose_beside_the_article_and_articles_of_links():
+    assert H.main_text(PAGE.format(body=f"<article>{BODY}</article><div>{MORE * 5}</div>")) == WANT
+    links = "<article><ul><li><a href=x>One link</a></li><li><a href=y>Another</a></li></ul></article>"
+    assert H.main_text(PAGE.format(body=links)) == "One link Another"
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Short, but a sentence.</p></article>" for i in range(4))
+    assert H.main_text(PAGE.format(body=f"<div class='content'>{BODY}{BODY}{BODY}</div>{teasers}")).startswith(WANT)
+
+
+def test_very_deep_pages_stay_small_and_quick():
+    import resource
+    import time
+
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert H.main_text("<p>Some text, here. " + "<b>" * 200_000 + "deep</b>") == "Some text, here. deep"
+    H.main_text("<div class=ad>" * 60_000 + "x" + "</div>" * 60_000)
+    H.main_text("<i><div>" + "<b>" * 60_000 + "</i>" * 60_000 + "x. y")
+    H.main_text("<ul><li>" * 50_000 + "text, of a list.")
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000 and time.time() - start < 60
+
+
 def test_pages_of_links_and_boxes_only():
     assert H.main_text("<a href=x>hi</a>") == "" and H.main_text('<div class="ad"> </div>') == ""
 
