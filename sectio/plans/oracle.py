@@ -110,8 +110,14 @@ VIEWS["od_preds"] = (["preds", "preds_bin"], f"""SELECT b.vec_id, b.run, m.y_tru
     JOIN (SELECT DISTINCT vec_id, run, y_true, y_pred FROM preds) m ON b.vec_id = m.vec_id AND b.run = m.run""")
 
 
-def register(name: str, deps: list[str], sql: str) -> None:
+MATERIALIZED: set[str] = set()
+
+
+def register(name: str, deps: list[str], sql: str, materialized: bool = False) -> None:
+    """``materialized``: a view that later ones read more than once, in chains."""
     VIEWS[name] = (deps, sql)
+    if materialized:
+        MATERIALIZED.add(name)
 
 
 def compose(names: list[str], final_sql: str, local: list[tuple[str, str]] | None = None) -> str:
@@ -131,5 +137,5 @@ def compose(names: list[str], final_sql: str, local: list[tuple[str, str]] | Non
     parts = [(n, VIEWS[n][1]) for n in order] + list(local or [])
     if not parts:
         return final_sql
-    ctes = ",\n".join(f"{n} AS (\n{sql}\n)" for n, sql in parts)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}(\n{sql}\n)" for n, sql in parts)
     return f"WITH {ctes}\n{final_sql}"

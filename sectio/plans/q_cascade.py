@@ -78,32 +78,53 @@ def stage2_train(spark, sf_dir):
 
 
 def stage_models(spark, sf_dir):
-    """The two fitted text models (small: classes x trigram vocabulary)."""
-    m1 = stage(spark, sf_dir, "model_stage1", lambda: TM.fit_text_centroids(stage1_train(spark, sf_dir), "k", "text", "cls"))
-    m2 = stage(spark, sf_dir, "model_stage2", lambda: TM.fit_text_centroids(stage2_train(spark, sf_dir), "k", "text", "cls"))
+    """The two fitted heads (a row of class weights per gram of the sample)."""
+    m1 = stage(spark, sf_dir, "model_stage1", lambda: TM.fit_head(stage1_train(spark, sf_dir), "k", "text", "cls"))
+    m2 = stage(spark, sf_dir, "model_stage2", lambda: TM.fit_head(stage2_train(spark, sf_dir), "k", "text", "cls"))
     return m1, m2
 
 
 def text_model_sql(p: str, train: str) -> None:
-    register(f"{p}_g", [train], grams_sql(train, "k", "text"))
+    """``TM.fit_head`` in SQL: the drawn rows, features with the empty gram as the
+    intercept, and one pair of views a step (residuals, then weights ``w`` and the
+    accelerated point ``z``)."""
+    fixed = lambda name, deps, sql: register(name, deps, sql, materialized=True)
+    fixed(f"{p}_y", [train], f"""SELECT k, text, cls FROM (
+        SELECT *, row_number() OVER (ORDER BY md5('{TM.SEED}|' || k), k) AS rn FROM {train}) q WHERE rn <= {TM.FIT_ROWS}""")
+    register(f"{p}_g", [f"{p}_y"], grams_sql(f"{p}_y", "k", "text"))
     register(f"{p}_n", [f"{p}_g"], norms_sql(f"{p}_g", "k"))
-    register(f"{p}_m", [f"{p}_g", f"{p}_n", train], f"""SELECT t.cls AS label, g.gram, sum(g.n / n.norm) / max(c.nc) AS m
-        FROM {p}_g g JOIN {p}_n n ON g.k = n.k JOIN {train} t ON g.k = t.k
-        JOIN (SELECT cls, count(*) AS nc FROM {train} GROUP BY cls) c ON t.cls = c.cls GROUP BY t.cls, g.gram""")
-    register(p, [f"{p}_m"], f"""SELECT m.label, m.gram, m.m, n.norm_c FROM {p}_m m
-        JOIN (SELECT label, sqrt(sum(m * m)) AS norm_c FROM {p}_m GROUP BY label) n ON m.label = n.label""")
+    fixed(f"{p}_x", [f"{p}_g", f"{p}_n", f"{p}_y"], f"""SELECT g.k, g.gram, g.n / n.norm AS v FROM {p}_g g JOIN {p}_n n ON g.k = n.k
+        UNION ALL SELECT k, '', 1.0::DOUBLE FROM {p}_y""")
+    fixed(f"{p}_c", [f"{p}_x", f"{p}_y"], f"""SELECT gram, (gram <> '')::INT AS inner_, CASE WHEN gram = '' THEN 0.0 ELSE sum(v) / (SELECT count(*) FROM {p}_y) END AS mean,
+        (SELECT count(*) FROM {p}_y)::DOUBLE AS rows_ FROM {p}_x GROUP BY gram""")
+    fixed(f"{p}_z0", [f"{p}_c", f"{p}_y"], f"""SELECT gram, label, inner_, mean, rows_, 0.0::DOUBLE AS w, 0.0::DOUBLE AS z
+        FROM {p}_c, (SELECT DISTINCT cls AS label FROM {p}_y) l""")
+    for t in range(TM.STEPS):
+        z = f"{p}_z{t}"
+        fixed(f"{p}_r{t}", [f"{p}_x", f"{p}_y", z], f"""SELECT s.k, s.label, e / sum(e) OVER (PARTITION BY s.k) - (y.cls = s.label)::INT AS r FROM (
+            SELECT k, label, exp(s - max(s) OVER (PARTITION BY k)) AS e FROM (
+              SELECT x.k, z.label, sum(x.v * z.z) - any_value(m.c) AS s FROM {p}_x x JOIN {z} z ON x.gram = z.gram
+              JOIN (SELECT label, sum(mean * z) AS c FROM {z} GROUP BY label) m ON m.label = z.label GROUP BY x.k, z.label) q) s JOIN {p}_y y ON s.k = y.k""")
+        fixed(f"{p}_z{t + 1}", [f"{p}_x", f"{p}_r{t}", z], f"""SELECT gram, label, inner_, mean, rows_, nw AS w, nw + {t} / {t + 3}.0::DOUBLE * (nw - w) AS z FROM (
+            SELECT z.*, z.z - {TM.RATE}::DOUBLE * ((g.pull - z.mean * a.r) / z.rows_ + z.inner_ * {TM.PENALTY}::DOUBLE / z.rows_ * z.z) AS nw FROM {z} z
+            JOIN (SELECT x.gram, r.label, sum(x.v * r.r) AS pull FROM {p}_x x JOIN {p}_r{t} r ON x.k = r.k GROUP BY x.gram, r.label) g ON z.gram = g.gram AND z.label = g.label
+            JOIN (SELECT label, sum(r) AS r FROM {p}_r{t} GROUP BY label) a ON a.label = z.label) q""")
+    last = f"{p}_z{TM.STEPS}"
+    fixed(p, [last], f"SELECT label, gram, w FROM {last} WHERE gram <> ''")
+    fixed(f"{p}_b", [last], f"SELECT label, sum(CASE WHEN gram = '' THEN w ELSE -mean * w END) AS b FROM {last} GROUP BY label")
 
 
 def text_score_sql(p: str, items: str, col: str, model: str) -> None:
     register(f"{p}_t", [items], f"SELECT DISTINCT {col} AS t FROM {items}")
     register(f"{p}_g", [f"{p}_t"], grams_sql(f"{p}_t", "t", "t"))
     register(f"{p}_n", [f"{p}_g"], norms_sql(f"{p}_g", "t"))
-    register(f"{p}_s", [f"{p}_t", f"{p}_g", f"{p}_n", model], f"""SELECT t.t, c.label,
-        coalesce(round(d.dot / (n.norm * c.norm_c), 6), 0.0) AS score
-        FROM {p}_t t CROSS JOIN (SELECT DISTINCT label, norm_c FROM {model}) c
-        LEFT JOIN (SELECT g.t, m.label, sum(g.n * m.m) AS dot FROM {p}_g g JOIN {model} m ON g.gram = m.gram GROUP BY g.t, m.label) d
-          ON d.t = t.t AND d.label = c.label
-        LEFT JOIN {p}_n n ON n.t = t.t""")
+    register(f"{p}_s", [f"{p}_t", f"{p}_g", f"{p}_n", model, f"{model}_b"], f"""SELECT t, label, round(e / sum(e) OVER (PARTITION BY t), 6) AS score FROM (
+        SELECT t, label, exp(s - max(s) OVER (PARTITION BY t)) AS e FROM (
+          SELECT t.t, c.label, c.b + coalesce(d.dot / n.norm, 0.0) AS s
+          FROM {p}_t t CROSS JOIN {model}_b c
+          LEFT JOIN (SELECT g.t, m.label, sum(g.n * m.w) AS dot FROM {p}_g g JOIN {model} m ON g.gram = m.gram GROUP BY g.t, m.label) d
+            ON d.t = t.t AND d.label = c.label
+          LEFT JOIN {p}_n n ON n.t = t.t) a) b""")
     register(p, [f"{p}_s"], f"""SELECT t, label, score AS prob FROM (
         SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, label) AS r FROM {p}_s) q WHERE r = 1""")
 
@@ -156,6 +177,20 @@ def q_corpus_outcomes(spark, sf_dir):
     return corpus_outcomes(spark, sf_dir)
 
 
+text_score_sql("sco", "ot", "text", "tm2")
+
+
+@query("reject_option", compose(["ot", "sco"], """SELECT o.item_id, CASE WHEN s.prob < 0.7 THEN 'No outcome' ELSE s.label END AS label, s.prob
+    FROM ot o JOIN sco s ON o.text = s.t"""))
+def q_reject_option(spark, sf_dir):
+    """The stage-2 domain of every annotated outcome text, or "No outcome" if
+    its probability is under 0.70."""
+    _, m2 = stage_models(spark, sf_dir)
+    ot = outcome_texts(spark, sf_dir).select("item_id", "text")
+    long = TM.score_texts(ot, "text", m2).select("text", F.explode("scores").alias("s")).select("text", "s.label", "s.score")
+    return ot.join(C.reject_option(long, ["text"], threshold=0.70), "text").select("item_id", "label", "prob")
+
+
 @query("corpus_status", compose(["sec_loc", "corpus"], """SELECT status, CAST(count(*) AS BIGINT) AS n_articles FROM (
     SELECT CASE WHEN l.status <> 'ok' THEN 'no_results' WHEN c.doc_id IS NULL THEN 'no_outcomes' ELSE 'ok' END AS status
     FROM sec_loc l LEFT JOIN (SELECT DISTINCT doc_id FROM corpus) c ON l.doc_id = c.doc_id) q GROUP BY status"""))

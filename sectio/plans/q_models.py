@@ -47,13 +47,6 @@ def q_two_stage_attach(spark, sf_dir):
     return od_preds(spark, sf_dir)
 
 
-@query("reject_option", compose(["preds"], """SELECT vec_id, run, CASE WHEN score < 0.7 THEN 'No outcome' ELSE label END AS label,
-    score AS prob FROM (
-    SELECT *, row_number() OVER (PARTITION BY vec_id, run ORDER BY score DESC, label) AS r FROM preds) q WHERE r = 1"""))
-def q_reject_option(spark, sf_dir):
-    return classify.reject_option(preds(spark, sf_dir), ["vec_id", "run"], threshold=0.70)
-
-
 @query("domain_actual_vs_predicted", compose(["od_preds"], """
 SELECT a.run, a.domain, CAST(a.actual AS BIGINT) AS actual, CAST(coalesce(p.predicted, 0) AS BIGINT) AS predicted,
        CAST(a.n_correct AS BIGINT) AS n_correct, round(a.n_correct / a.actual, 6) AS prop_correct

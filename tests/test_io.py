@@ -111,6 +111,6 @@ def test_text_model_save_load(spark, tmp_path):
     from sectio.operators import textmodel as TM
 
     train = spark.createDataFrame([("a", "wound infection", "outcome"), ("b", "we thank", "not outcome")], "k string, text string, cls string")
-    TM.save(TM.fit_text_centroids(train, "k", "text", "cls"), str(tmp_path / "m"))
+    TM.save(TM.fit_head(train, "k", "text", "cls"), str(tmp_path / "m"))
     back = TM.score_texts(spark.createDataFrame([("wound",)], "t string"), "t", TM.load(spark, str(tmp_path / "m"))).first()
     assert back["label"] == "outcome"
