@@ -5,7 +5,8 @@ k-means: a cluster over the leaf size is split again, so dense regions get more
 lists and lists stay balanced. Every vector goes to its nearest list and,
 near a boundary, to further lists whose centroid is within ``replicate`` times
 the least distance. Centroids form a neighbour graph held in memory (the sample
-bounds its size); lists are found by beam search over it. A list longer than
+bounds its size); lists are found by beam search over it, from entries in every
+region and with a beam wide enough that nearly all first lists are the nearest. A list longer than
 ``shard_rows`` is dealt out over several shards; every shard is searched.
 
 Search. A query opens lists in order of distance until the vectors at home there
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from sectio.llm.common import cut, lean
 
 SAMPLE = 16_384
+SPREAD = 8  # centroids for each entry of the graph
+BEAM = 64  # centroids held by a search, however few lists are asked for
 
 
 def split(x: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -71,7 +74,8 @@ class Graph:
         # A ring keeps the graph in one piece.
         ring = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], 1)
         self.near = np.concatenate([near, ring], 1)
-        self.entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
+        # Centroids of one region follow each other: evenly spread entries reach all regions.
+        self.entry = np.unique(np.linspace(0, n - 1, min(n, max(16, n // SPREAD))).astype(int))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` best centroids found for each row, nearest first, and distances."""
@@ -119,7 +123,8 @@ def _lists(shared, ratio: float, most: int, sizes: np.ndarray | None = None, nee
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found, d = graph.search(_matrix(batch.column("embedding")), most)
+                found, d = graph.search(_matrix(batch.column("embedding")), max(most, BEAM))
+                found, d = found[:, :most], d[:, :most]
                 reach = d[:, :1]
                 if sizes is not None:
                     held = sizes[found].cumsum(1)
@@ -179,7 +184,7 @@ def _all_pairs(base: DataFrame, asked: DataFrame, n_asked: int, k: int, shard_ro
             .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("found")).withColumnRenamed("query", "query_id"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", sample: int = SAMPLE, leaf: int = 48,
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", sample: int = SAMPLE, leaf: int = 24,
            replicate: float = 1.06, copies: int = 4, probe_ratio: float = 1.3, probes: int = 192, shard_rows: int = 8192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each
     row of ``queries``, by Euclidean distance in double precision, ties to the

@@ -89,14 +89,42 @@ def test_every_query_has_k_rows(spark):
     assert [v for _, v, _ in sorted(got[5000])] == [i for _, i in near]
 
 
-def test_recall_with_pruned_lists(spark):
-    """Production parameters on more vectors than the sample and more lists than
-    are probed: clusters, near copies, outliers and noise."""
+def mixed_vectors():
+    """Clusters, noise, near copies and outliers, more than the sample takes."""
     rng = np.random.default_rng(5)
     x = np.concatenate([(4 * rng.normal(size=(120, 1, 16)) + rng.normal(size=(120, 120, 16))).reshape(-1, 16), rng.normal(size=(3600, 16)),
                         np.repeat(4 * rng.normal(size=(300, 16)), 4, 0) + 1e-3 * rng.normal(size=(1200, 16)), 30 * rng.normal(size=(800, 16))])
-    x = x[rng.permutation(len(x))]
-    assert len(x) == 20000 and len(ann.balanced_centroids(x[:ann.SAMPLE].copy(), 48)) > 192
+    return x[rng.permutation(len(x))]
+
+
+def test_homes_are_right_and_few_rows_are_scored():
+    """At most 5 % of the vectors on another list than the nearest; a query's
+    lists hold under 10 % of the table, replicas included."""
+    import inspect
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    own = {k: v.default for k, v in inspect.signature(ann.search).parameters.items()}
+    x = mixed_vectors()
+    graph = ann.Graph(ann.balanced_centroids(x[:ann.SAMPLE].copy(), own["leaf"]))
+    batch = lambda rows: pa.record_batch([pa.array(rows), pa.array(x[rows].tolist())], ["vid", "embedding"])
+    posted = list(ann._lists(SimpleNamespace(value=graph), own["replicate"], own["copies"])(iter([batch(np.arange(len(x)))])))
+    lists, home, vid = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in posted]) for c in ("list", "home", "vid"))
+    exact = ((x**2).sum(1)[:, None] - 2 * x @ graph.x.T + (graph.x**2).sum(1)).argmin(1)
+    assert sorted(vid[home].tolist()) == list(range(len(x))) and (lists[home] != exact[vid[home]]).mean() < 0.05
+    size, held = np.bincount(lists[home], minlength=len(graph.x)), np.bincount(lists, minlength=len(graph.x))
+    assert size.max() <= 4 * own["leaf"]
+    asked = list(ann._lists(SimpleNamespace(value=graph), own["probe_ratio"], own["probes"], size, 88)(iter([batch(np.arange(0, len(x), 40))])))
+    opened = np.concatenate([b.column("list").to_numpy() for b in asked])
+    assert held[opened].sum() / 500 < 0.1 * len(x)
+
+
+def test_recall_with_pruned_lists(spark):
+    """Production parameters on more vectors than the sample and more lists than
+    are probed."""
+    x = mixed_vectors()
+    assert len(x) == 20000
     df = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     got: dict = {}
     for r in ann.search(df, df.where("vec_id % 40 = 0")).collect():
@@ -104,7 +132,8 @@ def test_recall_with_pruned_lists(spark):
     assert set(got) == set(range(0, len(x), 40)) and all(len(v) == 10 for v in got.values())
     ids = list(range(len(x)))
     recall = np.array([len(got[q] & {i for _, i in exact(ids, x, q)}) / 10 for q in got])
-    assert recall.mean() >= 0.95
+    print("recall", recall.mean(), "whole", (recall == 1).mean(), "worst", recall.min())
+    assert recall.mean() >= 0.97 and recall.min() >= 0.3
 
 
 def test_graph_search_finds_most(spark):
