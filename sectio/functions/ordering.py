@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectio.functions.frames import with_scalars
+from sectio.functions.frames import materialize, with_scalars
 
 BUCKET_HEX_DIGITS = 4  # 65,536 buckets per group
 
@@ -75,8 +75,8 @@ def hash_cutoffs(keys: DataFrame, key: str, order: Callable[[Column], Column], n
         counts = with_scalars(counts, n.agg(F.max("n").cast("long").alias("__n")))
     edge = counts.where((F.col("__up") >= F.col("__n")) & (F.col("__up") - F.col("__c") < F.col("__n")) & (F.col("__all") > F.col("__n")))
     edge = edge.select(*parts, "__b", (F.col("__n") - F.col("__up") + F.col("__c")).alias("__k"))
-    # Without groups one row; with groups one a group.
-    inside = keyed.join(edge if parts else F.broadcast(edge), [*parts, "__b"])
+    # Without groups one row; with groups one a group, written so that its size is known.
+    inside = keyed.join(materialize(edge) if parts else F.broadcast(edge), [*parts, "__b"])
     w = Window.partitionBy(*parts, "__b").orderBy("__h", key)
     cuts = inside.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == F.col("__k")).select(*parts, F.struct("__h", F.col(key).alias("__key")).alias("__cut"))
     sizes = counts.groupBy(*parts).agg((F.max("__all") <= F.max("__n")).alias("__all"))
@@ -92,6 +92,7 @@ def hash_first(df: DataFrame, seed: int | str, key: str, n: int | DataFrame, par
     parts = list(partition_by or [])
     order = order or (lambda k: seeded_key(seed, k))
     cuts = hash_cutoffs(df, key, order, n, parts)
-    held = df.join(cuts, parts) if parts else with_scalars(df, cuts.agg(F.max("__all").alias("__all"), F.max("__cut").alias("__cut")))
+    # The cut-offs are written, too: a small table goes to the rows, not the rows to their group.
+    held = df.join(materialize(cuts), parts) if parts else with_scalars(df, cuts.agg(F.max("__all").alias("__all"), F.max("__cut").alias("__cut")))
     here = F.struct(order(F.col(key)).alias("__h"), F.col(key).alias("__key"))
     return held.where(F.col("__all") | (here <= F.col("__cut"))).select(*df.columns)

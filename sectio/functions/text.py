@@ -158,11 +158,9 @@ def sentences(c: Column, abbreviations: Column | None = None) -> Column:
 
 
 def dotted_words(c: Column) -> Column:
-    """Words of a text in lower case, each with the full stop that follows it, and
-    once more with a mark where the sentence goes on after that."""
-    words = F.transform(F.regexp_extract_all(c, F.lit(DOTTED_WORD_RE), F.lit(0)), lambda t: F.lower(t))
-    inside = F.transform(F.regexp_extract_all(c, F.lit(INSIDE_WORD_RE), F.lit(1)), lambda t: F.concat(F.lower(t), F.lit(INSIDE_MARK)))
-    return F.concat(words, inside)
+    """Words of a text, each with the full stop that follows it, and once more with a mark where the sentence goes on after that."""
+    inside = F.transform(F.regexp_extract_all(c, F.lit(INSIDE_WORD_RE), F.lit(1)), lambda t: F.concat(t, F.lit(INSIDE_MARK)))
+    return F.concat(F.regexp_extract_all(c, F.lit(DOTTED_WORD_RE), F.lit(0)), inside)
 
 
 # Tokens: words (letters/digits with inner ' ’ - . joins) or single symbols.

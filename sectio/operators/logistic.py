@@ -55,7 +55,7 @@ def vectors(df: DataFrame, text: str, dims: int, encoder: Encoder | None = None)
     return Normalizer(inputCol="__tf", outputCol="__x").transform(counted).drop("__g", "__tf")
 
 
-def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_INVERSE, max_iter: int = MAX_ITER, tol: float = 1e-9, encoder: Encoder | None = None) -> Head:
+def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_INVERSE, max_iter: int = MAX_ITER, tol: float = 1e-7, encoder: Encoder | None = None) -> Head:
     """Fit on the rows with a label. The class list is bounded by the label set
     and is the only thing collected besides the model."""
     rows = train.where(F.col(label).isNotNull())

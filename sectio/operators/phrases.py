@@ -46,7 +46,7 @@ def word_stops(texts: DataFrame, text: str) -> DataFrame:
     """(word, n_stop, n_plain, n_inside): occurrences of each word with and without
     a full stop after it, and those with one after which the sentence goes on (a
     lower-case word or a comma follows), in one aggregate with map-side combining."""
-    w = texts.select(F.explode(T.dotted_words(F.col(text))).alias("w"))
+    w = texts.select(F.explode(T.dotted_words(F.col(text))).alias("w")).select(F.lower("w").alias("w"))
     stop, inside = F.col("w").endswith("."), F.col("w").endswith(T.INSIDE_MARK)
     return w.groupBy(F.rtrim("w", F.lit("." + T.INSIDE_MARK)).alias("word")).agg(
         F.count_if(stop).alias("n_stop"), F.count_if(~stop & ~inside).alias("n_plain"), F.count_if(inside).alias("n_inside"))

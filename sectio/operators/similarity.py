@@ -129,9 +129,12 @@ def pair_stats(items: DataFrame, key: str, text: str, side: int = SIDE) -> DataF
     return with_scalars(n, stats).select("n_items", "n_pairs", F.round("min_sim", 6).alias("min_sim"), F.round("median_sim", 6).alias("median_sim"))
 
 
-# Postings of one block of the index (24 bytes each: about 24 MB), and candidates of one slice.
+# Postings of one block of the index (24 bytes each: about 24 MB); candidates of one
+# slice, and of a slice at least as many as a part of its block's postings, so that
+# the copies of the index stay small beside the candidates.
 BLOCK_POSTINGS = 1_000_000
-SLICE_ROWS = 50_000
+SLICE_ROWS = 2_000
+SLICE_SHARE = 20
 CHUNK = 8
 SAFE = 1 + 1e-9  # room for sums in another order
 INDEX = "vocab array<string>, starts binary, ids binary, counts binary, norms binary"
@@ -284,7 +287,8 @@ def best_similarity(cand: DataFrame, ctext: str, pos: DataFrame, pkey: str, ptex
     blocks = sorted(r.block for r in index.select("block").collect())  # numbers of blocks only
     if not blocks:
         return texts.select(F.col("t").alias(ctext), F.lit(0.0).alias("max_sim"), *[F.lit(0).cast("long").alias(c) for c in ("n_read", "n_dots")] * counters)
-    slices = max(1, -(-texts.count() // slice_rows))
+    postings = index.agg(F.max(F.length("ids")) / 4).first()[0]
+    slices = max(1, -(-texts.count() // max(slice_rows, int(postings) // SLICE_SHARE)))
     rows = texts.select("t", F.coalesce(trigrams(F.col("t")), F.array().cast("array<string>")).alias("g"), F.lit(1).alias("t_null"),
                         F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("slice"))
     rows = rows.select("*", F.explode(F.array(*(F.lit(b) for b in blocks))).alias("block"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectio.functions.ordering import hash_first
+from sectio.functions.ordering import seeded_key
 from sectio.functions.text import squared_count_norm, trigrams
 
 SEED = 4220
@@ -63,7 +63,9 @@ def fit_head(train: DataFrame, key: str, text: str, cls: str, rows: int = FIT_RO
     """The model's rows. Texts without a class are left out, texts without
     trigrams (null, short) count with all features zero. ``key`` is unique."""
     held = train.where(F.col(cls).isNotNull()).select(F.col(key).alias("k"), F.col(cls).alias("y"), F.col(text).alias("t"))
-    got = hash_first(held, seed, "k", rows).select("k", "y", F.coalesce(trigrams(F.col("t")), F.array().cast("array<string>")).alias("g")).collect()
+    # A top-n of a bounded n: every task keeps its first rows, the driver the first of those.
+    drawn = held.orderBy(seeded_key(seed, F.col("k")), "k").limit(rows)
+    got = drawn.select("k", "y", F.coalesce(trigrams(F.col("t")), F.array().cast("array<string>")).alias("g")).collect()
     got.sort(key=lambda r: str(r.k))
     if not got:
         raise ValueError("no labelled texts to fit on")
