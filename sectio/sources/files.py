@@ -64,5 +64,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_reports(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
     """K2/K3: one report per line (``report`` column), in a folder of the run
-    (``run_id=...``); appending adds files, never rewrites earlier runs."""
-    df.select("report", F.lit(run_id).alias("run_id")).write.mode(mode).partitionBy("run_id").text(path)
+    (``run_id=...``). Appending replaces the files of the same run, if there are
+    any (a run that is written again after a failure counts once), and never
+    touches other runs; ``overwrite`` replaces all runs."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be 'append' or 'overwrite'")
+    rows = df.select("report", F.lit(run_id).alias("run_id"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if mode == "append" else "static").partitionBy("run_id").text(path)
