@@ -70,41 +70,71 @@ def class_counts(preds: DataFrame, group: list[str], labels: DataFrame) -> DataF
     )
 
 
-def per_class(preds: DataFrame, group: list[str]) -> DataFrame:
-    """Per class of union(y_true, y_pred): precision, recall, f1, support."""
-    t = preds.groupBy(*group, F.col("y_true").alias("label")).agg(
-        F.count(F.lit(1)).alias("support"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("tp"))
-    p = preds.groupBy(*group, F.col("y_pred").alias("label")).agg(F.count(F.lit(1)).alias("npred"))
-    j = t.join(p, group + ["label"], "full").fillna(0, ["support", "tp", "npred"])
-    prec = _div0(F.col("tp"), F.col("npred"))
-    rec = _div0(F.col("tp"), F.col("support"))
-    j = j.withColumn("precision", prec).withColumn("recall", rec)
-    f1 = _div0(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return j.withColumn("f1_score", f1).select(*group, "label", "precision", "recall", "f1_score",
-                                               F.col("support").cast("bigint").alias("support"))
+def matrix(preds: DataFrame, group: list[str]) -> DataFrame:
+    """Group and ``cells``, its confusion counts ``(y_true, y_pred, n)`` as an array
+    of at most the square of the label set: one pass over the predictions, from
+    which every label metric follows in-row."""
+    n = preds.groupBy(*group, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*group).agg(F.collect_list(F.struct("y_true", "y_pred", "n")).alias("cells"))
+
+
+def _total(cells, which=None):
+    """Sum of the counts of the cells that ``which`` keeps."""
+    kept = F.filter(cells, which) if which else cells
+    return F.aggregate(kept, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+
+def accuracy(cells):
+    """Share of a matrix's rows on its diagonal."""
+    return _r(_total(cells, lambda c: c["y_true"] == c["y_pred"]) / _total(cells))
+
+
+def one_class_counts(label: str, labels) -> dict:
+    """A15 of one class from a matrix row: columns tp, fp, fn, tn over the cells
+    whose labels are both in the array ``labels``."""
+    cells = F.filter("cells", lambda c: F.array_contains(labels, c["y_true"]) & F.array_contains(labels, c["y_pred"]))
+    of = lambda t, p: _total(cells, lambda c: ((c["y_true"] == label) == F.lit(t)) & ((c["y_pred"] == label) == F.lit(p)))
+    return {"tp": of(True, True), "fp": of(False, True), "fn": of(True, False), "tn": of(False, False)}
+
+
+def _classes(cells):
+    """Array of (label, precision, recall, f1_score, support) in label order."""
+    labels = F.array_sort(F.array_distinct(F.concat(F.transform(cells, lambda c: c["y_true"]), F.transform(cells, lambda c: c["y_pred"]))))
+    counts = F.transform(labels, lambda x: F.struct(
+        x.alias("label"), _total(cells, lambda c: c["y_true"] == x).alias("support"), _total(cells, lambda c: c["y_pred"] == x).alias("npred"),
+        _total(cells, lambda c: (c["y_true"] == x) & (c["y_pred"] == x)).alias("tp")))
+    rates = F.transform(counts, lambda c: F.struct(
+        c["label"].alias("label"), _div0(c["tp"], c["npred"]).alias("precision"), _div0(c["tp"], c["support"]).alias("recall"), c["support"].alias("support")))
+    return F.transform(rates, lambda c: F.struct(
+        c["label"].alias("label"), c["precision"].alias("precision"), c["recall"].alias("recall"),
+        _div0(2 * c["precision"] * c["recall"], c["precision"] + c["recall"]).alias("f1_score"), c["support"].alias("support")))
+
+
+def report_rows(m: DataFrame, group: list[str], keep: list[str] | None = None) -> DataFrame:
+    """A16 from ``matrix`` rows, without a shuffle: one row per target (each class,
+    'macro avg', 'weighted avg', 'accuracy'); ``keep`` columns stay beside."""
+    extra = list(keep or [])
+    held = m.select(*group, *extra, "cells", _classes(F.col("cells")).alias("__c"))
+    total, right = _total(F.col("cells")), _total(F.col("cells"), lambda c: c["y_true"] == c["y_pred"])
+    add = lambda f: F.aggregate("__c", F.lit(0.0), lambda a, c: a + f(c))
+
+    def row(name, p, r, f1, support):
+        return F.struct(F.lit(name).alias("label"), p.alias("precision"), r.alias("recall"), f1.alias("f1_score"), support.alias("support"))
+
+    rates = ("precision", "recall", "f1_score")
+    macro = row("macro avg", *(add(lambda c, x=x: c[x]) / F.size("__c") for x in rates), total)
+    weighted = row("weighted avg", *(_div0(add(lambda c, x=x: c[x] * c["support"]), total) for x in rates), total)
+    none = F.lit(None).cast("double")
+    accuracy = row("accuracy", none, none, right / total, total)
+    rows = held.select(*group, *extra, F.explode(F.concat("__c", F.array(macro, weighted, accuracy))).alias("__r"))
+    return rows.select(*group, *extra, F.col("__r.label").alias("target"), *(_r(F.col(f"__r.{x}")).alias(x) for x in rates), F.col("__r.support").alias("support"))
 
 
 def classification_report(preds: DataFrame, group: list[str]) -> DataFrame:
     """One row per target (each class, 'macro avg', 'weighted avg'):
     precision, recall, f1_score, support; plus target 'accuracy' carrying the
     accuracy in f1_score (scikit-learn's layout)."""
-    pc = per_class(preds, group)
-    macro = pc.groupBy(*group).agg(
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"),
-        F.sum("support").cast("bigint").alias("support")).withColumn("label", F.lit("macro avg"))
-    sup = F.sum("support")
-    weighted = pc.groupBy(*group).agg(
-        _div0(F.sum(F.col("precision") * F.col("support")), sup).alias("precision"),
-        _div0(F.sum(F.col("recall") * F.col("support")), sup).alias("recall"),
-        _div0(F.sum(F.col("f1_score") * F.col("support")), sup).alias("f1_score"),
-        sup.cast("bigint").alias("support")).withColumn("label", F.lit("weighted avg"))
-    acc = preds.groupBy(*group).agg(
-        F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-        F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("f1_score"),
-        F.count(F.lit(1)).cast("bigint").alias("support")).withColumn("label", F.lit("accuracy"))
-    cols = [*group, F.col("label").alias("target"), _r(F.col("precision")).alias("precision"),
-            _r(F.col("recall")).alias("recall"), _r(F.col("f1_score")).alias("f1_score"), "support"]
-    return pc.select(*cols).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols)).unionByName(acc.select(*cols))
+    return report_rows(matrix(preds, group), group)
 
 
 def binary_metrics(preds: DataFrame, group: list[str], positive: str = "outcome") -> DataFrame:
@@ -131,45 +161,49 @@ def micro_metrics(preds: DataFrame, group: list[str]) -> DataFrame:
 BUCKETS = 64
 
 
-def running_counts(st: DataFrame, group: list[str], cols: list[str], score: str = "score") -> DataFrame:
+def running_counts(st: DataFrame, group: list[str], cols: list[str], score: str = "score", totals: bool = False) -> DataFrame:
     """Append ``<col>_below`` for each count column: its sum over the rows of the
-    group with a smaller score. Scores are distinct within a group; they may be
+    group with a smaller score; with ``totals`` also ``<col>_total``, the group's. Scores are distinct within a group; they may be
     any doubles, so quantiles only place the bucket edges and are never part of
     the result."""
     edges = st.groupBy(*group).agg(F.percentile_approx(score, [i / BUCKETS for i in range(1, BUCKETS)], 2000).alias("__e"))
     rows = st.join(edges, group).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col(score)))).drop("__e")
     per = rows.groupBy(*group, "__b").agg(*(F.sum(c).alias(f"__{c}") for c in cols))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*group, "__b", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in cols))
+    whole = Window.partitionBy(*group)  # ``BUCKETS`` rows per group
+    every = [F.sum(f"__{c}").over(whole).alias(f"{c}_total") for c in cols] if totals else []
+    per = per.select(*group, "__b", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in cols), *every)
     inside = Window.partitionBy(*group, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(per, [*group, "__b"]).select(
-        *st.columns, *((F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in cols))
+        *st.columns, *((F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in cols), *[f"{c}_total" for c in cols] * totals)
 
 
 def _score_table(scores: DataFrame, group: list[str], is_pos) -> DataFrame:
     return scores.groupBy(*group, "score").agg(F.count_if(is_pos).alias("np"), F.count_if(~is_pos).alias("nn"))
 
 
-def auroc(scores: DataFrame, group: list[str], positive: str = "outcome") -> DataFrame:
-    """Area under the ROC curve, ties counted half (mid-ranks).
-    Input: group, y_true, score (of the positive class). Null when a group
-    lacks either class."""
-    st = running_counts(_score_table(scores, group, F.col("y_true") == positive), group, ["nn"])
+def areas(scores: DataFrame, group: list[str], positive: str = "outcome") -> DataFrame:
+    """A18 and A19 from one table of distinct scores and its running counts: group,
+    ``auroc`` (ties counted half; null when a group lacks either class) and
+    ``auprc`` (average precision, step-wise: over distinct thresholds, recall gain
+    x precision). Input: group, y_true, score (of the positive class)."""
+    st = running_counts(_score_table(scores, group, F.col("y_true") == positive), group, ["np", "nn"], totals=True)
+    st = st.withColumnsRenamed({"np_total": "__P", "nn_total": "__N"}).withColumn("ctp", F.col("__P") - F.col("np_below")).withColumn("cfp", F.col("__N") - F.col("nn_below"))
     a = st.groupBy(*group).agg(
-        F.sum(F.col("np") * (F.col("nn_below") + 0.5 * F.col("nn"))).alias("u"),
-        F.sum("np").alias("P"), F.sum("nn").alias("N"))
-    return a.select(*group, _r(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N")))).alias("auroc"))
+        F.sum(F.col("np") * (F.col("nn_below") + 0.5 * F.col("nn"))).alias("u"), F.sum("np").alias("P"), F.sum("nn").alias("N"),
+        F.sum(F.col("np") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("s"))
+    return a.select(*group, _r(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N")))).alias("auroc"),
+                    _r(F.when(F.col("P") > 0, F.col("s") / F.col("P"))).alias("auprc"))
+
+
+def auroc(scores: DataFrame, group: list[str], positive: str = "outcome") -> DataFrame:
+    """Area under the ROC curve."""
+    return areas(scores, group, positive).select(*group, "auroc")
 
 
 def auprc(scores: DataFrame, group: list[str], positive: str = "outcome") -> DataFrame:
-    """Average precision, step-wise (no interpolation): sum over
-    distinct thresholds, high to low, of recall gain x precision."""
-    st = running_counts(_score_table(scores, group, F.col("y_true") == positive), group, ["np", "nn"])
-    total = st.groupBy(*group).agg(F.sum("np").alias("__P"), F.sum("nn").alias("__N"))
-    st = st.join(total, group).withColumn("ctp", F.col("__P") - F.col("np_below")).withColumn("cfp", F.col("__N") - F.col("nn_below"))
-    a = st.groupBy(*group).agg(
-        F.sum(F.col("np") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("s"), F.sum("np").alias("P"))
-    return a.select(*group, _r(F.when(F.col("P") > 0, F.col("s") / F.col("P"))).alias("auprc"))
+    """Average precision."""
+    return areas(scores, group, positive).select(*group, "auprc")
 
 
 def auroc_ovo_weighted(long_scores: DataFrame, group: list[str], key: str) -> DataFrame:

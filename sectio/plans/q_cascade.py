@@ -17,9 +17,9 @@ from sectio.operators import splits as SP
 from sectio.operators import textmodel as TM
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import VIEWS, _nc, clean_label_sql, compose, domain_sql, register
-from sectio.plans.q_metrics import AUROC_CTES, EVAL_REPORT_CTES, EVAL_VIEWS, eval_report, one, report_ctes, report_sql
+from sectio.plans.q_metrics import AUROC_CTES, EVAL_REPORT_CTES, EVAL_VIEWS, report_ctes, report_sql, size_scores
 from sectio.plans.q_similarity import grams_sql, negatives, norms_sql
-from sectio.plans.q_sizes import size_preds, study_vectors
+from sectio.plans.q_sizes import study_vectors
 from sectio.plans.q_splits import rank_sql, split_sql
 from sectio.plans.q_text import phrases, sections
 from sectio.plans.registry import query
@@ -263,11 +263,11 @@ LC_TARGETS = [OUTCOME, NOT_OUTCOME, "macro avg", "weighted avg"]
 def learning_curve(spark, sf_dir):
     """Long report per training size in studies: (run, n_articles, target, metric,
     score) with the run's accuracy / AUROC / AUPRC on every row."""
-    rep = M.classification_report(one(size_preds(spark, sf_dir)), ["run"]).where(F.col("target").isin(LC_TARGETS))
-    long = rep.select("run", "target", F.expr(
-        "stack(4, 'precision', precision, 'recall', recall, 'f1-score', f1_score, 'support', CAST(support AS DOUBLE)) AS (metric, score)"))
-    ev = eval_report(spark, sf_dir).select("run", F.col("n_train").alias("n_articles"), "accuracy", "auroc", "auprc")
-    return long.join(ev, "run").select("run", "n_articles", "target", "metric", "score", "accuracy", "auroc", "auprc")
+    s = size_scores(spark, sf_dir).withColumn("accuracy", M.accuracy(F.col("cells")))
+    rep = M.report_rows(s, ["run"], ["n_train", "accuracy", "auroc", "auprc"]).where(F.col("target").isin(LC_TARGETS))
+    return rep.select("run", F.col("n_train").alias("n_articles"), "target", F.expr(
+        "stack(4, 'precision', precision, 'recall', recall, 'f1-score', f1_score, 'support', CAST(support AS DOUBLE)) AS (metric, score)"),
+        "accuracy", "auroc", "auprc")
 
 
 LC_SQL = f"""SELECT r.run, e.n_train AS n_articles, r.target, u.metric, u.score, e.accuracy, e.auroc, e.auprc
@@ -391,7 +391,7 @@ def q_cv_folds_eval(spark, sf_dir):
     rows = p.where(F.col("label") == F.col("y_pred")).select("vec_id", "fold", "y_true", "y_pred")
     bm = M.binary_metrics(rows, ["fold"]).drop("average")
     sc = p.where(F.col("label") == OUTCOME).select("fold", "y_true", "score")
-    return bm.join(M.auroc(sc, ["fold"]), "fold").join(M.auprc(sc, ["fold"]), "fold").select(
+    return bm.join(M.areas(sc, ["fold"]), "fold").select(
         F.col("fold").cast("int").alias("fold"), "accuracy", "precision", "recall", "f1", "auroc", "auprc")
 
 

@@ -11,6 +11,7 @@ from sectio.plans.oracle import compose, register
 from sectio.plans.q_models import od_preds, preds
 from sectio.plans.q_sizes import size_counts, size_preds
 from sectio.plans.registry import query
+from sectio.plans.stages import stage
 
 G = ["run"]
 
@@ -177,24 +178,37 @@ def train_sizes(spark, sf_dir, n_runs=4):
 def eval_report(spark, sf_dir):
     """M8: one row per training size (run) with the binary model's report on
     the test studies."""
-    p = size_preds(spark, sf_dir)
-    o = one(p)
-    rep = M.classification_report(o, G)
-    wide = rep.groupBy("run").pivot("target", ["accuracy", "macro avg", "weighted avg"]).agg(
+    s = size_scores(spark, sf_dir)
+    wide = M.report_rows(s, G).groupBy("run").pivot("target", ["accuracy", "macro avg", "weighted avg"]).agg(
         F.first("precision").alias("p"), F.first("recall").alias("r"), F.first("f1_score").alias("f"))
-    cc = M.class_counts(o, G, model_labels(p))
-    cnt = cc.groupBy("run").agg(*[
-        F.max(F.when(F.col("label") == lab, F.col(m))).alias(f"{m}_{sfx}")
-        for m in ["tp", "fp", "fn", "tn"] for lab, sfx in [(OUTCOME, "o"), (NOT_OUTCOME, "no")]])
-    bs = p.where(F.col("label") == OUTCOME).select("vec_id", "run", "y_true", "score")
-    return (
-        wide.select("run", F.col("accuracy_f").alias("accuracy"),
-                    F.col("`macro avg_p`").alias("macro_precision"), F.col("`macro avg_r`").alias("macro_recall"),
-                    F.col("`macro avg_f`").alias("macro_f1"), F.col("`weighted avg_p`").alias("weighted_precision"),
-                    F.col("`weighted avg_r`").alias("weighted_recall"), F.col("`weighted avg_f`").alias("weighted_f1"))
-        .join(M.auroc(bs, G), G).join(M.auprc(bs, G), G).join(cnt, G).join(size_counts(spark, sf_dir), G)
-        .withColumn("seed_no", F.lit(4220).cast("bigint"))
-    )
+    return wide.join(size_scalars(s), G).select(
+        "run", F.col("accuracy_f").alias("accuracy"),
+        F.col("`macro avg_p`").alias("macro_precision"), F.col("`macro avg_r`").alias("macro_recall"),
+        F.col("`macro avg_f`").alias("macro_f1"), F.col("`weighted avg_p`").alias("weighted_precision"),
+        F.col("`weighted avg_r`").alias("weighted_recall"), F.col("`weighted avg_f`").alias("weighted_f1"),
+        "auroc", "auprc", *SIZE_COUNTS, "n_train", "seed_no")
+
+
+SIZE_COUNTS = [f"{m}_{sfx}" for m in ["tp", "fp", "fn", "tn"] for sfx in ["o", "no"]]
+
+
+def size_scores(spark, sf_dir):
+    """Stage output, one row per training size: confusion cells, model labels, AUROC
+    and AUPRC on the test studies, and the number of training studies. All reports
+    of the learning curve are made from it."""
+    def build():
+        p = size_preds(spark, sf_dir)
+        labels = p.groupBy("run").agg(F.collect_set("label").alias("labels"))
+        bs = p.where(F.col("label") == OUTCOME).select("vec_id", "run", "y_true", "score")
+        return M.matrix(one(p), G).join(labels, G).join(M.areas(bs, G), G).join(size_counts(spark, sf_dir), G)
+    return stage(spark, sf_dir, "size_scores", build)
+
+
+def size_scalars(s):
+    """Scalars and class counts of each training size."""
+    counts = [c.cast("bigint").alias(f"{m}_{sfx}") for lab, sfx in [(OUTCOME, "o"), (NOT_OUTCOME, "no")]
+              for m, c in M.one_class_counts(lab, F.col("labels")).items()]
+    return s.select("run", "auroc", "auprc", "n_train", F.lit(4220).cast("bigint").alias("seed_no"), *counts)
 
 
 EVAL_REPORT_CTES = report_ctes("b1_sz") + [("rep", report_sql("b1_sz"))] + [(n, q.replace("FROM bs ", "FROM bs_sz ")) for n, q in AUROC_CTES] + [

@@ -14,10 +14,11 @@ from sectio.operators import reportio as RIO
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import VIEWS, _nc, compose, register
 from sectio.plans.q_cascade import ENCODERS, corpus_outcomes, cv_predictions, learning_curve
-from sectio.plans.q_metrics import AUROC_CTES, eval_report, one, report_ctes, report_sql, train_sizes
+from sectio.plans.q_metrics import AUROC_CTES, one, report_ctes, report_sql, size_scalars, size_scores, train_sizes
 from sectio.plans.q_models import od_preds, preds
-from sectio.plans.q_sizes import FINAL_SIZE_RUN, size_preds
+from sectio.plans.q_sizes import FINAL_SIZE_RUN
 from sectio.plans.registry import query
+from sectio.plans.stages import stage
 from sectio.sources import trials as TR
 
 TARGETS = [OUTCOME, NOT_OUTCOME, "weighted avg", "macro avg"]
@@ -42,11 +43,12 @@ def size_reports(spark, sf_dir) -> DataFrame:
     """K2: one JSON report per training size (run), the reference's report
     layout (class objects, accuracy, AUROC, AUPRC, n_articles, seed_no,
     FP/FN/TP/TN lists in class order outcome, not outcome)."""
-    rep = M.classification_report(one(size_preds(spark, sf_dir)), ["run"])
-    ev = eval_report(spark, sf_dir)
-    scal = ev.select("run", F.col("auroc").alias("AUROC"), F.col("auprc").alias("AUPRC"),
-                     F.col("n_train").alias("n_articles"), "seed_no", *[c for cs in COUNT_KEYS.values() for c in cs])
-    return RIO.reports_json(rep, scal, ["run"], COUNT_KEYS)
+    def build():
+        s = size_scores(spark, sf_dir)
+        scal = size_scalars(s).select("run", F.col("auroc").alias("AUROC"), F.col("auprc").alias("AUPRC"),
+                                      F.col("n_train").alias("n_articles"), "seed_no", *[c for cs in COUNT_KEYS.values() for c in cs])
+        return RIO.reports_json(M.report_rows(s, ["run"]), scal, ["run"], COUNT_KEYS)
+    return stage(spark, sf_dir, "size_reports", build)
 
 
 def size_metrics_long(spark, sf_dir) -> DataFrame:
@@ -139,9 +141,9 @@ def cv_reports(spark, sf_dir) -> DataFrame:
     """Per fold: classification report rows plus AUROC / AUPRC."""
     p = cv_predictions(spark, sf_dir)
     rows = p.where(F.col("label") == F.col("y_pred")).select("vec_id", "fold", "y_true", "y_pred")
-    rep = M.classification_report(rows, ["fold"])
     sc = p.where(F.col("label") == OUTCOME).select("fold", "y_true", "score")
-    return rep.join(M.auroc(sc, ["fold"]), "fold").join(M.auprc(sc, ["fold"]), "fold")
+    scored = M.matrix(rows, ["fold"]).join(M.areas(sc, ["fold"]), "fold")
+    return M.report_rows(scored, ["fold"], ["auroc", "auprc"])
 
 
 register("cv1", ["cv_p"], "SELECT DISTINCT vec_id, fold, y_true, y_pred FROM cv_p")
@@ -175,14 +177,13 @@ def q_cv_table(spark, sf_dir):
     r = cv_reports(spark, sf_dir).where(F.col("target") == OUTCOME).select(
         "fold", F.bround("precision", 3).alias("p"), F.bround("recall", 3).alias("r"), F.bround("f1_score", 3).alias("f"),
         "auroc", "auprc")
-    folds = r.select(F.col("fold").cast("string").alias("fold"), pct(F.col("p")).alias("precision"),
-                     pct(F.col("r")).alias("recall"), pct(F.col("f")).alias("f1"),
-                     F.format_string("%.1f%%", F.bround(F.col("auroc") * 100, 1)).alias("auroc"),
-                     F.format_string("%.1f%%", F.bround(F.col("auprc") * 100, 1)).alias("auprc"))
-    avg = r.agg(F.lit("average").alias("fold"), pct(exact_mean(F.col("p"), 3)).alias("precision"),
-                pct(exact_mean(F.col("r"), 3)).alias("recall"), pct(exact_mean(F.col("f"), 3)).alias("f1"),
-                pct(exact_mean(F.col("auroc"))).alias("auroc"), pct(exact_mean(F.col("auprc"))).alias("auprc"))
-    return folds.unionByName(avg)
+    # Grouping sets (fold) and (): a fold's mean is its one value.
+    means = r.rollup("fold").agg(F.grouping("fold").alias("all"), *(exact_mean(F.col(c), 3).alias(c) for c in "prf"),
+                                 *(exact_mean(F.col(c)).alias(c) for c in ("auroc", "auprc")))
+    whole = F.col("all") == 1
+    area = lambda c: F.when(whole, pct(F.col(c))).otherwise(F.format_string("%.1f%%", F.bround(F.col(c) * 100, 1)))
+    return means.select(F.when(whole, "average").otherwise(F.col("fold").cast("string")).alias("fold"), pct(F.col("p")).alias("precision"),
+                        pct(F.col("r")).alias("recall"), pct(F.col("f")).alias("f1"), area("auroc").alias("auroc"), area("auprc").alias("auprc"))
 
 
 # --- Q5: domain model metrics -------------------------------------------------
