@@ -212,7 +212,8 @@ def auroc_ovo_weighted(long_scores: DataFrame, group: list[str], key: str) -> Da
     score and of b-vs-a on the b score, averaged; pairs weighted by their
     share of rows. Input: group, key, y_true, label, score (one row per item
     and class). Each item's class-a row is emitted once per pair it takes
-    part in: (classes - 1) times for the true class, once otherwise."""
+    part in: (classes - 1) times for the true class, once otherwise.
+    ``n_dropped``: items left out because their class is not among the scored ones."""
     classes = long_scores.select(*group, "label").distinct()
     own = long_scores.where(F.col("label") == F.col("y_true"))
     # positives of direction (a -> b): the item's own-class score, for every b != a
@@ -234,5 +235,7 @@ def auroc_ovo_weighted(long_scores: DataFrame, group: list[str], key: str) -> Da
         F.avg("auc").alias("auc"), F.max(F.col("na") + F.col("nb")).alias("n_pair"))
     tot = own.groupBy(*group).agg(F.count(F.lit(1)).alias("n_all"))
     out = pair.join(tot, group).groupBy(*group).agg(
-        (F.sum(F.col("auc") * F.col("n_pair") / F.col("n_all")) / F.sum(F.col("n_pair") / F.col("n_all"))).alias("auroc"))
-    return out.select(*group, _r(F.col("auroc")).alias("auroc"))
+        (F.sum(F.col("auc") * F.col("n_pair") / F.col("n_all")) / F.sum(F.col("n_pair") / F.col("n_all"))).alias("auroc"), F.max("n_all").alias("n_all"))
+    # Every item has a row per class; one whose own class is none of them is in no pair.
+    items = long_scores.groupBy(*group).agg((F.count(F.lit(1)) / F.size(F.collect_set("label"))).cast("long").alias("n_items"))
+    return out.join(items, group).select(*group, _r(F.col("auroc")).alias("auroc"), (F.col("n_items") - F.col("n_all")).alias("n_dropped"))

@@ -108,6 +108,18 @@ def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: in
     return r.withColumn("fold", ((F.col("rn") - 1) % k + 1).cast("int")).drop("rn")
 
 
+FRACTIONS = 10
+
+
+def train_fraction_grid(rows: DataFrame, key: str, keep: list[str], seed: int = SEED, steps: int = FRACTIONS) -> DataFrame:
+    """W8, the form by fractions: for 1/steps, 2/steps, ... 1 of the training rows,
+    the first floor(fraction * n) of them in seeded order, every fraction in one
+    job. Output: ``tenths`` (the step), key, keep..."""
+    r = hash_rank(rows.select(key, *keep), seed, key)
+    each = F.filter(F.sequence(F.lit(1), F.lit(steps)), lambda t: F.col("rn") <= F.floor(F.col("n") * t / steps))
+    return r.select(F.explode(each).alias("tenths"), key, *keep)
+
+
 def train_size_grid(split: DataFrame, study: str = "study_id", step: int = 5, max_n: int | None = None,
                     eval_share: float = 0.2) -> DataFrame:
     """For n = step, 2*step, ... up to the number of non-test studies

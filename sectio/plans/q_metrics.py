@@ -129,7 +129,8 @@ def q_auprc_binary(spark, sf_dir):
 
 
 @query("auroc_ovo_weighted", compose(["preds"], """
-SELECT run, round(sum(auc * n_pair / n_all) / sum(n_pair / n_all), 6) AS auroc FROM (
+SELECT run, round(sum(auc * n_pair / n_all) / sum(n_pair / n_all), 6) AS auroc,
+  CAST((SELECT count(DISTINCT vec_id) FROM preds x WHERE x.run = q.run) - max(n_all) AS BIGINT) AS n_dropped FROM (
   SELECT p.run, p.lo, p.hi, p.auc, p.n_pair, t.n_all FROM (
     SELECT run, least(a, b) AS lo, greatest(a, b) AS hi, avg(auc) AS auc, max(na + nb) AS n_pair FROM da GROUP BY run, least(a, b), greatest(a, b)) p
   JOIN (SELECT run, count(*) AS n_all FROM preds WHERE label = y_true GROUP BY run) t ON p.run = t.run) q

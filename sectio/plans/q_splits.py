@@ -163,6 +163,16 @@ def q_train_size_grid(spark, sf_dir):
     return S.train_size_grid(lab_split(spark, sf_dir, n_use=None), step=5)
 
 
+@query("train_fraction_grid", compose(["lab_sp_all", "labelled"], f"""SELECT CAST(t.tenths AS INTEGER) AS tenths, r.doc_id, r.label
+FROM ({rank_sql("(SELECT l.doc_id, l.label FROM labelled l JOIN lab_sp_all s ON l.study_id = s.study_id WHERE s.split = 'train') x", 'doc_id')}) r,
+  (SELECT unnest(range(1, {S.FRACTIONS + 1})) AS tenths) t WHERE r.rn <= floor(r.n * t.tenths / {S.FRACTIONS})"""))
+def q_train_fraction_grid(spark, sf_dir):
+    """W8 by fractions 0.1 to 1.0 of the training rows of the split."""
+    train = lab_split(spark, sf_dir, n_use=None).where(F.col("split") == "train").select("study_id")
+    rows = fx.labelled(spark, sf_dir).select("study_id", "doc_id", "label").join(train, "study_id", "left_semi")
+    return S.train_fraction_grid(rows, "doc_id", ["label"])
+
+
 @query("training_flag", compose(["lab_sp", "labelled"], """SELECT l.doc_id, l.study_id, l.label,
     coalesce(s.split IN ('train', 'eval'), false) AS used_in_training
     FROM labelled l LEFT JOIN lab_sp s ON l.study_id = s.study_id"""))

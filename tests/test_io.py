@@ -40,6 +40,14 @@ def test_reports_write_read_flatten(spark, tmp_path):
     assert back.count() == 3 and back.where("parsed").count() == 3
     files.write_reports(js, str(tmp_path / "n-art_binary_model-a"), "second")
     assert files.read_reports(spark, str(tmp_path / "n-art_binary_model-a")).count() == 4
+    # A run that is written again replaces itself and no other.
+    for _ in range(2):
+        files.write_reports(js.where("run = 2"), str(tmp_path / "n-art_binary_model-a"), "second")
+    both = spark.read.text(str(tmp_path / "n-art_binary_model-a"))
+    assert sorted((r["run_id"], r["count"]) for r in both.groupBy("run_id").count().collect()) == [("first", 2), ("second", 1)]
+    files.write_reports(js, str(tmp_path / "n-art_binary_model-c"), "x")
+    files.write_reports(js.where("run = 1"), str(tmp_path / "n-art_binary_model-c"), "y", mode="overwrite")
+    assert files.read_reports(spark, str(tmp_path / "n-art_binary_model-c")).count() == 1
     flat = RIO.flatten_reports(js.select("run", "report"), ["run"], ["outcome", "not outcome"],
                                {"n_articles": "n_articles", "AUROC": "auroc", "missing": "gone"}, {"FP": ["fp_o", "fp_no"]})
     r1 = flat.where("run = 1 AND target = 'outcome' AND metric = 'precision'").first()
