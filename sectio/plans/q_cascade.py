@@ -16,7 +16,7 @@ from sectio.operators import sections as S
 from sectio.operators import splits as SP
 from sectio.operators import textmodel as TM
 from sectio.plans import fixtures as fx
-from sectio.plans.oracle import VIEWS, _nc, clean_label_sql, compose, domain_sql, register
+from sectio.plans.oracle import clean_label_sql, compose, domain_sql, register
 from sectio.plans.q_metrics import AUROC_CTES, EVAL_REPORT_CTES, EVAL_VIEWS, report_ctes, report_sql, size_scores
 from sectio.plans.q_similarity import grams_sql, negatives, norms_sql
 from sectio.plans.q_sizes import study_vectors
@@ -292,48 +292,6 @@ def q_learning_curve(spark, sf_dir):
     return learning_curve(spark, sf_dir)
 
 
-# --- M10: compare encoders on one split. The fixture has one vector a phrase, so
-# the encoders compared are transforms of the whole vector. -------------------
-ENCODERS = {
-    "full": lambda v: v,
-    "root": lambda v: F.transform(v, lambda x: F.signum(x) * F.sqrt(F.abs(x))),
-    "cube": lambda v: F.transform(v, lambda x: x * x * x),
-    "sign": lambda v: F.transform(v, lambda x: F.signum(x)),
-}
-register("cemb_enc", ["cemb"], """SELECT 'full' AS model, vec_id, v, cls FROM cemb
-    UNION ALL SELECT 'root', vec_id, list_transform(v, lambda x: sign(x) * sqrt(abs(x))), cls FROM cemb
-    UNION ALL SELECT 'cube', vec_id, list_transform(v, lambda x: x * x * x), cls FROM cemb
-    UNION ALL SELECT 'sign', vec_id, list_transform(v, lambda x: CAST(sign(x) AS DOUBLE)), cls FROM cemb""")
-VIEWS.update(_nc("enc", "cemb_enc", group=["model"]))
-
-
-register("mc1", ["enc"], "SELECT DISTINCT model, vec_id, y_true, y_pred FROM enc WHERE run = 4")
-
-
-@query("model_compare", compose(["mc1"], """SELECT model,
-    max(f1_score) FILTER (WHERE target = 'accuracy') AS accuracy,
-    max(precision) FILTER (WHERE target = 'macro avg') AS macro_precision,
-    max(recall) FILTER (WHERE target = 'macro avg') AS macro_recall,
-    max(f1_score) FILTER (WHERE target = 'macro avg') AS macro_f1 FROM rep GROUP BY model""",
-    local=report_ctes("mc1", g="model") + [("rep", report_sql("mc1", g="model"))]))
-def q_model_compare(spark, sf_dir):
-    """Every encoder variant scored on the same split (same seeded
-    order), metrics grouped by encoder: accuracy and macro averages."""
-    ce = fx.class_embeddings(spark, sf_dir)
-    variants = None
-    for name, f in ENCODERS.items():
-        v = ce.select(F.lit(name).alias("model"), "vec_id", f(F.col("v")).alias("v"), "cls")
-        variants = v if variants is None else variants.unionByName(v)
-    p = C.nearest_centroid(variants, group=["model"]).where(F.col("run") == C.N_RUNS)
-    rows = p.where(F.col("label") == F.col("y_pred")).select("vec_id", "model", "y_true", "y_pred")
-    rep = M.classification_report(rows, ["model"])
-    return rep.groupBy("model").agg(
-        F.max(F.when(F.col("target") == "accuracy", F.col("f1_score"))).alias("accuracy"),
-        F.max(F.when(F.col("target") == "macro avg", F.col("precision"))).alias("macro_precision"),
-        F.max(F.when(F.col("target") == "macro avg", F.col("recall"))).alias("macro_recall"),
-        F.max(F.when(F.col("target") == "macro avg", F.col("f1_score"))).alias("macro_f1"))
-
-
 # --- M11: stratified 5-fold validation of the binary head -------------------
 K_FOLDS = 5
 CV_STUDIES = 10

@@ -13,7 +13,8 @@ from sectio.operators import metrics as M
 from sectio.operators import reportio as RIO
 from sectio.plans import fixtures as fx
 from sectio.plans.oracle import VIEWS, _nc, compose, register
-from sectio.plans.q_cascade import ENCODERS, corpus_outcomes, cv_predictions, learning_curve
+from sectio.plans.q_cascade import corpus_outcomes, cv_predictions, learning_curve
+from sectio.plans.q_encoders import halving
 from sectio.plans.q_metrics import AUROC_CTES, one, report_ctes, report_sql, size_scalars, size_scores, train_sizes
 from sectio.plans.q_models import od_preds, preds
 from sectio.plans.q_sizes import FINAL_SIZE_RUN
@@ -301,23 +302,8 @@ def q_min_articles_per_labels(spark, sf_dir):
 
 # --- trial logs: written per trial (K4), parsed back (S6, F9, F10, F15) -------
 def trial_table(spark, sf_dir) -> DataFrame:
-    """The search over encoders x training sizes: objective = held-out
-    accuracy of each (encoder, run), numbered in (encoder, run) order."""
-    ce = fx.class_embeddings(spark, sf_dir)
-    variants = None
-    for name, f in ENCODERS.items():
-        v = ce.select(F.lit(name).alias("model"), "vec_id", f(F.col("v")).alias("v"), "cls")
-        variants = v if variants is None else variants.unionByName(v)
-    p = C.nearest_centroid(variants, group=["model"]).where(F.col("label") == F.col("y_pred"))
-    acc = p.groupBy("model", "run").agg(F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 6).alias("value"))
-    # encoders x runs rows: the numbering window is bounded by the grid size.
-    return acc.withColumn("number", F.row_number().over(Window.orderBy("model", "run")) - 1)
-
-
-register("enc_acc", ["enc"], """SELECT model, run, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS value,
-    row_number() OVER (ORDER BY model, run) - 1 AS number FROM (SELECT DISTINCT vec_id, model, run, y_true, y_pred FROM enc) q GROUP BY model, run""")
-register("trials", ["enc_acc"], """SELECT CAST(number AS BIGINT) AS trial, value AS objective_value, model AS encoder, CAST(run AS BIGINT) AS train_quarters
-    FROM enc_acc""")
+    """The search's trials: objective = accuracy on the eval studies."""
+    return stage(spark, sf_dir, "trials", lambda: halving(spark, sf_dir))
 
 
 @query("hpo_trials_parse", compose(["trials"], "SELECT trial, objective_value, encoder, train_quarters FROM trials"))
@@ -325,7 +311,7 @@ def q_hpo_trials_parse(spark, sf_dir):
     """Trial lines in the search log format, then parsed back: regex capture
     of number, objective and the parameter dict, dict read as JSON."""
     lines = TR.trial_lines(trial_table(spark, sf_dir))
-    return TR.parse_trial_lines(lines)
+    return TR.parse_trial_lines(lines).select("trial", "objective_value", "encoder", "train_quarters")
 
 
 @query("hpo_leaderboard", compose(["trials"], """SELECT CAST(row_number() OVER (ORDER BY objective_value DESC, trial) AS BIGINT) AS rank,

@@ -19,7 +19,9 @@ OBJECTIVE_RE = r"Objective value: ([-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)
 PARAMS_RE = r"Hyperparameters: (.*?)$"
 # -----------------------------------------------------------------------------
 
-PARAMS_SCHEMA = "struct<encoder:string,train_quarters:bigint>"
+# Parameters of this library's search, and of the original one; others are left out.
+PARAMS_SCHEMA = ("struct<encoder:string,train_quarters:bigint,body_learning_rate:double,num_epochs:bigint,"
+                 "batch_size:bigint,max_iter:bigint,solver:string>")
 
 
 def trial_lines(trials: DataFrame) -> DataFrame:

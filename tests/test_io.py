@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectio.operators import metrics as M
@@ -62,8 +61,11 @@ def test_trial_log_round_trip(spark, tmp_path):
     trials.write_trial_log(lines, str(tmp_path / "hpo_trials-1"))
     (tmp_path / "other.txt").write_text("Trial 9 | Objective value: 0.1 | Hyperparameters: {}")
     back = trials.parse_trial_lines(trials.read_trial_logs(spark, str(tmp_path)))
-    got = sorted(tuple(r) for r in back.collect())
+    got = sorted(tuple(r) for r in back.select("trial", "objective_value", "encoder", "train_quarters").collect())
     assert got == [(0, 0.5, "full", 1), (1, 0.625, "head", 2)]
+    line = "Trial 3 | Objective value: 0.91 | Hyperparameters: {'body_learning_rate': 6.8e-05, 'num_epochs': 2, 'batch_size': 64, 'max_iter': 200, 'solver': 'liblinear', 'other': 1}"
+    r = trials.parse_trial_lines(spark.createDataFrame([(line,)], "line string")).first()
+    assert (r.trial, r.body_learning_rate, r.num_epochs, r.batch_size, r.max_iter, r.solver, r.encoder) == (3, 6.8e-05, 2, 64, 200, "liblinear", None)
 
 
 def test_csv_by_name_in_any_order(spark, tmp_path):
