@@ -80,23 +80,21 @@ def grams(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, ((h[at] * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(16)).astype(np.int64) % DIMS
 
 
-def blocks(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in blocks that end at word ends where there are any."""
-    at = 0
-    while len(codes) - at > BLOCK:
-        gaps = np.flatnonzero(codes[at:at + BLOCK] == 0)
-        end = at + (int(gaps[-1]) + 1 if len(gaps) else BLOCK)
-        yield codes[at:end]
-        at = end
-    yield codes[at:]
+def blocks(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """A text's codes with a mark at either end, in blocks, and how many n-grams
+    start in each: a block goes on by what the last of them need."""
+    codes = np.concatenate([[0], letters(text), [0]]).astype(np.uint32)
+    for at in range(0, len(codes), BLOCK):
+        part = codes[at:at + BLOCK + GRAMS - 1]
+        yield part, min(BLOCK, len(codes) - at)
 
 
 def frequencies(text: str) -> np.ndarray | None:
     """Relative frequencies of the hashed n-grams; None without letters."""
     total = np.zeros(DIMS)
-    for part in blocks(letters(text)):
-        for _, h in grams(np.concatenate([[0], part, [0]]).astype(np.uint32)):
-            total += np.bincount(h, minlength=DIMS)
+    for part, starts in blocks(text):
+        for at, h in grams(part):
+            total += np.bincount(h[at < starts], minlength=DIMS)
     n = total.sum()
     return total / n if n else None
 
@@ -105,13 +103,16 @@ def mean_weights(bodies: list[str], weights: np.ndarray) -> list[np.ndarray | No
     """Mean row of ``weights`` over the n-grams of each text; None without
     letters. Short texts share a block, a long one takes several."""
     sums, counts = np.zeros((len(bodies), weights.shape[1])), np.zeros(len(bodies))
-    held, owner, size = [], [], 0
+    held, owner, own, size = [], [], [], 0
 
     def add():
         codes = np.concatenate(held)
         of = np.repeat(owner, [len(x) for x in held])
+        counted = np.concatenate([np.arange(len(x)) < n for x, n in zip(held, own)])
         score, number = np.zeros((len(codes), weights.shape[1]), np.float32), np.zeros(len(codes), np.int32)
         for at, h in grams(codes):
+            here = counted[at]
+            at, h = at[here], h[here]
             score[at] += weights[h]
             number[at] += 1
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -120,13 +121,14 @@ def mean_weights(bodies: list[str], weights: np.ndarray) -> list[np.ndarray | No
 
     gap = np.zeros(1, np.uint32)
     for i, t in enumerate(bodies):
-        for part in blocks(letters(t)):
-            held.append(np.concatenate([gap, part, gap]))
-            owner.append(i)
+        for part, starts in blocks(t):
+            held += [part, gap]  # no n-gram reaches from one block into the next
+            owner += [i, i]
+            own += [starts, 0]
             size += len(part)
             if size >= BLOCK:
                 add()
-                held, owner, size = [], [], 0
+                held, owner, own, size = [], [], [], 0
     if held:
         add()
     return [s / n if n else None for s, n in zip(sums, counts)]
