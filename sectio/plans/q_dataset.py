@@ -21,12 +21,12 @@ def mapping_clean(spark, sf_dir):
     return L.clean_labels(fx.mapping(spark, sf_dir))
 
 
-@query("corpus_scan", """SELECT doc_id, source, lang, CAST(length(text) AS BIGINT) AS n_chars,
-    n_chars = length(text) AS length_ok FROM documents WHERE text IS NOT NULL""")
+@query("corpus_scan", """SELECT doc_id, source, lang, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+    n_chars = length(coalesce(text, '')) AS length_ok FROM documents""")
 def q_corpus_scan(spark, sf_dir):
-    d = tables.documents(spark, sf_dir).where(F.col("text").isNotNull())
-    return d.select("doc_id", "source", "lang", F.length("text").cast("bigint").alias("n_chars"),
-                    (F.col("n_chars") == F.length("text")).alias("length_ok"))
+    """Every document; a null text counts as empty, as in the article view."""
+    length = F.length(F.coalesce("text", F.lit("")))
+    return tables.documents(spark, sf_dir).select("doc_id", "source", "lang", length.cast("bigint").alias("n_chars"), (F.col("n_chars") == length).alias("length_ok"))
 
 
 @query("mapping_scan", compose(["mapping"], "SELECT study_id, verbatim, domain FROM mapping"))
