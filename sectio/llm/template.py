@@ -20,7 +20,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-MARKS = re.compile(r"\{\{-?(?P<out>.*?)-?\}\}|\{%-?(?P<tag>.*?)-?%\}|\{#.*?#\}", re.S)
+# Inside a mark a string literal may hold any signs, the mark's own end as well.
+INSIDE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?"""
+MARKS = re.compile(rf"\{{\{{-?(?P<out>{INSIDE})-?\}}\}}|\{{%-?(?P<tag>{INSIDE})-?%\}}|\{{#.*?#\}}", re.S)
 LEXEMES = re.compile(r"\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z]\w*)|(?P<op>==|!=|<=|>=|[-+*%~<>.|()\[\],=]))", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -38,6 +40,27 @@ def _protect(value: Any, signs: str) -> str:
     return re.sub(f"[{re.escape(signs)}\\\\]", lambda m: "\\" + m[0], _text(value))
 
 
+def _number(run: Callable) -> Callable:
+    """An operation on numbers only: of texts and lists it could grow without bound."""
+    def checked(a: Any, b: Any) -> Any:
+        if not isinstance(a, (int, float)) or not isinstance(b, (int, float)):
+            raise TemplateError(f"no numbers: {type(a).__name__} and {type(b).__name__}")
+        return run(a, b)
+
+    return checked
+
+
+def guarded(run: Callable) -> Callable:
+    """Errors of an operation as errors of the template."""
+    def checked(*args: Any) -> Any:
+        try:
+            return run(*args)
+        except (TypeError, ValueError, ArithmeticError) as e:
+            raise e if isinstance(e, TemplateError) else TemplateError(str(e)) from e
+
+    return checked
+
+
 FILTERS: dict[str, Callable] = {
     "trim": lambda v: _text(v).strip(),
     "upper": lambda v: _text(v).upper(),
@@ -47,10 +70,12 @@ FILTERS: dict[str, Callable] = {
     "replace": lambda v, a, b: _text(v).replace(a, b),
     "protect": _protect,
 }
+# Arguments of each filter besides the value.
+ARGUMENTS = {"default": 1, "replace": 2, "protect": 1}
 BINARY: dict[str, tuple[int, Callable]] = {
     "or": (1, None), "and": (2, None), "in": (4, lambda a, b: a in b), "==": (4, lambda a, b: a == b), "!=": (4, lambda a, b: a != b),
     "<": (4, lambda a, b: a < b), "<=": (4, lambda a, b: a <= b), ">": (4, lambda a, b: a > b), ">=": (4, lambda a, b: a >= b),
-    "~": (5, lambda a, b: _text(a) + _text(b)), "+": (6, lambda a, b: a + b), "-": (6, lambda a, b: a - b), "*": (7, lambda a, b: a * b), "%": (7, lambda a, b: a % b),
+    "~": (5, lambda a, b: _text(a) + _text(b)), "+": (6, lambda a, b: a + b), "-": (6, lambda a, b: a - b), "*": (7, _number(lambda a, b: a * b)), "%": (7, _number(lambda a, b: a % b)),
 }
 
 
@@ -152,6 +177,8 @@ class Expression:
                             break
                     else:
                         self.take(")")
+                if len(args) != ARGUMENTS.get(name, 0):
+                    raise TemplateError(f"{name} takes {ARGUMENTS.get(name, 0)} arguments")
                 node = ("filter", name, node, tuple(args))
         return node
 
@@ -177,6 +204,8 @@ def parse(source: str) -> list[tuple]:
         elif m["tag"] is not None:
             parts.append(("tag", m["tag"].strip()))
     parts.append(("text", source[at:].lstrip() if strip else source[at:]))
+    if any(what == "text" and re.search(r"\{[{%]", text) for what, text in parts):
+        raise TemplateError("a mark has no end")
     pos = 0
 
     def until(*ends: str) -> tuple[list[tuple], str]:
@@ -305,14 +334,14 @@ def value(node: tuple) -> Callable[[dict], Any]:
         of, key = value(node[1]), value(node[2])
         return lambda scope: get_item(of(scope), key(scope))
     if node[0] == "filter":
-        run, of, args = FILTERS[node[1]], value(node[2]), [value(a) for a in node[3]]
+        run, of, args = guarded(FILTERS[node[1]]), value(node[2]), [value(a) for a in node[3]]
         return lambda scope: run(of(scope), *(a(scope) for a in args))
     left, right = value(node[2]), value(node[3])
     if node[1] == "and":
         return lambda scope: left(scope) and right(scope)
     if node[1] == "or":
         return lambda scope: left(scope) or right(scope)
-    run = BINARY[node[1]][1]
+    run = guarded(BINARY[node[1]][1])
     return lambda scope: run(left(scope), right(scope))
 
 
@@ -353,7 +382,7 @@ def statement(node: tuple, generated: bool) -> Callable[[dict], Iterator[Piece]]
     of, inner, target = value(node[2]), statements(node[3], generated), node[1]
 
     def loop(scope: dict) -> Iterator[Piece]:
-        items, i, end = iter(of(scope) or ()), 0, object()
+        items, i, end = guarded(iter)(of(scope) or ()), 0, object()
         now = next(items, end)
         while now is not end:
             after = next(items, end)

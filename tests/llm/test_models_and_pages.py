@@ -300,12 +300,20 @@ def test_template_language():
     assert (text, spans) == ("abyyc", [(1, 4)])
 
 
-@pytest.mark.parametrize("bad", ["{{ x.__class__.y( }}", "{{ f(1) }}", "{% for x in %}{% endfor %}", "{% if a %}", "{{ a b }}", "{% import os %}", "{{ x | nope }}", "{{ $ }}", "{{ }}"])
+@pytest.mark.parametrize("bad", ["{{ x.__class__.y( }}", "{{ f(1) }}", "{% for x in %}{% endfor %}", "{% if a %}", "{{ a b }}", "{% import os %}", "{{ x | nope }}", "{{ $ }}", "{{ }}", "{{ 1 % 0 }}", "{{ 'a' + 1 }}", "{{ 'a' * 3 }}",
+                                 "{{ '%99999999d' % 1 }}", "{{ x | replace('a') }}", "{{ x | default }}", "{{ x | trim(1) }}", "{{ 'a", "{{ 'a }}", "a {% if x", "{{ 1 in 2 }}", "{{ 5 | length }}"])
 def test_template_errors(bad):
     with pytest.raises(T.TemplateError):
         T.Template(bad)
 
 
+def test_template_strings_hold_marks_and_errors_are_the_template_s_own():
+    assert T.Template("{{ '}}' ~ \"%}\" }}{% if x == '%}' %}y{% endif %}").render(x="%}")[0] == "}}%}y"
+    for source, names in (("{% for a in x %}{% endfor %}", {"x": 3}), ("{{ x + 1 }}", {"x": "a"}), ("{{ x % 0 }}", {"x": 1}), ("{{ x * 3 }}", {"x": "ab"}), ("{{ x < 1 }}", {"x": "a"})):
+        with pytest.raises(T.TemplateError):
+            T.Template(source).render(**names)
+
+
 def test_template_is_sandboxed():
     with pytest.raises(T.TemplateError):
         T.Template("{{ x.real }}").render(x=3)
