@@ -59,7 +59,9 @@ def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1/K5: header, no index column."""
-    df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    # The writer would otherwise trim the values.
+    (df.write.mode(mode).option("header", "true").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
 
 
 def write_reports(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
