@@ -52,7 +52,9 @@ def hashed(w: DataFrame, key: str) -> DataFrame:
     """(key, v): TF-IDF hashed to ``BUCKETS`` places."""
     bits = gram_bits(F.col("gram"))
     own = w.select(key, F.pmod(bits, F.lit(BUCKETS)).alias("b"), (F.col("x") * sign(bits, 31)).alias("y"))
-    return own.groupBy(key).agg(F.array(*(F.sum(F.when(F.col("b") == j, F.col("y")).otherwise(0.0)) for j in range(BUCKETS))).alias("v"))
+    per = own.groupBy(key, "b").agg(F.sum("y").alias("y")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "y"))).alias("m"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(BUCKETS - 1).cast("bigint"))
+    return per.select(key, F.transform(places, lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("v"))
 
 
 def projected(w: DataFrame, key: str, dims: int = WIDE) -> DataFrame:
