@@ -2,7 +2,8 @@
 
 Every round is a partial-aggregated ``min`` per node and one join on the node,
 so a node with very many links is a skewed join that AQE can split, never one
-group in one task. Lineage is cut after each round with a reliable
+group in one task; none is a broadcast, which would grow with the links in the
+driver. Lineage is cut after each round with a reliable
 checkpoint, whose old files Spark can clean.
 """
 
@@ -18,7 +19,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node onto the node's smallest one."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return (both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a <> b").distinct())
 
 
@@ -26,7 +27,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours onto the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    return (down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return (down.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
 
 

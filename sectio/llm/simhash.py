@@ -22,6 +22,9 @@ verified on the 64 bits. Only distinct fingerprints are keyed, so a group of
 exact copies is one row. A bucket above ``bucket_limit`` is dealt out again by
 four more blocks of bits (three errors leave one of four blocks exact), level by
 level; nothing is dropped. Buckets give spanning links, not all pairs.
+
+Every joined side grows with the rows, so no join is a broadcast: a side that
+shuffles to a few MB is ten times that as a hash table in the driver.
 """
 
 from __future__ import annotations
@@ -227,7 +230,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS, bucket_limit: int = 512) -> Da
     rows, out = nodes.select("fp", "id").mapInArrow(lean(_first_keys), "key long, fp long, id long"), None
     for level in range(LEVELS + 1):
         number = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = cut(rows.join(number, "key"))
+        shared = cut(rows.join(number.hint("merge"), "key"))
         fine = shared if level == LEVELS else shared.where(F.col("n") <= bucket_limit)
         found = (fine.select("key", "fp", "id").repartition("key").sortWithinPartitions("key")
                  .mapInArrow(lean(_bucket_links(bits)), "a long, b long"))
@@ -254,10 +257,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = MAX_BITS, seed:
     # One id with several texts (repeated ids) ties their fingerprints together.
     same = (named.groupBy("id").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2"), F.count(F.lit(1)).alias("n"))
             .where("n > 1 and f1 <> f2").select("id"))
-    ties = named.join(same, "id").join(nodes.withColumnRenamed("id", "root"), "fp").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    ties = named.join(same.hint("merge"), "id").join(nodes.withColumnRenamed("id", "root").hint("merge"), "fp").select(F.col("id").alias("a"), F.col("root").alias("b"))
     comp = components(links(nodes, bits, bucket_limit).union(ties))
-    roots = nodes.join(comp, nodes.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return (fps.join(roots, "fp", "left")
+    roots = nodes.join(comp.hint("merge"), nodes.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return (fps.join(roots.hint("merge"), "fp", "left")
             .select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")))
 
 

@@ -108,3 +108,31 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 300))
+
+
+def test_no_broadcast_grows_with_the_rows(spark, words, monkeypatch):
+    """Tables that shuffle to under the broadcast limit are joined as larger ones
+    are: nothing of them is a hash table in the driver."""
+    from sectio import session
+    from sectio.llm import common, components as C
+
+    made = []
+
+    def seen(write):
+        def run(df):
+            made.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df)
+        return run
+
+    monkeypatch.setattr(common, "write_shared", seen(common.write_shared))
+    monkeypatch.setattr(C, "cut_lineage", seen(session.cut_lineage))
+    base = [words(60, seed=i) for i in range(12)]
+    rows = [(i, base[i % 12] + (" x" if i % 24 > 11 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = S.near_duplicates(df)
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    made.append(out._jdf.queryExecution().executedPlan().toString())
+    fps = [S.simhash(t) for _, t in rows]
+    assert [got[i] for i, _ in rows] == roots([i for i, _ in rows], fps)
+    joins = [line for plan in made for line in plan.splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "SortMergeJoin" not in line], joins
