@@ -1,7 +1,9 @@
 """Three text vectorisers over one table of weighted grams.
 
 ``weights`` holds a row per text and trigram with its TF-IDF weight, the texts'
-vectors scaled to length one. From it, each by one aggregate per text:
+vectors scaled to length one. Trigrams are counted inside the tasks, and the tables
+of grams are written, so that their size is known and they go to the rows, not the
+rows to their gram. From it, each by one aggregate per text:
 
 * ``hashed``: TF-IDF with the grams hashed, with signs, to ``BUCKETS`` places;
 * ``projected``: a random projection to ``WIDE`` places, the signs taken from the
@@ -18,8 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectio.functions.frames import with_scalars
-from sectio.functions.text import trigrams
+from sectio.functions.frames import materialize, with_scalars
+from sectio.functions.grams import key_gram_counts
 
 BUCKETS = 64
 WIDE = 32
@@ -36,22 +38,23 @@ def sign(bits: Column, place: int) -> Column:
 
 
 def weights(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram, x): TF-IDF (count times log of texts over texts with the gram)
-    over the text's length. Grams that all texts hold weigh nothing; texts without
-    any other have no rows."""
-    n = texts.select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    df = n.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    """(key, gram, bits, x): TF-IDF (count times log of texts over texts with the
+    gram) over the text's length, and the gram's bits. Grams that all texts hold
+    weigh nothing; texts without any other have no rows."""
+    held = materialize(key_gram_counts(texts, key, text, "__g"))
+    df = held.select(F.inline("__g").alias("gram", "n")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = texts.groupBy().agg(F.count(F.lit(1)).alias("total"))
-    idf = with_scalars(df, total).where(F.col("df") < F.col("total")).select("gram", F.log(F.col("total") / F.col("df")).alias("idf"))
-    w = n.join(idf, "gram").select(key, "gram", (F.col("n") * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("x"))
+    idf = materialize(with_scalars(df, total).where(F.col("df") < F.col("total"))
+                      .select("gram", gram_bits(F.col("gram")).alias("bits"), F.log(F.col("total") / F.col("df")).alias("idf")))
+    w = held.select(key, F.inline("__g").alias("gram", "n")).join(idf, "gram").select(key, (F.col("n") * F.col("idf")).alias("__w"))
+    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
+    own = held.join(norm, key).select(key, "__norm", F.inline("__g").alias("gram", "n"))
+    return own.join(idf, "gram").select(key, "gram", "bits", (F.col("n") * F.col("idf") / F.col("__norm")).alias("x"))
 
 
 def hashed(w: DataFrame, key: str) -> DataFrame:
     """(key, v): TF-IDF hashed to ``BUCKETS`` places."""
-    bits = gram_bits(F.col("gram"))
-    own = w.select(key, F.pmod(bits, F.lit(BUCKETS)).alias("b"), (F.col("x") * sign(bits, 31)).alias("y"))
+    own = w.select(key, F.pmod(F.col("bits"), F.lit(BUCKETS)).alias("b"), (F.col("x") * sign(F.col("bits"), 31)).alias("y"))
     per = own.groupBy(key, "b").agg(F.sum("y").alias("y")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "y"))).alias("m"))
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(BUCKETS - 1).cast("bigint"))
     return per.select(key, F.transform(places, lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("v"))
@@ -59,8 +62,7 @@ def hashed(w: DataFrame, key: str) -> DataFrame:
 
 def projected(w: DataFrame, key: str, dims: int = WIDE) -> DataFrame:
     """(key, v): random projection to ``dims`` places (32 at most)."""
-    own = w.select(key, "x", gram_bits(F.col("gram")).alias("bits"))
-    return own.groupBy(key).agg(F.array(*(F.sum(F.col("x") * sign(F.col("bits"), j)) for j in range(dims))).alias("v"))
+    return w.groupBy(key).agg(F.array(*(F.sum(F.col("x") * sign(F.col("bits"), j)) for j in range(dims))).alias("v"))
 
 
 def orthonormal(products: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ def reduced(w: DataFrame, key: str, dims: int = NARROW) -> DataFrame:
     """(key, v): coordinates in the basis of a randomised SVD."""
     places = range(dims)
     y = projected(w, key, dims).withColumnRenamed("v", "y")
-    back = w.join(y, key).groupBy("gram").agg(*(F.sum(F.col("x") * F.col("y")[j]).alias(f"b{j}") for j in places))
+    back = materialize(w.join(y, key).groupBy("gram").agg(*(F.sum(F.col("x") * F.col("y")[j]).alias(f"b{j}") for j in places)))
     got = back.agg(*(F.sum(F.col(f"b{i}") * F.col(f"b{j}")).alias(f"p{i}_{j}") for i in places for j in places if i <= j)).first()
     products = np.array([[got[f"p{min(i, j)}_{max(i, j)}"] or 0.0 for j in places] for i in places])
     turn = orthonormal(products) if products.any() else np.zeros((dims, dims))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sectio.functions.frames import materialize
 from sectio.functions.ordering import hash_rank
 from sectio.operators import classify as C
 from sectio.operators import metrics as M
@@ -46,7 +47,8 @@ def scored(rows: DataFrame, test: str, quarters: int = 4) -> DataFrame:
     """Predictions of every model's nearest-centroid head on the studies ``test``,
     fitted on the first quarters of the training rows; one job for all models."""
     train = rows.where((F.col("split") == "train") & (F.col("rn") <= F.floor(F.col("n") * quarters / 4)))
-    model = C.fit_centroids(train, ["model"])
+    # A row a model, written so that its size is known: the rows are not dealt by model.
+    model = materialize(C.fit_centroids(train, ["model"]))
     p = C.score_centroids(rows.where(F.col("split") == test), model, ["model"], "doc_id")
     return p.where(F.col("label") == F.col("y_pred")).select("model", "doc_id", "y_true", "y_pred")
 
