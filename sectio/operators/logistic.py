@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from sectio.functions.text import trigrams
 from sectio.operators.encoders import Encoder, embed
 
+DIMS = 1024  # places that trigrams are hashed to
 # The chosen parameters of the original head.
 MAX_ITER = 200
 C_INVERSE = 1.0  # inverse strength of the penalty, summed over rows
@@ -46,7 +47,10 @@ def load(spark, path: str) -> Head:
 
 def vectors(df: DataFrame, text: str, dims: int, encoder: Encoder | None = None) -> DataFrame:
     """Add ``__x``, the text's vector (all zero for null or short texts); by an
-    ``encoder`` instead of trigrams, if one is given."""
+    ``encoder`` instead of trigrams, if one is given. Rows that have it keep it, so
+    that a table of vectors can be written once, fitted on and predicted."""
+    if "__x" in df.columns:
+        return df
     if encoder is not None:
         held = embed(df, text, encoder, "__v")
         return held.withColumn("__x", array_to_vector(F.coalesce("__v", F.array_repeat(F.lit(0.0), dims)))).drop("__v")
@@ -55,7 +59,7 @@ def vectors(df: DataFrame, text: str, dims: int, encoder: Encoder | None = None)
     return Normalizer(inputCol="__tf", outputCol="__x").transform(counted).drop("__g", "__tf")
 
 
-def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_INVERSE, max_iter: int = MAX_ITER, tol: float = 1e-7, encoder: Encoder | None = None) -> Head:
+def fit(train: DataFrame, text: str, label: str, dims: int = DIMS, c: float = C_INVERSE, max_iter: int = MAX_ITER, tol: float = 1e-7, encoder: Encoder | None = None) -> Head:
     """Fit on the rows with a label. The class list is bounded by the label set
     and is the only thing collected besides the model."""
     rows = train.where(F.col(label).isNotNull())
@@ -65,7 +69,8 @@ def fit(train: DataFrame, text: str, label: str, dims: int = 1024, c: float = C_
         raise ValueError("no labelled rows to fit on")
     number = F.coalesce(*(F.when(F.col(label) == name, F.lit(float(i))) for i, name in enumerate(labels)))
     dims = dims if encoder is None else encoder.dims
-    ready = vectors(rows.select(text, number.alias("__y")), text, dims, encoder).select("__x", "__y")
+    own = "__x" if "__x" in rows.columns else text
+    ready = vectors(rows.select(own, number.alias("__y")), text, dims, encoder).select("__x", "__y")
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=max_iter, tol=tol, family="multinomial", standardization=True,
                             regParam=1.0 / (c * sum(counts.values())), elasticNetParam=0.0)
     return Head(labels, dims, lr.fit(ready))
