@@ -128,3 +128,30 @@ def test_article_without_negatives_keeps_one_empty_row(spark):
                                              F.col("phrase").isNotNull().alias("has_negatives"))
     got = sorted(tuple(r) for r in j.collect())
     assert got == [(1, "", False), (2, "hospital stay", True)]
+
+
+def test_short_lists_are_read_in_full_for_many_candidates_at_once(monkeypatch):
+    """The same values to the last bit as by bounds, in chunks of any size, for
+    candidates without grams and with long lists among them; no dot by itself."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sectio.functions.grams import count_slice
+
+    rng = random.Random(3)
+    say = lambda k: "".join(rng.choices("abcde ", k=k))
+    index = SIM.PositiveIndex.build(pa.array([[t[i:i + 3] for i in range(len(t) - 2)] for t in (say(rng.randint(3, 40)) for _ in range(50))], pa.list_(pa.string())))
+    row, gram, n, names = count_slice(pa.array([say(rng.randint(0, 60)) for _ in range(200)] + ["", None, "zzz"]))
+    norm = np.sqrt(np.bincount(row, n * n, 203))
+    code = {g: i for i, g in enumerate(index.vocab.to_pylist())}
+    known = np.array([code.get(g, -1) for g in names.to_pylist()])[gram]
+    row, gram, n = row[known >= 0], known[known >= 0], n[known >= 0]
+    want = [index.best(gram[row == i], n[row == i], norm[i])[0] for i in range(203)]
+    for limit, chunk in ((10**6, 10**6), (10**6, 100), (200, 300), (0, 100)):
+        monkeypatch.setattr(SIM, "FULL_READ", limit)
+        monkeypatch.setattr(SIM, "FULL_CHUNK", chunk)
+        value, read, dots = index.best_of(row, gram, n, norm)
+        assert value.tolist() == want
+        assert (dots.sum() == 0) == (limit == 10**6) and read.sum() > 0
