@@ -1,9 +1,14 @@
 """Trigrams counted inside the tasks against those of the column expression."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from sectio.functions import grams as G
 from sectio.functions import text as T
+from sectio.operators import logistic as LG
+from sectio.operators import phrases as P
+from sectio.operators import textmodel as TM
 from sectio.operators import vectorizers as V
 
 ODD = ["Wound wound", "aaaa", "ab", "", None, "a😀bcd", "😀😀😀x", "xy😀", "İstanbul ẞ\n\tǅ", "é" * 5, "abc" * 3000]
@@ -43,3 +48,31 @@ def test_weights_make_no_row_per_occurrence(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     plan = exchanges(V.weights(df, "doc_id", "text"))
     assert "regexp_extract_all" not in plan and "hashpartitioning(gram" not in plan
+
+
+def test_texts_are_scored_by_distinct_grams(spark):
+    """A text's repeats of a gram are one row, and scores are those of all occurrences."""
+    model = spark.createDataFrame([("", [0.5, -0.5], ["a", "b"]), ("aaa", [1.0, 0.0], None), ("xyz", [0.0, 2.0], None)], TM.MODEL)
+    items = spark.createDataFrame([("aaaaa",), ("xyzxyz",), ("",), (None,), ("aaaaa",)], "t string")
+    scored = TM.score_texts(items, "t", model)
+    assert "regexp_extract_all" not in exchanges(scored)
+    got = {r.t: r.scores[0].score for r in scored.collect()}
+    share = lambda a, b: round(1 / (1 + math.exp(b - a)), 6)
+    assert got == {"aaaaa": share(0.5 + 3 / 3, -0.5), "xyzxyz": share(0.5, -0.5 + 4 / math.sqrt(4 + 1 + 1)), "": share(0.5, -0.5), None: share(0.5, -0.5)}
+
+
+def test_word_counts_are_made_once(spark):
+    texts = spark.createDataFrame([("We saw approx. ten. It was so. Dr. Who, approx. nine, left.",)], "text string")
+    scores = P.abbreviation_scores(texts, "text")
+    assert "regexp_extract_all" not in exchanges(scores) and scores.count() > 0
+
+
+def test_vectors_are_made_once_for_fit_and_prediction(spark):
+    rows = [(i, ("wound " if i % 2 else "thanks ") + "abcdefgh"[i % 8:], "y" if i % 2 else "n") for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, text string, cls string")
+    ready = LG.vectors(df, "text", 64).drop("text")
+    a, b = LG.fit(df, "text", "cls", 64), LG.fit(ready, "text", "cls", 64)
+    want = {r.k: r.prob for r in LG.predict(df, a, "text").collect()}
+    got = LG.predict(ready, b, "text")
+    assert got.columns == ["k", "cls", "probabilities", "prob", "predicted"]
+    assert all(abs(r.prob - want[r.k]) < 1e-9 for r in got.collect())
