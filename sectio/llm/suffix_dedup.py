@@ -42,7 +42,8 @@ from sectio.llm.rolling import Hashed, ranges, super_windows
 
 LENGTH = 200
 GRAM = 40
-SLICE = 1 << 18
+SLICE = 1 << 17
+ROWS = 4096  # neighbours compared at once
 BUCKET_LIMIT = 2000
 ADDED = ["span_start", "span_end", "n_bytes", "kept"]
 
@@ -75,17 +76,22 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple
     """Capped longest previous factor and longest following factor of the
     suffixes at ``starts`` (each with at least ``length`` bytes): the longest
     prefix, up to ``length``, that also starts at a smaller (larger) one of
-    ``starts``; zero below ``length``."""
-    grid = np.ascontiguousarray(data[starts[:, None] + np.arange(length)[None, :]])
+    ``starts``; zero below ``length``. The windows are held once, as bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grid = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
     order = np.argsort(grid.view(f"S{length}").ravel(), kind="stable")
-    grid = grid[order]
-    same = grid[1:] == grid[:-1]
-    lcp = np.concatenate([[0], np.where(same.all(axis=1), length, same.argmin(axis=1))]) if len(order) else np.zeros(0)
+    lcp = np.zeros(len(order), np.int64)
+    for lo in range(1, len(order), ROWS):
+        rows = grid[order[lo - 1:lo + ROWS]]
+        same = rows[1:] == rows[:-1]
+        lcp[lo:lo + ROWS] = np.where(same.all(axis=1), length, same.argmin(axis=1))
+    del grid
     out = []
     place = starts[order]
     for key in (place, -place):
         before = neighbour_match(key, lcp, length)
-        after = neighbour_match(key[::-1], np.concatenate([[0], lcp[1:][::-1]]), length)[::-1] if len(key) else before
+        after = neighbour_match(key[::-1], np.concatenate([[0], lcp[1:][::-1]]), length)[::-1]
         found = np.empty(len(key), np.int64)
         found[order] = np.maximum(before, after)
         out.append(found)
@@ -282,6 +288,16 @@ def _apply(length: int):
     return run
 
 
+def _texts(length: int):
+    """``(text, marks, rest)`` -> the text that stays; in the task that cuts it, as
+    a second Python step would hold its own copy of each batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _apply(length)(batches):
+            yield pa.record_batch([batch.column("rest"), pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())], ["rest", "body"])
+
+    return run
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     """Turn ``id`` into ``rid``, a unique long in the order of ids. It is the id itself where
     ids are unique; where ids repeat or are null, rows are sorted by id (nulls
@@ -304,7 +320,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "first", g
     each other in the order in which they were numbered. Columns of ``docs`` named like an added one are
     replaced, others left alone; an empty table gives no rows."""
     rest = [c for c in docs.columns if c != text_col and c not in ADDED]
-    return unpack(_removed(docs, rest, length, mode, gram, bucket_limit, id_col, text_col), rest, *ADDED)
+    found = _marked(docs, rest, length, mode, gram, bucket_limit, id_col, text_col)
+    done = found.mapInArrow(lean(_apply(length)), typed(found, ["rest"], "span_start array<long>, span_end array<long>, n_bytes long, kept binary"))
+    return unpack(done, rest, *ADDED)
 
 
 def clean_texts(docs: DataFrame, length: int = LENGTH, mode: str = "first", gram: int = GRAM,
@@ -312,18 +330,14 @@ def clean_texts(docs: DataFrame, length: int = LENGTH, mode: str = "first", gram
     """The columns of ``docs``, the text without what ``remove_repeats`` takes out;
     bytes of a character that a cut has split are left out."""
     rest = [c for c in docs.columns if c != text_col]
-    done = _removed(docs, rest, length, mode, gram, bucket_limit, id_col, text_col).select("rest", "kept")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "kept"):
-            yield pa.record_batch([batch.column("rest"), pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())], ["rest", "body"])
-
-    out = done.mapInArrow(lean(decode), typed(done, ["rest"], "body string"))
+    found = _marked(docs, rest, length, mode, gram, bucket_limit, id_col, text_col)
+    out = found.mapInArrow(lean(_texts(length)), typed(found, ["rest"], "body string"))
     return unpack(out, rest, F.col("body").alias(text_col)).select(*map(quoted, docs.columns))
 
 
-def _removed(docs: DataFrame, rest: list[str], length: int, mode: str, gram: int, bucket_limit: int, id_col: str, text_col: str) -> DataFrame:
-    """``rest`` (the carried columns) and ``ADDED``."""
+def _marked(docs: DataFrame, rest: list[str], length: int, mode: str, gram: int, bucket_limit: int, id_col: str, text_col: str) -> DataFrame:
+    """``rest`` (the carried columns), ``text``, and ``marks`` (super-windows with
+    repeated windows; null: none)."""
     if mode not in ("first", "all"):
         raise ValueError("mode must be 'first' or 'all'")
     if not 8 <= gram <= length or length > 60000:
@@ -371,7 +385,7 @@ def _removed(docs: DataFrame, rest: list[str], length: int, mode: str, gram: int
         marked = marked.select("rid", "at", F.when(F.col("whole"), None).otherwise(F.col("early")).alias("mask"), "whole")
     marks = marked.where("whole or mask is not null").groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
     marks = cut(marks)
-    return base.join(marks, "rid", "left").mapInArrow(lean(_apply(length)), typed(base, ["rest"], "span_start array<long>, span_end array<long>, n_bytes long, kept binary"))
+    return base.join(marks, "rid", "left")
 
 
 def digest(bodies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Substring dedup against a dictionary of all windows."""
 
 import hashlib
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -111,3 +112,43 @@ def test_query_matches_brute_force(spark):
 def test_kept_text_is_valid(spark):
     df = spark.createDataFrame([(1, bytearray("éa".encode()[1:]), [0], [1], 3)], "doc_id long, kept binary, span_start array<long>, span_end array<long>, n_bytes long")
     assert S.kept_texts(df).collect() == [(1, "a")]
+
+
+@pytest.mark.parametrize("n", [2000, 30000])
+def test_memory_of_previous_factors(n):
+    """The windows themselves and little more: no index for each of their bytes."""
+    length = 200
+    data = np.tile(np.random.default_rng(3).integers(0, 255, n // 2 + 100, dtype=np.uint8), 2)
+    starts = np.arange(n)
+    tracemalloc.start()
+    back, on = S.previous_factors(data, starts, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    half = len(data) // 2
+    assert (back == np.where(starts >= half, length, 0)).all()
+    assert (on == np.where(starts + half < n, length, 0)).all()
+    assert peak < 1.5 * n * length + 3 * S.ROWS * length
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_neighbours_in_blocks(monkeypatch, rows):
+    data = np.frombuffer(b"abcabcabcabxabcabcabc" * 3, np.uint8)
+    starts = np.arange(len(data) - 8 + 1)
+    whole = S.previous_factors(data, starts, 8)
+    monkeypatch.setattr(S, "ROWS", rows)
+    for a, b in zip(whole, S.previous_factors(data, starts, 8)):
+        assert (a == b).all()
+    cut = [bytes(data[i:i + 8]) for i in starts]
+    assert (whole[0] >= 8).tolist() == [c in cut[:i] for i, c in enumerate(cut)]
+    assert (whole[1] >= 8).tolist() == [c in cut[i + 1:] for i, c in enumerate(cut)]
+
+
+def test_texts_are_cut_and_decoded_in_one_python_step(spark, words):
+    shared = words(60, 1)
+    texts = [words(20, 10 + i) + shared for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = S.clean_texts(docs)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    kept = brute([t.encode() for t in texts], S.LENGTH, "first")
+    assert {r.doc_id: r.text for r in done.collect()} == {i: k[2].decode() for i, k in enumerate(kept)}
