@@ -84,3 +84,7 @@ def cascade(spark, tmp_path, monkeypatch):
 def test_articles_without_outcomes_by_all_texts(cascade):
     """An article of a phrase that only the last training texts tell from an outcome."""
     assert cascade("articles_without_outcomes") == [(2, "s2"), (5, "s5")]
+
+
+def test_corpus_status_by_all_texts(cascade):
+    assert cascade("corpus_status") == [("no_outcomes", 2), ("no_results", 1), ("ok", 1)]
