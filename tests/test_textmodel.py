@@ -88,3 +88,8 @@ def test_articles_without_outcomes_by_all_texts(cascade):
 
 def test_corpus_status_by_all_texts(cascade):
     assert cascade("corpus_status") == [("no_outcomes", 2), ("no_results", 1), ("ok", 1)]
+
+
+def test_reject_option_by_all_texts(cascade):
+    """A domain that only the last training texts have is one that a text can get."""
+    assert [r[:2] for r in cascade("reject_option")] == [(1, "Pain"), (2, "Mortality"), (2, "Mortality")]
